@@ -184,6 +184,180 @@ PARTS: dict[str, str] = {
         FROM period_claims a JOIN claims b ON a.member_id = b.member_id
          AND a.provider_npi <> b.provider_npi AND abs(date_diff('day', a.service_date, b.service_date)) <= 7
         GROUP BY 1, 2""",
+    # Signals
+    "q_weekend": f"""
+        SELECT provider_npi, specialty, count(*) FILTER (dayofweek(service_date) IN (0, 6)) AS weekend_claims,
+               count(*) AS total_claims,
+               coalesce(sum(allowed_amount) FILTER (dayofweek(service_date) IN (0, 6)), 0) AS weekend_allowed
+        FROM period_claims JOIN providers ON provider_npi = npi GROUP BY 1, 2""",
+    "q_weekend_share": f"""
+        SELECT w.*, {rnd('w.weekend_claims * 100.0::DOUBLE / w.total_claims', 2)} AS weekend_pct,
+               {rnd('peer', 2)} AS peer_pct,
+               {rnd('w.weekend_claims * 100.0::DOUBLE / w.total_claims - peer', 2)} AS difference
+        FROM q_weekend w JOIN (SELECT specialty, sum(weekend_claims) * 100.0::DOUBLE / sum(total_claims) AS peer
+                               FROM q_weekend GROUP BY specialty) s ON w.specialty = s.specialty""",
+    "q_ramp": f"""
+        SELECT provider_npi, month, total_allowed, before AS previous_allowed,
+               {rnd('CAST(total_allowed AS DOUBLE) / nullif(CAST(before AS DOUBLE), 0)', 2)} AS ramp_ratio
+        FROM (SELECT *, lag(total_allowed) OVER (PARTITION BY provider_npi ORDER BY month) AS before FROM q_volume)
+        WHERE CAST(total_allowed AS DOUBLE) / nullif(CAST(before AS DOUBLE), 0) >= 2""",
+    "q_concentration": f"""
+        SELECT provider_npi, referring_npi AS top_referrer, referral_count AS top_referrals,
+               CAST(total AS BIGINT) AS total_referrals, referrers,
+               {rnd('referral_count / total', 4)} AS top_share
+        FROM (SELECT rendering_npi AS provider_npi, referring_npi, referral_count,
+                     sum(referral_count) OVER (PARTITION BY rendering_npi) AS total,
+                     count(*) OVER (PARTITION BY rendering_npi) AS referrers,
+                     row_number() OVER (PARTITION BY rendering_npi
+                                        ORDER BY referral_count DESC, referring_npi) AS place FROM q_edges)
+        WHERE place = 1""",
+    "q_phantom": """
+        SELECT claim_id, provider_npi, member_id, service_date, allowed_amount,
+               CASE WHEN m.id IS NULL AND e.id IS NULL THEN 'no_member_no_eligibility'
+                    WHEN m.id IS NULL THEN 'no_member' WHEN e.id IS NULL THEN 'no_eligibility' END AS reason
+        FROM period_claims LEFT JOIN (SELECT DISTINCT member_id AS id FROM members) m ON member_id = m.id
+             LEFT JOIN (SELECT DISTINCT member_id AS id FROM eligibility) e ON member_id = e.id
+        WHERE m.id IS NULL OR e.id IS NULL""",
+    "q_spike_claims": f"""
+        SELECT c.provider_npi, s.month, c.member_id, s.total_allowed AS spike_allowed
+        FROM period_claims c JOIN q_spikes s
+          ON c.provider_npi = s.provider_npi AND {month('c.service_date')} = s.month""",
+    "q_signal_pairs": f"""
+        SELECT 'billing_and_utilisation' AS pair, s.provider_npi, s.month, count(*) AS signals,
+               any_value(s.total_allowed) AS amount
+        FROM q_spikes s JOIN q_util u ON s.provider_npi = u.provider_npi AND s.month = u.month GROUP BY 2, 3
+        UNION ALL
+        SELECT 'retroactive_and_high_cost', provider_npi, {month('service_date')}, count(*), sum(allowed_amount)
+        FROM q_high_cost h WHERE EXISTS (SELECT 1 FROM q_late e WHERE e.member_id = h.member_id
+             AND h.service_date BETWEEN e.coverage_start AND e.coverage_end) GROUP BY 2, 3
+        UNION ALL
+        SELECT 'billing_and_enrolment', provider_npi, month, count(DISTINCT member_id), any_value(spike_allowed)
+        FROM q_spike_claims c WHERE EXISTS (SELECT 1 FROM eligibility e WHERE e.member_id = c.member_id
+             AND date_trunc('month', e.coverage_start) = c.month) GROUP BY 2, 3""",
+    "q_employers": f"""
+        SELECT provider_npi, month, employer_group, n AS employer_claims, CAST(total AS BIGINT) AS total_claims
+        FROM (SELECT *, sum(n) OVER (PARTITION BY provider_npi, month) AS total
+              FROM (SELECT provider_npi, month, employer_group, count(*) AS n
+                    FROM q_spike_claims LEFT JOIN members USING (member_id) GROUP BY 1, 2, 3))
+        WHERE employer_group IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY provider_npi, month ORDER BY n DESC, employer_group) = 1""",
+    # Findings: bounds are strict, a finding needs a score above ``low``.
+    "q_rules": """
+        SELECT * FROM (VALUES
+            ('high_cost_claims', 'claims', 'outlier', 3, 2, 1.5, 1),
+            ('upcoding_pattern', 'claims', 'pattern', 30, 20, 10, 5),
+            ('duplicate_claims', 'claims', 'anomaly', 5, 3, 2, 1),
+            ('claim_volume_by_period', 'claims', 'pattern', 10, 5, 3, 2),
+            ('provider_peer_comparison', 'provider', 'outlier', 3, 2, 2, 2),
+            ('provider_specialty_mismatch', 'provider', 'anomaly', 100, 50, 10, 0),
+            ('doctor_shopping', 'member', 'pattern', 8, 6, 5, 3),
+            ('member_utilization_spike', 'member', 'anomaly', 10, 7, 5, 3),
+            ('coverage_gap_claims', 'eligibility', 'anomaly', 100, 50, 10, 0),
+            ('retroactive_eligibility', 'eligibility', 'anomaly', 90, 60, 45, 30),
+            ('billing_spike_detection', 'temporal', 'outlier', 3, 2, 2, 2),
+            ('weekend_billing', 'temporal', 'pattern', 30, 20, 10, 5),
+            ('referral_network', 'network', 'pattern', 0.9, 0.75, 0.5, 0.5),
+            ('shared_patients', 'network', 'correlation', 20, 10, 5, 2)
+        ) AS t(concept, domain, finding_type, critical, high, medium, low)""",
+    "q_upcoding_cost": f"""
+        SELECT provider_npi, count(*) AS n, {rnd("sum(pct - peer_pct) FILTER (procedure_code IN "
+               + str(VISIT_CODES[-2:]) + ")", 1)} AS score, sum(allowed) AS amount,
+               greatest({rnd('sum((n - peer_pct / 100 * total) * CAST(peer_allowed AS DOUBLE) / peer_n)', 2)}, 0) AS rec
+        FROM (SELECT x.*, o.allowed, sum(x.n) OVER (PARTITION BY x.provider_npi) AS total
+              FROM q_mix x JOIN q_own_mix o USING (provider_npi, procedure_code))
+        GROUP BY provider_npi""",
+    "q_shopping": """
+        SELECT c.provider_npi, c.member_id, c.diagnosis_code, s.k AS provider_count_30d,
+               count(*) AS claims, sum(c.allowed_amount) AS total_allowed
+        FROM period_claims c JOIN (SELECT member_id, diagnosis_code, max(provider_count_30d) AS k FROM q_seen30
+                                   WHERE provider_count_30d >= 4 GROUP BY 1, 2) s
+          ON c.member_id = s.member_id AND c.diagnosis_code = s.diagnosis_code GROUP BY 1, 2, 3, 4""",
+    "q_partners": """
+        SELECT * FROM q_pairs WHERE shared_patients >= 3
+        QUALIFY row_number() OVER (PARTITION BY provider_npi ORDER BY shared_patients DESC, other_provider) <= 30""",
+    "q_scores": """
+        SELECT 'high_cost_claims' AS concept, provider_npi, count(*) AS n, max(cost_ratio) AS score,
+               CAST(sum(allowed_amount) AS DOUBLE) AS amount, CAST(0 AS DOUBLE) AS rec FROM q_high_cost GROUP BY 2
+        UNION ALL SELECT 'upcoding_pattern', provider_npi, n, coalesce(score, 0), amount, rec FROM q_upcoding_cost
+        UNION ALL SELECT 'duplicate_claims', provider_npi, count(*), max(claim_count), sum(total_allowed),
+               sum(total_allowed) FROM q_duplicates GROUP BY 2
+        UNION ALL SELECT 'claim_volume_by_period', provider_npi, count(*), max(ramp_ratio), sum(total_allowed), 0
+               FROM q_ramp GROUP BY 2
+        UNION ALL SELECT 'provider_peer_comparison', provider_npi, count(*), max(greatest(z_claims, z_allowed)),
+               sum(total_allowed), 0 FROM q_peers GROUP BY 2
+        UNION ALL SELECT 'provider_specialty_mismatch', provider_npi, count(*), count(*), sum(allowed_amount), 0
+               FROM q_mismatch GROUP BY 2
+        UNION ALL SELECT 'doctor_shopping', provider_npi, count(*), max(provider_count_30d), sum(total_allowed), 0
+               FROM q_shopping GROUP BY 2
+        UNION ALL SELECT 'member_utilization_spike', provider_npi, count(*), max(spike_ratio), 0, 0
+               FROM q_util WHERE spike_ratio IS NOT NULL GROUP BY 2
+        UNION ALL SELECT 'coverage_gap_claims', provider_npi, count(*), count(*), sum(allowed_amount),
+               sum(allowed_amount) FROM q_gaps GROUP BY 2
+        UNION ALL SELECT 'retroactive_eligibility', provider_npi, count(*), max(days_retroactive),
+               sum(total_allowed), 0 FROM q_retro GROUP BY 2
+        UNION ALL SELECT 'billing_spike_detection', provider_npi, count(*), max(z_score), sum(total_allowed), 0
+               FROM q_spikes GROUP BY 2
+        UNION ALL SELECT 'weekend_billing', provider_npi, count(*), max(difference), sum(weekend_allowed), 0
+               FROM q_weekend_share GROUP BY 2
+        UNION ALL SELECT 'referral_network', provider_npi, count(*), max(top_share), 0, 0
+               FROM q_concentration WHERE total_referrals >= 10 GROUP BY 2
+        UNION ALL SELECT 'shared_patients', provider_npi, count(*), max(shared_patients), 0, 0
+               FROM q_partners GROUP BY 2""",
+    "q_findings": """
+        SELECT s.provider_npi, r.domain, s.concept, r.finding_type,
+               CASE WHEN score > critical THEN 'critical' WHEN score > high THEN 'high'
+                    WHEN score > medium THEN 'medium' ELSE 'low' END AS severity,
+               CAST(CASE WHEN score > critical THEN 1 WHEN score > high THEN 0.75
+                    WHEN score > medium THEN 0.5 ELSE 0.25 END AS DOUBLE) AS confidence,
+               CAST(n AS DOUBLE) AS row_count, CAST(score AS DOUBLE) AS score,
+               CAST(amount AS DOUBLE) AS amount, CAST(rec AS DOUBLE) AS recoverable
+        FROM q_scores s JOIN q_rules r ON s.concept = r.concept WHERE score > low""",
+    "q_overpayment": """
+        SELECT provider_npi, CAST(sum(a) AS DOUBLE) AS upcoding, CAST(sum(b) AS DOUBLE) AS duplicates,
+               CAST(sum(c) AS DOUBLE) AS duplicate_copies, CAST(sum(d) AS DOUBLE) AS coverage_gaps,
+               CAST(sum(e) AS DOUBLE) AS mismatch_review
+        FROM (SELECT provider_npi, rec AS a, 0.00 AS b, 0.00 AS c, 0.00 AS d, 0.00 AS e FROM q_upcoding_cost
+              UNION ALL SELECT provider_npi, 0, total_allowed, total_allowed - dearest, 0, 0 FROM q_duplicates
+              UNION ALL SELECT provider_npi, 0, 0, 0, allowed_amount, 0 FROM q_gaps
+              UNION ALL SELECT provider_npi, 0, 0, 0, 0, allowed_amount FROM q_mismatch)
+        GROUP BY provider_npi""",
+    "q_impact": f"""
+        SELECT provider_npi, {rnd('duplicate_copies + coverage_gaps', 2)} AS impact_low,
+               {rnd('duplicates + coverage_gaps + upcoding', 2)} AS impact_mid,
+               {rnd('duplicates + coverage_gaps + upcoding + mismatch_review', 2)} AS impact_high,
+               {rnd('(duplicates + coverage_gaps + upcoding) * 365 / 366', 2)} AS annualized_exposure
+        FROM q_overpayment""",
+    "q_ranked": """
+        SELECT provider_npi, concept, severity, recoverable, confidence,
+               CAST(row_number() OVER (PARTITION BY provider_npi
+                    ORDER BY recoverable DESC, confidence DESC, concept) AS INTEGER) AS impact_rank
+        FROM q_findings""",
+    "q_risk": f"""
+        SELECT *, CASE WHEN composite_risk_score >= 0.75 THEN 'critical' WHEN composite_risk_score >= 0.6 THEN 'high'
+                       WHEN composite_risk_score >= 0.3 THEN 'medium' ELSE 'low' END AS risk_category
+        FROM (SELECT provider_npi, {rnd('sum(weight * heaviest)', 4)} AS composite_risk_score, count(*) AS domains
+              FROM (SELECT provider_npi, domain, max(confidence) AS heaviest FROM q_findings GROUP BY 1, 2)
+              JOIN (VALUES ('claims', 0.25), ('provider', 0.2), ('member', 0.15), ('eligibility', 0.15),
+                           ('temporal', 0.15), ('network', 0.1)) AS w(domain, weight) USING (domain)
+              GROUP BY provider_npi)""",
+    "q_report": """
+        SELECT provider_npi, coalesce(total_findings, 0) AS total_findings,
+               coalesce(critical_findings, 0) AS critical_findings, coalesce(high_findings, 0) AS high_findings,
+               coalesce(medium_findings, 0) AS medium_findings, coalesce(low_findings, 0) AS low_findings,
+               coalesce(composite_risk_score, 0) AS composite_risk_score,
+               coalesce(risk_category, 'low') AS risk_category,
+               coalesce(impact_low, 0) AS impact_low, coalesce(impact_mid, 0) AS impact_mid,
+               coalesce(impact_high, 0) AS impact_high, coalesce(annualized_exposure, 0) AS annualized_exposure,
+               top_findings
+        FROM (SELECT provider_npi, count(*) AS total_findings,
+                     count(*) FILTER (severity = 'critical') AS critical_findings,
+                     count(*) FILTER (severity = 'high') AS high_findings,
+                     count(*) FILTER (severity = 'medium') AS medium_findings,
+                     count(*) FILTER (severity = 'low') AS low_findings,
+                     string_agg(concept || ':' || severity, ',' ORDER BY impact_rank)
+                         FILTER (impact_rank <= 10) AS top_findings
+              FROM q_ranked GROUP BY provider_npi)
+        JOIN q_risk USING (provider_npi) FULL JOIN q_impact USING (provider_npi)""",
 }
 
 

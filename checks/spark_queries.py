@@ -8,14 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.oracle import PERIOD, big, dbl, rnd, with_needed
-from checks.testdata import END, START, VISIT_CODES, claims_tables, table
+from checks.testdata import END, START, VISIT_CODES, claims_tables, stored_tables, table
 from claimspark.functions.numbers import decimals_to_double
+from claimspark.functions.scratch import materialise
 from claimspark.operators import claims as C
 from claimspark.operators import eligibility as E
 from claimspark.operators import member as M
 from claimspark.operators import network as N
 from claimspark.operators import provider as P
+from claimspark.operators import signals as S
 from claimspark.operators import temporal as T
+from claimspark.plans.findings import findings, hypothesis_status, provider_results
+from claimspark.plans.impact import (
+    composite_risk,
+    impact_rank,
+    impact_summary,
+    overpayment,
+    report_rollup,
+    top_providers,
+)
+from claimspark.plans.registry import CONCEPTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -184,3 +196,191 @@ for _k in (3, 2):
             QUALIFY row_number() OVER (PARTITION BY provider_npi
                     ORDER BY shared_patients DESC, other_provider) <= 30"""),
     )
+register("referral_concentration", over_period(N.referral_concentration), with_needed("SELECT * FROM q_concentration"))
+register(
+    "referral_loops",
+    over_period(N.referral_loops),
+    with_needed(
+        """SELECT 'self' AS kind, referring_npi AS provider_a, rendering_npi AS provider_b,
+                  referral_count AS forward, CAST(NULL AS BIGINT) AS backward
+           FROM q_edges WHERE referring_npi = rendering_npi
+           UNION ALL
+           SELECT 'mutual', a.referring_npi, a.rendering_npi, a.referral_count, b.referral_count
+           FROM q_edges a JOIN q_edges b ON a.referring_npi = b.rendering_npi AND a.rendering_npi = b.referring_npi
+           WHERE a.referring_npi < a.rendering_npi"""
+    ),
+)
+_IDENTITIES = {
+    "q_identities": """
+        SELECT 'tax_id' AS kind, tax_id AS identity, npi FROM providers
+        UNION ALL SELECT 'address', practice_state || '|' || practice_city || '|' || practice_zip, npi FROM providers"""
+}
+register(
+    "shared_identity",
+    lambda spark, sf_dir: N.shared_identity(claims_tables(spark, sf_dir)),
+    with_needed(
+        """SELECT kind, identity, count(*) AS provider_count, min(npi) AS first_npi, max(npi) AS last_npi
+           FROM q_identities GROUP BY kind, identity HAVING count(*) > 1""",
+        _IDENTITIES,
+    ),
+)
+register(
+    "shared_identity_members",
+    lambda spark, sf_dir: N.shared_identity_members(claims_tables(spark, sf_dir)),
+    with_needed(
+        """SELECT kind, identity, npi AS provider_npi, provider_count
+           FROM (SELECT *, count(*) OVER (PARTITION BY kind, identity) AS provider_count FROM q_identities)
+           WHERE provider_count > 1""",
+        _IDENTITIES,
+    ),
+)
+register(
+    "provider_clusters",
+    over_period(N.provider_clusters, min_shared=2),
+    with_needed(
+        """SELECT provider_npi, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size
+           FROM (SELECT a AS provider_npi, min(b) AS cluster FROM q_reach GROUP BY a)""",
+        {
+            "q_links": "SELECT provider_npi AS a, other_provider AS b FROM q_pairs WHERE shared_patients >= 2",
+            "q_both": "SELECT a, b FROM q_links UNION SELECT b, a FROM q_links UNION SELECT a, a FROM q_links",
+            "q_reach": "SELECT a, b FROM q_both UNION SELECT r.a, l.b FROM q_reach r JOIN q_both l ON r.b = l.a",
+        },
+        recursive=True,
+    ),
+)
+
+# --- Signals --------------------------------------------------------------------
+
+register(
+    "outlier_severity",
+    over_period(S.outlier_severity),
+    with_needed(
+        """SELECT provider_npi, z_claims, z_allowed, greatest(z_claims, z_allowed) AS z_max,
+                  CASE WHEN greatest(z_claims, z_allowed) > 3 THEN 'critical' ELSE 'high' END AS severity
+           FROM q_peers WHERE greatest(z_claims, z_allowed) > 2"""
+    ),
+)
+register(
+    "weekend_share",
+    over_period(S.weekend_share),
+    with_needed(f"""SELECT provider_npi, specialty, weekend_claims, total_claims,
+        {dbl('weekend_allowed')} AS weekend_allowed, weekend_pct, peer_pct, difference FROM q_weekend_share"""),
+)
+register(
+    "ramp_up",
+    over_period(S.ramp_up),
+    with_needed(f"""SELECT provider_npi, month, {dbl('total_allowed')} AS total_allowed,
+        {dbl('previous_allowed')} AS previous_allowed, ramp_ratio FROM q_ramp"""),
+)
+register(
+    "seasonal_deviation",
+    over_period(S.seasonal_deviation),
+    with_needed(
+        f"""SELECT a.provider_npi, a.month, {dbl('a.total_allowed')} AS total_allowed,
+                {dbl('b.total_allowed')} AS last_year_allowed,
+                {rnd('CAST(a.total_allowed AS DOUBLE) / nullif(CAST(b.total_allowed AS DOUBLE), 0)', 2)} AS seasonal_ratio
+            FROM q_months a JOIN q_months b
+              ON a.provider_npi = b.provider_npi AND a.month = b.month + INTERVAL 12 MONTH
+            WHERE a.month >= DATE '{START}'"""
+    ),
+)
+register(
+    "phantom_billing",
+    over_period(S.phantom_billing),
+    with_needed(f"""SELECT claim_id, provider_npi, member_id, service_date,
+        {dbl('allowed_amount')} AS allowed_amount, reason FROM q_phantom"""),
+)
+register(
+    "signal_pairs",
+    lambda spark, sf_dir: S.signal_pairs(stored_tables(spark, sf_dir), START, END),
+    with_needed(f"SELECT pair, provider_npi, month, signals, {dbl('amount')} AS amount FROM q_signal_pairs"),
+)
+register(
+    "employer_concentration",
+    lambda spark, sf_dir: S.employer_concentration(stored_tables(spark, sf_dir), START, END),
+    with_needed(f"""SELECT provider_npi, month, employer_group AS top_employer, employer_claims, total_claims,
+        {rnd('employer_claims / total_claims', 4)} AS employer_share FROM q_employers"""),
+)
+
+# --- Findings, impact and reports -----------------------------------------------
+
+
+def results_of(spark: SparkSession, sf_dir: str):
+    return provider_results(stored_tables(spark, sf_dir), START, END, codes=VISIT_CODES)
+
+
+def stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings written once: a small table that every report reads more than once."""
+    return materialise(findings(results_of(spark, sf_dir)), "findings")
+
+
+def flat_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metric = lambda name: F.col("metrics")[name].alias(name)
+    return findings(results_of(spark, sf_dir)).select(
+        "provider_npi", "domain", "concept", "finding_type", "severity", "confidence",
+        metric("row_count"), metric("score"), "amount", "recoverable",
+    )
+
+
+def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hypothesis per provider and concept."""
+    names = F.explode(F.array(*[F.lit(name) for name in CONCEPTS]))
+    return claims_tables(spark, sf_dir)["providers"].select(
+        F.col("npi").alias("provider_npi"), names.alias("concept")
+    ).withColumn("hypothesis_id", F.concat_ws(":", "provider_npi", "concept"))
+
+
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = results_of(spark, sf_dir)
+    found = materialise(findings(results), "findings")
+    return report_rollup(found, overpayment(results), START, END)
+
+
+def flat_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = F.transform("top_findings", lambda x: F.concat_ws(":", x["concept"], x["severity"]))
+    return report(spark, sf_dir).withColumn("top_findings", F.array_join(listed, ","))
+
+
+register("findings", flat_findings, with_needed("SELECT * FROM q_findings"))
+register(
+    "hypothesis_status",
+    lambda spark, sf_dir: hypothesis_status(hypotheses(spark, sf_dir), stored_findings(spark, sf_dir)),
+    with_needed(
+        """SELECT npi || ':' || r.concept AS hypothesis_id, npi AS provider_npi, r.concept,
+                  coalesce(confidence, 0) AS confidence,
+                  CASE WHEN coalesce(confidence, 0) > 0.6 THEN 'supported'
+                       WHEN coalesce(confidence, 0) < 0.3 THEN 'refuted' ELSE 'open' END AS status
+           FROM providers CROSS JOIN q_rules r
+           LEFT JOIN q_findings f ON f.provider_npi = npi AND f.concept = r.concept"""
+    ),
+)
+register(
+    "overpayment",
+    lambda spark, sf_dir: overpayment(results_of(spark, sf_dir)),
+    with_needed("SELECT * FROM q_overpayment"),
+)
+register(
+    "impact_summary",
+    lambda spark, sf_dir: impact_summary(overpayment(results_of(spark, sf_dir)), START, END),
+    with_needed("SELECT * FROM q_impact"),
+)
+register(
+    "impact_rank",
+    lambda spark, sf_dir: impact_rank(stored_findings(spark, sf_dir)),
+    with_needed("SELECT * FROM q_ranked"),
+)
+register(
+    "composite_risk",
+    lambda spark, sf_dir: composite_risk(stored_findings(spark, sf_dir)),
+    with_needed("SELECT provider_npi, composite_risk_score, domains, risk_category FROM q_risk"),
+)
+register("report_rollup", flat_report, with_needed("SELECT * FROM q_report"))
+register(
+    "top_providers",
+    lambda spark, sf_dir: top_providers(report(spark, sf_dir), 100),
+    with_needed(
+        """SELECT CAST(rank() OVER (ORDER BY composite_risk_score DESC, impact_mid DESC) AS INTEGER) AS follow_up_rank,
+                  provider_npi, composite_risk_score, risk_category, total_findings, impact_mid
+           FROM (SELECT * FROM q_report ORDER BY composite_risk_score DESC, impact_mid DESC, provider_npi LIMIT 100)"""
+    ),
+)

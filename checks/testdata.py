@@ -8,6 +8,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimspark.functions.scratch import materialise
+
 START, END = "2000-01-01", "2000-12-31"
 VISIT_CODES = ("ECONOMY", "MEDIUM", "STANDARD")
 PROCEDURE_MAP = [("PROMO", "S0"), ("PROMO", "S1"), ("LARGE", "S2"), ("SMALL", "S0")]
@@ -104,3 +106,10 @@ class ClaimsTables(Mapping):
 
 
 claims_tables = ClaimsTables
+
+
+def stored_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables with claims written to shared storage, for plans that scan them often."""
+    tables = dict(ClaimsTables(spark, sf_dir))
+    tables["claims"] = materialise(tables["claims"], "claims")
+    return tables

@@ -15,7 +15,7 @@ from claimspark.functions.periods import Providers, Tables, claims_in, keep_prov
 VISIT_CODES = ("99211", "99212", "99213", "99214", "99215")
 
 
-def high_cost_claims(
+def claims_above_limit(
     tables: Tables,
     start: date | str,
     end: date | str,
@@ -23,22 +23,30 @@ def high_cost_claims(
     *,
     fraction: str | float = "0.95",
 ) -> DataFrame:
-    """Claims above the percentile of their procedure and state, over all providers.
+    """Claims with ``p95``, the percentile of their procedure and state, that exceed it.
 
-    Claims without a procedure or a state have no percentile and drop out.
+    The percentile is over all providers' claims in the period. Claims without a
+    procedure or a state have none and drop out.
     """
     keys = ["procedure_code", "service_state"]
     claims = claims_in(tables, start, end).dropna(subset=keys)
     limits = exact_percentile(claims, keys, "allowed_amount", fraction, "p95")
-    return (
-        keep_providers(claims, providers)
-        .join(limits, keys)
-        .where(F.col("allowed_amount") > F.col("p95"))
-        .select(
-            "claim_id", "provider_npi", "member_id", "procedure_code", "allowed_amount",
-            F.col("p95").cast("double").alias("p95"),
-            rounded(ratio(F.col("allowed_amount"), F.col("p95")), 2).alias("cost_ratio"),
-        )
+    return keep_providers(claims, providers).join(limits, keys).where(F.col("allowed_amount") > F.col("p95"))
+
+
+def high_cost_claims(
+    tables: Tables,
+    start: date | str,
+    end: date | str,
+    providers: Providers = None,
+    *,
+    fraction: str | float = "0.95",
+) -> DataFrame:
+    """Claims above the percentile of their procedure and state, with the ratio to it."""
+    return claims_above_limit(tables, start, end, providers, fraction=fraction).select(
+        "claim_id", "provider_npi", "member_id", "procedure_code", "allowed_amount",
+        F.col("p95").cast("double").alias("p95"),
+        rounded(ratio(F.col("allowed_amount"), F.col("p95")), 2).alias("cost_ratio"),
     )
 
 
@@ -111,23 +119,29 @@ def upcoding_pattern(
     )
 
 
-def duplicates(df: DataFrame, keys: list[str], amount: str) -> DataFrame:
+def duplicates(df: DataFrame, keys: list[str], amount: str, *, dearest: bool = False) -> DataFrame:
     """Groups of two or more rows that agree on ``keys``."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("claim_count"), F.sum(amount).alias("total_allowed"))
-        .where("claim_count > 1")
-    )
+    measures = [F.count("*").alias("claim_count"), F.sum(amount).alias("total_allowed")]
+    if dearest:
+        measures.append(F.max(amount).alias("dearest_copy"))
+    return df.groupBy(*keys).agg(*measures).where("claim_count > 1")
 
 
 def duplicate_claims(
-    tables: Tables, start: date | str, end: date | str, providers: Providers = None
+    tables: Tables,
+    start: date | str,
+    end: date | str,
+    providers: Providers = None,
+    *,
+    dearest: bool = False,
 ) -> DataFrame:
-    """Same provider, member, procedure and service date more than once."""
+    """Same provider, member, procedure and service date more than once.
+
+    ``dearest`` adds the amount of each group's costliest claim.
+    """
     claims = keep_providers(claims_in(tables, start, end), providers)
-    return duplicates(
-        claims, ["provider_npi", "member_id", "procedure_code", "service_date"], "allowed_amount"
-    )
+    keys = ["provider_npi", "member_id", "procedure_code", "service_date"]
+    return duplicates(claims, keys, "allowed_amount", dearest=dearest)
 
 
 def claim_volume_by_period(

@@ -61,6 +61,36 @@ def doctor_shopping(
     )
 
 
+def doctor_shopping_by_provider(
+    tables: Tables,
+    start: date | str,
+    end: date | str,
+    providers: Providers = None,
+    *,
+    min_providers: int = 4,
+    days: int = 30,
+) -> DataFrame:
+    """Doctor-shopping cases listed under every provider that billed for them.
+
+    (provider_npi, member_id, diagnosis_code, provider_count_30d, claims,
+    total_allowed), with the case's highest provider count.
+    """
+    case = ["member_id", "diagnosis_code"]
+    cases = (
+        doctor_shopping(tables, start, end, providers, min_providers=min_providers, days=days)
+        .groupBy(*case)
+        .agg(F.max("provider_count_30d").alias("provider_count_30d"))
+    )
+    billed = (
+        keep_providers(claims_in(tables, start, end), providers)
+        .groupBy("provider_npi", *case)
+        .agg(F.count("*").alias("claims"), F.sum("allowed_amount").alias("total_allowed"))
+    )
+    return billed.join(cases, case).select(
+        "provider_npi", *case, "provider_count_30d", "claims", "total_allowed"
+    )
+
+
 def member_utilization_spike(
     tables: Tables,
     start: date | str,

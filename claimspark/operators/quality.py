@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,6 +55,13 @@ def validate_result(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return mask_pii(df), profile.where("is_warning").select("warning").unionByName(empty)
 
 
+def sort_columns(order: Iterable[str]) -> list[Column]:
+    """Sort expressions for column names; a leading minus sign means largest first."""
+    return [
+        F.desc_nulls_last(name[1:]) if name.startswith("-") else F.asc_nulls_first(name) for name in order
+    ]
+
+
 def top_rows(df: DataFrame, order: list[str | Column], limit: int = ROW_LIMIT) -> DataFrame:
     """The first rows in ``order``, for display of one provider's result."""
     return df.orderBy(*order).limit(limit)
