@@ -18,7 +18,7 @@ from claimspark.operators import network as N
 from claimspark.operators import provider as P
 from claimspark.operators import signals as S
 from claimspark.operators import temporal as T
-from claimspark.plans.findings import findings, hypothesis_status, provider_results
+from claimspark.plans.findings import findings, hypothesis_status, provider_scores
 from claimspark.plans.impact import (
     composite_risk,
     impact_rank,
@@ -202,7 +202,7 @@ register(
     over_period(N.referral_loops),
     with_needed(
         """SELECT 'self' AS kind, referring_npi AS provider_a, rendering_npi AS provider_b,
-                  referral_count AS forward, CAST(NULL AS BIGINT) AS backward
+                  referral_count AS forward, 0 AS backward
            FROM q_edges WHERE referring_npi = rendering_npi
            UNION ALL
            SELECT 'mutual', a.referring_npi, a.rendering_npi, a.referral_count, b.referral_count
@@ -260,6 +260,15 @@ register(
            FROM q_peers WHERE greatest(z_claims, z_allowed) > 2"""
     ),
 )
+register(
+    "outlier_severity_lower",
+    over_period(S.outlier_severity, notable=1.0, critical=1.5),
+    with_needed(
+        """SELECT provider_npi, z_claims, z_allowed, greatest(z_claims, z_allowed) AS z_max,
+                  CASE WHEN greatest(z_claims, z_allowed) > 1.5 THEN 'critical' ELSE 'high' END AS severity
+           FROM q_peers WHERE greatest(z_claims, z_allowed) > 1"""
+    ),
+)
 register(
     "weekend_share",
     over_period(S.weekend_share),
@@ -305,18 +314,19 @@ register(
 # --- Findings, impact and reports -----------------------------------------------
 
 
-def results_of(spark: SparkSession, sf_dir: str):
-    return provider_results(stored_tables(spark, sf_dir), START, END, codes=VISIT_CODES)
+def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores written once: a small table that every report reads more than once."""
+    scores = provider_scores(stored_tables(spark, sf_dir), START, END, codes=VISIT_CODES)
+    return materialise(scores, "scores")
 
 
-def stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings written once: a small table that every report reads more than once."""
-    return materialise(findings(results_of(spark, sf_dir)), "findings")
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(stored_scores(spark, sf_dir))
 
 
 def flat_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     metric = lambda name: F.col("metrics")[name].alias(name)
-    return findings(results_of(spark, sf_dir)).select(
+    return found(spark, sf_dir).select(
         "provider_npi", "domain", "concept", "finding_type", "severity", "confidence",
         metric("row_count"), metric("score"), "amount", "recoverable",
     )
@@ -331,9 +341,7 @@ def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = results_of(spark, sf_dir)
-    found = materialise(findings(results), "findings")
-    return report_rollup(found, overpayment(results), START, END)
+    return report_rollup(stored_scores(spark, sf_dir), START, END)
 
 
 def flat_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,7 +352,7 @@ def flat_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("findings", flat_findings, with_needed("SELECT * FROM q_findings"))
 register(
     "hypothesis_status",
-    lambda spark, sf_dir: hypothesis_status(hypotheses(spark, sf_dir), stored_findings(spark, sf_dir)),
+    lambda spark, sf_dir: hypothesis_status(hypotheses(spark, sf_dir), found(spark, sf_dir)),
     with_needed(
         """SELECT npi || ':' || r.concept AS hypothesis_id, npi AS provider_npi, r.concept,
                   coalesce(confidence, 0) AS confidence,
@@ -356,22 +364,22 @@ register(
 )
 register(
     "overpayment",
-    lambda spark, sf_dir: overpayment(results_of(spark, sf_dir)),
+    lambda spark, sf_dir: overpayment(stored_scores(spark, sf_dir)),
     with_needed("SELECT * FROM q_overpayment"),
 )
 register(
     "impact_summary",
-    lambda spark, sf_dir: impact_summary(overpayment(results_of(spark, sf_dir)), START, END),
+    lambda spark, sf_dir: impact_summary(overpayment(stored_scores(spark, sf_dir)), START, END),
     with_needed("SELECT * FROM q_impact"),
 )
 register(
     "impact_rank",
-    lambda spark, sf_dir: impact_rank(stored_findings(spark, sf_dir)),
+    lambda spark, sf_dir: impact_rank(found(spark, sf_dir)),
     with_needed("SELECT * FROM q_ranked"),
 )
 register(
     "composite_risk",
-    lambda spark, sf_dir: composite_risk(stored_findings(spark, sf_dir)),
+    lambda spark, sf_dir: composite_risk(found(spark, sf_dir)),
     with_needed("SELECT provider_npi, composite_risk_score, domains, risk_category FROM q_risk"),
 )
 register("report_rollup", flat_report, with_needed("SELECT * FROM q_report"))

@@ -7,6 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from claimspark.functions.scratch import materialise
 
@@ -15,8 +16,15 @@ VISIT_CODES = ("ECONOMY", "MEDIUM", "STANDARD")
 PROCEDURE_MAP = [("PROMO", "S0"), ("PROMO", "S1"), ("LARGE", "S2"), ("SMALL", "S0")]
 
 
+# Schemas already read from a file, so that later scans need not open its footer.
+_SEEN: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SEEN:
+        _SEEN[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SEEN[path]).parquet(path)
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +89,9 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def procedure_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROCEDURE_MAP, "procedure_code string, expected_specialty string")
+    # VALUES is a relation of known size, so its joins need no shuffle.
+    rows = ", ".join(f"('{code}', '{specialty}')" for code, specialty in PROCEDURE_MAP)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS m(procedure_code, expected_specialty)")
 
 
 class ClaimsTables(Mapping):

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -35,3 +35,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_with(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``materialise``, with aggregates of the rows taken while they are written."""
+    observation = Observation()
+    stored = materialise(df.observe(observation, *[m.alias(name) for name, m in measures.items()]), label)
+    return stored, observation.get

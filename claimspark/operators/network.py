@@ -15,7 +15,7 @@ from claimspark.functions.periods import (
     claims_in,
     keep_providers,
 )
-from claimspark.functions.scratch import materialise
+from claimspark.functions.scratch import materialise, materialise_with
 
 # Days per join bucket: a claim meets the claims of its own bucket and of the
 # neighbouring one if the band reaches into it.
@@ -202,11 +202,12 @@ def connected_components(edges: DataFrame, source: str, target: str, max_rounds:
         .select(F.greatest(source, target).alias("u"), F.least(source, target).alias("v"))
         .distinct()
     )
-    current = materialise(current, "components-0")
-    mark = _edge_mark(current)
+    # Row count and an order-free checksum show whether a round changed anything.
+    marks = {"rows": F.count("*"), "checksum": F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))}
+    current, mark = materialise_with(current, "components-0", **marks)
     for step in range(1, max_rounds + 1):
-        current = materialise(_small_star(_large_star(current)), f"components-{step}")
-        previous, mark = mark, _edge_mark(current)
+        previous = mark
+        current, mark = materialise_with(_small_star(_large_star(current)), f"components-{step}", **marks)
         if mark == previous:
             break
     else:
@@ -218,13 +219,6 @@ def connected_components(edges: DataFrame, source: str, target: str, max_rounds:
     )
 
 
-def _edge_mark(edges: DataFrame) -> tuple:
-    """Row count and an order-free checksum, to see whether a round changed anything."""
-    return tuple(
-        edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    )
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     smallest = both.groupBy("u").agg(F.min("v").alias("_min")).withColumn("_min", F.least("u", "_min"))
@@ -292,7 +286,7 @@ def referral_loops(tables: Tables, start: date | str, end: date | str) -> DataFr
     """Providers that refer to themselves, and pairs that refer to each other.
 
     (kind, provider_a, provider_b, forward, backward): ``forward`` counts a to b,
-    ``backward`` b to a. One aggregate over the edges finds both kinds.
+    ``backward`` b to a (0 for a self-referral). One aggregate over the edges finds both kinds.
     """
     edges = referral_edges(tables, start, end).where(F.col("rendering_npi").isNotNull())
     a, b = F.least("referring_npi", "rendering_npi"), F.greatest("referring_npi", "rendering_npi")
@@ -306,7 +300,7 @@ def referral_loops(tables: Tables, start: date | str, end: date | str) -> DataFr
         .where("provider_a = provider_b or (forward is not null and backward is not null)")
         .select(
             F.when(F.col("provider_a") == F.col("provider_b"), "self").otherwise("mutual").alias("kind"),
-            "provider_a", "provider_b", "forward", "backward",
+            "provider_a", "provider_b", "forward", F.coalesce("backward", F.lit(0)).alias("backward"),
         )
     )
 

@@ -30,17 +30,23 @@ from claimspark.operators.temporal import billing_spike_detection, day_number
 
 
 def outlier_severity(
-    tables: Tables, start: date | str, end: date | str, providers: Providers = None
+    tables: Tables,
+    start: date | str,
+    end: date | str,
+    providers: Providers = None,
+    *,
+    notable: float = 2.0,
+    critical: float = 3.0,
 ) -> DataFrame:
-    """Providers whose larger z-score is above 2 (high) or 3 (critical)."""
+    """Providers whose larger z-score is above ``notable`` (high) or ``critical``."""
     z = F.greatest("z_claims", "z_allowed")
     return (
         provider_peer_comparison(tables, start, end, providers)
         .withColumn("z_max", z)
-        .where("z_max > 2")
+        .where(F.col("z_max") > notable)
         .select(
             "provider_npi", "z_claims", "z_allowed", "z_max",
-            F.when(F.col("z_max") > 3, "critical").otherwise("high").alias("severity"),
+            F.when(F.col("z_max") > critical, "critical").otherwise("high").alias("severity"),
         )
     )
 

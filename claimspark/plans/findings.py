@@ -1,4 +1,4 @@
-"""One findings table over all concepts: a row per provider and concept that stands out.
+"""Scores and findings: a row per provider and concept.
 
 What counts as standing out is this library's own choice and is stated in one
 table, ``RULES``. A finding's severity follows from its score alone.
@@ -16,11 +16,19 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.numbers import rounded
 from claimspark.functions.periods import Providers, Tables
-from claimspark.operators.claims import VISIT_CODES, duplicate_claims, visit_code_mix
-from claimspark.operators.member import doctor_shopping_by_provider
-from claimspark.operators.network import referral_concentration
+from claimspark.operators.claims import (
+    VISIT_CODES,
+    claims_above_limit,
+    duplicate_claims,
+    visit_code_mix,
+)
+from claimspark.operators.eligibility import coverage_gap_claims, retroactive_eligibility
+from claimspark.operators.member import doctor_shopping_by_provider, member_utilization_spike
+from claimspark.operators.network import referral_concentration, shared_patients
+from claimspark.operators.provider import provider_peer_comparison, provider_specialty_mismatch
 from claimspark.operators.signals import ramp_up, weekend_share
-from claimspark.plans.registry import CONCEPTS, StoredResults
+from claimspark.operators.temporal import billing_spike_detection
+from claimspark.plans.registry import CONCEPTS
 
 # The allowed finding types and severities.
 FINDING_TYPES = ("anomaly", "pattern", "outlier", "correlation", "info")
@@ -44,34 +52,61 @@ class Rule:
     medium: float
     low: float
 
-    def severity(self, score: Column) -> Column:
-        return (
-            F.when(score > self.critical, "critical")
-            .when(score > self.high, "high")
-            .when(score > self.medium, "medium")
-            .when(score > self.low, "low")
-        )
-
 
 RULES: dict[str, Rule] = {
     "high_cost_claims": Rule("outlier", "Claims far above the usual cost", "highest cost ratio", 3, 2, 1.5, 1),
-    "upcoding_pattern": Rule("pattern", "More high-level visits than peers", "percentage points above peers on the two highest codes", 30, 20, 10, 5),
+    "upcoding_pattern": Rule(
+        "pattern", "More high-level visits than peers",
+        "percentage points above peers on the two highest codes", 30, 20, 10, 5,
+    ),
     "duplicate_claims": Rule("anomaly", "Duplicate claims", "most copies of one claim", 5, 3, 2, 1),
-    "claim_volume_by_period": Rule("pattern", "Sudden ramp-up of billing", "largest ratio to the month before", 10, 5, 3, 2),
+    "claim_volume_by_period": Rule(
+        "pattern", "Sudden ramp-up of billing", "largest ratio to the month before", 10, 5, 3, 2
+    ),
     "provider_peer_comparison": Rule("outlier", "Billing far above peers", "larger z-score", 3, 2, 2, 2),
     "provider_specialty_mismatch": Rule("anomaly", "Procedures outside the specialty", "claims", 100, 50, 10, 0),
     "doctor_shopping": Rule("pattern", "Members shopping for doctors", "most providers in 30 days", 8, 6, 5, 3),
-    "member_utilization_spike": Rule("anomaly", "Members with sudden use", "largest ratio to usual use", 10, 7, 5, 3),
+    "member_utilization_spike": Rule(
+        "anomaly", "Members with sudden use", "largest ratio to usual use", 10, 7, 5, 3
+    ),
     "coverage_gap_claims": Rule("anomaly", "Claims without coverage", "claims", 100, 50, 10, 0),
     "retroactive_eligibility": Rule("anomaly", "Coverage recorded late", "most days late", 90, 60, 45, 30),
     "billing_spike_detection": Rule("outlier", "Billing spike", "largest z-score", 3, 2, 2, 2),
-    "weekend_billing": Rule("pattern", "More weekend billing than peers", "percentage points above peers", 30, 20, 10, 5),
-    "referral_network": Rule("pattern", "One referrer dominates", "share of the top referrer", 0.9, 0.75, 0.5, 0.5),
-    "shared_patients": Rule("correlation", "Patients shared with other providers", "most shared members", 20, 10, 5, 2),
+    "weekend_billing": Rule(
+        "pattern", "More weekend billing than peers", "percentage points above peers", 30, 20, 10, 5
+    ),
+    "referral_network": Rule(
+        "pattern", "One referrer dominates", "share of the top referrer", 0.9, 0.75, 0.5, 0.5
+    ),
+    "shared_patients": Rule(
+        "correlation", "Patients shared with other providers", "most shared members", 20, 10, 5, 2
+    ),
 }
 
 
-def provider_results(
+def _score(
+    rows: DataFrame,
+    concept: str,
+    score: Column,
+    amount: Column | None = None,
+    recoverable: Column | None = None,
+    certain: Column | None = None,
+    row_count: Column | None = None,
+) -> DataFrame:
+    """One row per provider in a shape common to all concepts."""
+    zero = F.lit(0.0)
+    number = lambda c: zero if c is None else F.coalesce(c.cast("double"), zero)
+    return rows.groupBy("provider_npi").agg(
+        F.lit(concept).alias("concept"),
+        (F.count("*") if row_count is None else row_count).alias("row_count"),
+        score.cast("double").alias("score"),
+        number(amount).alias("amount"),
+        number(recoverable).alias("recoverable"),
+        number(certain).alias("certain"),
+    )
+
+
+def provider_scores(
     tables: Tables,
     start: date | str,
     end: date | str,
@@ -79,122 +114,112 @@ def provider_results(
     *,
     codes: tuple[str, ...] = VISIT_CODES,
     options: Mapping[str, Mapping[str, object]] | None = None,
-) -> StoredResults:
-    """Stored concept results, with the variants that findings and estimates need."""
-    chosen: dict[str, Mapping[str, object]] = {
-        "upcoding_pattern": {"codes": codes},
-        "visit_code_mix": {"codes": codes},
-        "duplicate_claims": {"dearest": True},
-    }
-    chosen.update(options or {})
-    extra = {
-        "visit_code_mix": visit_code_mix,
-        "duplicate_claims": duplicate_claims,
-        "doctor_shopping": doctor_shopping_by_provider,
-        "ramp_up": ramp_up,
-        "weekend_share": weekend_share,
-        "referral_concentration": referral_concentration,
-    }
-    results = StoredResults(tables, start, end, providers, chosen, extra)
-    results.codes = codes
-    return results
-
-
-def upcoding_estimate(mix: DataFrame, codes: tuple[str, ...]) -> DataFrame:
-    """(provider_npi, codes, score, recoverable) from the code mix.
-
-    Score: percentage points above the specialty on the two highest codes.
-    Recoverable: over all codes, the claims beyond the specialty's share, at the
-    specialty's mean amount for the code; at least zero per provider.
-    """
-    excess = F.col("claims") - F.col("peer_pct") / 100 * F.col("provider_total")
-    price = F.col("peer_allowed").cast("double") / F.col("peer_claims")
-    above = F.when(F.col("procedure_code").isin(*codes[-2:]), F.col("provider_pct") - F.col("peer_pct"))
-    return mix.groupBy("provider_npi").agg(
-        F.count("*").alias("row_count"),
-        rounded(F.coalesce(F.sum(above), F.lit(0.0)), 1).alias("score"),
-        F.sum("allowed").alias("amount"),
-        F.greatest(rounded(F.sum(excess * price), 2), F.lit(0.0)).alias("recoverable"),
-    )
+) -> DataFrame:
+    """Score of every provider for every concept that has rows for it.
 
+    (provider_npi, concept, row_count, score, amount, recoverable, certain):
+    ``amount`` is the money involved, ``recoverable`` the estimated overpayment and
+    ``certain`` the part of it that needs no judgement (the costliest copy of a
+    duplicate is not in it). ``options`` are passed to the operators by name.
 
-def _scores(results: StoredResults) -> dict[str, DataFrame]:
-    """Per concept and provider: rows, score, amount involved, recoverable amount."""
-    none = F.lit(None)
+    The table has at most one row per provider and concept however many claims
+    there are. Findings, estimates, risk and reports all derive from it, so it is
+    worth storing once; the branches are independent and run side by side.
+    """
+    chosen = options or {}
 
-    def per_provider(name: str, score: Column, amount: Column, recoverable: Column = none, where: str | None = None):
-        rows = results[name] if where is None else results[name].where(where)
-        return rows.groupBy("provider_npi").agg(
-            F.count("*").alias("row_count"), score.alias("score"),
-            amount.alias("amount"), recoverable.alias("recoverable"),
-        )
+    def rows(operator, **extra) -> DataFrame:
+        return operator(tables, start, end, providers, **{**extra, **chosen.get(operator.__name__, {})})
 
     allowed, total = F.sum("allowed_amount"), F.sum("total_allowed")
-    return {
-        "high_cost_claims": per_provider("high_cost_claims", F.max("cost_ratio"), allowed),
-        "upcoding_pattern": upcoding_estimate(results["visit_code_mix"], results.codes),
-        "duplicate_claims": per_provider("duplicate_claims", F.max("claim_count"), total, total),
-        "claim_volume_by_period": per_provider("ramp_up", F.max("ramp_ratio"), total),
-        "provider_peer_comparison": per_provider(
-            "provider_peer_comparison", F.max(F.greatest("z_claims", "z_allowed")), total
+    cost_ratio = F.max(rounded(F.col("allowed_amount").cast("double") / F.nullif(F.col("p95").cast("double"), F.lit(0.0)), 2))
+    excess = F.col("claims") - F.col("peer_pct") / 100 * F.col("provider_total")
+    price = F.col("peer_allowed").cast("double") / F.col("peer_claims")
+    above = F.when(F.col("procedure_code").isin(*codes[-2:]), F.col("provider_pct") - F.col("peer_pct"))
+    upcoded = F.greatest(rounded(F.sum(excess * price), 2), F.lit(0.0))
+    copies = F.sum(F.col("total_allowed") - F.col("dearest_copy"))
+    branches = [
+        _score(rows(claims_above_limit), "high_cost_claims", cost_ratio, allowed),
+        _score(
+            rows(visit_code_mix, codes=codes), "upcoding_pattern",
+            rounded(F.coalesce(F.sum(above), F.lit(0.0)), 1), F.sum("allowed"), upcoded,
+        ),
+        _score(
+            rows(duplicate_claims, dearest=True), "duplicate_claims", F.max("claim_count"), total, total, copies
+        ),
+        _score(rows(ramp_up), "claim_volume_by_period", F.max("ramp_ratio"), total),
+        _score(
+            rows(provider_peer_comparison), "provider_peer_comparison",
+            F.max(F.greatest("z_claims", "z_allowed")), total,
         ),
-        "provider_specialty_mismatch": per_provider("provider_specialty_mismatch", F.count("*"), allowed),
-        "doctor_shopping": per_provider("doctor_shopping", F.max("provider_count_30d"), total),
-        "member_utilization_spike": per_provider(
-            "member_utilization_spike", F.max("spike_ratio"), none, where="spike_ratio is not null"
+        _score(rows(provider_specialty_mismatch), "provider_specialty_mismatch", F.count("*"), allowed),
+        _score(rows(doctor_shopping_by_provider), "doctor_shopping", F.max("provider_count_30d"), total),
+        _score(
+            rows(member_utilization_spike).where("spike_ratio is not null"),
+            "member_utilization_spike", F.max("spike_ratio"),
         ),
-        "coverage_gap_claims": per_provider("coverage_gap_claims", F.count("*"), allowed, allowed),
-        "retroactive_eligibility": per_provider("retroactive_eligibility", F.max("days_retroactive"), total),
-        "billing_spike_detection": per_provider("billing_spike_detection", F.max("z_score"), total),
-        "weekend_billing": per_provider("weekend_share", F.max("difference"), F.sum("weekend_allowed")),
-        "referral_network": per_provider(
-            "referral_concentration", F.max("top_share"), none, where=f"total_referrals >= {MIN_REFERRALS}"
+        _score(rows(coverage_gap_claims), "coverage_gap_claims", F.count("*"), allowed, allowed, allowed),
+        _score(rows(retroactive_eligibility), "retroactive_eligibility", F.max("days_retroactive"), total),
+        _score(rows(billing_spike_detection), "billing_spike_detection", F.max("z_score"), total),
+        _score(rows(weekend_share), "weekend_billing", F.max("difference"), F.sum("weekend_allowed")),
+        _score(
+            rows(referral_concentration).where(f"total_referrals >= {MIN_REFERRALS}"),
+            "referral_network", F.max("top_share"),
         ),
-        "shared_patients": per_provider("shared_patients", F.max("shared_patients"), none),
-    }
+        _score(rows(shared_patients), "shared_patients", F.max("shared_patients")),
+    ]
+    return reduce(DataFrame.union, branches)
+
+
+def _by_concept(values: Mapping[str, object]) -> Column:
+    """The value listed for the row's concept."""
+    pairs = [F.lit(item) for pair in values.items() for item in pair]
+    return F.create_map(*pairs)[F.col("concept")]
+
 
+def _bound(name: str) -> Column:
+    return _by_concept({concept: float(getattr(rule, name)) for concept, rule in RULES.items()})
 
-def findings(results: StoredResults) -> DataFrame:
+
+def _text(name: str) -> Column:
+    return _by_concept({concept: getattr(rule, name) for concept, rule in RULES.items()})
+
+
+def findings(scores: DataFrame) -> DataFrame:
     """(provider_npi, domain, concept, finding_type, severity, title, explanation,
-    metrics, evidence, amount, recoverable, confidence), one row per provider and
-    concept that stands out.
+    metrics, evidence, amount, recoverable, confidence) for the scores that stand out.
     """
-    found = []
-    for concept, scores in _scores(results).items():
-        rule = RULES[concept]
-        number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        severity = rule.severity(F.col("score").cast("double"))
-        found.append(
-            scores.withColumn("severity", severity)
-            .where("severity is not null")
-            .select(
-                "provider_npi",
-                F.lit(CONCEPTS[concept].domain).alias("domain"),
-                F.lit(concept).alias("concept"),
-                F.lit(rule.finding_type).alias("finding_type"),
-                "severity",
-                F.lit(rule.title).alias("title"),
-                F.format_string("%s: %d rows", F.lit(rule.title), F.col("row_count")).alias("explanation"),
-                F.create_map(
-                    F.lit("row_count"), number("row_count"),
-                    F.lit("score"), number("score"),
-                    F.lit("amount"), number("amount"),
-                    F.lit("recoverable"), number("recoverable"),
-                ).alias("metrics"),
-                F.create_map(F.lit("measure"), F.lit(rule.measure)).alias("evidence"),
-                number("amount").alias("amount"),
-                number("recoverable").alias("recoverable"),
-                _weight(F.col("severity")).alias("confidence"),
-            )
+    score = F.col("score")
+    severity = (
+        F.when(score > _bound("critical"), "critical")
+        .when(score > _bound("high"), "high")
+        .when(score > _bound("medium"), "medium")
+        .when(score > _bound("low"), "low")
+    )
+    metrics = [
+        part
+        for name in ("row_count", "score", "amount", "recoverable")
+        for part in (F.lit(name), F.col(name).cast("double"))
+    ]
+    weights = F.create_map(*[F.lit(item) for pair in SEVERITY_WEIGHT.items() for item in pair])
+    return (
+        scores.withColumn("severity", severity)
+        .where("severity is not null")
+        .select(
+            "provider_npi",
+            _by_concept({name: concept.domain for name, concept in CONCEPTS.items()}).alias("domain"),
+            "concept",
+            _text("finding_type").alias("finding_type"),
+            "severity",
+            _text("title").alias("title"),
+            F.format_string("%s: %d rows", _text("title"), F.col("row_count")).alias("explanation"),
+            F.create_map(*metrics).alias("metrics"),
+            F.create_map(F.lit("measure"), _text("measure")).alias("evidence"),
+            "amount",
+            "recoverable",
+            weights[F.col("severity")].alias("confidence"),
         )
-    return reduce(DataFrame.unionByName, found)
-
-
-def _weight(severity: Column) -> Column:
-    weight = F.lit(None).cast("double")
-    for name, value in SEVERITY_WEIGHT.items():
-        weight = F.when(severity == name, F.lit(value)).otherwise(weight)
-    return weight
+    )
 
 
 def invalid_findings(found: DataFrame) -> DataFrame:
@@ -213,9 +238,9 @@ def hypothesis_status(
     Above ``supported`` it is supported, below ``refuted`` refuted, otherwise open.
     No finding counts as confidence zero.
     """
-    scores = found.groupBy("provider_npi", "concept").agg(F.max("confidence").alias("_confidence"))
+    best = found.groupBy("provider_npi", "concept").agg(F.max("confidence").alias("_confidence"))
     confidence = F.coalesce("_confidence", F.lit(0.0))
-    return hypotheses.join(scores, ["provider_npi", "concept"], "left").select(
+    return hypotheses.join(best, ["provider_npi", "concept"], "left").select(
         "hypothesis_id", "provider_npi", "concept",
         confidence.alias("confidence"),
         F.when(confidence > supported, "supported").when(confidence < refuted, "refuted")

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.numbers import rounded
 from claimspark.functions.periods import as_date
-from claimspark.plans.findings import SEVERITIES, SEVERITY_WEIGHT, upcoding_estimate
-from claimspark.plans.registry import StoredResults
+from claimspark.plans.findings import SEVERITIES, findings
 
 # Share of each domain in the composite risk score.
 DOMAIN_WEIGHTS: Mapping[str, float] = {
@@ -32,33 +31,30 @@ def _zero(column: str) -> Column:
     return F.coalesce(F.col(column).cast("double"), F.lit(0.0))
 
 
-def overpayment(results: StoredResults) -> DataFrame:
+def overpayment(scores: DataFrame) -> DataFrame:
     """Estimated overpayment per provider, by cause.
 
     ``upcoding``: visits beyond the specialty's share of each code, at its mean
-    price. ``duplicates``: full amount of duplicate groups, of which
+    price, at least zero. ``duplicates``: full amount of duplicate groups, of which
     ``duplicate_copies`` beyond the costliest copy. ``coverage_gaps``: full amount
     of uncovered claims. ``mismatch_review`` is kept apart, for review. A claim
     that has two causes counts under both.
     """
-    upcoding = upcoding_estimate(results["visit_code_mix"], results.codes).select(
-        "provider_npi", F.col("recoverable").alias("upcoding")
-    )
-    duplicates = results["duplicate_claims"].groupBy("provider_npi").agg(
-        F.sum("total_allowed").alias("duplicates"),
-        F.sum(F.col("total_allowed") - F.col("dearest_copy")).alias("duplicate_copies"),
-    )
-    gaps = results["coverage_gap_claims"].groupBy("provider_npi").agg(
-        F.sum("allowed_amount").alias("coverage_gaps")
-    )
-    mismatch = results["provider_specialty_mismatch"].groupBy("provider_npi").agg(
-        F.sum("allowed_amount").alias("mismatch_review")
+    causes = {
+        "upcoding": ("upcoding_pattern", "recoverable"),
+        "duplicates": ("duplicate_claims", "recoverable"),
+        "duplicate_copies": ("duplicate_claims", "certain"),
+        "coverage_gaps": ("coverage_gap_claims", "recoverable"),
+        "mismatch_review": ("provider_specialty_mismatch", "amount"),
+    }
+    return (
+        scores.where(F.col("concept").isin(*{concept for concept, _ in causes.values()}))
+        .groupBy("provider_npi")
+        .agg(*[
+            F.coalesce(F.max(F.when(F.col("concept") == concept, F.col(column))), F.lit(0.0)).alias(cause)
+            for cause, (concept, column) in causes.items()
+        ])
     )
-    joined = upcoding
-    for part in (duplicates, gaps, mismatch):
-        joined = joined.join(part, "provider_npi", "full")
-    causes = ["upcoding", "duplicates", "duplicate_copies", "coverage_gaps", "mismatch_review"]
-    return joined.select("provider_npi", *[_zero(c).alias(c) for c in causes])
 
 
 def impact_summary(estimates: DataFrame, start: date | str, end: date | str) -> DataFrame:
@@ -109,12 +105,15 @@ def composite_risk(found: DataFrame, weights: Mapping[str, float] = DOMAIN_WEIGH
     )
 
 
-def report_rollup(found: DataFrame, estimates: DataFrame, start: date | str, end: date | str) -> DataFrame:
+def report_rollup(scores: DataFrame, start: date | str, end: date | str) -> DataFrame:
     """One row per provider: finding counts, risk, impact range, first findings.
 
+    ``scores`` is the stored table of ``provider_scores``.
+
     ``top_findings`` lists the ten that recover most. A provider has at most one
     finding per concept, so the list is short by construction.
     """
+    found = findings(scores)
     counts = found.groupBy("provider_npi").agg(
         F.count("*").alias("total_findings"),
         *[F.count_if(F.col("severity") == s).alias(f"{s}_findings") for s in SEVERITIES if s != "info"],
@@ -128,7 +127,7 @@ def report_rollup(found: DataFrame, estimates: DataFrame, start: date | str, end
     )
     risk = composite_risk(found).drop("domains")
     joined = counts.join(risk, "provider_npi").join(top, "provider_npi")
-    joined = joined.join(impact_summary(estimates, start, end), "provider_npi", "full")
+    joined = joined.join(impact_summary(overpayment(scores), start, end), "provider_npi", "full")
     numbers = [c for c in joined.columns if c.endswith("_findings") and c != "top_findings"]
     money = ["impact_low", "impact_mid", "impact_high", "annualized_exposure"]
     return joined.select(
@@ -154,8 +153,3 @@ def top_providers(report: DataFrame, k: int = 100) -> DataFrame:
         "provider_npi", "composite_risk_score", "risk_category", "total_findings", "impact_mid",
     )
 
-
-__all__ = [
-    "SEVERITY_WEIGHT", "composite_risk", "impact_rank", "impact_summary",
-    "overpayment", "report_rollup", "top_providers",
-]

@@ -9,7 +9,6 @@ from datetime import date
 from pyspark.sql import DataFrame
 
 from claimspark.functions.periods import Providers, Tables
-from claimspark.functions.scratch import materialise
 from claimspark.operators import claims, eligibility, member, network, provider, temporal
 from claimspark.operators.quality import sort_columns, top_rows
 
@@ -167,39 +166,3 @@ def sweep(
     """The result for all providers, or the given ones: unordered and uncapped."""
     concept = _checked(name, {}, ())
     return concept.operator(tables, start, end, providers, **options)
-
-
-class StoredResults(Mapping):
-    """Concept results over one period, each written to shared storage on first use.
-
-    Findings, estimates and reports all start from the same results; stored once,
-    they are read by each of them without being computed again.
-    """
-
-    def __init__(
-        self,
-        tables: Tables,
-        start: date | str,
-        end: date | str,
-        providers: Providers = None,
-        options: Mapping[str, Mapping[str, object]] | None = None,
-        operators: Mapping[str, Callable[..., DataFrame]] | None = None,
-    ) -> None:
-        self.tables, self.start, self.end, self.providers = tables, start, end, providers
-        self._options = options or {}
-        self._operators = {c.name: c.operator for c in CONCEPTS.values()} | dict(operators or {})
-        self._stored: dict[str, DataFrame] = {}
-
-    def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._stored:
-            result = self._operators[name](
-                self.tables, self.start, self.end, self.providers, **self._options.get(name, {})
-            )
-            self._stored[name] = materialise(result, name)
-        return self._stored[name]
-
-    def __iter__(self) -> Iterator[str]:
-        return iter(self._operators)
-
-    def __len__(self) -> int:
-        return len(self._operators)
