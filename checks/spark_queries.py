@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.oracle import PERIOD, big, dbl, rnd, with_needed
+from checks.oracle import dbl, rnd, with_needed
 from checks.testdata import END, START, VISIT_CODES, claims_tables, stored_tables, table
 from claimspark.functions.numbers import decimals_to_double
-from claimspark.functions.scratch import materialise
+from claimspark.functions.privacy import mask_pii, mask_text
+from claimspark.functions.scratch import materialise, scratch_path
 from claimspark.operators import claims as C
 from claimspark.operators import eligibility as E
 from claimspark.operators import member as M
@@ -18,6 +19,13 @@ from claimspark.operators import network as N
 from claimspark.operators import provider as P
 from claimspark.operators import signals as S
 from claimspark.operators import temporal as T
+from claimspark.operators.quality import (
+    constraint_report,
+    evidence_pack,
+    null_profile,
+    sort_columns,
+    top_rows,
+)
 from claimspark.plans.findings import findings, hypothesis_status, provider_scores
 from claimspark.plans.impact import (
     composite_risk,
@@ -27,7 +35,18 @@ from claimspark.plans.impact import (
     report_rollup,
     top_providers,
 )
-from claimspark.plans.registry import CONCEPTS
+from claimspark.plans.registry import CONCEPTS, sweep
+from claimspark.sources.layout import read_claims, read_eligibility, write_claims, write_eligibility
+from claimspark.sources.load import (
+    keep_first,
+    load_rejects,
+    load_tables,
+    new_rows,
+    null_tokens,
+    table_counts,
+)
+from claimspark.sources.schemas import SCHEMAS
+from claimspark.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -392,3 +411,323 @@ register(
            FROM (SELECT * FROM q_report ORDER BY composite_risk_score DESC, impact_mid DESC, provider_npi LIMIT 100)"""
     ),
 )
+
+# --- Loading and layout ---------------------------------------------------------
+
+
+def csv_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The five tables written as CSV with every column of their schema, nulls as NULL."""
+    root = scratch_path(spark, "csv")
+    for name, df in claims_tables(spark, sf_dir).items():
+        full = df.select(
+            *[
+                (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in SCHEMAS[name].fields
+            ]
+        )
+        full.write.option("header", True).option("nullValue", "NULL").csv(f"{root}/{name}.csv")
+    return root
+
+
+def loaded_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = load_tables(spark, csv_folder(spark, sf_dir))
+    return tables["claims"].select(*claims_tables(spark, sf_dir)["claims"].columns)
+
+
+_CLAIM = f"""claim_id, member_id, provider_npi, referring_npi, service_date, procedure_code,
+        diagnosis_code, service_state, {dbl('allowed_amount')} AS allowed_amount"""
+register(
+    "load_claims",
+    loaded_claims,
+    with_needed(f"""SELECT {_CLAIM} FROM claims QUALIFY row_number() OVER (PARTITION BY claim_id
+        ORDER BY member_id, provider_npi, referring_npi NULLS FIRST, service_date, procedure_code) = 1"""),
+)
+register(
+    "load_table_counts",
+    lambda spark, sf_dir: table_counts(load_tables(spark, csv_folder(spark, sf_dir))),
+    with_needed(
+        """SELECT 'providers' AS tbl, count(DISTINCT npi) AS rows FROM providers
+           UNION ALL SELECT 'members', count(DISTINCT member_id) FROM members
+           UNION ALL SELECT 'eligibility', count(DISTINCT eligibility_id) FROM eligibility
+           UNION ALL SELECT 'claims', count(DISTINCT claim_id) FROM claims
+           UNION ALL SELECT 'specialty_procedure_map', count(*) FROM specialty_procedure_map"""
+    ),
+)
+
+
+def rejected_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Low-priority orders get an unreadable coverage end; those lines must be set aside."""
+    orders = table(spark, sf_dir, "orders")
+    day = F.col("o_orderdate").cast("date").cast("string")
+    text = orders.select(
+        F.col("o_orderkey").cast("string").alias("eligibility_id"),
+        F.col("o_custkey").cast("string").alias("member_id"),
+        day.alias("coverage_start"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "soon").otherwise(day).alias("coverage_end"),
+        F.lit("P").alias("plan_code"), F.lit("medical").alias("coverage_type"),
+        F.lit("active").alias("status"), day.alias("created_date"),
+    )
+    path = scratch_path(spark, "rejects")
+    text.write.option("header", True).csv(path)
+    lines = load_rejects(spark, "eligibility", path)
+    return lines.select(F.split_part("line", F.lit(","), F.lit(1)).alias("eligibility_id"))
+
+
+register(
+    "load_rejects",
+    rejected_eligibility,
+    "SELECT CAST(o_orderkey AS VARCHAR) AS eligibility_id FROM orders WHERE o_orderpriority = '5-LOW'",
+)
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order status O becomes an empty string and F the token NULL, then both become null."""
+    status = F.when(F.col("o_orderstatus") == "O", "").when(F.col("o_orderstatus") == "F", "NULL")
+    return null_tokens(
+        table(spark, sf_dir, "orders").select(
+            "o_orderkey", status.otherwise(F.col("o_orderstatus")).alias("status"), "o_orderpriority"
+        )
+    )
+
+
+register(
+    "null_tokens",
+    tokens,
+    """SELECT o_orderkey, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN o_orderstatus END AS status,
+              o_orderpriority FROM orders""",
+)
+
+
+def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lineitem = table(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+    return keep_first(lineitem, ["l_orderkey", "l_linenumber"])
+
+
+register(
+    "pk_dedupe",
+    first_per_key,
+    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+              l_returnflag, l_linestatus, CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem
+       QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+               ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+                        l_returnflag, l_linestatus, l_shipdate) = 1""",
+)
+
+
+def unknown_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members are already loaded; coverage brings the first row of each new one."""
+    tables = claims_tables(spark, sf_dir)
+    return new_rows(
+        tables["eligibility"], tables["members"], ["member_id"], ["coverage_start", "eligibility_id"]
+    )
+
+
+register(
+    "incremental_load",
+    unknown_members,
+    with_needed(
+        """SELECT * FROM eligibility WHERE member_id NOT IN (SELECT member_id FROM members)
+           QUALIFY row_number() OVER (PARTITION BY member_id ORDER BY coverage_start, eligibility_id) = 1"""
+    ),
+)
+
+
+def streamed_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage written as CSV and loaded by two runs of the incremental load."""
+    source, target = scratch_path(spark, "stream-csv"), scratch_path(spark, "stream-parquet")
+    rejects, checkpoint = scratch_path(spark, "stream-rejects"), scratch_path(spark, "stream-checkpoint")
+    rows = claims_tables(spark, sf_dir)["eligibility"]
+    full = rows.select(
+        *[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+          for f in SCHEMAS["eligibility"].fields]
+    )
+    for _ in range(2):  # the second time all keys are known
+        full.write.mode("append").option("header", True).csv(source)
+        ingest(spark, "eligibility", source, target, rejects, checkpoint).awaitTermination()
+    return spark.read.schema(SCHEMAS["eligibility"]).parquet(target).select(*rows.columns)
+
+
+register("incremental_ingest", streamed_eligibility, with_needed("SELECT * FROM eligibility"))
+
+
+def clustered_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "clustered")
+    write_claims(claims_tables(spark, sf_dir)["claims"], path)
+    return read_claims(spark, path, START, END)
+
+
+register("clustered_claims", clustered_claims, with_needed(f"SELECT {_CLAIM} FROM period_claims"))
+
+
+def clustered_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "clustered")
+    write_eligibility(claims_tables(spark, sf_dir)["eligibility"], path)
+    return read_eligibility(spark, path)
+
+
+register("clustered_eligibility", clustered_eligibility, with_needed("SELECT * FROM eligibility"))
+register(
+    "table_counts",
+    lambda spark, sf_dir: table_counts(claims_tables(spark, sf_dir)),
+    with_needed(
+        """SELECT 'providers' AS tbl, count(*) AS rows FROM providers
+           UNION ALL SELECT 'members', count(*) FROM members
+           UNION ALL SELECT 'eligibility', count(*) FROM eligibility
+           UNION ALL SELECT 'claims', count(*) FROM claims
+           UNION ALL SELECT 'specialty_procedure_map', count(*) FROM specialty_procedure_map"""
+    ),
+)
+
+# --- Privacy and quality --------------------------------------------------------
+
+register(
+    "mask_pii",
+    lambda spark, sf_dir: mask_pii(
+        table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("Full_Name"), "c_mktsegment")
+    ),
+    """SELECT c_custkey, '***REDACTED***' AS "Full_Name", c_mktsegment FROM customer""",
+)
+
+
+def _masked(text: str) -> str:
+    ssn = r"'\b\p{Nd}{3}-\p{Nd}{2}-\p{Nd}{4}\b', '***-**-****', 'g'"
+    phone = r"'\b\p{Nd}{3}[-.)]\s*\p{Nd}{3}[-.)]\s*\p{Nd}{4}\b', '***-***-****', 'g'"
+    return f"regexp_replace(regexp_replace({text}, {ssn}), {phone})"
+
+
+register(
+    "mask_text",
+    lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", mask_text(F.col("text")).alias("text")),
+    f"SELECT doc_id, {_masked('text')} AS text FROM documents",
+)
+register(
+    "mask_text_conversations",
+    lambda spark, sf_dir: table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", mask_text(F.col("text")).alias("text")
+    ),
+    f"SELECT conv_id, turn, {_masked('text')} AS text FROM conversations",
+)
+
+_COLUMNS = (
+    "claim_id member_id provider_npi referring_npi service_date procedure_code diagnosis_code "
+    "service_state allowed_amount"
+).split()
+register(
+    "null_profile",
+    lambda spark, sf_dir: null_profile(claims_tables(spark, sf_dir)["claims"]),
+    with_needed(
+        "\nUNION ALL ".join(
+            f"""SELECT '{c}' AS "column", count(*) AS row_count,
+                {rnd(f"count(*) FILTER ({c} IS NULL) * 100.0::DOUBLE / count(*)", 2)} AS null_pct,
+                count(*) FILTER ({c} IS NULL) * 2 > count(*) AS is_warning,
+                CASE WHEN count(*) FILTER ({c} IS NULL) * 2 > count(*)
+                     THEN 'Column ''{c}'' is ' || CAST(round_even(count(*) FILTER ({c} IS NULL) * 100.0 / count(*), 0) AS INTEGER)
+                          || '% null — data may be incomplete' END AS warning
+                FROM claims"""
+            for c in _COLUMNS
+        )
+    ),
+)
+register(
+    "top_rows",
+    lambda spark, sf_dir: top_rows(
+        claims_tables(spark, sf_dir)["claims"].select("claim_id", "provider_npi", "allowed_amount"),
+        sort_columns(("-allowed_amount", "claim_id")),
+    ),
+    with_needed(f"""SELECT claim_id, provider_npi, {dbl('allowed_amount')} AS allowed_amount
+        FROM claims ORDER BY claims.allowed_amount DESC, claim_id LIMIT 5000"""),
+)
+register(
+    "constraint_report",
+    lambda spark, sf_dir: constraint_report(claims_tables(spark, sf_dir)),
+    with_needed(
+        """SELECT 'primary_key' AS "constraint", 'providers' AS "table", 'npi' AS "columns",
+                  count(*) - count(DISTINCT npi) AS violations FROM providers
+           UNION ALL SELECT 'primary_key', 'members', 'member_id', count(*) - count(DISTINCT member_id) FROM members
+           UNION ALL SELECT 'primary_key', 'eligibility', 'eligibility_id',
+                  count(*) - count(DISTINCT eligibility_id) FROM eligibility
+           UNION ALL SELECT 'primary_key', 'claims', 'claim_id', count(*) - count(DISTINCT claim_id) FROM claims
+           UNION ALL SELECT 'primary_key', 'specialty_procedure_map', 'procedure_code,expected_specialty',
+                  count(*) - count(DISTINCT (procedure_code, expected_specialty)) FROM specialty_procedure_map
+           UNION ALL SELECT 'foreign_key', 'claims', 'member_id', count(*) FROM claims
+                  WHERE member_id NOT IN (SELECT member_id FROM members)
+           UNION ALL SELECT 'foreign_key', 'claims', 'provider_npi', count(*) FROM claims
+                  WHERE provider_npi NOT IN (SELECT npi FROM providers)
+           UNION ALL SELECT 'foreign_key', 'eligibility', 'member_id', count(*) FROM eligibility
+                  WHERE member_id NOT IN (SELECT member_id FROM members)"""
+    ),
+)
+
+# Per concept: the subquery with one row per result row, the record's fields, the display order.
+_EVIDENCE = {
+    "high_cost_claims": ("q_high_cost", "claim_id member_id procedure_code allowed_amount p95 cost_ratio",
+                         "cost_ratio DESC NULLS LAST, claim_id"),
+    "upcoding_pattern": ("q_upcoding", "procedure_code provider_pct peer_pct delta", "procedure_code"),
+    "duplicate_claims": ("q_duplicates", "member_id procedure_code service_date claim_count total_allowed",
+                         "claim_count DESC, member_id, procedure_code, service_date"),
+    "claim_volume_by_period": ("q_volume", "month claim_count total_allowed avg_allowed", "month"),
+    "provider_peer_comparison": (
+        "q_peers", "total_claims total_allowed avg_allowed unique_patients z_claims z_allowed", "provider_npi"),
+    "provider_specialty_mismatch": (
+        "q_mismatch", "procedure_code service_date allowed_amount provider_specialty procedure_specialty",
+        "allowed_amount DESC, service_date, procedure_code, procedure_specialty"),
+    "doctor_shopping": ("q_shopping", "member_id diagnosis_code provider_count_30d claims total_allowed",
+                        "provider_count_30d DESC, member_id, diagnosis_code"),
+    "member_utilization_spike": ("q_util", "member_id month monthly_claims avg_6m spike_ratio",
+                                 "spike_ratio DESC NULLS LAST, member_id, month"),
+    "coverage_gap_claims": ("q_gaps", "claim_id member_id service_date procedure_code allowed_amount",
+                            "allowed_amount DESC, claim_id"),
+    "retroactive_eligibility": (
+        "q_retro", "member_id coverage_start coverage_end created_date days_retroactive claims_in_period total_allowed",
+        "days_retroactive DESC, member_id, coverage_start, coverage_end, created_date"),
+    "billing_spike_detection": ("q_spikes", "month claims total_allowed rolling_avg rolling_std z_score",
+                                "z_score DESC, month"),
+    "weekend_billing": ("q_days", "dow day_name claim_count total_allowed", "dow"),
+    "referral_network": ("q_top_edges", "referring_npi rendering_npi referral_count total_allowed unique_patients",
+                         "referral_count DESC, referring_npi, rendering_npi"),
+    "shared_patients": ("q_partners", "other_provider shared_patients combined_claims",
+                        "shared_patients DESC, other_provider"),
+}
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = stored_tables(spark, sf_dir)
+    options = {"upcoding_pattern": {"codes": VISIT_CODES}}
+    results = {
+        name: M.doctor_shopping_by_provider(tables, START, END)
+        if name == "doctor_shopping"
+        else sweep(name, tables, START, END, **options.get(name, {}))
+        for name in CONCEPTS
+    }
+    results = {name: materialise(result, name) for name, result in results.items()}
+    orders = {name: sort_columns(concept.order) for name, concept in CONCEPTS.items()}
+    sizes = {name: concept.sample for name, concept in CONCEPTS.items()}
+    return evidence_pack(results, orders, sample=sizes)
+
+
+def _evidence_oracle() -> str:
+    packs = []
+    for name, (source, fields, order) in _EVIDENCE.items():
+        size = 30 if name in ("billing_spike_detection", "weekend_billing") else 20
+        record = ", ".join(f"'{f}', CAST({f} AS VARCHAR)" for f in fields.split())
+        packs.append(
+            f"""SELECT '{name}' AS concept, provider_npi, any_value(n) AS row_count,
+                string_agg(CAST(json_object({record}) AS VARCHAR), chr(10) ORDER BY place) FILTER (place <= {size}) AS sample
+            FROM (SELECT *, count(*) OVER (PARTITION BY provider_npi) AS n,
+                         row_number() OVER (PARTITION BY provider_npi ORDER BY {order}) AS place FROM {source})
+            GROUP BY provider_npi"""
+        )
+    extra = {
+        "q_days": """SELECT provider_npi, dayofweek(service_date) AS dow, dayname(service_date) AS day_name,
+                     count(*) AS claim_count, sum(allowed_amount) AS total_allowed FROM period_claims GROUP BY 1, 2, 3""",
+        "q_top_edges": """SELECT * FROM q_ends QUALIFY row_number() OVER (PARTITION BY provider_npi
+                     ORDER BY referral_count DESC, referring_npi, rendering_npi) <= 50""",
+    }
+    return with_needed("\nUNION ALL ".join(packs), extra)
+
+
+register(
+    "evidence_pack",
+    lambda spark, sf_dir: evidence(spark, sf_dir).withColumn("sample", F.array_join("sample", "\n")),
+    _evidence_oracle(),
+)

@@ -44,10 +44,19 @@ def scan_csv(spark: SparkSession, table: str, path: str) -> DataFrame:
     return _csv_options(spark.read.schema(schema_with_corrupt(table))).csv(path)
 
 
+def stream_csv(spark: SparkSession, table: str, folder: str) -> DataFrame:
+    """The same scan as a stream over the files of a folder."""
+    return _csv_options(spark.readStream.schema(schema_with_corrupt(table))).csv(folder)
+
+
 def split_rejects(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected lines): a bad line is set aside and does not stop the load."""
     good = scanned.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    return good, scanned.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+    # Spark refuses a scan that reads nothing but the corrupt line, so the line is
+    # joined with no characters of the first column.
+    nothing = F.left(F.coalesce(F.col(scanned.columns[0]), F.lit("")), F.lit(0))
+    bad = scanned.where(F.col(CORRUPT).isNotNull()).select(F.concat(F.col(CORRUPT), nothing).alias("line"))
+    return good, bad
 
 
 def null_tokens(df: DataFrame) -> DataFrame:
