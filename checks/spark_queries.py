@@ -35,7 +35,7 @@ from claimspark.plans.impact import (
     report_rollup,
     top_providers,
 )
-from claimspark.plans.registry import CONCEPTS, sweep
+from claimspark.plans.registry import CONCEPTS, sweep_all
 from claimspark.sources.layout import read_claims, read_eligibility, write_claims, write_eligibility
 from claimspark.sources.load import (
     keep_first,
@@ -692,14 +692,11 @@ _EVIDENCE = {
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = stored_tables(spark, sf_dir)
-    options = {"upcoding_pattern": {"codes": VISIT_CODES}}
-    results = {
-        name: M.doctor_shopping_by_provider(tables, START, END)
-        if name == "doctor_shopping"
-        else sweep(name, tables, START, END, **options.get(name, {}))
-        for name in CONCEPTS
-    }
-    results = {name: materialise(result, name) for name, result in results.items()}
+    results = sweep_all(
+        tables, START, END,
+        options={"upcoding_pattern": {"codes": VISIT_CODES}},
+        operators={"doctor_shopping": M.doctor_shopping_by_provider},
+    )
     orders = {name: sort_columns(concept.order) for name, concept in CONCEPTS.items()}
     sizes = {name: concept.sample for name, concept in CONCEPTS.items()}
     return evidence_pack(results, orders, sample=sizes)

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
@@ -42,3 +45,19 @@ def materialise_with(df: DataFrame, label: str, **measures: Column) -> tuple[Dat
     observation = Observation()
     stored = materialise(df.observe(observation, *[m.alias(name) for name, m in measures.items()]), label)
     return stored, observation.get
+
+
+def materialise_all(
+    spark: SparkSession, builders: Mapping[str, Callable[[], DataFrame]], workers: int = 5
+) -> dict[str, DataFrame]:
+    """Write the DataFrames that the builders return, ``workers`` jobs at a time.
+
+    Independent jobs submitted together fill the executors that a single job
+    leaves idle in its last stages.
+    """
+    with ThreadPoolExecutor(workers) as pool:
+        jobs = {
+            name: pool.submit(inheritable_thread_target(spark)(lambda n=name, b=build: materialise(b(), n)))
+            for name, build in builders.items()
+        }
+        return {name: job.result() for name, job in jobs.items()}

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame
 
 from claimspark.functions.periods import Providers, Tables
+from claimspark.functions.scratch import materialise_all
 from claimspark.operators import claims, eligibility, member, network, provider, temporal
 from claimspark.operators.quality import sort_columns, top_rows
 
@@ -166,3 +168,24 @@ def sweep(
     """The result for all providers, or the given ones: unordered and uncapped."""
     concept = _checked(name, {}, ())
     return concept.operator(tables, start, end, providers, **options)
+
+
+def sweep_all(
+    tables: Tables,
+    start: date | str,
+    end: date | str,
+    providers: Providers = None,
+    options: Mapping[str, Mapping[str, object]] | None = None,
+    operators: Mapping[str, Callable[..., DataFrame]] | None = None,
+) -> dict[str, DataFrame]:
+    """Results of all concepts, written to shared storage by concurrent jobs.
+
+    ``options`` are passed to the operators by concept name; ``operators`` replaces
+    the operator of a concept.
+    """
+    chosen = {c.name: c.operator for c in CONCEPTS.values()} | dict(operators or {})
+    builders = {
+        name: partial(operator, tables, start, end, providers, **(options or {}).get(name, {}))
+        for name, operator in chosen.items()
+    }
+    return materialise_all(tables["claims"].sparkSession, builders)

@@ -21,8 +21,6 @@ CORRUPT = "_corrupt_record"
 
 def _csv_options(reader):
     # An empty field and the token NULL are both read as null, for every type.
-    # Column pruning inside the parser is off because it would hide a bad value
-    # in a column that the query at hand does not read.
     return (
         reader.option("header", True)
         .option("quote", '"')
@@ -31,7 +29,6 @@ def _csv_options(reader):
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("nullValue", NULL_TOKEN)
         .option("emptyValue", NULL_TOKEN)
-        .option("columnPruning", False)
     )
 
 
@@ -50,13 +47,15 @@ def stream_csv(spark: SparkSession, table: str, folder: str) -> DataFrame:
 
 
 def split_rejects(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejected lines): a bad line is set aside and does not stop the load."""
-    good = scanned.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    # Spark refuses a scan that reads nothing but the corrupt line, so the line is
-    # joined with no characters of the first column.
-    nothing = F.left(F.coalesce(F.col(scanned.columns[0]), F.lit("")), F.lit(0))
-    bad = scanned.where(F.col(CORRUPT).isNotNull()).select(F.concat(F.col(CORRUPT), nothing).alias("line"))
-    return good, bad
+    """(good rows, rejected lines): a bad line is set aside and does not stop the load.
+
+    The parser checks only the columns that a query reads. Both halves therefore
+    refer to every column, so that a line is good or bad whatever is selected.
+    """
+    values = [F.col(c).cast("string") for c in scanned.columns if c != CORRUPT]
+    line = F.coalesce(F.col(CORRUPT), F.left(F.concat_ws("", *values), F.lit(0)))
+    good = scanned.where(line == "").drop(CORRUPT)
+    return good, scanned.where(line != "").select(line.alias("line"))
 
 
 def null_tokens(df: DataFrame) -> DataFrame:
