@@ -28,6 +28,7 @@ from claimspark.operators.quality import (
 )
 from claimspark.plans.findings import findings, hypothesis_status, provider_scores
 from claimspark.plans.impact import (
+    OVERPAYMENT_CONCEPTS,
     composite_risk,
     impact_rank,
     impact_summary,
@@ -320,12 +321,12 @@ register(
 )
 register(
     "signal_pairs",
-    lambda spark, sf_dir: S.signal_pairs(stored_tables(spark, sf_dir), START, END),
+    over_period(S.signal_pairs),
     with_needed(f"SELECT pair, provider_npi, month, signals, {dbl('amount')} AS amount FROM q_signal_pairs"),
 )
 register(
     "employer_concentration",
-    lambda spark, sf_dir: S.employer_concentration(stored_tables(spark, sf_dir), START, END),
+    over_period(S.employer_concentration),
     with_needed(f"""SELECT provider_npi, month, employer_group AS top_employer, employer_claims, total_claims,
         {rnd('employer_claims / total_claims', 4)} AS employer_share FROM q_employers"""),
 )
@@ -339,6 +340,13 @@ def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(scores, "scores")
 
 
+def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = claims_tables(spark, sf_dir)
+    return overpayment(
+        provider_scores(tables, START, END, codes=VISIT_CODES, concepts=OVERPAYMENT_CONCEPTS)
+    )
+
+
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(stored_scores(spark, sf_dir))
 
@@ -383,12 +391,12 @@ register(
 )
 register(
     "overpayment",
-    lambda spark, sf_dir: overpayment(stored_scores(spark, sf_dir)),
+    estimates,
     with_needed("SELECT * FROM q_overpayment"),
 )
 register(
     "impact_summary",
-    lambda spark, sf_dir: impact_summary(overpayment(stored_scores(spark, sf_dir)), START, END),
+    lambda spark, sf_dir: impact_summary(estimates(spark, sf_dir), START, END),
     with_needed("SELECT * FROM q_impact"),
 )
 register(
@@ -415,10 +423,11 @@ register(
 # --- Loading and layout ---------------------------------------------------------
 
 
-def csv_folder(spark: SparkSession, sf_dir: str) -> str:
-    """The five tables written as CSV with every column of their schema, nulls as NULL."""
-    root = scratch_path(spark, "csv")
-    for name, df in claims_tables(spark, sf_dir).items():
+def csv_folder(spark: SparkSession, sf_dir: str, *names: str) -> str:
+    """Tables written as CSV with every column of their schema, nulls as NULL."""
+    root, tables = scratch_path(spark, "csv"), claims_tables(spark, sf_dir)
+    for name in names or tables:
+        df = tables[name]
         full = df.select(
             *[
                 (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -430,7 +439,7 @@ def csv_folder(spark: SparkSession, sf_dir: str) -> str:
 
 
 def loaded_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = load_tables(spark, csv_folder(spark, sf_dir))
+    tables = load_tables(spark, csv_folder(spark, sf_dir, "claims"))
     return tables["claims"].select(*claims_tables(spark, sf_dir)["claims"].columns)
 
 

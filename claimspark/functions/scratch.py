@@ -47,17 +47,23 @@ def materialise_with(df: DataFrame, label: str, **measures: Column) -> tuple[Dat
     return stored, observation.get
 
 
-def materialise_all(
+def build_all(
     spark: SparkSession, builders: Mapping[str, Callable[[], DataFrame]], workers: int = 5
 ) -> dict[str, DataFrame]:
-    """Write the DataFrames that the builders return, ``workers`` jobs at a time.
+    """Call the builders ``workers`` at a time and return their DataFrames by name.
 
-    Independent jobs submitted together fill the executors that a single job
-    leaves idle in its last stages.
+    Jobs that builders start themselves run side by side, so they fill executors
+    that a single job leaves idle in its last stages.
     """
     with ThreadPoolExecutor(workers) as pool:
-        jobs = {
-            name: pool.submit(inheritable_thread_target(spark)(lambda n=name, b=build: materialise(b(), n)))
-            for name, build in builders.items()
-        }
+        inherit = inheritable_thread_target(spark)
+        jobs = {name: pool.submit(inherit(build)) for name, build in builders.items()}
         return {name: job.result() for name, job in jobs.items()}
+
+
+def materialise_all(
+    spark: SparkSession, builders: Mapping[str, Callable[[], DataFrame]], workers: int = 5
+) -> dict[str, DataFrame]:
+    """Write the DataFrames that the builders return, ``workers`` jobs at a time."""
+    writers = {name: lambda n=name, b=build: materialise(b(), n) for name, build in builders.items()}
+    return build_all(spark, writers, workers)

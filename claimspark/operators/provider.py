@@ -71,6 +71,28 @@ def provider_peer_comparison(
     )
 
 
+def _with_mismatch(tables: Tables, claims: DataFrame, literal: bool) -> DataFrame:
+    """Keep rows of (provider_npi, procedure_code, ...) whose procedure does not fit
+    the provider's specialty, and add both specialties."""
+    mapping = tables["specialty_procedure_map"].select("procedure_code", "expected_specialty").distinct()
+    specialties = tables["providers"].select(
+        F.col("npi").alias("provider_npi"), F.col("specialty").alias("provider_specialty")
+    )
+    if literal:
+        mapped = mapping.withColumnRenamed("expected_specialty", "procedure_specialty")
+        differs = F.col("provider_specialty") != F.col("procedure_specialty")
+    else:
+        # One row per procedure; the list is as short as the map's specialties.
+        mapped = (
+            mapping.dropna()
+            .groupBy("procedure_code")
+            .agg(F.sort_array(F.collect_set("expected_specialty")).alias("_expected"))
+            .withColumn("procedure_specialty", F.array_join("_expected", "|"))
+        )
+        differs = ~F.array_contains("_expected", F.col("provider_specialty"))
+    return claims.join(mapped, "procedure_code").join(specialties, "provider_npi").where(differs)
+
+
 def provider_specialty_mismatch(
     tables: Tables,
     start: date | str,
@@ -86,31 +108,29 @@ def provider_specialty_mismatch(
     ``literal`` there is one row per mapped specialty that differs, so a procedure
     shared by two specialties mismatches for both. Unmapped procedures never match.
     """
-    mapping = tables["specialty_procedure_map"].select("procedure_code", "expected_specialty").distinct()
-    specialties = tables["providers"].select(
-        F.col("npi").alias("provider_npi"), F.col("specialty").alias("provider_specialty")
-    )
     claims = keep_providers(claims_in(tables, start, end), providers).select(
         "provider_npi", "procedure_code", "service_date", "allowed_amount"
     )
-    if literal:
-        mapped = mapping.withColumnRenamed("expected_specialty", "procedure_specialty")
-        differs = F.col("provider_specialty") != F.col("procedure_specialty")
-    else:
-        # One row per procedure; the list is as short as the map's specialties.
-        mapped = (
-            mapping.dropna()
-            .groupBy("procedure_code")
-            .agg(F.sort_array(F.collect_set("expected_specialty")).alias("_expected"))
-            .withColumn("procedure_specialty", F.array_join("_expected", "|"))
-        )
-        differs = ~F.array_contains("_expected", F.col("provider_specialty"))
-    return (
-        claims.join(mapped, "procedure_code")
-        .join(specialties, "provider_npi")
-        .where(differs)
-        .select(
-            "provider_npi", "procedure_code", "service_date", "allowed_amount",
-            "provider_specialty", "procedure_specialty",
-        )
+    return _with_mismatch(tables, claims, literal).select(
+        "provider_npi", "procedure_code", "service_date", "allowed_amount",
+        "provider_specialty", "procedure_specialty",
+    )
+
+
+def specialty_mismatch_totals(
+    tables: Tables, start: date | str, end: date | str, providers: Providers = None
+) -> DataFrame:
+    """Mismatched claims and their allowed sum per provider and procedure.
+
+    Claims are summed before the joins, so a provider with very many claims is a
+    few rows in them.
+    """
+    totals = (
+        keep_providers(claims_in(tables, start, end), providers)
+        .groupBy("provider_npi", "procedure_code")
+        .agg(F.count("*").alias("claims"), F.sum("allowed_amount").alias("total_allowed"))
+    )
+    return _with_mismatch(tables, totals, literal=False).select(
+        "provider_npi", "procedure_code", "claims", "total_allowed",
+        "provider_specialty", "procedure_specialty",
     )

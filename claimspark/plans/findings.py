@@ -6,7 +6,7 @@ table, ``RULES``. A finding's severity follows from its score alone.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimspark.functions.numbers import rounded
+from claimspark.functions.numbers import ratio, rounded
 from claimspark.functions.periods import Providers, Tables
+from claimspark.functions.scratch import build_all
 from claimspark.operators.claims import (
     VISIT_CODES,
     claims_above_limit,
@@ -25,7 +26,7 @@ from claimspark.operators.claims import (
 from claimspark.operators.eligibility import coverage_gap_claims, retroactive_eligibility
 from claimspark.operators.member import doctor_shopping_by_provider, member_utilization_spike
 from claimspark.operators.network import referral_concentration, shared_patients
-from claimspark.operators.provider import provider_peer_comparison, provider_specialty_mismatch
+from claimspark.operators.provider import provider_peer_comparison, specialty_mismatch_totals
 from claimspark.operators.signals import ramp_up, weekend_share
 from claimspark.operators.temporal import billing_spike_detection
 from claimspark.plans.registry import CONCEPTS
@@ -85,8 +86,8 @@ RULES: dict[str, Rule] = {
 
 
 def _score(
-    rows: DataFrame,
     concept: str,
+    rows: DataFrame,
     score: Column,
     amount: Column | None = None,
     recoverable: Column | None = None,
@@ -113,6 +114,7 @@ def provider_scores(
     providers: Providers = None,
     *,
     codes: tuple[str, ...] = VISIT_CODES,
+    concepts: Iterable[str] | None = None,
     options: Mapping[str, Mapping[str, object]] | None = None,
 ) -> DataFrame:
     """Score of every provider for every concept that has rows for it.
@@ -120,55 +122,72 @@ def provider_scores(
     (provider_npi, concept, row_count, score, amount, recoverable, certain):
     ``amount`` is the money involved, ``recoverable`` the estimated overpayment and
     ``certain`` the part of it that needs no judgement (the costliest copy of a
-    duplicate is not in it). ``options`` are passed to the operators by name.
+    duplicate is not in it). ``concepts`` limits the work to some of them and
+    ``options`` are passed to the operators by name.
 
     The table has at most one row per provider and concept however many claims
     there are. Findings, estimates, risk and reports all derive from it, so it is
     worth storing once; the branches are independent and run side by side.
     """
-    chosen = options or {}
+    given = options or {}
 
     def rows(operator, **extra) -> DataFrame:
-        return operator(tables, start, end, providers, **{**extra, **chosen.get(operator.__name__, {})})
+        return operator(tables, start, end, providers, **{**extra, **given.get(operator.__name__, {})})
 
     allowed, total = F.sum("allowed_amount"), F.sum("total_allowed")
-    cost_ratio = F.max(rounded(F.col("allowed_amount").cast("double") / F.nullif(F.col("p95").cast("double"), F.lit(0.0)), 2))
     excess = F.col("claims") - F.col("peer_pct") / 100 * F.col("provider_total")
     price = F.col("peer_allowed").cast("double") / F.col("peer_claims")
     above = F.when(F.col("procedure_code").isin(*codes[-2:]), F.col("provider_pct") - F.col("peer_pct"))
-    upcoded = F.greatest(rounded(F.sum(excess * price), 2), F.lit(0.0))
-    copies = F.sum(F.col("total_allowed") - F.col("dearest_copy"))
-    branches = [
-        _score(rows(claims_above_limit), "high_cost_claims", cost_ratio, allowed),
-        _score(
-            rows(visit_code_mix, codes=codes), "upcoding_pattern",
-            rounded(F.coalesce(F.sum(above), F.lit(0.0)), 1), F.sum("allowed"), upcoded,
+    mismatched = F.sum("claims")
+
+    # Per concept: the operator's rows, score, amount, recoverable, certain, row count.
+    measures: dict[str, Callable[[], tuple]] = {
+        "high_cost_claims": lambda: (
+            rows(claims_above_limit),
+            F.max(rounded(ratio(F.col("allowed_amount"), F.col("p95")), 2)), allowed,
         ),
-        _score(
-            rows(duplicate_claims, dearest=True), "duplicate_claims", F.max("claim_count"), total, total, copies
+        "upcoding_pattern": lambda: (
+            rows(visit_code_mix, codes=codes),
+            rounded(F.coalesce(F.sum(above), F.lit(0.0)), 1), F.sum("allowed"),
+            F.greatest(rounded(F.sum(excess * price), 2), F.lit(0.0)),
         ),
-        _score(rows(ramp_up), "claim_volume_by_period", F.max("ramp_ratio"), total),
-        _score(
-            rows(provider_peer_comparison), "provider_peer_comparison",
-            F.max(F.greatest("z_claims", "z_allowed")), total,
+        "duplicate_claims": lambda: (
+            rows(duplicate_claims, dearest=True), F.max("claim_count"), total, total,
+            F.sum(F.col("total_allowed") - F.col("dearest_copy")),
         ),
-        _score(rows(provider_specialty_mismatch), "provider_specialty_mismatch", F.count("*"), allowed),
-        _score(rows(doctor_shopping_by_provider), "doctor_shopping", F.max("provider_count_30d"), total),
-        _score(
-            rows(member_utilization_spike).where("spike_ratio is not null"),
-            "member_utilization_spike", F.max("spike_ratio"),
+        "claim_volume_by_period": lambda: (rows(ramp_up), F.max("ramp_ratio"), total),
+        "provider_peer_comparison": lambda: (
+            rows(provider_peer_comparison), F.max(F.greatest("z_claims", "z_allowed")), total,
         ),
-        _score(rows(coverage_gap_claims), "coverage_gap_claims", F.count("*"), allowed, allowed, allowed),
-        _score(rows(retroactive_eligibility), "retroactive_eligibility", F.max("days_retroactive"), total),
-        _score(rows(billing_spike_detection), "billing_spike_detection", F.max("z_score"), total),
-        _score(rows(weekend_share), "weekend_billing", F.max("difference"), F.sum("weekend_allowed")),
-        _score(
-            rows(referral_concentration).where(f"total_referrals >= {MIN_REFERRALS}"),
-            "referral_network", F.max("top_share"),
+        "provider_specialty_mismatch": lambda: (
+            rows(specialty_mismatch_totals), mismatched, total, None, None, mismatched,
         ),
-        _score(rows(shared_patients), "shared_patients", F.max("shared_patients")),
-    ]
-    return reduce(DataFrame.union, branches)
+        "doctor_shopping": lambda: (
+            rows(doctor_shopping_by_provider), F.max("provider_count_30d"), total,
+        ),
+        "member_utilization_spike": lambda: (
+            rows(member_utilization_spike).where("spike_ratio is not null"), F.max("spike_ratio"),
+        ),
+        "coverage_gap_claims": lambda: (
+            rows(coverage_gap_claims), F.count("*"), allowed, allowed, allowed,
+        ),
+        "retroactive_eligibility": lambda: (
+            rows(retroactive_eligibility), F.max("days_retroactive"), total,
+        ),
+        "billing_spike_detection": lambda: (
+            rows(billing_spike_detection), F.max("z_score"), total,
+        ),
+        "weekend_billing": lambda: (rows(weekend_share), F.max("difference"), F.sum("weekend_allowed")),
+        "referral_network": lambda: (
+            rows(referral_concentration).where(f"total_referrals >= {MIN_REFERRALS}"), F.max("top_share"),
+        ),
+        "shared_patients": lambda: (rows(shared_patients), F.max("shared_patients")),
+    }
+    chosen = measures if concepts is None else {name: measures[name] for name in concepts}
+    builders = {
+        name: (lambda n=name, make=make: _score(n, *make())) for name, make in chosen.items()
+    }
+    return reduce(DataFrame.union, build_all(tables["claims"].sparkSession, builders).values())
 
 
 def _by_concept(values: Mapping[str, object]) -> Column:

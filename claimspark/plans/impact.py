@@ -27,6 +27,17 @@ RISK_CUTS = (("critical", 0.75), ("high", 0.6), ("medium", 0.3))
 TOP_FINDINGS = 10
 
 
+# Overpayment causes: the concept and the column of its score row.
+OVERPAYMENT_CAUSES = {
+    "upcoding": ("upcoding_pattern", "recoverable"),
+    "duplicates": ("duplicate_claims", "recoverable"),
+    "duplicate_copies": ("duplicate_claims", "certain"),
+    "coverage_gaps": ("coverage_gap_claims", "recoverable"),
+    "mismatch_review": ("provider_specialty_mismatch", "amount"),
+}
+OVERPAYMENT_CONCEPTS = tuple(dict.fromkeys(concept for concept, _ in OVERPAYMENT_CAUSES.values()))
+
+
 def _zero(column: str) -> Column:
     return F.coalesce(F.col(column).cast("double"), F.lit(0.0))
 
@@ -40,19 +51,12 @@ def overpayment(scores: DataFrame) -> DataFrame:
     of uncovered claims. ``mismatch_review`` is kept apart, for review. A claim
     that has two causes counts under both.
     """
-    causes = {
-        "upcoding": ("upcoding_pattern", "recoverable"),
-        "duplicates": ("duplicate_claims", "recoverable"),
-        "duplicate_copies": ("duplicate_claims", "certain"),
-        "coverage_gaps": ("coverage_gap_claims", "recoverable"),
-        "mismatch_review": ("provider_specialty_mismatch", "amount"),
-    }
     return (
-        scores.where(F.col("concept").isin(*{concept for concept, _ in causes.values()}))
+        scores.where(F.col("concept").isin(*OVERPAYMENT_CONCEPTS))
         .groupBy("provider_npi")
         .agg(*[
             F.coalesce(F.max(F.when(F.col("concept") == concept, F.col(column))), F.lit(0.0)).alias(cause)
-            for cause, (concept, column) in causes.items()
+            for cause, (concept, column) in OVERPAYMENT_CAUSES.items()
         ])
     )
 
