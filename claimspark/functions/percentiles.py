@@ -32,6 +32,9 @@ def exact_percentile(
         .groupBy(*keys, "_cents")
         .agg(F.count("*").alias("_n"))
         .withColumn("_range", F.floor(F.col("_cents") / RANGE_CENTS))
+        # Stated for both uses below; if the join inferred it for one of them only,
+        # the two would differ and the counting shuffle could not be shared.
+        .where(F.col("_range").isNotNull())
     )
     by_range = Window.partitionBy(*keys).orderBy("_range")
     ranges = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,11 @@ def mask_pii(df: DataFrame) -> DataFrame:
     )
 
 
+def mask_record(record: Mapping[str, object]) -> dict[str, object]:
+    """``mask_pii`` for one record on the driver, such as a row to be displayed."""
+    return {name: REDACTED if is_pii(name) else value for name, value in record.items()}
+
+
 def mask_text(text: Column) -> Column:
     """Mask social security numbers, then phone numbers, in a string column."""
     return F.regexp_replace(F.regexp_replace(text, SSN_PATTERN, SSN_MASK), PHONE_PATTERN, PHONE_MASK)
