@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,16 +23,12 @@ def ingest(
 
     def append(batch: DataFrame, _: int) -> None:
         good, bad = split_rejects(batch)
-        session = batch.sparkSession
-        try:
-            existing = session.read.schema(SCHEMAS[table]).parquet(target)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            existing = session.createDataFrame([], SCHEMAS[table])
+        existing = batch.sparkSession.read.schema(SCHEMAS[table]).parquet(target)
         new_rows(good, existing, keys).write.mode("append").parquet(target)
         bad.write.mode("append").text(rejects)
 
+    # The first run starts from an empty target.
+    spark.createDataFrame([], SCHEMAS[table]).write.mode("ignore").parquet(target)
     return (
         stream_csv(spark, table, source)
         .writeStream.foreachBatch(append)
