@@ -11,20 +11,21 @@ import tempfile
 import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from functools import cache
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
+@cache
+def _temporary_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"claimspark-{application}-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="claimspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return root.rstrip("/") if root else _temporary_root(spark.sparkContext.applicationId)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

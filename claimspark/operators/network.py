@@ -99,11 +99,12 @@ def shared_patient_edges(
     the other's may lie ``days`` outside it.
 
     A member seen by very many providers must not be expanded into all pairs of
-    them. Two providers that share ``min_shared`` members also share one that is
-    not among the ``min_shared - 1`` most widely seen members of either. So those
-    few members of each provider are set aside, candidate pairs are formed on the
-    rest, and what the set-aside members add is looked up for candidates only.
-    The result is exact: nothing is capped or sampled.
+    them. Order all members by how many providers see them, and set aside the first
+    ``min_shared - 1`` of each provider. If two providers share ``min_shared``
+    members, the last of these in the order has at least ``min_shared - 1`` before
+    it in both providers' lists, so neither has set it aside. Candidate pairs are
+    therefore formed on the other members alone, and what the members set aside add
+    is looked up for the candidates. Nothing is capped or sampled.
     """
     wide = claims_in(tables, add_days(start, -days), add_days(end, days)).dropna(
         subset=["member_id", "provider_npi"]

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from claimspark.functions.scratch import materialise
+from claimspark.functions.scratch import materialise, scratch_path, scratch_root
 from claimspark.plans.findings import (
     RULES,
     findings,
@@ -131,3 +131,18 @@ def test_hypothesis_bounds(spark, rows):
     asked = found.selectExpr("concept as hypothesis_id", "provider_npi", "concept")
     assert rows(hypothesis_status(asked, found), "hypothesis_id", "status") == [
         ("p", "supported"), ("q", "open"), ("r", "open"), ("s", "open"), ("t", "refuted")]
+
+
+def test_scratch_is_the_configured_folder(spark):
+    configured = spark.conf.get("spark.checkpoint.dir")
+    assert scratch_path(spark, "x").startswith(configured)
+    assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_scratch_without_a_configured_folder(spark, monkeypatch):
+    class Unset:
+        conf = {}
+        sparkContext = spark.sparkContext
+
+    first, second = scratch_root(Unset()), scratch_root(Unset())
+    assert first == second and first != scratch_root(spark)
