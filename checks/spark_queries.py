@@ -439,7 +439,7 @@ def csv_folder(spark: SparkSession, sf_dir: str, *names: str) -> str:
 
 
 def loaded_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = load_tables(spark, csv_folder(spark, sf_dir, "claims"))
+    tables = load_tables(spark, csv_folder(spark, sf_dir, "claims"), ["claims"])
     return tables["claims"].select(*claims_tables(spark, sf_dir)["claims"].columns)
 
 

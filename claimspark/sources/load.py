@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -88,15 +89,19 @@ def new_rows(
     return keep_first(incoming, keys, order).join(existing.select(*keys), keys, "left_anti")
 
 
-def load_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def load_tables(
+    spark: SparkSession, path: str, names: Iterable[str] | None = None
+) -> dict[str, DataFrame]:
     """Read ``<path>/<table>.csv`` (a file, gzip or folder) for every table found.
 
+    ``names`` limits the load to some of the five tables.
+
     A missing table is logged and left out. Rows with a bad value are left out
     (see ``load_rejects``), and the first row of each primary key is kept. Any
     path that Hadoop can read will do, object stores included.
     """
     tables: dict[str, DataFrame] = {}
-    for table, keys in PRIMARY_KEYS.items():
+    for table in PRIMARY_KEYS if names is None else names:
         try:
             scanned = scan_csv(spark, table, f"{path}/{table}.csv*")
         except AnalysisException as error:
@@ -104,7 +109,7 @@ def load_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
                 raise
             logger.warning("no file for table %s under %s, skipped", table, path)
             continue
-        tables[table] = keep_first(split_rejects(scanned)[0], keys)
+        tables[table] = keep_first(split_rejects(scanned)[0], PRIMARY_KEYS[table])
     return tables
 
 

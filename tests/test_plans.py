@@ -146,3 +146,15 @@ def test_scratch_without_a_configured_folder(spark, monkeypatch):
 
     first, second = scratch_root(Unset()), scratch_root(Unset())
     assert first == second and first != scratch_root(spark)
+
+
+@pytest.mark.parametrize("name", list(CONCEPTS))
+def test_plans_have_no_cross_join_and_no_single_task_window(case, spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sweep(name, case, *YEAR)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert "SinglePartition" not in plan, "no concept gathers all rows in one task"
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
