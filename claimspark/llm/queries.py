@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import chat, packing, quality, secret_scan, sharding, simhash
+from claimspark.llm import (
+    chat,
+    embedding_dedup,
+    mixing,
+    packing,
+    quality,
+    secret_scan,
+    sharding,
+    simhash,
+    substring,
+    topk,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,3 +131,96 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
+
+
+@register(
+    "op2_embedding_dedup",
+    """
+WITH RECURSIVE good AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (
+    SELECT vec_id AS node, vec_id AS other FROM embeddings
+    UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
+least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON l.node = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
+""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+@register(
+    "op3_topk",
+    """
+WITH scaled AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM scaled q JOIN scaled c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+placed AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 5
+""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@register(
+    "op4_mixing",
+    r"""
+WITH docs AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS tokens,
+           coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS name FROM documents),
+sources AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS held FROM docs GROUP BY source),
+facts AS (SELECT min(held) AS low, max(held) AS high FROM sources),
+-- the repetition limit of 2 has a closed form: (high / low) ^ (1 - a) = 2
+exponent AS (SELECT CASE WHEN high <= 2 * low THEN 0 ELSE ceil((1 - ln(2) / ln(high / low)) * 1e6 - 1e-3) / 1e6 END AS a, high FROM facts),
+budgets AS (SELECT source, held, greatest(CAST(round(exp(a * ln(held) + (1 - a) * ln(high))) AS BIGINT), held) AS budget FROM sources, exponent),
+blocks AS (SELECT CAST(greatest(1, ceil(sum(budget) / 1048576)) AS HUGEINT) AS blocks FROM budgets),
+copies AS (
+    SELECT d.*, b.held, b.budget, CAST(e.epoch AS INTEGER) AS epoch, md5('mix:' || e.epoch || ':' || d.name) AS place
+    FROM docs d JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source,
+         LATERAL (SELECT unnest(range(CAST(ceil(b.budget / b.held) AS BIGINT))) AS epoch) e),
+placed AS (
+    SELECT *, epoch * held + coalesce(sum(tokens) OVER (PARTITION BY source, epoch ORDER BY place
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM copies)
+SELECT doc_id, source, tokens, epoch, CAST((start * blocks) // budget AS BIGINT) AS block, CAST(start AS BIGINT) AS start
+FROM placed, blocks WHERE start < budget
+""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.schedule(table(spark, sf_dir, "documents"), repetition=2.0)
+    return planned.drop("row_a", "row_b")
+
+
+@register(
+    "op6_substring",
+    r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+begins AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM words),
+wins AS (SELECT doc_id, pos, array_to_string(w[pos : pos + 12], ' ') AS win FROM begins),
+judged AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY win) AS first FROM wins),
+gone AS (SELECT DISTINCT doc_id, pos + k AS place FROM judged, range(13) r(k) WHERE first < doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM words),
+kept AS (
+    SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.place) FILTER (g.place IS NULL) AS kept, count(g.place) AS n_removed
+    FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.place = g.place GROUP BY e.doc_id)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON kept.doc_id = words.doc_id
+""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.remove_repeated(table(spark, sf_dir, "documents"), 13)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -10,6 +10,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from claimspark.llm.automaton import Automaton
 from claimspark.llm.batches import as_bytes, slices
@@ -124,7 +125,8 @@ def scan(docs: DataFrame, text: str = "text", rules: Mapping[str, tuple[str, boo
 def redact(docs: DataFrame, text: str = "text", rules: Mapping[str, tuple[str, bool]] = RULES) -> DataFrame:
     """``docs`` with each secret in the text replaced by ``[SECRET]``; overlapping spans are replaced once.
 
-    Texts without secrets, nulls among them, stay as they are.
+    Texts without secrets, nulls among them, stay as they are. A column ``n_chars`` is set
+    to the length of a text that changed.
     """
     frozen = tuple((name, rules[name]) for name in rules)
     schema = docs.schema
@@ -139,7 +141,14 @@ def redact(docs: DataFrame, text: str = "text", rules: Mapping[str, tuple[str, b
             ]
             yield batch.set_column(place, batch.schema.field(place), pa.array(clean, column.type))
 
-    return docs.mapInArrow(work, schema)
+    if "n_chars" not in docs.columns:
+        return docs.mapInArrow(work, schema)
+    before = F.crc32(text)  # a text of the same checksum and length has not changed
+    marked = docs.withColumn("__before", F.struct(before.alias("crc"), F.length(text).alias("chars")))
+    names, schema = docs.columns, marked.schema
+    same = F.col("__before").eqNullSafe(F.struct(F.crc32(text).alias("crc"), F.length(text).alias("chars")))
+    size = F.when(same, F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return marked.mapInArrow(work, schema).withColumn("n_chars", size).select(*names)
 
 
 def cut(text: str, spans: list[tuple[int, str, int]], mark: str = "[SECRET]") -> str:

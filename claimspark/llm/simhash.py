@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from claimspark.functions.scratch import materialise
 from claimspark.llm.batches import as_bytes, slices
 from claimspark.llm.components import components
+from claimspark.llm.spread import spanning
 
 BLOCKS = 3
 #: Fingerprints that the upper trees are fitted to, members that a shard should have, members of a leaf.
@@ -137,30 +138,12 @@ def _local_links(members: np.ndarray, queries: np.ndarray, mask: int, radius: in
         own = members[mine[leaf]]
         for at in range(0, len(own), 2048):
             for low in range(0, len(places), 2048):
-                found += _near(own[at : at + 2048], queries[places[low : low + 2048]], max_bits)
+                some, others = own[at : at + 2048], queries[places[low : low + 2048]]
+                near = np.bitwise_count(some[:, None] ^ others[None, :]) <= max_bits
+                found.append(spanning(near, some, others))
     return np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
 
 
-def _near(own: np.ndarray, others: np.ndarray, max_bits: int) -> list[np.ndarray]:
-    near = np.bitwise_count(own[:, None] ^ others[None, :]) <= max_bits
-    rows, columns = np.nonzero(near)
-    if len(rows) <= 4 * (len(own) + len(others)):
-        pairs = np.column_stack([own[rows], others[columns]])
-        return [pairs[pairs[:, 0] != pairs[:, 1]]]
-    # Many pairs: labels spread over them until they are stable; a link to the label joins the same things.
-    top = np.uint64(2**64 - 1)
-    linked = np.flatnonzero(near.any(0))
-    near, others, label = near[:, linked], others[linked], own.copy()
-    while True:
-        across = np.minimum(np.where(near, label[:, None], top).min(0), others)
-        back = np.minimum(np.where(near, across[None, :], top).min(1), label)
-        if (back == label).all():
-            break
-        label = back
-    pairs = np.concatenate([np.column_stack([own, label]), np.column_stack([others, across])])
-    return [pairs[pairs[:, 0] != pairs[:, 1]]]
-
-
 def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     """(a, b) between fingerprints (fp, distinct) such that those within ``max_bits`` of each other are joined.
 
