@@ -176,8 +176,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, vector: str = "embe
     vectors of one vec_id are counted together. An empty table gives an empty result;
     other columns are left out.
     """
-    base = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
-    usable = finite("vector") & F.col("vec_id").isNotNull() & F.exists("vector", lambda x: x != 0)
+    own = F.when(F.col(key).isNotNull(), F.col(vector))
+    base = rows.select(F.col(key).cast("long").alias("vec_id"), own.alias("vector"))
+    usable = finite("vector") & F.exists("vector", lambda x: x != 0)
     points = materialise(
         base.where(usable).groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors"
     )

@@ -47,7 +47,7 @@ def assign(sizes: list[tuple[int, int, int]], shards: int) -> dict[int, int]:
 
 
 def rebalance(sizes: list[tuple[int, int, int]], current: dict[int, int], shards: int) -> dict[int, int]:
-    """The map edited for ``shards`` shards: slots move from shards above the mean to ones below, and no others.
+    """The map edited for ``shards`` shards: slots move from shards above the mean to the lightest, and no others.
 
     New shards fill up from all old ones, so what moves is about the share of the new
     shards. Slots that the map does not know yet go to the lightest shard. Shards
@@ -68,12 +68,19 @@ def rebalance(sizes: list[tuple[int, int, int]], current: dict[int, int], shards
             if size.get(slot, 0) and held[shard] - size[slot] >= target:
                 held[shard] -= size[slot]
                 moving.append(slot)
-    heap = [(h, shard) for shard, h in enumerate(held)]
-    heapq.heapify(heap)
     for slot in sorted(moving, key=lambda s: (-size[s], s)):
-        h, shard = heapq.heappop(heap)
-        edited[slot] = shard
-        heapq.heappush(heap, (h + size[slot], shard))
+        lightest = min(range(shards), key=lambda k: (held[k], k))
+        edited[slot] = lightest
+        held[lightest] += size[slot]
+    for _ in range(len(edited)):  # what is left of the difference, slot by slot
+        heavy, light = (pick(range(shards), key=lambda k: (held[k], k)) for pick in (max, min))
+        if held[heavy] - held[light] <= max(size.values(), default=0):
+            break
+        able = [s for s, shard in edited.items() if shard == heavy and size.get(s, 0)]
+        slot = min(able, key=lambda s: (abs(2 * size[s] - held[heavy] + held[light]), s))
+        edited[slot] = light
+        held[heavy] -= size[slot]
+        held[light] += size[slot]
     return edited
 
 
