@@ -7,30 +7,44 @@ executors, which cached or locally checkpointed blocks do not.
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
-from functools import cache
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
-@cache
-def _temporary_root(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"claimspark-{application}-")
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, or ``/tmp`` of the default file system.
 
+    Where that is the local one and executors are other machines, they would each write
+    to a disk of their own: that is an error, and the setting is to be made.
+    """
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path("/tmp")
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if files.getUri().getScheme() == "file" and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return str(files.makeQualified(path).toString()).rstrip("/")
 
-def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else _temporary_root(spark.sparkContext.applicationId)
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/claimspark/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path in the scratch folder that nothing else uses."""
-    return f"{scratch_root(spark)}/claimspark/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete what this application wrote to the scratch folder; results that still read it are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
