@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from datetime import date
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimspark.functions.numbers import rounded
 from claimspark.functions.periods import (
     Providers,
     Tables,
@@ -17,8 +19,8 @@ from claimspark.functions.periods import (
 )
 from claimspark.functions.scratch import materialise, materialise_with
 
-# Days per join bucket: a claim meets the claims of its own bucket and of the
-# neighbouring one if the band reaches into it.
+# Least days per join bucket; a wider band has wider buckets, so that a claim meets
+# the claims of its own bucket and of one neighbour at most.
 BUCKET_DAYS = 30
 
 
@@ -42,12 +44,12 @@ def referral_network(
     end: date | str,
     providers: Providers = None,
     *,
-    top: int | None = 50,
+    top: int | None = None,
 ) -> DataFrame:
-    """The ``top`` referral edges of each provider, as referrer or as renderer.
+    """The referral edges of each provider, as referrer or as renderer; ``top`` keeps the strongest.
 
     An edge is listed once for each end (once for a self-referral) under
-    ``provider_npi``. With ``top=None`` all of a provider's edges are listed.
+    ``provider_npi``.
     """
     edges = referral_edges(tables, start, end)
     ends = F.array_distinct(F.array("referring_npi", "rendering_npi"))
@@ -63,8 +65,8 @@ def referral_network(
     )
 
 
-def _bucket(column: str, shift: int = 0):
-    return F.floor((F.unix_date(column) + shift) / BUCKET_DAYS)
+def _bucket(column: str, width: int, shift: int = 0):
+    return F.floor((F.unix_date(column) + shift) / width)
 
 
 def _pairs_in_band(left: DataFrame, right: DataFrame, keys: list[str], days: int) -> DataFrame:
@@ -74,10 +76,11 @@ def _pairs_in_band(left: DataFrame, right: DataFrame, keys: list[str], days: int
     The time bucket is part of the key, so one busy member is spread over the
     buckets of the period and only days near each other are compared.
     """
-    reach = F.array_distinct(F.array(_bucket("day", -days), _bucket("day", days)))
+    width = max(BUCKET_DAYS, 2 * days + 1)
+    reach = F.sequence(_bucket("day", width, -days), _bucket("day", width, days))
     return (
         left.withColumn("_bucket", F.explode(reach))
-        .join(right.withColumn("_bucket", _bucket("other_day")), [*keys, "_bucket"])
+        .join(right.withColumn("_bucket", _bucket("other_day", width)), [*keys, "_bucket"])
         .where(F.abs(F.date_diff("day", "other_day")) <= days)
         .withColumn("pairs", F.col("claims") * F.col("other_claims"))
     )
@@ -144,14 +147,24 @@ def shared_patient_edges(
         "shared-patient-candidates",
     )
     known = candidates.select(*pair)
+    # Each provider set few members aside. Whether the other saw them is looked up on
+    # (provider, member) first; only then are days joined.
+    my_members = mine.select("provider_npi", "member_id", "aside").distinct()
+    their_members = theirs.select("other_provider", "member_id", "other_aside").distinct()
     # Members set aside by the first provider, whatever they are to the other.
+    both_mine = known.join(my_members.where("aside").drop("aside"), "provider_npi").join(
+        their_members.drop("other_aside"), ["other_provider", "member_id"]
+    )
     through_mine = _pairs_in_band(
-        known.join(mine.where("aside"), "provider_npi"), theirs, ["other_provider", "member_id"], days
+        both_mine.join(mine.where("aside"), ["provider_npi", "member_id"]), theirs, ["other_provider", "member_id"], days
     )
     # Members set aside by the other provider only.
+    both_theirs = known.join(their_members.where("other_aside").drop("other_aside"), "other_provider").join(
+        my_members.where("not aside").drop("aside"), ["provider_npi", "member_id"]
+    )
     through_theirs = _pairs_in_band(
         mine.where("not aside"),
-        known.join(theirs.where("other_aside"), "other_provider"),
+        both_theirs.join(theirs.where("other_aside"), ["other_provider", "member_id"]),
         ["provider_npi", "member_id"],
         days,
     )
@@ -179,17 +192,19 @@ def shared_patients(
     *,
     days: int = 7,
     min_shared: int = 3,
-    top: int = 30,
+    top: int | None = None,
 ) -> DataFrame:
-    """Each provider's ``top`` partners by shared patients."""
+    """Each provider's partners with their shared patients; ``top`` keeps those with most."""
     edges = shared_patient_edges(
         tables, start, end, providers, days=days, min_shared=min_shared
     )
+    if top is None:
+        return edges
     order = Window.partitionBy("provider_npi").orderBy(F.desc("shared_patients"), "other_provider")
     return edges.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top).drop("_rank")
 
 
-def connected_components(edges: DataFrame, source: str, target: str, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(node, component): the smallest node name in each node's connected component.
 
     Alternates two steps until nothing changes: every node links its larger
@@ -206,13 +221,12 @@ def connected_components(edges: DataFrame, source: str, target: str, max_rounds:
     # Row count and an order-free checksum show whether a round changed anything.
     marks = {"rows": F.count("*"), "checksum": F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))}
     current, mark = materialise_with(current, "components-0", **marks)
-    for step in range(1, max_rounds + 1):
-        previous = mark
-        current, mark = materialise_with(_small_star(_large_star(current)), f"components-{step}", **marks)
+    previous = None
+    for step in count(1):
         if mark == previous:
             break
-    else:
-        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+        previous = mark
+        current, mark = materialise_with(_small_star(_large_star(current)), f"components-{step}", **marks)
     return (
         current.select(F.col("u").alias("node"), F.col("v").alias("component"))
         .unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")))
@@ -264,12 +278,21 @@ def provider_clusters(
 
 
 def referral_concentration(
-    tables: Tables, start: date | str, end: date | str, providers: Providers = None
+    tables: Tables,
+    start: date | str,
+    end: date | str,
+    providers: Providers = None,
+    *,
+    exact: bool = False,
 ) -> DataFrame:
-    """Each provider's top referrer and that referrer's share of its referrals."""
+    """Each provider's top referrer and that referrer's share of its referrals.
+
+    The share is rounded for display unless ``exact`` is set.
+    """
     edges = referral_edges(tables, start, end).where(F.col("rendering_npi").isNotNull())
     # The largest count wins, and the smaller name on a tie.
     ranked = F.min_by("referring_npi", F.struct(-F.col("referral_count"), F.col("referring_npi")))
+    share = F.col("top_referrals") / F.col("total_referrals")
     return (
         keep_providers(edges, providers, "rendering_npi")
         .groupBy(F.col("rendering_npi").alias("provider_npi"))
@@ -279,7 +302,7 @@ def referral_concentration(
             F.sum("referral_count").alias("total_referrals"),
             F.count("*").alias("referrers"),
         )
-        .withColumn("top_share", F.round((F.col("top_referrals") / F.col("total_referrals")).cast("decimal(18,6)"), 4).cast("double"))
+        .withColumn("top_share", share if exact else rounded(share, 4))
     )
 
 

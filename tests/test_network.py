@@ -18,6 +18,8 @@ from claimspark.operators.network import (
     shared_patient_edges,
     shared_patients,
 )
+from claimspark.plans.findings import provider_scores
+from claimspark.plans.registry import run
 
 YEAR = ("2025-01-01", "2025-12-31")
 
@@ -27,14 +29,14 @@ def visit(npi, member, day):
             "service_date": (date(2025, 1, 1) + timedelta(days=day)).isoformat()}
 
 
-def brute_force(claims, min_shared, start=date(2025, 1, 1), end=date(2025, 12, 31)):
+def brute_force(claims, min_shared, days=7, start=date(2025, 1, 1), end=date(2025, 12, 31)):
     shared, pairs = defaultdict(set), defaultdict(int)
     for a in claims:
         if not start <= date.fromisoformat(a["service_date"]) <= end:
             continue
         for b in claims:
             gap = abs((date.fromisoformat(a["service_date"]) - date.fromisoformat(b["service_date"])).days)
-            if a["member_id"] == b["member_id"] and a["provider_npi"] != b["provider_npi"] and gap <= 7:
+            if a["member_id"] == b["member_id"] and a["provider_npi"] != b["provider_npi"] and gap <= days:
                 key = (a["provider_npi"], b["provider_npi"])
                 shared[key].add(a["member_id"])
                 pairs[key] += 1
@@ -130,3 +132,28 @@ def test_shared_identity(build, rows):
     assert rows(shared_identity(tables)) == [("address", "TX|Austin|1", 2, "A", "C"), ("tax_id", "T", 2, "A", "B")]
     assert rows(shared_identity_members(tables), "kind", "provider_npi") == [
         ("address", "A"), ("address", "C"), ("tax_id", "A"), ("tax_id", "B")]
+
+
+@pytest.mark.parametrize("days", [1, 7, 15, 16, 30, 45, 90])
+def test_any_band_loses_no_pair(build, rows, days):
+    random.seed(days)
+    providers = [f"P{i}" for i in range(8)]
+    claims = [visit(p, m, random.randint(-100, 150)) for p in providers for m in ("busy", "M1", "M2", "M3") for _ in range(4)]
+    expected = brute_force(claims, 2, days)
+    assert expected
+    assert rows(shared_patient_edges(build(claims=claims), *YEAR, days=days, min_shared=2)) == expected
+
+
+def test_no_caps_by_default(build, rows):
+    claims = [row for i in range(60) for row in refer(f"R{i:02d}", "B", 1 + i % 3)]
+    claims += [visit(f"P{i:02d}", "M", 5) for i in range(40)]
+    tables = build(claims=claims)
+    assert sum(r[0] == "B" for r in rows(referral_network(tables, *YEAR))) == 60
+    partners = rows(shared_patients(tables, *YEAR, "P00", min_shared=1))
+    assert len(partners) == 39
+    scores = provider_scores(tables, *YEAR, concepts=["shared_patients"], options={"shared_patients": {"min_shared": 1}})
+    assert {r.row_count for r in scores.where("provider_npi like 'P%'").collect()} == {39}
+    asked = {"provider_npi": "B", "start_date": YEAR[0], "end_date": YEAR[1]}
+    assert run("referral_network", tables, asked).count() == 50
+    assert run("referral_network", tables, asked, top=None).count() == 60
+    assert run("referral_network", tables, asked, top=None, limit=7).count() == 7
