@@ -11,7 +11,9 @@ CODES = "(" + ", ".join(f"'{c}'" for c in VISIT_CODES) + ")"
 
 
 def rnd(expression: str, digits: int) -> str:
-    return f"CAST(round(CAST({expression} AS DECIMAL(28,6)), {digits}) AS DOUBLE)"
+    """Half away from zero by floor, with the slack that ties need which doubles cannot hold."""
+    scale, value = 10**digits, f"CAST({expression} AS DOUBLE)"
+    return f"(floor(abs({value}) * {scale} * (1 + 5e-16) + 0.5) / {scale} * sign({value}) + 0.0)"
 
 
 def dbl(expression: str) -> str:
@@ -35,26 +37,28 @@ PARTS: dict[str, str] = {
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "members": """
         SELECT CAST(c_custkey AS VARCHAR) AS member_id, c_mktsegment AS employer_group
-        FROM customer WHERE c_acctbal > 0""",
+        FROM customer""",
     "eligibility": """
-        SELECT CAST(o_orderkey AS VARCHAR) AS eligibility_id, CAST(o_custkey AS VARCHAR) AS member_id,
+        SELECT CAST(o_orderkey AS VARCHAR) AS eligibility_id,
+               o_custkey || CASE WHEN c_acctbal < -500 THEN '-X' WHEN c_acctbal > 9500 THEN '-Y' ELSE '' END AS member_id,
                CAST(o_orderdate AS DATE) AS coverage_start,
                CAST(o_orderdate AS DATE) + 180 AS coverage_end,
                CAST(o_orderdate AS DATE) + CAST(o_orderkey % 91 AS INTEGER) AS created_date
-        FROM orders""",
+        FROM orders JOIN customer ON o_custkey = c_custkey""",
     "specialty_procedure_map": """
         SELECT * FROM (VALUES ('PROMO','S0'), ('PROMO','S1'), ('LARGE','S2'), ('SMALL','S0'))
                AS t(procedure_code, expected_specialty)""",
     "claims": """
         SELECT concat(l_orderkey,'-',l_linenumber,'-',l_partkey,'-',l_suppkey) AS claim_id,
-               CAST(o_custkey AS VARCHAR) AS member_id, CAST(l_suppkey AS VARCHAR) AS provider_npi,
+               o_custkey || CASE WHEN c_acctbal <= 0 THEN '-X' ELSE '' END AS member_id,
+               CAST(l_suppkey AS VARCHAR) AS provider_npi,
                CASE WHEN l_linenumber <= 2 THEN CAST(l_partkey % 10 AS VARCHAR) END AS referring_npi,
                CAST(l_shipdate AS DATE) AS service_date, p_type AS procedure_code,
                o_orderpriority AS diagnosis_code, r_name AS service_state,
                CAST(l_extendedprice AS DECIMAL(12,2)) AS allowed_amount
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
              JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-             JOIN region ON n_regionkey = r_regionkey""",
+             JOIN region ON n_regionkey = r_regionkey JOIN customer ON o_custkey = c_custkey""",
     "period_claims": f"SELECT * FROM claims WHERE {PERIOD}",
     # High cost
     "q_limits": """
@@ -64,7 +68,8 @@ PARTS: dict[str, str] = {
     "q_high_cost": f"""
         SELECT c.claim_id, c.provider_npi, c.member_id, c.procedure_code, c.service_date,
                c.allowed_amount, {dbl('p.p95')} AS p95,
-               {rnd('CAST(c.allowed_amount AS DOUBLE) / nullif(CAST(p.p95 AS DOUBLE), 0)', 2)} AS cost_ratio
+               {rnd('CAST(c.allowed_amount AS DOUBLE) / nullif(CAST(p.p95 AS DOUBLE), 0)', 2)} AS cost_ratio,
+               CAST(c.allowed_amount AS DOUBLE) / nullif(CAST(p.p95 AS DOUBLE), 0) AS x_ratio
         FROM period_claims c JOIN q_limits p
           ON c.procedure_code = p.procedure_code AND c.service_state = p.service_state
         WHERE c.allowed_amount > p.p95""",
@@ -109,7 +114,8 @@ PARTS: dict[str, str] = {
         FROM q_totals JOIN providers ON provider_npi = npi GROUP BY specialty, practice_state""",
     "q_peers": f"""
         SELECT t.*, {rnd('(total_claims - mc) / nullif(sc, 0)', 2)} AS z_claims,
-               {rnd('(CAST(total_allowed AS DOUBLE) - ma) / nullif(sa, 0)', 2)} AS z_allowed
+               {rnd('(CAST(total_allowed AS DOUBLE) - ma) / nullif(sa, 0)', 2)} AS z_allowed,
+               greatest((total_claims - mc) / nullif(sc, 0), (CAST(total_allowed AS DOUBLE) - ma) / nullif(sa, 0)) AS x_max
         FROM q_totals t LEFT JOIN providers p ON t.provider_npi = p.npi
         LEFT JOIN q_peer_stats s ON s.specialty = p.specialty AND s.practice_state = p.practice_state""",
     "q_mismatch": """
@@ -138,7 +144,7 @@ PARTS: dict[str, str] = {
                   ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS usual FROM q_util_months""",
     "q_util": f"""
         SELECT provider_npi, member_id, month, monthly_claims, {rnd('usual', 1)} AS avg_6m,
-               {rnd('monthly_claims / nullif(usual, 0)', 1)} AS spike_ratio
+               {rnd('monthly_claims / nullif(usual, 0)', 1)} AS spike_ratio, monthly_claims / nullif(usual, 0) AS x_ratio
         FROM q_util_avg WHERE month >= DATE '{START}' AND monthly_claims > 3 * coalesce(usual, 0)""",
     # Eligibility
     "q_gaps": """
@@ -166,7 +172,8 @@ PARTS: dict[str, str] = {
     "q_spikes": f"""
         SELECT provider_npi, month, claims, total_allowed, {rnd('ra', 2)} AS rolling_avg,
                {rnd('rs', 2)} AS rolling_std,
-               {rnd('(CAST(total_allowed AS DOUBLE) - ra) / nullif(rs, 0)', 2)} AS z_score
+               {rnd('(CAST(total_allowed AS DOUBLE) - ra) / nullif(rs, 0)', 2)} AS z_score,
+               (CAST(total_allowed AS DOUBLE) - ra) / nullif(rs, 0) AS x_score
         FROM q_rolling WHERE month >= DATE '{START}'
           AND (CAST(total_allowed AS DOUBLE) - ra) / nullif(rs, 0) > 2""",
     # Network
@@ -193,18 +200,20 @@ PARTS: dict[str, str] = {
     "q_weekend_share": f"""
         SELECT w.*, {rnd('w.weekend_claims * 100.0::DOUBLE / w.total_claims', 2)} AS weekend_pct,
                {rnd('peer', 2)} AS peer_pct,
-               {rnd('w.weekend_claims * 100.0::DOUBLE / w.total_claims - peer', 2)} AS difference
+               {rnd('w.weekend_claims * 100.0::DOUBLE / w.total_claims - peer', 2)} AS difference,
+               w.weekend_claims * 100.0::DOUBLE / w.total_claims - peer AS x_difference
         FROM q_weekend w JOIN (SELECT specialty, sum(weekend_claims) * 100.0::DOUBLE / sum(total_claims) AS peer
                                FROM q_weekend GROUP BY specialty) s ON w.specialty = s.specialty""",
     "q_ramp": f"""
         SELECT provider_npi, month, total_allowed, before AS previous_allowed,
-               {rnd('CAST(total_allowed AS DOUBLE) / nullif(CAST(before AS DOUBLE), 0)', 2)} AS ramp_ratio
+               {rnd('CAST(total_allowed AS DOUBLE) / nullif(CAST(before AS DOUBLE), 0)', 2)} AS ramp_ratio,
+               CAST(total_allowed AS DOUBLE) / nullif(CAST(before AS DOUBLE), 0) AS x_ratio
         FROM (SELECT *, lag(total_allowed) OVER (PARTITION BY provider_npi ORDER BY month) AS before FROM q_volume)
         WHERE CAST(total_allowed AS DOUBLE) / nullif(CAST(before AS DOUBLE), 0) >= 2""",
     "q_concentration": f"""
         SELECT provider_npi, referring_npi AS top_referrer, referral_count AS top_referrals,
                CAST(total AS BIGINT) AS total_referrals, referrers,
-               {rnd('referral_count / total', 4)} AS top_share
+               {rnd('referral_count / total', 4)} AS top_share, referral_count / total AS x_share
         FROM (SELECT rendering_npi AS provider_npi, referring_npi, referral_count,
                      sum(referral_count) OVER (PARTITION BY rendering_npi) AS total,
                      count(*) OVER (PARTITION BY rendering_npi) AS referrers,
@@ -260,8 +269,8 @@ PARTS: dict[str, str] = {
             ('shared_patients', 'network', 'correlation', 20, 10, 5, 2)
         ) AS t(concept, domain, finding_type, critical, high, medium, low)""",
     "q_upcoding_cost": f"""
-        SELECT provider_npi, count(*) AS n, {rnd("sum(pct - peer_pct) FILTER (procedure_code IN "
-               + str(VISIT_CODES[-2:]) + ")", 1)} AS score, sum(allowed) AS amount,
+        SELECT provider_npi, count(*) AS n,
+               sum(pct - peer_pct) FILTER (procedure_code IN {VISIT_CODES[-2:]}) AS score, sum(allowed) AS amount,
                greatest({rnd('sum((n - peer_pct / 100 * total) * CAST(peer_allowed AS DOUBLE) / peer_n)', 2)}, 0) AS rec
         FROM (SELECT x.*, o.allowed, sum(x.n) OVER (PARTITION BY x.provider_npi) AS total
               FROM q_mix x JOIN q_own_mix o USING (provider_npi, procedure_code))
@@ -272,44 +281,42 @@ PARTS: dict[str, str] = {
         FROM period_claims c JOIN (SELECT member_id, diagnosis_code, max(provider_count_30d) AS k FROM q_seen30
                                    WHERE provider_count_30d >= 4 GROUP BY 1, 2) s
           ON c.member_id = s.member_id AND c.diagnosis_code = s.diagnosis_code GROUP BY 1, 2, 3, 4""",
-    "q_partners": """
-        SELECT * FROM q_pairs WHERE shared_patients >= 3
-        QUALIFY row_number() OVER (PARTITION BY provider_npi ORDER BY shared_patients DESC, other_provider) <= 30""",
+    "q_partners": "SELECT * FROM q_pairs WHERE shared_patients >= 3",
     "q_scores": """
-        SELECT 'high_cost_claims' AS concept, provider_npi, count(*) AS n, max(cost_ratio) AS score,
+        SELECT 'high_cost_claims' AS concept, provider_npi, count(*) AS n, max(x_ratio) AS score,
                CAST(sum(allowed_amount) AS DOUBLE) AS amount, CAST(0 AS DOUBLE) AS rec FROM q_high_cost GROUP BY 2
         UNION ALL SELECT 'upcoding_pattern', provider_npi, n, coalesce(score, 0), amount, rec FROM q_upcoding_cost
         UNION ALL SELECT 'duplicate_claims', provider_npi, count(*), max(claim_count), sum(total_allowed),
                sum(total_allowed) FROM q_duplicates GROUP BY 2
-        UNION ALL SELECT 'claim_volume_by_period', provider_npi, count(*), max(ramp_ratio), sum(total_allowed), 0
+        UNION ALL SELECT 'claim_volume_by_period', provider_npi, count(*), max(x_ratio), sum(total_allowed), 0
                FROM q_ramp GROUP BY 2
-        UNION ALL SELECT 'provider_peer_comparison', provider_npi, count(*), max(greatest(z_claims, z_allowed)),
+        UNION ALL SELECT 'provider_peer_comparison', provider_npi, count(*), max(x_max),
                sum(total_allowed), 0 FROM q_peers GROUP BY 2
         UNION ALL SELECT 'provider_specialty_mismatch', provider_npi, count(*), count(*), sum(allowed_amount), 0
                FROM q_mismatch GROUP BY 2
         UNION ALL SELECT 'doctor_shopping', provider_npi, count(*), max(provider_count_30d), sum(total_allowed), 0
                FROM q_shopping GROUP BY 2
-        UNION ALL SELECT 'member_utilization_spike', provider_npi, count(*), max(spike_ratio), 0, 0
+        UNION ALL SELECT 'member_utilization_spike', provider_npi, count(*), max(x_ratio), 0, 0
                FROM q_util WHERE spike_ratio IS NOT NULL GROUP BY 2
         UNION ALL SELECT 'coverage_gap_claims', provider_npi, count(*), count(*), sum(allowed_amount),
                sum(allowed_amount) FROM q_gaps GROUP BY 2
         UNION ALL SELECT 'retroactive_eligibility', provider_npi, count(*), max(days_retroactive),
                sum(total_allowed), 0 FROM q_retro GROUP BY 2
-        UNION ALL SELECT 'billing_spike_detection', provider_npi, count(*), max(z_score), sum(total_allowed), 0
+        UNION ALL SELECT 'billing_spike_detection', provider_npi, count(*), max(x_score), sum(total_allowed), 0
                FROM q_spikes GROUP BY 2
-        UNION ALL SELECT 'weekend_billing', provider_npi, count(*), max(difference), sum(weekend_allowed), 0
+        UNION ALL SELECT 'weekend_billing', provider_npi, count(*), max(x_difference), sum(weekend_allowed), 0
                FROM q_weekend_share GROUP BY 2
-        UNION ALL SELECT 'referral_network', provider_npi, count(*), max(top_share), 0, 0
-               FROM q_concentration WHERE total_referrals >= 10 GROUP BY 2
+        UNION ALL SELECT 'referral_network', provider_npi, count(*), max(x_share), 0, 0
+               FROM q_concentration GROUP BY 2
         UNION ALL SELECT 'shared_patients', provider_npi, count(*), max(shared_patients), 0, 0
                FROM q_partners GROUP BY 2""",
-    "q_findings": """
+    "q_findings": f"""
         SELECT s.provider_npi, r.domain, s.concept, r.finding_type,
                CASE WHEN score > critical THEN 'critical' WHEN score > high THEN 'high'
                     WHEN score > medium THEN 'medium' ELSE 'low' END AS severity,
                CAST(CASE WHEN score > critical THEN 1 WHEN score > high THEN 0.75
                     WHEN score > medium THEN 0.5 ELSE 0.25 END AS DOUBLE) AS confidence,
-               CAST(n AS DOUBLE) AS row_count, CAST(score AS DOUBLE) AS score,
+               CAST(n AS DOUBLE) AS row_count, {rnd('score', 4)} AS score,
                CAST(amount AS DOUBLE) AS amount, CAST(rec AS DOUBLE) AS recoverable
         FROM q_scores s JOIN q_rules r ON s.concept = r.concept WHERE score > low""",
     "q_overpayment": """
@@ -354,8 +361,7 @@ PARTS: dict[str, str] = {
                      count(*) FILTER (severity = 'high') AS high_findings,
                      count(*) FILTER (severity = 'medium') AS medium_findings,
                      count(*) FILTER (severity = 'low') AS low_findings,
-                     string_agg(concept || ':' || severity, ',' ORDER BY impact_rank)
-                         FILTER (impact_rank <= 10) AS top_findings
+                     string_agg(concept || ':' || severity, ',' ORDER BY impact_rank) AS top_findings
               FROM q_ranked GROUP BY provider_npi)
         JOIN q_risk USING (provider_npi) FULL JOIN q_impact USING (provider_npi)""",
 }

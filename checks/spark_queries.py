@@ -147,7 +147,7 @@ for _k in (4, 3):
 register(
     "member_utilization_spike",
     over_period(M.member_utilization_spike),
-    with_needed("SELECT * FROM q_util"),
+    with_needed("SELECT * EXCLUDE (x_ratio) FROM q_util"),
 )
 register(
     "member_utilization_spike_across_providers",
@@ -203,7 +203,7 @@ _EDGE = f"""referring_npi, rendering_npi, referral_count, {dbl('total_allowed')}
 register("referral_edges", over_period(N.referral_edges), with_needed(f"SELECT {_EDGE} FROM q_edges"))
 register(
     "referral_network",
-    over_period(N.referral_network),
+    over_period(N.referral_network, top=50),
     with_needed(f"""SELECT provider_npi, {_EDGE} FROM q_ends
         QUALIFY row_number() OVER (PARTITION BY provider_npi
                 ORDER BY referral_count DESC, referring_npi, rendering_npi) <= 50"""),
@@ -211,12 +211,43 @@ register(
 for _k in (3, 2):
     register(
         "shared_patients" if _k == 3 else f"shared_patients_{_k}",
-        over_period(N.shared_patients, min_shared=_k),
+        over_period(N.shared_patients, min_shared=_k, top=30),
         with_needed(f"""SELECT * FROM q_pairs WHERE shared_patients >= {_k}
             QUALIFY row_number() OVER (PARTITION BY provider_npi
                     ORDER BY shared_patients DESC, other_provider) <= 30"""),
     )
-register("referral_concentration", over_period(N.referral_concentration), with_needed("SELECT * FROM q_concentration"))
+_PAIRS_20 = {
+    "q_pairs_20": """
+        SELECT a.provider_npi, b.provider_npi AS other_provider,
+               count(DISTINCT a.member_id) AS shared_patients, count(*) AS combined_claims
+        FROM period_claims a JOIN claims b ON a.member_id = b.member_id
+         AND a.provider_npi <> b.provider_npi AND abs(date_diff('day', a.service_date, b.service_date)) <= 20
+        GROUP BY 1, 2 HAVING count(DISTINCT a.member_id) >= 3""",
+    "q_links_20": "SELECT provider_npi AS a, other_provider AS b FROM q_pairs_20",
+    "q_both_20": "SELECT a, b FROM q_links_20 UNION SELECT b, a FROM q_links_20 UNION SELECT a, a FROM q_links_20",
+    "q_reach_20": "SELECT a, b FROM q_both_20 UNION SELECT r.a, l.b FROM q_reach_20 r JOIN q_both_20 l ON r.b = l.a",
+}
+register(
+    "shared_patients_days20",
+    over_period(N.shared_patients, days=20),
+    with_needed("SELECT * FROM q_pairs_20", _PAIRS_20),
+)
+register(
+    "provider_clusters_days20",
+    over_period(N.provider_clusters, days=20),
+    with_needed(
+        """SELECT provider_npi, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size
+           FROM (SELECT a AS provider_npi, min(b) AS cluster FROM q_reach_20 GROUP BY a)""",
+        _PAIRS_20,
+        recursive=True,
+    ),
+)
+register("referral_network_all", over_period(N.referral_network), with_needed(f"SELECT provider_npi, {_EDGE} FROM q_ends"))
+register(
+    "referral_concentration",
+    over_period(N.referral_concentration),
+    with_needed("SELECT * EXCLUDE (x_share) FROM q_concentration"),
+)
 register(
     "referral_loops",
     over_period(N.referral_loops),
@@ -276,8 +307,8 @@ register(
     over_period(S.outlier_severity),
     with_needed(
         """SELECT provider_npi, z_claims, z_allowed, greatest(z_claims, z_allowed) AS z_max,
-                  CASE WHEN greatest(z_claims, z_allowed) > 3 THEN 'critical' ELSE 'high' END AS severity
-           FROM q_peers WHERE greatest(z_claims, z_allowed) > 2"""
+                  CASE WHEN x_max > 3 THEN 'critical' ELSE 'high' END AS severity
+           FROM q_peers WHERE x_max > 2"""
     ),
 )
 register(
@@ -285,8 +316,8 @@ register(
     over_period(S.outlier_severity, notable=1.0, critical=1.5),
     with_needed(
         """SELECT provider_npi, z_claims, z_allowed, greatest(z_claims, z_allowed) AS z_max,
-                  CASE WHEN greatest(z_claims, z_allowed) > 1.5 THEN 'critical' ELSE 'high' END AS severity
-           FROM q_peers WHERE greatest(z_claims, z_allowed) > 1"""
+                  CASE WHEN x_max > 1.5 THEN 'critical' ELSE 'high' END AS severity
+           FROM q_peers WHERE x_max > 1"""
     ),
 )
 register(
@@ -419,6 +450,15 @@ register(
            FROM (SELECT * FROM q_report ORDER BY composite_risk_score DESC, impact_mid DESC, provider_npi LIMIT 100)"""
     ),
 )
+register(
+    "top_providers_25",
+    lambda spark, sf_dir: top_providers(report(spark, sf_dir), 25),
+    with_needed(
+        """SELECT CAST(rank() OVER (ORDER BY composite_risk_score DESC, impact_mid DESC) AS INTEGER) AS follow_up_rank,
+                  provider_npi, composite_risk_score, risk_category, total_findings, impact_mid
+           FROM (SELECT * FROM q_report ORDER BY composite_risk_score DESC, impact_mid DESC, provider_npi LIMIT 25)"""
+    ),
+)
 
 # --- Loading and layout ---------------------------------------------------------
 
@@ -565,7 +605,14 @@ def clustered_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_claims(spark, path, START, END)
 
 
+def all_clustered_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "clustered")
+    write_claims(claims_tables(spark, sf_dir)["claims"], path)
+    return read_claims(spark, path)
+
+
 register("clustered_claims", clustered_claims, with_needed(f"SELECT {_CLAIM} FROM period_claims"))
+register("clustered_claims_all", all_clustered_claims, with_needed(f"SELECT {_CLAIM} FROM claims"))
 
 
 def clustered_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -692,7 +739,7 @@ _EVIDENCE = {
     "billing_spike_detection": ("q_spikes", "month claims total_allowed rolling_avg rolling_std z_score",
                                 "z_score DESC, month"),
     "weekend_billing": ("q_days", "dow day_name claim_count total_allowed", "dow"),
-    "referral_network": ("q_top_edges", "referring_npi rendering_npi referral_count total_allowed unique_patients",
+    "referral_network": ("q_ends", "referring_npi rendering_npi referral_count total_allowed unique_patients",
                          "referral_count DESC, referring_npi, rendering_npi"),
     "shared_patients": ("q_partners", "other_provider shared_patients combined_claims",
                         "shared_patients DESC, other_provider"),
@@ -726,8 +773,6 @@ def _evidence_oracle() -> str:
     extra = {
         "q_days": """SELECT provider_npi, dayofweek(service_date) AS dow, dayname(service_date) AS day_name,
                      count(*) AS claim_count, sum(allowed_amount) AS total_allowed FROM period_claims GROUP BY 1, 2, 3""",
-        "q_top_edges": """SELECT * FROM q_ends QUALIFY row_number() OVER (PARTITION BY provider_npi
-                     ORDER BY referral_count DESC, referring_npi, rendering_npi) <= 50""",
     }
     return with_needed("\nUNION ALL ".join(packs), extra)
 

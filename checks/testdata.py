@@ -44,18 +44,27 @@ def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Customers in debt have left the plan: their claims have no member row.
-    return table(spark, sf_dir, "customer").where("c_acctbal > 0").select(
+    return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("member_id"),
         F.col("c_mktsegment").alias("employer_group"),
     )
 
 
+def _mistyped(spark: SparkSession, sf_dir: str, **suffixes: str) -> DataFrame:
+    """Customers with the member id that a table has for them: some got a suffix when it was typed in."""
+    name = F.col("c_custkey").cast("string")
+    typed = name
+    for suffix, condition in suffixes.items():
+        typed = F.when(F.expr(condition), F.concat(name, F.lit(f"-{suffix}"))).otherwise(typed)
+    return table(spark, sf_dir, "customer").select("c_custkey", typed.alias("member_id"))
+
+
 def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("o_orderdate").cast("date")
-    return table(spark, sf_dir, "orders").select(
+    typed = _mistyped(spark, sf_dir, X="c_acctbal < -500", Y="c_acctbal > 9500")
+    return table(spark, sf_dir, "orders").join(typed, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").cast("string").alias("eligibility_id"),
-        F.col("o_custkey").cast("string").alias("member_id"),
+        "member_id",
         day.alias("coverage_start"),
         F.date_add(day, 180).alias("coverage_end"),
         F.date_add(day, (F.col("o_orderkey") % 91).cast("int")).alias("created_date"),
@@ -66,8 +75,10 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
     key = lambda c: F.col(c).cast("string")
+    typed = _mistyped(spark, sf_dir, X="c_acctbal <= 0")
     return (
         lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(typed, F.col("o_custkey") == F.col("c_custkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(_places(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -75,7 +86,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat_ws(
                 "-", key("l_orderkey"), key("l_linenumber"), key("l_partkey"), key("l_suppkey")
             ).alias("claim_id"),
-            key("o_custkey").alias("member_id"),
+            "member_id",
             key("l_suppkey").alias("provider_npi"),
             F.when(F.col("l_linenumber") <= 2, (F.col("l_partkey") % 10).cast("string")).alias("referring_npi"),
             F.col("l_shipdate").cast("date").alias("service_date"),

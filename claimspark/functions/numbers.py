@@ -13,9 +13,10 @@ def rounded(value: Column, digits: int) -> Column:
     """Round half-up in decimal arithmetic, returned as double.
 
     Rounding the double itself can go either way on a tie that binary
-    floating point cannot hold (1.005), so the value passes through a decimal.
+    floating point cannot hold (1.005), so the value passes through a decimal
+    with as many digits as doubles of up to a hundred million hold reliably.
     """
-    return F.round(value.cast("decimal(28,6)"), digits).cast("double")
+    return F.round(value.cast("decimal(38,8)"), digits).cast("double")
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 # Values are counted in ranges of this many cents, so a window over one range
 # (or over the ranges of one group) holds at most about a million rows.
 RANGE_CENTS = 1_000_000
-SCALE = 10_000
 
 
 def exact_percentile(
@@ -23,12 +22,17 @@ def exact_percentile(
     per (keys, value), which combines on the map side. The two order statistics
     are then located by running counts over value ranges, and inside the one or
     two ranges that hold them. All arithmetic is on whole numbers, so the result
-    (keys, ``name`` as decimal with six digits) is exact.
+    (keys, ``name`` as decimal with six digits) is exact; it is cut to six digits only
+    where the fraction has more than four. Values of other types are rounded to cents.
     """
-    steps = int(Decimal(str(fraction)) * SCALE)
+    share = Decimal(str(fraction))
+    if not 0 <= share <= 1:
+        raise ValueError("a fraction is between 0 and 1")
+    scale = 10 ** max(4, -share.as_tuple().exponent)
+    steps = int(share * scale)
     counts = (
         df.where(F.col(value).isNotNull())
-        .select(*keys, (F.col(value) * 100).cast("long").alias("_cents"))
+        .select(*keys, (F.col(value).cast("decimal(18,2)") * 100).cast("long").alias("_cents"))
         .groupBy(*keys, "_cents")
         .agg(F.count("*").alias("_n"))
         .withColumn("_range", F.floor(F.col("_cents") / RANGE_CENTS))
@@ -41,9 +45,10 @@ def exact_percentile(
         counts.groupBy(*keys, "_range")
         .agg(F.sum("_n").alias("_rows"))
         .withColumn("_upto", F.sum("_rows").over(by_range))
-        .withColumn("_position", (F.sum("_rows").over(Window.partitionBy(*keys)) - 1) * steps)
-        .withColumn("_low", F.expr(f"_position div {SCALE}"))
-        .withColumn("_part", F.col("_position") % SCALE)
+        .withColumn("_last_row", F.sum("_rows").over(Window.partitionBy(*keys)) - 1)
+        .withColumn("_position", F.col("_last_row").cast("decimal(38,0)") * steps)
+        .withColumn("_low", F.expr(f"_position div {scale}"))
+        .withColumn("_part", F.expr(f"cast(_position % {scale} as bigint)"))
         .withColumn("_high", F.col("_low") + F.when(F.col("_part") > 0, 1).otherwise(0))
         .withColumn("_before", F.col("_upto") - F.col("_rows"))
         .where(
@@ -65,7 +70,6 @@ def exact_percentile(
             F.max("_part").alias("_part"),
         )
     )
-    scaled = F.col("_lo") * SCALE + (F.col("_hi") - F.col("_lo")) * F.col("_part")
-    return picked.select(
-        *keys, (scaled.cast("decimal(20,0)") * F.lit(Decimal("0.000001"))).cast("decimal(26,6)").alias(name)
-    )
+    step = ((F.col("_hi") - F.col("_lo")).cast("decimal(18,0)") * F.col("_part").cast("decimal(18,0)")) / scale
+    cents = F.col("_lo").cast("decimal(38,10)") + step.cast("decimal(38,10)")
+    return picked.select(*keys, (cents / 100).cast("decimal(26,6)").alias(name))

@@ -100,6 +100,7 @@ def member_utilization_spike(
     factor: float = 3.0,
     months: int = 6,
     across_providers: bool = False,
+    exact: bool = False,
 ) -> DataFrame:
     """Months in which a member has more than ``factor`` times its usual claims.
 
@@ -107,7 +108,8 @@ def member_utilization_spike(
     up from ``months`` months before the start. Counts are per (provider, member);
     ``across_providers`` counts all of a member's claims instead. A first month has
     no earlier level: it is listed, with NULL average and ratio. A period that
-    starts within a month leaves that month out.
+    starts within a month leaves that month out. The ratio is rounded for display
+    unless ``exact`` is set.
     """
     claims = claims_in(tables, add_months(start, -months), end)
     if across_providers:
@@ -123,6 +125,7 @@ def member_utilization_spike(
     )
     earlier = Window.partitionBy(*owner).orderBy("month").rowsBetween(-months, -1)
     usual = F.col("_usual")
+    spike = ratio(F.col("monthly_claims"), usual)
     return (
         monthly.withColumn("_usual", F.avg("monthly_claims").over(earlier))
         .where(
@@ -132,6 +135,6 @@ def member_utilization_spike(
         .select(
             *owner, "month", "monthly_claims",
             rounded(usual, 1).alias("avg_6m"),
-            rounded(ratio(F.col("monthly_claims"), usual), 1).alias("spike_ratio"),
+            (spike if exact else rounded(spike, 1)).alias("spike_ratio"),
         )
     )

@@ -34,9 +34,12 @@ def provider_peer_comparison(
     providers: Providers = None,
     *,
     exclude_self: bool = False,
+    exact: bool = False,
 ) -> DataFrame:
     """Provider totals with z-scores against the same specialty and state.
 
+    Scores are rounded for display unless ``exact`` is set.
+
     The peer group includes the provider unless ``exclude_self`` is set, and only
     peers with claims in the period. A group without spread, or a provider without
     a group, has NULL scores. Group moments come from a combinable aggregate, not
@@ -65,7 +68,8 @@ def provider_peer_comparison(
             rest = ratio(n * mean - value, n - 1)
             squares = n * F.col(f"_var_{name}") - (value - mean) * (value - rest)
             mean, std = rest, F.sqrt(F.greatest(ratio(squares, n - 2), F.lit(0.0)))
-        scores.append(rounded(ratio(value - mean, std), 2).alias(f"z_{name}"))
+        score = ratio(value - mean, std)
+        scores.append((score if exact else rounded(score, 2)).alias(f"z_{name}"))
     return scored.select(
         "provider_npi", "total_claims", "total_allowed", "avg_allowed", "unique_patients", *scores
     )

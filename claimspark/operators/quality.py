@@ -62,9 +62,10 @@ def sort_columns(order: Iterable[str]) -> list[Column]:
     ]
 
 
-def top_rows(df: DataFrame, order: list[str | Column], limit: int = ROW_LIMIT) -> DataFrame:
-    """The first rows in ``order``, for display of one provider's result."""
-    return df.orderBy(*order).limit(limit)
+def top_rows(df: DataFrame, order: list[str | Column], limit: int | None = ROW_LIMIT) -> DataFrame:
+    """The first rows in ``order`` (all with ``None``), for display of one provider's result."""
+    ordered = df.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def evidence_pack(

@@ -38,14 +38,15 @@ def outlier_severity(
     notable: float = 2.0,
     critical: float = 3.0,
 ) -> DataFrame:
-    """Providers whose larger z-score is above ``notable`` (high) or ``critical``."""
+    """Providers whose larger z-score, before rounding, is above ``notable`` (high) or ``critical``."""
     z = F.greatest("z_claims", "z_allowed")
     return (
-        provider_peer_comparison(tables, start, end, providers)
+        provider_peer_comparison(tables, start, end, providers, exact=True)
         .withColumn("z_max", z)
         .where(F.col("z_max") > notable)
         .select(
-            "provider_npi", "z_claims", "z_allowed", "z_max",
+            "provider_npi",
+            *[rounded(F.col(name), 2).alias(name) for name in ("z_claims", "z_allowed", "z_max")],
             F.when(F.col("z_max") > critical, "critical").otherwise("high").alias("severity"),
         )
     )
@@ -58,9 +59,12 @@ def weekend_share(
     providers: Providers = None,
     *,
     holidays: DataFrame | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """Percentage of a provider's claims on weekends, against its specialty.
 
+    Percentages are rounded for display unless ``exact`` is set.
+
     ``holidays`` (column ``holiday_date``) makes those days count as weekend.
     Claims are counted per provider before the join with specialties.
     """
@@ -87,11 +91,12 @@ def weekend_share(
         (F.sum("weekend_claims") * 100.0 / F.sum("total_claims")).alias("_peer")
     )
     share = F.col("weekend_claims") * 100.0 / F.col("total_claims")
+    shown = (lambda value: value) if exact else (lambda value: rounded(value, 2))
     return keep_providers(own, providers).join(peers, "specialty").select(
         "provider_npi", "specialty", "weekend_claims", "total_claims", "weekend_allowed",
-        rounded(share, 2).alias("weekend_pct"),
-        rounded(F.col("_peer"), 2).alias("peer_pct"),
-        rounded(share - F.col("_peer"), 2).alias("difference"),
+        shown(share).alias("weekend_pct"),
+        shown(F.col("_peer")).alias("peer_pct"),
+        shown(share - F.col("_peer")).alias("difference"),
     )
 
 
@@ -102,15 +107,19 @@ def ramp_up(
     providers: Providers = None,
     *,
     min_ratio: float = 2.0,
+    exact: bool = False,
 ) -> DataFrame:
-    """Months with at least ``min_ratio`` times the previous active month's allowed sum."""
+    """Months with at least ``min_ratio`` times the previous active month's allowed sum.
+
+    The ratio is rounded for display unless ``exact`` is set.
+    """
     previous = F.lag("total_allowed").over(Window.partitionBy("provider_npi").orderBy("month"))
     return (
         claim_volume_by_period(tables, start, end, providers)
         .withColumn("previous_allowed", previous)
         .withColumn("_ratio", ratio(F.col("total_allowed"), F.col("previous_allowed")))
         .where(F.col("_ratio") >= min_ratio)
-        .select("provider_npi", "month", "total_allowed", "previous_allowed", rounded(F.col("_ratio"), 2).alias("ramp_ratio"))
+        .select("provider_npi", "month", "total_allowed", "previous_allowed", (F.col("_ratio") if exact else rounded(F.col("_ratio"), 2)).alias("ramp_ratio"))
     )
 
 

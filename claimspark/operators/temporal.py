@@ -23,9 +23,12 @@ def billing_spike_detection(
     min_z: float = 2.0,
     months: int = 12,
     lookback_months: int = 24,
+    exact: bool = False,
 ) -> DataFrame:
     """Months whose allowed sum is over ``min_z`` deviations above the earlier mean.
 
+    The score is rounded for display unless ``exact`` is set.
+
     Mean and sample deviation are over up to ``months`` earlier active months, with
     history from ``lookback_months`` before the start. Fewer than two earlier
     months, or months without spread, give no score and no row. A period that
@@ -47,7 +50,7 @@ def billing_spike_detection(
             "provider_npi", "month", "claims", "total_allowed",
             rounded(F.col("_mean"), 2).alias("rolling_avg"),
             rounded(F.col("_std"), 2).alias("rolling_std"),
-            rounded(F.col("_z"), 2).alias("z_score"),
+            (F.col("_z") if exact else rounded(F.col("_z"), 2)).alias("z_score"),
         )
     )
 

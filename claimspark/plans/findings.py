@@ -38,12 +38,13 @@ SEVERITIES = ("critical", "high", "medium", "low", "info")
 # Weight of a severity: a finding's confidence, and its part in the risk score.
 SEVERITY_WEIGHT = {"critical": 1.0, "high": 0.75, "medium": 0.5, "low": 0.25, "info": 0.0}
 
-MIN_REFERRALS = 10
-
-
 @dataclass(frozen=True)
 class Rule:
-    """A score above a bound has that severity; at or below ``low`` there is no finding."""
+    """A score, not rounded, above a bound has that severity; at or below ``low`` there is no finding.
+
+    Equal bounds leave a severity out: a concept that lists rows only above a bound
+    of its own has nothing between the lower ones.
+    """
 
     finding_type: str
     title: str
@@ -122,7 +123,7 @@ def provider_scores(
     (provider_npi, concept, row_count, score, amount, recoverable, certain):
     ``amount`` is the money involved, ``recoverable`` the estimated overpayment and
     ``certain`` the part of it that needs no judgement (the costliest copy of a
-    duplicate is not in it). ``concepts`` limits the work to some of them and
+    duplicate is not in it). Scores are not rounded. ``concepts`` limits the work to some of them and
     ``options`` are passed to the operators by name.
 
     The table has at most one row per provider and concept however many claims
@@ -144,20 +145,20 @@ def provider_scores(
     measures: dict[str, Callable[[], tuple]] = {
         "high_cost_claims": lambda: (
             rows(claims_above_limit),
-            F.max(rounded(ratio(F.col("allowed_amount"), F.col("p95")), 2)), allowed,
+            F.max(ratio(F.col("allowed_amount"), F.col("p95"))), allowed,
         ),
         "upcoding_pattern": lambda: (
             rows(visit_code_mix, codes=codes),
-            rounded(F.coalesce(F.sum(above), F.lit(0.0)), 1), F.sum("allowed"),
+            F.coalesce(F.sum(above), F.lit(0.0)), F.sum("allowed"),
             F.greatest(rounded(F.sum(excess * price), 2), F.lit(0.0)),
         ),
         "duplicate_claims": lambda: (
             rows(duplicate_claims, dearest=True), F.max("claim_count"), total, total,
             F.sum(F.col("total_allowed") - F.col("dearest_copy")),
         ),
-        "claim_volume_by_period": lambda: (rows(ramp_up), F.max("ramp_ratio"), total),
+        "claim_volume_by_period": lambda: (rows(ramp_up, exact=True), F.max("ramp_ratio"), total),
         "provider_peer_comparison": lambda: (
-            rows(provider_peer_comparison), F.max(F.greatest("z_claims", "z_allowed")), total,
+            rows(provider_peer_comparison, exact=True), F.max(F.greatest("z_claims", "z_allowed")), total,
         ),
         "provider_specialty_mismatch": lambda: (
             rows(specialty_mismatch_totals), mismatched, total, None, None, mismatched,
@@ -166,7 +167,7 @@ def provider_scores(
             rows(doctor_shopping_by_provider), F.max("provider_count_30d"), total,
         ),
         "member_utilization_spike": lambda: (
-            rows(member_utilization_spike).where("spike_ratio is not null"), F.max("spike_ratio"),
+            rows(member_utilization_spike, exact=True).where("spike_ratio is not null"), F.max("spike_ratio"),
         ),
         "coverage_gap_claims": lambda: (
             rows(coverage_gap_claims), F.count("*"), allowed, allowed, allowed,
@@ -175,12 +176,10 @@ def provider_scores(
             rows(retroactive_eligibility), F.max("days_retroactive"), total,
         ),
         "billing_spike_detection": lambda: (
-            rows(billing_spike_detection), F.max("z_score"), total,
-        ),
-        "weekend_billing": lambda: (rows(weekend_share), F.max("difference"), F.sum("weekend_allowed")),
-        "referral_network": lambda: (
-            rows(referral_concentration).where(f"total_referrals >= {MIN_REFERRALS}"), F.max("top_share"),
+            rows(billing_spike_detection, exact=True), F.max("z_score"), total,
         ),
+        "weekend_billing": lambda: (rows(weekend_share, exact=True), F.max("difference"), F.sum("weekend_allowed")),
+        "referral_network": lambda: (rows(referral_concentration, exact=True), F.max("top_share")),
         "shared_patients": lambda: (rows(shared_patients), F.max("shared_patients")),
     }
     chosen = measures if concepts is None else {name: measures[name] for name in concepts}
@@ -218,7 +217,7 @@ def findings(scores: DataFrame) -> DataFrame:
     metrics = [
         part
         for name in ("row_count", "score", "amount", "recoverable")
-        for part in (F.lit(name), F.col(name).cast("double"))
+        for part in (F.lit(name), rounded(score, 4) if name == "score" else F.col(name).cast("double"))
     ]
     weights = F.create_map(*[F.lit(item) for pair in SEVERITY_WEIGHT.items() for item in pair])
     return (

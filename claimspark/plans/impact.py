@@ -24,7 +24,6 @@ DOMAIN_WEIGHTS: Mapping[str, float] = {
 
 # Lowest score of each risk category.
 RISK_CUTS = (("critical", 0.75), ("high", 0.6), ("medium", 0.3))
-TOP_FINDINGS = 10
 
 
 # Overpayment causes: the concept and the column of its score row.
@@ -109,13 +108,13 @@ def composite_risk(found: DataFrame, weights: Mapping[str, float] = DOMAIN_WEIGH
     )
 
 
-def report_rollup(scores: DataFrame, start: date | str, end: date | str) -> DataFrame:
-    """One row per provider: finding counts, risk, impact range, first findings.
+def report_rollup(scores: DataFrame, start: date | str, end: date | str, *, top: int | None = None) -> DataFrame:
+    """One row per provider: finding counts, risk, impact range, its findings.
 
     ``scores`` is the stored table of ``provider_scores``.
 
-    ``top_findings`` lists the ten that recover most. A provider has at most one
-    finding per concept, so the list is short by construction.
+    ``top_findings`` lists the findings, those that recover most first; ``top`` keeps as
+    many. A provider has at most one per concept, so the list is short by construction.
     """
     found = findings(scores)
     counts = found.groupBy("provider_npi").agg(
@@ -123,14 +122,12 @@ def report_rollup(scores: DataFrame, start: date | str, end: date | str) -> Data
         *[F.count_if(F.col("severity") == s).alias(f"{s}_findings") for s in SEVERITIES if s != "info"],
     )
     entry = F.struct("impact_rank", "concept", "severity", "recoverable")
-    top = (
-        impact_rank(found)
-        .where(F.col("impact_rank") <= TOP_FINDINGS)
-        .groupBy("provider_npi")
-        .agg(F.sort_array(F.collect_list(entry)).alias("top_findings"))
-    )
+    ranked = impact_rank(found)
+    if top is not None:
+        ranked = ranked.where(F.col("impact_rank") <= top)
+    listed = ranked.groupBy("provider_npi").agg(F.sort_array(F.collect_list(entry)).alias("top_findings"))
     risk = composite_risk(found).drop("domains")
-    joined = counts.join(risk, "provider_npi").join(top, "provider_npi")
+    joined = counts.join(risk, "provider_npi").join(listed, "provider_npi", "left")
     joined = joined.join(impact_summary(overpayment(scores), start, end), "provider_npi", "full")
     numbers = [c for c in joined.columns if c.endswith("_findings") and c != "top_findings"]
     money = ["impact_low", "impact_mid", "impact_high", "annualized_exposure"]
@@ -148,7 +145,8 @@ def top_providers(report: DataFrame, k: int = 100) -> DataFrame:
     """The ``k`` providers to follow up first, by risk score and then mid impact.
 
     The rows are cut to ``k`` before they are ranked, so the ranking window, which
-    has no partitions, holds no more than that. Equal providers share a rank.
+    has no partitions, holds no more than that. Equal providers share a rank; of those
+    that tie for the last places, the ones with the smaller id are listed.
     """
     order = [F.desc("composite_risk_score"), F.desc("impact_mid")]
     first = report.orderBy(*order, "provider_npi").limit(k)

@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from claimspark.functions.periods import Providers, Tables
 from claimspark.functions.scratch import materialise_all
 from claimspark.operators import claims, eligibility, member, network, provider, temporal
-from claimspark.operators.quality import sort_columns, top_rows
+from claimspark.operators.quality import ROW_LIMIT, sort_columns, top_rows, validate_result
 
 PARAMETERS = ("provider_npi", "start_date", "end_date")
+# Links shown for one provider.
+DISPLAY_TOP = {"referral_network": 50, "shared_patients": 30}
 
 
 @dataclass(frozen=True)
@@ -148,13 +150,26 @@ def _checked(name: str, params: Mapping[str, object], required: tuple[str, ...])
     return concept
 
 
-def run(name: str, tables: Tables, params: Mapping[str, object], **options) -> DataFrame:
-    """One provider's result, in display order and capped at the row limit."""
+def run(
+    name: str, tables: Tables, params: Mapping[str, object], *, limit: int | None = ROW_LIMIT, **options
+) -> DataFrame:
+    """One provider's result, in display order; ``limit`` rows at most, all of them with ``None``.
+
+    The network concepts show as many links as ``DISPLAY_TOP`` says unless ``top`` is given.
+    """
     concept = _checked(name, params, PARAMETERS)
+    shown = {"top": DISPLAY_TOP[name]} if name in DISPLAY_TOP else {}
     result = concept.operator(
-        tables, params["start_date"], params["end_date"], params["provider_npi"], **options
+        tables, params["start_date"], params["end_date"], params["provider_npi"], **{**shown, **options}
     )
-    return top_rows(result, sort_columns(concept.order))
+    return top_rows(result, sort_columns(concept.order), limit)
+
+
+def run_validated(
+    name: str, tables: Tables, params: Mapping[str, object], **options
+) -> tuple[DataFrame, DataFrame]:
+    """``run`` with personal data masked, and the warnings about the result."""
+    return validate_result(run(name, tables, params, **options))
 
 
 def sweep(

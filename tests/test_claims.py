@@ -5,6 +5,7 @@ from datetime import date
 from decimal import Decimal
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from claimspark.functions.percentiles import exact_percentile
@@ -83,3 +84,19 @@ def test_provider_filters_agree(build, spark, rows):
     frame = spark.createDataFrame([("A",), ("B",), ("B",)], "npi string")
     assert by_name == rows(claim_volume_by_period(tables, *YEAR, frame))
     assert by_name == rows(claim_volume_by_period(tables, *YEAR).where(F.col("provider_npi") != "C"))
+
+
+@pytest.mark.parametrize("fraction", ["0", "0.5", "0.95", "0.99995", "0.123456", "1"])
+def test_percentile_of_any_fraction(spark, fraction):
+    values = list(range(0, 200_001, 7))
+    df = spark.createDataFrame([("k", v / 100) for v in values], "k string, v double")
+    found = exact_percentile(df, ["k"], "v", fraction, "p").first().p
+    place = Decimal(fraction) * (len(values) - 1)
+    low = values[int(place)]
+    high = values[min(int(place) + 1, len(values) - 1)]
+    assert abs(found - (low + (high - low) * (place - int(place))) / 100) <= Decimal("0.000001")
+
+
+def test_percentile_keeps_cents_of_doubles(spark):
+    df = spark.createDataFrame([("k", 0.29), ("k", 1.13)], "k string, v double")
+    assert [exact_percentile(df, ["k"], "v", f, "p").first().p for f in ("0", "1")] == [Decimal("0.29"), Decimal("1.13")]

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from claimspark.functions.scratch import materialise, scratch_path, scratch_root
+from claimspark.functions.scratch import clear_scratch, materialise, scratch_path, scratch_root
 from claimspark.plans.findings import (
     RULES,
     findings,
@@ -90,7 +90,7 @@ def test_findings_to_report(case, spark, rows):
     assert (duplicate.severity, duplicate.amount, duplicate.recoverable) == ("low", 700.0, 700.0)
     assert duplicate.metrics["score"] == 2.0 and duplicate.domain == "claims"
     # Peers bill 8% on the highest code, A bills 20%: twelve points.
-    assert by_concept["A", "upcoding_pattern"].metrics["score"] == 12.3
+    assert by_concept["A", "upcoding_pattern"].metrics["score"] == pytest.approx(12.3077)  # not rounded to what is shown
 
     costs = {r.provider_npi: r for r in overpayment(scores).collect()}
     assert (costs["A"].duplicates, costs["A"].duplicate_copies, costs["A"].coverage_gaps) == (700.0, 300.0, 700.0)
@@ -139,13 +139,34 @@ def test_scratch_is_the_configured_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
-def test_scratch_without_a_configured_folder(spark, monkeypatch):
-    class Unset:
-        conf = {}
+class _Unset:
+    """A session without a scratch setting, on the given master."""
+
+    def __init__(self, spark, master):
+        self.conf = {}
+        self.sparkContext = self
+        self.master, self.applicationId = master, "app"
+        self._jvm, self._jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+
+
+def test_scratch_without_a_configured_folder(spark):
+    assert scratch_root(_Unset(spark, "local[4]")) == "file:/tmp"
+    for master in ("local-cluster[3,2,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch_root(_Unset(spark, master))
+
+
+def test_clear_scratch_leaves_others_alone(spark, tmp_path):
+    class Own:
+        conf = {"spark.checkpoint.dir": str(tmp_path)}
         sparkContext = spark.sparkContext
 
-    first, second = scratch_root(Unset()), scratch_root(Unset())
-    assert first == second and first != scratch_root(spark)
+    mine = tmp_path / "claimspark" / spark.sparkContext.applicationId / "x"
+    other = tmp_path / "claimspark" / "another" / "x"
+    for folder in (mine, other):
+        folder.mkdir(parents=True)
+    assert scratch_path(Own(), "x").startswith(str(mine.parent))
+    assert clear_scratch(Own()) and not mine.exists() and other.exists()
 
 
 @pytest.mark.parametrize("name", list(CONCEPTS))

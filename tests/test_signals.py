@@ -4,6 +4,7 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimspark.functions.periods import add_months
 from claimspark.operators.signals import (
@@ -78,3 +79,11 @@ def test_pairs_and_employers(kickback, rows):
         ("billing_and_enrolment", "A", month, 5), ("billing_and_utilisation", "A", month, 5),
         ("retroactive_and_high_cost", "A", month, 1)]
     assert rows(employer_concentration(kickback, *YEAR)) == [("A", month, "ACME", 5, 5, 1.0)]
+
+
+def test_rounding_once(spark):
+    from claimspark.functions.numbers import rounded
+
+    values = [(2.0049999, 2.0), (1.005, 1.01), (2.675, 2.68), (-1.005, -1.01), (0.125, 0.13), (1617517.575, 1617517.58)]
+    df = spark.createDataFrame([(v,) for v, _ in values], "v double")
+    assert [r[0] for r in df.select(rounded(F.col("v"), 2)).collect()] == [e for _, e in values]
