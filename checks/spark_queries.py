@@ -25,6 +25,7 @@ from claimspark.operators.quality import (
     null_profile,
     sort_columns,
     top_rows,
+    validate_result,
 )
 from claimspark.plans.findings import findings, hypothesis_status, provider_scores
 from claimspark.plans.impact import (
@@ -755,7 +756,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders = {name: sort_columns(concept.order) for name, concept in CONCEPTS.items()}
     sizes = {name: concept.sample for name, concept in CONCEPTS.items()}
-    return evidence_pack(results, orders, sample=sizes)
+    return evidence_pack(results, orders, sample=sizes, asked=tables["providers"].withColumnRenamed("npi", "provider_npi"))
 
 
 def _evidence_oracle() -> str:
@@ -763,12 +764,20 @@ def _evidence_oracle() -> str:
     for name, (source, fields, order) in _EVIDENCE.items():
         size = 30 if name in ("billing_spike_detection", "weekend_billing") else 20
         record = ", ".join(f"'{f}', CAST({f} AS VARCHAR)" for f in fields.split())
+        warnings = ", ".join(
+            f"""CASE WHEN 2 * count(*) FILTER ({f} IS NULL) > count(*) THEN 'Column ''{f}'' is '
+                || CAST(round_even(count(*) FILTER ({f} IS NULL) * 100.0 / count(*), 0) AS INTEGER)
+                || '% null — data may be incomplete' END"""
+            for f in fields.split()
+        )
         packs.append(
-            f"""SELECT '{name}' AS concept, provider_npi, any_value(n) AS row_count,
+            f"""SELECT '{name}' AS concept, npi AS provider_npi, coalesce(n, 0) AS row_count, coalesce(sample, '') AS sample,
+                CASE WHEN n IS NULL THEN 'No results returned — concept may not apply to this entity' ELSE warnings END AS warnings
+            FROM (SELECT provider_npi, any_value(n) AS n, concat_ws('; ', {warnings}) AS warnings,
                 string_agg(CAST(json_object({record}) AS VARCHAR), chr(10) ORDER BY place) FILTER (place <= {size}) AS sample
             FROM (SELECT *, count(*) OVER (PARTITION BY provider_npi) AS n,
                          row_number() OVER (PARTITION BY provider_npi ORDER BY {order}) AS place FROM {source})
-            GROUP BY provider_npi"""
+            GROUP BY provider_npi) FULL JOIN providers ON npi = provider_npi"""
         )
     extra = {
         "q_days": """SELECT provider_npi, dayofweek(service_date) AS dow, dayname(service_date) AS day_name,
@@ -777,8 +786,33 @@ def _evidence_oracle() -> str:
     return with_needed("\nUNION ALL ".join(packs), extra)
 
 
+def flat_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with their values as text, because engines write numbers differently."""
+    as_text = lambda record: F.to_json(F.from_json(record, "map<string,string>"), {"ignoreNullFields": "false"})
+    return evidence(spark, sf_dir).select(
+        "concept", "provider_npi", "row_count", F.array_join("warnings", "; ").alias("warnings"),
+        F.array_join(F.transform("sample", as_text), "\n").alias("sample"),
+    )
+
+
+register("evidence_pack", flat_evidence, _evidence_oracle())
+
+
+def warnings_of(df: DataFrame) -> DataFrame:
+    return validate_result(df)[1]
+
+
+register(
+    "validate_empty",
+    lambda spark, sf_dir: warnings_of(claims_tables(spark, sf_dir)["claims"].where("service_date < date'1900-01-01'")),
+    with_needed("""SELECT 'No results returned — concept may not apply to this entity' AS warning
+        FROM (SELECT count(*) AS n FROM claims WHERE service_date < DATE '1900-01-01') WHERE n = 0"""),
+)
 register(
-    "evidence_pack",
-    lambda spark, sf_dir: evidence(spark, sf_dir).withColumn("sample", F.array_join("sample", "\n")),
-    _evidence_oracle(),
+    "validate_mostly_null",
+    lambda spark, sf_dir: warnings_of(claims_tables(spark, sf_dir)["claims"]),
+    with_needed("""SELECT 'Column ''referring_npi'' is '
+               || CAST(round_even(count(*) FILTER (referring_npi IS NULL) * 100.0 / count(*), 0) AS INTEGER)
+               || '% null — data may be incomplete' AS warning
+        FROM claims HAVING 2 * count(*) FILTER (referring_npi IS NULL) > count(*)"""),
 )

@@ -68,18 +68,33 @@ def top_rows(df: DataFrame, order: list[str | Column], limit: int | None = ROW_L
     return ordered if limit is None else ordered.limit(limit)
 
 
+def _warnings(columns: list[str]) -> Column:
+    """Warnings for a group counted in ``row_count`` and ``_n0``, ``_n1``, ... nulls of each column."""
+    percent = lambda i: F.col(f"_n{i}") * 100.0 / F.col("row_count")
+    texts = [
+        F.when(percent(i) > NULL_WARNING_PERCENT, F.format_string(NULL_WARNING, F.lit(c), F.bround(percent(i), 0).cast("int")))
+        for i, c in enumerate(columns)
+    ]
+    return F.array_compact(F.array(*texts))
+
+
 def evidence_pack(
     results: Mapping[str, DataFrame],
     orders: Mapping[str, list[Column]],
     owner: str = "provider_npi",
     sample: int | Mapping[str, int] = 20,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
-    """(concept, provider_npi, row_count, sample) over the named results.
+    """(concept, provider_npi, row_count, warnings, sample) over the named results.
 
     ``sample`` holds each provider's first rows as JSON, personal data masked
-    before it is taken. Counting and ranking are separate aggregates: the rank
-    limit applies before the shuffle, so at most ``sample`` rows per provider
-    leave an input partition.
+    before it is taken and numbers kept as numbers. ``warnings`` name the columns
+    that are mostly null in the provider's rows. Providers in ``asked`` (column
+    ``provider_npi``) for which a concept found nothing have a row with count 0, no
+    sample and a warning that says so; others without rows have none.
+
+    Counting and ranking are separate aggregates: the rank limit applies before the
+    shuffle, so at most ``sample`` rows per provider leave an input partition.
     """
     packs = []
     for concept, result in results.items():
@@ -90,18 +105,27 @@ def evidence_pack(
         first = (
             safe.withColumn("_rank", F.row_number().over(ranked))
             .where(F.col("_rank") <= size)
-            .select(
-                owner, "_rank",
-                F.to_json(
-                    F.struct(*[F.col(c).cast("string").alias(c) for c in fields]), {"ignoreNullFields": "false"}
-                ).alias("record"),
-            )
+            .select(owner, "_rank", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("record"))
             .groupBy(owner)
             .agg(F.sort_array(F.collect_list(F.struct("_rank", "record"))).alias("_ranked"))
             .select(owner, F.col("_ranked.record").alias("sample"))
         )
-        counts = safe.groupBy(owner).agg(F.count("*").alias("row_count"))
-        packs.append(counts.join(first, owner).select(F.lit(concept).alias("concept"), owner, "row_count", "sample"))
+        counts = safe.groupBy(owner).agg(
+            F.count("*").alias("row_count"),
+            *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"_n{i}") for i, c in enumerate(fields)],
+        )
+        counts = counts.select(owner, "row_count", _warnings(fields).alias("warnings"))
+        pack = counts.join(first, owner)
+        if asked is not None:
+            wanted = asked.select(F.col("provider_npi").alias(owner)).distinct()
+            nothing = wanted.join(counts, owner, "left_anti").select(
+                owner,
+                F.lit(0).cast("bigint").alias("row_count"),
+                F.array(F.lit(EMPTY_WARNING)).alias("warnings"),
+                F.array().cast("array<string>").alias("sample"),
+            )
+            pack = pack.unionByName(nothing)
+        packs.append(pack.select(F.lit(concept).alias("concept"), owner, "row_count", "warnings", "sample"))
     return reduce(DataFrame.unionByName, packs)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,33 +18,101 @@ logger = logging.getLogger(__name__)
 
 NULL_TOKEN = "NULL"
 CORRUPT = "_corrupt_record"
+# Endings that a table's file may have; a backup beside it is not read.
+ENDINGS = ("", ".gz", ".bz2", ".deflate", ".zst", ".snappy", ".lz4")
+
+# An empty field and the token NULL are both read as null, for every type.
+_CSV = {
+    "quote": '"',
+    "escape": '"',
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": CORRUPT,
+    "nullValue": NULL_TOKEN,
+    "emptyValue": NULL_TOKEN,
+}
+
+
+def _typed(table: str, header: Iterable[str]) -> T.StructType:
+    """The schema of a file with this header: known columns typed, unknown ones as text."""
+    known = {f.name.lower(): f for f in SCHEMAS[table].fields}
+    names = [name.strip().lstrip("\ufeff").strip('"').lower() for name in header]
+    if len(set(names)) < len(names) or not known.keys() & set(names):
+        raise ValueError(f"not a header of {table}: {list(header)}")
+    unknown = [name for name in names if name not in known]
+    missing = [name for name in known if name not in names]
+    if unknown or missing:
+        logger.warning("table %s: unknown columns %s left out, missing columns %s null", table, unknown, missing)
+    fields = [T.StructField(known[n].name, known[n].dataType) if n in known else T.StructField(n, T.StringType()) for n in names]
+    return T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def _in_order(parsed: DataFrame, table: str) -> DataFrame:
+    """The table's columns in their order, absent ones null, and the marked bad records."""
+    there = set(parsed.columns)
+    columns = [
+        (F.col(f.name) if f.name in there else F.lit(None).cast(f.dataType)).alias(f.name) for f in SCHEMAS[table].fields
+    ]
+    return parsed.select(*columns, CORRUPT)
+
+
+def read_header(spark: SparkSession, path: str) -> list[str]:
+    """The first line's names of a CSV file, or of one file of a folder."""
+    return spark.read.option("header", True).options(**_CSV).csv(path).columns
+
 
+def parse_lines(lines: DataFrame, table: str, header: list[str]) -> DataFrame:
+    """Lines (column ``value``) as rows of the table, bad ones marked in ``_corrupt_record``.
 
-def _csv_options(reader):
-    # An empty field and the token NULL are both read as null, for every type.
-    return (
-        reader.option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("nullValue", NULL_TOKEN)
-        .option("emptyValue", NULL_TOKEN)
+    Values are taken by the header's names. A line with an unclosed quote is bad: its
+    value goes on in the next line, which is bad as well. Repeated header lines, one
+    for each file, are passed over; one that names the columns in another order raises
+    an error, because its file would be read wrongly.
+    """
+    schema = _typed(table, header)
+    names = [f.name.lower() for f in schema.fields if f.name != CORRUPT]
+    line = F.regexp_replace(F.col("value"), "[\ufeff\r]", "")
+    asked = F.transform(F.split(line, ","), lambda name: F.lower(F.trim(F.replace(name, F.lit('"')))))
+    is_header = (F.array_sort(asked) == F.array(*[F.lit(n) for n in sorted(names)])) & (F.lit(len(names)) > 0)
+    same = asked == F.array(*[F.lit(n) for n in names])
+    shape = F.when(is_header & ~same, F.raise_error(F.concat(F.lit("a file has its columns in another order: "), line)))
+    parsed = (
+        lines.where(F.trim(line) != "")
+        .where(~F.coalesce(is_header & (shape.isNull()), F.lit(False)))
+        .select(line.alias("_line"), F.from_csv(line, _ddl(schema), _CSV).alias("_row"))
+        .select("_line", "_row.*")
+        .withColumn(CORRUPT, F.when(open_quote_of("_line"), F.col("_line")).otherwise(F.col(CORRUPT)))
     )
+    return _in_order(parsed, table)
+
 
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
-def schema_with_corrupt(table: str) -> T.StructType:
-    return T.StructType([*SCHEMAS[table].fields, T.StructField(CORRUPT, T.StringType())])
 
+def open_quote_of(column: str) -> Column:
+    """Whether a line has an odd number of quotes."""
+    return (F.length(column) - F.length(F.replace(F.col(column), F.lit('"')))) % 2 == 1
 
-def scan_csv(spark: SparkSession, table: str, path: str) -> DataFrame:
-    """All rows of a table's CSV file or folder, bad ones marked in ``_corrupt_record``."""
-    return _csv_options(spark.read.schema(schema_with_corrupt(table))).csv(path)
 
+def scan_csv(spark: SparkSession, table: str, path: str, *, multi_line: bool = False) -> DataFrame:
+    """All rows of a table's CSV file or folder, bad ones marked in ``_corrupt_record``.
 
-def stream_csv(spark: SparkSession, table: str, folder: str) -> DataFrame:
-    """The same scan as a stream over the files of a folder."""
-    return _csv_options(spark.readStream.schema(schema_with_corrupt(table))).csv(folder)
+    Columns are found by the names in the header, whatever their order and letter case.
+    With ``multi_line`` quoted values may hold line breaks; a file is then read by one
+    task, and all files must have the columns in the same order.
+    """
+    header = read_header(spark, path)
+    if not header:
+        return _in_order(spark.createDataFrame([], _typed(table, SCHEMAS[table].names)), table)
+    if not multi_line:
+        return parse_lines(spark.read.text(path), table, header)
+    reader = spark.read.schema(_typed(table, header)).options(header=True, multiLine=True, **_CSV)
+    return _in_order(reader.csv(path), table)
+
+
+def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of a folder's CSV files as a stream; ``parse_lines`` reads them."""
+    return spark.readStream.text(folder)
 
 
 def split_rejects(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,30 +139,48 @@ def null_tokens(df: DataFrame) -> DataFrame:
     )
 
 
+def _no_key(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """One row per key: the first in ``order`` (default: all remaining columns).
 
-    Rank 1 is applied on the map side before the shuffle, so a key with very many
-    copies sends at most one row per input partition.
+    A row whose key is not complete has no key and stays, as in a table whose key
+    column takes nulls; ``constraint_report`` counts it. Rank 1 is applied on the map
+    side before the shuffle, so a key with very many copies sends at most one row per
+    input partition.
     """
     ties = order if order is not None else [c for c in df.columns if c not in keys]
-    ranked = Window.partitionBy(*keys).orderBy(*(ties or keys))
-    return df.withColumn("_rank", F.row_number().over(ranked)).where("_rank = 1").drop("_rank")
+    own = F.when(_no_key(keys), F.monotonically_increasing_id())
+    ranked = Window.partitionBy(*keys, "_own").orderBy(*(ties or keys))
+    numbered = df.withColumn("_own", own).withColumn("_rank", F.row_number().over(ranked))
+    return numbered.where("_rank = 1").drop("_rank", "_own")
 
 
 def new_rows(
     incoming: DataFrame, existing: DataFrame, keys: list[str], order: list[str] | None = None
 ) -> DataFrame:
-    """Rows of ``incoming`` whose key is not in ``existing``, one per key."""
-    return keep_first(incoming, keys, order).join(existing.select(*keys), keys, "left_anti")
+    """Rows of ``incoming`` whose key is not in ``existing``, one per key.
+
+    A row whose key is not complete is new unless ``existing`` has one that is equal to
+    it in all columns that both have, so a repeated load does not add it again.
+    """
+    first = keep_first(incoming, keys, order)
+    keyed = first.where(~_no_key(keys)).join(existing.select(*keys), keys, "left_anti")
+    both = [c for c in incoming.columns if c in existing.columns]
+    known = existing.where(_no_key(keys)).select(*[F.col(c).alias(f"_known_{c}") for c in both])
+    equal = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_known_{c}")) for c in both])
+    return keyed.unionByName(first.where(_no_key(keys)).join(known, equal, "left_anti"))
 
 
 def load_tables(
-    spark: SparkSession, path: str, names: Iterable[str] | None = None
+    spark: SparkSession, path: str, names: Iterable[str] | None = None, *, multi_line: bool = False
 ) -> dict[str, DataFrame]:
-    """Read ``<path>/<table>.csv`` (a file, gzip or folder) for every table found.
+    """Read ``<path>/<table>.csv`` (a file, compressed or not, or a folder) for every table found.
 
-    ``names`` limits the load to some of the five tables.
+    ``names`` limits the load to some of the five tables; ``multi_line`` allows line
+    breaks in quoted values.
 
     A missing table is logged and left out. Rows with a bad value are left out
     (see ``load_rejects``), and the first row of each primary key is kept. Any
@@ -103,7 +189,7 @@ def load_tables(
     tables: dict[str, DataFrame] = {}
     for table in PRIMARY_KEYS if names is None else names:
         try:
-            scanned = scan_csv(spark, table, f"{path}/{table}.csv*")
+            scanned = scan_csv(spark, table, f"{path}/{table}.csv{{{','.join(ENDINGS)}}}", multi_line=multi_line)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -113,9 +199,9 @@ def load_tables(
     return tables
 
 
-def load_rejects(spark: SparkSession, table: str, path: str) -> DataFrame:
+def load_rejects(spark: SparkSession, table: str, path: str, *, multi_line: bool = False) -> DataFrame:
     """Lines of a table's CSV that do not fit its schema."""
-    return split_rejects(scan_csv(spark, table, path))[1]
+    return split_rejects(scan_csv(spark, table, path, multi_line=multi_line))[1]
 
 
 def table_counts(tables: Tables) -> DataFrame:

@@ -2,35 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from claimspark.sources.load import new_rows, split_rejects, stream_csv
+from claimspark.functions.scratch import materialise
+from claimspark.sources.load import new_rows, parse_lines, read_header, split_rejects, stream_lines
 from claimspark.sources.schemas import PRIMARY_KEYS, SCHEMAS
 
+# Parts of the target by a hash of the key; a batch reads the parts that its keys fall in.
+BUCKETS = 64
+BUCKET = "key_bucket"
+
+
+def key_bucket(keys: list[str], buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def target_rows(spark: SparkSession, table: str, target: str, batch: DataFrame | None = None) -> DataFrame:
+    """The target's rows; with ``batch`` (column ``key_bucket``) only the parts that may hold its keys.
+
+    The parts are a partition filter: at most as many numbers as there are parts.
+    """
+    rows = spark.read.schema(T.StructType([*SCHEMAS[table].fields, T.StructField(BUCKET, T.IntegerType())])).parquet(target)
+    if batch is not None:
+        rows = rows.where(F.col(BUCKET).isin([r[0] for r in batch.select(BUCKET).distinct().collect()]))
+    return rows.select(*SCHEMAS[table].names)
+
 
 def ingest(
-    spark: SparkSession, table: str, source: str, target: str, rejects: str, checkpoint: str
+    spark: SparkSession,
+    table: str,
+    source: str,
+    target: str,
+    rejects: str,
+    checkpoint: str,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Append the new rows of a table's CSV folder to its Parquet folder and stop.
 
     The checkpoint remembers which files were loaded, so a repeated run loads only
     new ones. Within a batch the first row of a key is kept, and keys already in
-    the target are left out; lines that do not fit the schema go to ``rejects``.
-    A batch that is run again after a failure finds its rows in the target.
+    the target are left out. Lines that do not fit the schema go to
+    ``<rejects>/batch=<number>``, which a batch that is run again replaces; its good rows
+    it finds in the target. All files have the columns in the order of the first one's
+    header. The target is partitioned by a hash of the key and must keep its number of
+    ``buckets``.
     """
     keys = PRIMARY_KEYS[table]
+    # The first run starts from an empty target.
+    empty = spark.createDataFrame([], SCHEMAS[table]).withColumn(BUCKET, F.lit(0))
+    empty.write.mode("ignore").partitionBy(BUCKET).parquet(target)
+    header = read_header(spark, source)
 
-    def append(batch: DataFrame, _: int) -> None:
-        good, bad = split_rejects(batch)
-        existing = batch.sparkSession.read.schema(SCHEMAS[table]).parquet(target)
-        new_rows(good, existing, keys).write.mode("append").parquet(target)
-        bad.write.mode("append").text(rejects)
+    def append(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        good, bad = split_rejects(materialise(parse_lines(batch, table, header), "ingest"))
+        incoming = good.withColumn(BUCKET, key_bucket(keys, buckets))
+        known = target_rows(session, table, target, incoming)
+        fresh = new_rows(good, known, keys).withColumn(BUCKET, key_bucket(keys, buckets))
+        fresh.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(target)
+        bad.write.mode("overwrite").text(f"{rejects}/batch={number}")
 
-    # The first run starts from an empty target.
-    spark.createDataFrame([], SCHEMAS[table]).write.mode("ignore").parquet(target)
     return (
-        stream_csv(spark, table, source)
+        stream_lines(spark, source)
         .writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -17,7 +17,7 @@ from claimspark.operators.quality import (
 )
 from claimspark.sources.layout import read_claims, read_eligibility, write_claims, write_eligibility
 from claimspark.sources.load import keep_first, load_rejects, load_tables, new_rows, null_tokens, table_counts
-from claimspark.streaming.ingest import ingest
+from claimspark.streaming.ingest import BUCKET, ingest, key_bucket, target_rows
 
 
 def test_mask_columns(spark):
@@ -69,7 +69,11 @@ def test_evidence_is_masked_counted_and_cut(spark):
     pack = evidence_pack({"some": df}, {"some": sort_columns(["-n"])})
     a, b = sorted(pack.collect(), key=lambda r: r.provider_npi)
     assert (a.concept, a.row_count, len(a.sample)) == ("some", 25, 20)
-    assert a.sample[0] == '{"n":"24","full_name":"***REDACTED***","x":null}'
+    assert a.sample[0] == '{"n":24,"full_name":"***REDACTED***","x":null}'
+    assert a.warnings == ["Column 'x' is 100% null — data may be incomplete"] and b.warnings == []
+    asked = spark.createDataFrame([("A",), ("C",)], "provider_npi string")
+    found = {r.provider_npi: r for r in evidence_pack({"some": df}, {"some": sort_columns(["-n"])}, asked=asked).collect()}
+    assert set(found) == {"A", "B", "C"} and (found["C"].row_count, found["C"].warnings, found["C"].sample) == (0, [EMPTY_WARNING], [])
     assert "Name" not in "".join(a.sample + b.sample)
 
 
@@ -157,6 +161,64 @@ def test_layout(build, spark, tmp_path, rows):
     assert rows(read_eligibility(spark, f"{tmp_path}/eligibility")) == rows(tables["eligibility"])
 
 
+MAP = "procedure_code,expected_specialty,category\n"
+
+
+def test_columns_by_header_name(spark, tmp_path, caplog):
+    (tmp_path / "specialty_procedure_map.csv").write_text("Category,extra,expected_specialty,PROCEDURE_CODE\nsurg,1,Ortho,27447\n")
+    (tmp_path / "specialty_procedure_map.csv.bak").write_text(MAP + "a,b,c\n")
+    found = load_tables(spark, str(tmp_path), ["specialty_procedure_map"])["specialty_procedure_map"]
+    assert [r.asDict() for r in found.collect()] == [{"procedure_code": "27447", "expected_specialty": "Ortho", "category": "surg"}]
+    assert "extra" in caplog.text
+
+
+def test_files_with_other_orders_are_refused(spark, tmp_path):
+    folder = tmp_path / "specialty_procedure_map.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text(MAP + "1,2,3\n")
+    (folder / "b.csv").write_text("category,expected_specialty,procedure_code\n1,2,3\n")
+    with pytest.raises(Exception, match="another order"):
+        load_tables(spark, str(tmp_path), ["specialty_procedure_map"])["specialty_procedure_map"].collect()
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    path = tmp_path / "specialty_procedure_map.csv"
+    path.write_text(MAP + '27447,Ortho,"a\nb"\n2,"x ""y""",c\n')
+    load = lambda **how: sorted(tuple(r) for r in load_tables(spark, str(tmp_path), ["specialty_procedure_map"], **how)["specialty_procedure_map"].collect())
+    assert load() == [("2", 'x "y"', "c")]
+    assert sorted(r.line for r in load_rejects(spark, "specialty_procedure_map", str(path)).collect()) == ['27447,Ortho,"a', 'b"']
+    assert load(multi_line=True) == [("2", 'x "y"', "c"), ("27447", "Ortho", "a\nb")]
+    assert load_rejects(spark, "specialty_procedure_map", str(path), multi_line=True).count() == 0
+
+
+def test_rows_without_a_key_stay_and_are_loaded_once(spark, rows):
+    df = spark.createDataFrame([(None, "a"), (None, "b"), (1, "c"), (1, "d")], "k int, v string")
+    assert rows(keep_first(df, ["k"])) == [(1, "c"), (None, "a"), (None, "b")]
+    assert rows(new_rows(df, df.where("v = 'a'"), ["k"])) == [(1, "c"), (None, "b")]
+    assert rows(new_rows(df, df, ["k"])) == []
+
+
+def test_ingest_reads_the_parts_of_its_keys(build, spark, tmp_path):
+    good = build(eligibility=[{"eligibility_id": f"E{i}"} for i in range(40)])["eligibility"]
+    placed = good.withColumn(BUCKET, key_bucket(["eligibility_id"]))
+    placed.write.partitionBy(BUCKET).parquet(f"{tmp_path}/out")
+    one = placed.where("eligibility_id = 'E3'")
+    part = target_rows(spark, "eligibility", f"{tmp_path}/out", one)
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and BUCKET in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert 1 <= part.count() < 40 and part.where("eligibility_id = 'E3'").count() == 1
+
+
+def test_a_repeated_batch_replaces_its_rejects(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.csv").write_text(ELIGIBILITY + ",M,2025-01-01,2025-12-31,P,m,a,2025-01-01\nE9,M,soon,2025-12-31,P,m,a,2025-01-01\n")
+    for mark in ("one", "two"):  # without its checkpoint the same batch is run again
+        ingest(spark, "eligibility", str(source), f"{tmp_path}/out", f"{tmp_path}/bad", f"{tmp_path}/{mark}").awaitTermination()
+    assert spark.read.text(f"{tmp_path}/bad").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
 def test_ingest_loads_each_file_once(spark, tmp_path):
     source, target = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
