@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,19 +17,18 @@ from claimspark.functions.scratch import materialise
 from claimspark.llm.batches import slices
 from claimspark.llm.grouping import best_plan
 
-#: Words whose ids a task remembers, and rows of one rank group.
-REMEMBERED, RANK_ROWS = 400_000, 200_000
+#: Rows of one rank group.
+RANK_ROWS = 2_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Tokens:
-    """Ids of texts as little-endian unsigned 32-bit numbers.
+    """Ids of texts as little-endian unsigned 32-bit numbers, by a tokenizer file.
 
-    A byte-level tokenizer of this kind never joins what stands before a single space
-    with what follows it, unless white space follows; so texts are cut there and the
-    ids of each piece are remembered. Texts in which white space follows a space are
-    given to the tokenizer whole.
+    A plain byte-level file (words split by ``SPLIT``, ids in the order of the merges) is
+    also what rank-based encoders read; those are several times faster, give the same
+    ids, and are used for such a file. Any other file is left to its own library.
     """
 
     def __init__(self, path: str) -> None:
@@ -38,39 +37,44 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            ranks = _ranks(json.load(file))
+        self.ranked = None
+        if ranks:
+            import tiktoken
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+            self.ranked = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _space_before_space(text) else _words(text) for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list(set(chain.from_iterable(words for words in cut if words)) - known.keys())
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            known.update(zip(some, self._ids(some)))
-        return [
-            self._ids([text])[0] if words is None else b"".join(map(known.__getitem__, words))
-            for text, words in zip(texts, cut)
-        ]
-
-
-def _space_before_space(text: str) -> bool:
-    """Whether white space, or the end, follows a space: such texts are not cut."""
-    return text.endswith(" ") or any(pair in text for pair in _PAIRS)
-
-
-#: A space and each white-space character of Unicode.
-_PAIRS = tuple(" " + chr(c) for c in range(0x3001) if chr(c).isspace())
-
-
-def _words(text: str) -> list[str]:
-    first, *rest = text.split(" ")
-    return [first, *(" " + word for word in rest)] if first else [" " + word for word in rest]
+        if self.ranked:
+            found = map(self.ranked.encode_ordinary, texts)
+        else:
+            found = (e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False))
+        return [np.array(ids, "<u4").tobytes() for ids in found]
+
+
+#: How byte-level files split a text into words: a fixed value.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def _ranks(file: dict) -> dict[bytes, int] | None:
+    """The vocabulary as ranks, if the file is a plain byte-level one."""
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    plain = {"dropout": None, "byte_fallback": False, "ignore_merges": False, "continuing_subword_prefix": None, "end_of_word_suffix": None}
+    if model.get("type", "BPE") != "BPE" or file.get("normalizer") or any(before.get(k) != v for k, v in _BYTE_LEVEL.items()):
+        return None
+    if any(model.get(k) not in (v, None, "") for k, v in plain.items()):
+        return None
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(merged):
+        return None
+    # printable bytes stand for themselves, the others for characters from 256 on, in order
+    shown = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
+    special = {added["content"] for added in file.get("added_tokens", []) if added["special"]}
+    return {bytes(byte[c] for c in token): rank for token, rank in model["vocab"].items() if token not in special}
 
 
 @cache
@@ -106,15 +110,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, keep_ids: bool
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, schema)
 
 
-def ranked(items: DataFrame) -> DataFrame:
-    """``items`` with ``rank``: 0, 1, ... among those of equal length.
+def ranked(items: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``items`` with ``rank``: 0, 1, ... among those of equal length, of which there are ``counts``.
 
     A frequent length is dealt to several groups by a hash of the row; the groups'
     sizes give the rank of the first row of each.
     """
-    total = items.count()
-    salts = max(1, total // RANK_ROWS)
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)))
+    parts = items.sparkSession.createDataFrame(
+        [(length, -(-n // RANK_ROWS)) for length, n in counts.items()] or [(0, 1)], "length long, parts long"
+    )
+    hashed = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
+    salted = items.join(F.broadcast(parts), "length")  # at most as many rows as a sequence has tokens
+    salted = salted.withColumn("salt", F.pmod(hashed, F.col("parts"))).drop("parts")
     own = Window.partitionBy("salt", "length").orderBy("doc_id", "piece", "start", "ids_crc32")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = salted.groupBy("salt", "length").count()
@@ -161,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, groups: int = 96
 
     schema = PIECES + (", ids binary" if keep_ids else "") + ", sequence_id long, offset long"
     columns = [name for name in items.columns] + ["rank"]
-    return ranked(items).select(*columns).mapInArrow(work, schema)
+    return ranked(items, counts).select(*columns).mapInArrow(work, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
