@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.oracle import dbl, rnd, with_needed
-from checks.testdata import END, START, VISIT_CODES, claims_tables, stored_tables, table
+from checks.oracle import dbl, month, rnd, with_needed
+from checks.testdata import END, START, VISIT_CODES, claims_tables, table
 from claimspark.functions.numbers import decimals_to_double
+from claimspark.functions.periods import with_claims
 from claimspark.functions.privacy import mask_pii, mask_text
 from claimspark.functions.scratch import materialise, scratch_path
 from claimspark.operators import claims as C
@@ -27,7 +28,7 @@ from claimspark.operators.quality import (
     top_rows,
     validate_result,
 )
-from claimspark.plans.findings import findings, hypothesis_status, provider_scores
+from claimspark.plans.findings import findings, hypothesis_status, provider_scores, stored_period
 from claimspark.plans.impact import (
     OVERPAYMENT_CONCEPTS,
     composite_risk,
@@ -37,7 +38,7 @@ from claimspark.plans.impact import (
     report_rollup,
     top_providers,
 )
-from claimspark.plans.registry import CONCEPTS, sweep_all
+from claimspark.plans.registry import CONCEPTS, run, sweep_all
 from claimspark.sources.layout import read_claims, read_eligibility, write_claims, write_eligibility
 from claimspark.sources.load import (
     keep_first,
@@ -366,10 +367,16 @@ register(
 # --- Findings, impact and reports -----------------------------------------------
 
 
+_SCORES: dict[tuple[str, str], DataFrame] = {}
+
+
 def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores written once: a small table that every report reads more than once."""
-    scores = provider_scores(stored_tables(spark, sf_dir), START, END, codes=VISIT_CODES)
-    return materialise(scores, "scores")
+    """Scores written once in a session: a small table that all findings and reports are made from."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SCORES:
+        scores = provider_scores(claims_tables(spark, sf_dir), START, END, codes=VISIT_CODES)
+        _SCORES[key] = materialise(scores, "scores")
+    return _SCORES[key]
 
 
 def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -748,7 +755,8 @@ _EVIDENCE = {
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = stored_tables(spark, sf_dir)
+    whole = claims_tables(spark, sf_dir)
+    tables = stored_period(whole, START, END, 24, 7)
     results = sweep_all(
         tables, START, END,
         options={"upcoding_pattern": {"codes": VISIT_CODES}},
@@ -763,7 +771,9 @@ def _evidence_oracle() -> str:
     packs = []
     for name, (source, fields, order) in _EVIDENCE.items():
         size = 30 if name in ("billing_spike_detection", "weekend_billing") else 20
-        record = ", ".join(f"'{f}', CAST({f} AS VARCHAR)" for f in fields.split())
+        money = {"total_allowed", "allowed_amount"}
+        shown = {f: f"CAST({dbl(f) if f in money else f} AS VARCHAR)" for f in fields.split()}
+        record = ", ".join(f"'{f}', {value}" for f, value in shown.items())
         warnings = ", ".join(
             f"""CASE WHEN 2 * count(*) FILTER ({f} IS NULL) > count(*) THEN 'Column ''{f}'' is '
                 || CAST(round_even(count(*) FILTER ({f} IS NULL) * 100.0 / count(*), 0) AS INTEGER)
@@ -816,3 +826,128 @@ register(
                || '% null — data may be incomplete' AS warning
         FROM claims HAVING 2 * count(*) FILTER (referring_npi IS NULL) > count(*)"""),
 )
+
+
+# --- Options --------------------------------------------------------------------
+
+register(
+    "upcoding_exclude_self",
+    over_period(C.upcoding_pattern, codes=VISIT_CODES, exclude_self=True),
+    with_needed(f"""SELECT provider_npi, procedure_code, {rnd('pct', 1)} AS provider_pct,
+            {rnd('(peer_n - n) * 100.0::DOUBLE / nullif(peer_total - total, 0)', 1)} AS peer_pct,
+            {rnd('pct - (peer_n - n) * 100.0::DOUBLE / nullif(peer_total - total, 0)', 1)} AS delta
+        FROM (SELECT m.*, sum(m.n) OVER (PARTITION BY m.provider_npi) AS total,
+                     (SELECT sum(q.n) FROM q_peer_mix q WHERE q.specialty = p.specialty) AS peer_total
+              FROM q_mix m JOIN providers p ON m.provider_npi = p.npi)"""),
+)
+register(
+    "peer_comparison_exclude_self",
+    over_period(P.provider_peer_comparison, exclude_self=True),
+    with_needed(f"""SELECT t.provider_npi, any_value(t.total_claims) AS total_claims,
+            any_value({dbl('t.total_allowed')}) AS total_allowed, any_value(t.avg_allowed) AS avg_allowed,
+            any_value(t.unique_patients) AS unique_patients,
+            {rnd('(any_value(t.total_claims) - avg(o.total_claims)) / nullif(stddev_samp(o.total_claims), 0)', 2)} AS z_claims,
+            {rnd('(any_value(CAST(t.total_allowed AS DOUBLE)) - avg(CAST(o.total_allowed AS DOUBLE))) '
+                 '/ nullif(stddev_samp(CAST(o.total_allowed AS DOUBLE)), 0)', 2)} AS z_allowed
+        FROM q_totals t JOIN providers p ON t.provider_npi = p.npi
+        LEFT JOIN (SELECT * FROM q_totals JOIN providers ON provider_npi = npi) o
+          ON o.specialty = p.specialty AND o.practice_state = p.practice_state AND o.provider_npi <> t.provider_npi
+        GROUP BY t.provider_npi"""),
+)
+
+
+def first_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates that are the first of a month, as holidays."""
+    day = F.col("o_orderdate").cast("date")
+    return table(spark, sf_dir, "orders").where(F.dayofmonth(day) == 1).select(day.alias("holiday_date")).distinct()
+
+
+register(
+    "weekend_share_holidays",
+    lambda spark, sf_dir: S.weekend_share(claims_tables(spark, sf_dir), START, END, holidays=first_days(spark, sf_dir)),
+    with_needed(
+        f"""SELECT w.provider_npi, w.specialty, weekend_claims, total_claims, {dbl('weekend_allowed')} AS weekend_allowed,
+                {rnd('weekend_claims * 100.0::DOUBLE / total_claims', 2)} AS weekend_pct, {rnd('peer', 2)} AS peer_pct,
+                {rnd('weekend_claims * 100.0::DOUBLE / total_claims - peer', 2)} AS difference
+            FROM q_off w JOIN (SELECT specialty, sum(weekend_claims) * 100.0::DOUBLE / sum(total_claims) AS peer
+                               FROM q_off GROUP BY specialty) s ON w.specialty = s.specialty""",
+        {
+            "q_days_off": """SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders
+                WHERE dayofmonth(CAST(o_orderdate AS DATE)) = 1""",
+            "q_off": """SELECT provider_npi, specialty, count(*) FILTER (off) AS weekend_claims, count(*) AS total_claims,
+                    coalesce(sum(allowed_amount) FILTER (off), 0) AS weekend_allowed
+                FROM (SELECT c.*, specialty, dayofweek(service_date) IN (0, 6) OR day IS NOT NULL AS off
+                      FROM period_claims c JOIN providers ON provider_npi = npi LEFT JOIN q_days_off ON day = service_date)
+                GROUP BY 1, 2""",
+        },
+    ),
+)
+
+def gaps_without_late_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage that was recorded over 60 days late does not count."""
+    on_time = F.date_diff("created_date", "coverage_start") <= 60
+    return E.coverage_gap_claims(claims_tables(spark, sf_dir), START, END, counts_as_cover=on_time)
+
+
+register(
+    "coverage_gaps_some_cover",
+    gaps_without_late_cover,
+    with_needed(f"""SELECT c.claim_id, c.provider_npi, c.member_id, c.service_date, c.procedure_code,
+            {dbl('c.allowed_amount')} AS allowed_amount
+        FROM period_claims c WHERE NOT EXISTS (
+            SELECT 1 FROM eligibility e WHERE c.member_id = e.member_id
+               AND c.service_date BETWEEN e.coverage_start AND e.coverage_end
+               AND date_diff('day', e.coverage_start, e.created_date) <= 60)"""),
+)
+_VOLUME = f"SELECT provider_npi, month, claim_count, {dbl('total_allowed')} AS total_allowed, avg_allowed FROM q_volume"
+register(
+    "volume_of_listed_providers",
+    over_period(C.claim_volume_by_period, providers=["3", "17", "no such provider"]),
+    with_needed(f"{_VOLUME} WHERE provider_npi IN ('3', '17')"),
+)
+
+
+def chosen_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("npi"))
+
+
+register(
+    "volume_of_chosen_providers",
+    lambda spark, sf_dir: C.claim_volume_by_period(
+        claims_tables(spark, sf_dir), START, END, chosen_suppliers(spark, sf_dir)
+    ),
+    with_needed(f"{_VOLUME} WHERE provider_npi IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal > 0)"),
+)
+
+
+def paid_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims without a referral count as denied, and denied ones are left out."""
+    tables = claims_tables(spark, sf_dir)
+    status = F.when(F.col("referring_npi").isNull(), "denied").otherwise("paid")
+    marked = {**tables, "claims": tables["claims"].withColumn("claim_status", status)}
+    return C.claim_volume_by_period(with_claims(marked, F.col("claim_status") == "paid"), START, END)
+
+
+register(
+    "volume_of_paid_claims",
+    paid_volume,
+    with_needed(f"""SELECT provider_npi, {month('service_date')} AS month, count(*) AS claim_count, {dbl('sum(allowed_amount)')} AS total_allowed,
+            {rnd('CAST(sum(allowed_amount) AS DOUBLE) / count(allowed_amount)', 4)} AS avg_allowed
+        FROM period_claims WHERE referring_npi IS NOT NULL GROUP BY 1, 2"""),
+)
+
+
+def shown_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One provider's costly claims without the display limit."""
+    return run(
+        "high_cost_claims", claims_tables(spark, sf_dir),
+        {"provider_npi": "3", "start_date": START, "end_date": END}, limit=None,
+    )
+
+
+register(
+    "run_one_provider",
+    shown_claims,
+    with_needed(f"""SELECT claim_id, provider_npi, member_id, procedure_code,
+        {dbl('allowed_amount')} AS allowed_amount, p95, cost_ratio FROM q_high_cost WHERE provider_npi = '3'"""),
+)

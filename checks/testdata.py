@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from claimspark.functions.scratch import materialise
 
 START, END = "2000-01-01", "2000-12-31"
 VISIT_CODES = ("ECONOMY", "MEDIUM", "STANDARD")
@@ -126,15 +125,3 @@ class ClaimsTables(Mapping):
 
 
 claims_tables = ClaimsTables
-
-
-def stored_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The tables with claims written to shared storage, for plans that scan them often.
-
-    The test tables have one row group each. Spreading the rows when they are
-    written lets all later scans run on all cores; adaptive execution picks how many
-    files there are.
-    """
-    tables = dict(ClaimsTables(spark, sf_dir))
-    tables["claims"] = materialise(tables["claims"].repartition("claim_id"), "claims")
-    return tables

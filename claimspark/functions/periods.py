@@ -40,6 +40,11 @@ def claims_in(tables: Tables, start: date | str, end: date | str) -> DataFrame:
     return tables["claims"].where(between_dates(F.col("service_date"), start, end))
 
 
+def with_claims(tables: Tables, condition: Column) -> dict[str, DataFrame]:
+    """The tables with only the claims that meet ``condition``, a ``claim_status`` for example."""
+    return {**tables, "claims": tables["claims"].where(condition)}
+
+
 def keep_providers(df: DataFrame, providers: Providers, column: str = "provider_npi") -> DataFrame:
     """Keep rows of the wanted providers; ``None`` keeps all.
 

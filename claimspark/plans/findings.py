@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.numbers import ratio, rounded
-from claimspark.functions.periods import Providers, Tables
-from claimspark.functions.scratch import build_all
+from claimspark.functions.periods import Providers, Tables, add_days, add_months, claims_in
+from claimspark.functions.scratch import build_all, materialise
 from claimspark.operators.claims import (
     VISIT_CODES,
     claims_above_limit,
@@ -108,6 +108,24 @@ def _score(
     )
 
 
+#: What scores read of a claim, and how far around the period: months back, days ahead.
+CLAIM_COLUMNS = (
+    "claim_id", "provider_npi", "member_id", "referring_npi", "service_date", "procedure_code",
+    "diagnosis_code", "service_state", "allowed_amount",
+)
+MONTHS_BACK, DAYS_AHEAD = 24, 7
+
+
+def stored_period(tables: Tables, start: date | str, end: date | str, months: int, days: int) -> dict[str, DataFrame]:
+    """The tables with the claims of the period and around it written once, for plans that read them often.
+
+    The claims themselves are then read once, whatever the number of concepts. Columns
+    that no score needs are left out.
+    """
+    near = claims_in(tables, add_months(start, -months), add_days(end, days))
+    return {**tables, "claims": materialise(near.select(*CLAIM_COLUMNS), "period-claims")}
+
+
 def provider_scores(
     tables: Tables,
     start: date | str,
@@ -128,9 +146,13 @@ def provider_scores(
 
     The table has at most one row per provider and concept however many claims
     there are. Findings, estimates, risk and reports all derive from it, so it is
-    worth storing once; the branches are independent and run side by side.
+    worth storing once; the branches are independent and run side by side. They read a
+    copy of the period's claims that is stored first, so the claims are scanned once.
     """
     given = options or {}
+    months = max([MONTHS_BACK, *(own.get("lookback_months", 0) for own in given.values())])
+    days = max([DAYS_AHEAD, *(own.get("days", 0) for own in given.values())])
+    tables = stored_period(tables, start, end, max(months, days // 28 + 1), days)
 
     def rows(operator, **extra) -> DataFrame:
         return operator(tables, start, end, providers, **{**extra, **given.get(operator.__name__, {})})

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from claimspark.functions.scratch import clear_scratch, materialise, scratch_path, scratch_root
+from claimspark.operators.signals import signal_pairs
 from claimspark.plans.findings import (
     RULES,
     findings,
@@ -24,6 +25,7 @@ from claimspark.plans.registry import (
     get_concepts_for_domain,
     list_concepts,
     run,
+    run_validated,
     sweep,
     sweep_all,
 )
@@ -179,3 +181,40 @@ def test_plans_have_no_cross_join_and_no_single_task_window(case, spark, name):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert "SinglePartition" not in plan, "no concept gathers all rows in one task"
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_scores_read_the_claims_once(case):
+    scores = provider_scores(case, *YEAR)
+    assert any("period-claims" in file for file in scores.inputFiles())
+    # The claims of the case are rows in memory; a read of them would show these columns.
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "paid_amount" not in plan and "modifier_1" not in plan
+
+
+def test_signal_pairs_read_stored_spikes(case):
+    files = " ".join(signal_pairs(case, *YEAR).inputFiles())
+    assert "/spikes-" in files and "/costly-claims-" in files
+
+
+def test_a_score_just_above_a_bound_counts(spark):
+    scores = spark.createDataFrame(
+        [("A", "billing_spike_detection", 1, 2.003, 0.0, 0.0, 0.0), ("B", "billing_spike_detection", 1, 2.0, 0.0, 0.0, 0.0)],
+        "provider_npi string, concept string, row_count long, score double, amount double, recoverable double, certain double",
+    )
+    assert [(r.provider_npi, r.severity) for r in findings(scores).collect()] == [("A", "high")]
+
+
+def test_all_findings_are_listed(spark):
+    concepts = list(CONCEPTS)
+    scores = spark.createDataFrame(
+        [("A", c, 1, 1000.0, 1.0, 1.0, 0.0) for c in concepts],
+        "provider_npi string, concept string, row_count long, score double, amount double, recoverable double, certain double",
+    )
+    assert len(report_rollup(scores, *YEAR).first().top_findings) == len(concepts) == 14
+    assert len(report_rollup(scores, *YEAR, top=3).first().top_findings) == 3
+
+
+def test_run_validated(case):
+    asked = {"provider_npi": "nobody", "start_date": YEAR[0], "end_date": YEAR[1]}
+    found, warnings = run_validated("duplicate_claims", case, asked)
+    assert found.count() == 0 and warnings.count() == 1
