@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,21 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Put the folder of this library on the import path of Python workers, as it is on the driver's.
+
+    Where workers have the files at the same place (one machine, a shared folder) that is
+    all they need; elsewhere the library is installed or given with ``--py-files``.
+    """
+    folder = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if folder not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, folder])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
