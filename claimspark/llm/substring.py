@@ -64,8 +64,12 @@ def _spread(ords: np.ndarray, places: np.ndarray) -> np.ndarray:
     return ((ords + places) * np.int64(0x5851F42D4C957F2D)) ^ ords
 
 
-def _batch(batch: pa.RecordBatch, previous: int, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, word hashes, windows' hashes, whether each window holds one that repeated at the length before)."""
+def _batch(batch: pa.RecordBatch, previous: int, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, windows' hashes, whether each is to be judged, what equal windows share, and its place).
+
+    A window is judged if the least of the shorter windows in it, which equal windows
+    have in common, repeated at the length before; its hash is what they share.
+    """
     held = batch.column("held") if previous else None
     for row, data in enumerate(as_bytes(batch.column("text"))):
         hashes = word_hashes(data.split())
@@ -73,13 +77,13 @@ def _batch(batch: pa.RecordBatch, previous: int, length: int) -> Iterator[tuple[
         if not len(found):
             continue
         if held is None:
-            yield row, hashes, found, np.ones(len(found), bool)
+            yield row, found, np.ones(len(found), bool), found, np.arange(len(found))
             continue
-        places = held[row].values.to_numpy()
-        edges = np.zeros(len(hashes) + length + 1, np.int64)  # a place is held by the windows that begin up to it
-        np.add.at(edges, np.maximum(places - (length - previous), 0), 1)
-        np.add.at(edges, places + 1, -1)
-        yield row, hashes, found, np.cumsum(edges)[: len(found)] > 0
+        shorter = windows(hashes, previous)
+        least = least_in_zone(shorter, length - previous + 1)
+        repeated = np.zeros(len(shorter), bool)
+        repeated[held[row].values.to_numpy()] = True
+        yield row, found, repeated[least], shorter[least], least
 
 
 def _repeated(rows: DataFrame, previous: int, length: int, zone: int) -> DataFrame:
@@ -89,7 +93,7 @@ def _repeated(rows: DataFrame, previous: int, length: int, zone: int) -> DataFra
         for batch in slices(batches, "text"):
             ords, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "tag"))
             parts = []
-            for row, _, found, allowed in _batch(batch, previous, length):
+            for row, found, allowed, _, _ in _batch(batch, previous, length):
                 chosen = selected(found, zone)
                 chosen = chosen[allowed[chosen]]
                 parts.append((found[chosen], np.full(len(chosen), row), chosen))
@@ -131,16 +135,10 @@ def _removed(rows: DataFrame, previous: int, window: int) -> DataFrame:
         for batch in slices(batches, "text"):
             ords, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "tag"))
             parts = []
-            for row, hashes, found, allowed in _batch(batch, previous, window):
+            for row, found, allowed, shared, least in _batch(batch, previous, window):
                 pos = np.flatnonzero(allowed)
-                if not len(pos):
-                    continue
-                if previous:  # windows are sent with what they share: the least shorter one that they hold
-                    shorter = windows(hashes, previous)
-                    least = least_in_zone(shorter, window - previous + 1)[pos]
-                    parts.append((found[pos], np.full(len(pos), row), pos, least, shorter[least]))
-                else:
-                    parts.append((found[pos], np.full(len(pos), row), pos, pos, found[pos]))
+                if len(pos):
+                    parts.append((found[pos], np.full(len(pos), row), pos, least[pos], shared[pos]))
             if not parts:
                 continue
             hashes, row, pos, least, place = (np.concatenate(p) for p in zip(*parts))
