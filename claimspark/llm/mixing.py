@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from claimspark.functions.scratch import materialise
 
 #: Rows of one group when places are counted.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
