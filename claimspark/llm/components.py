@@ -19,15 +19,13 @@ def components(links: DataFrame) -> DataFrame:
     node with very many links is pre-aggregated, then joined as a key that adaptive
     execution can split.
     """
-    live = materialise(_distinct(links.select(F.col("a").cast("long"), F.col("b").cast("long"))), "links")
+    live, seen = _stored(links.select(F.col("a").cast("long"), F.col("b").cast("long")))
     maps: list[DataFrame] = []
-    while True:
+    while seen["rows"]:
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        roots, found = _roots(both.groupBy("a").agg(F.min("b").alias("b")))
-        if not found:
-            break
+        roots = _roots(both.groupBy("a").agg(F.min("b").alias("b")))
         maps.append(roots)
-        live = materialise(_distinct(_renamed(_renamed(live, roots, "a"), roots, "b")), "links")
+        live, seen = _stored(_renamed(_renamed(live, roots, "a"), roots, "b"))
     if not maps:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     result = maps[0].withColumnRenamed("root", "component")
@@ -37,22 +35,25 @@ def components(links: DataFrame) -> DataFrame:
     return result
 
 
-def _distinct(links: DataFrame) -> DataFrame:
+def _stored(links: DataFrame) -> tuple[DataFrame, dict]:
+    """Each link between different nodes once, written, and how many there are."""
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    return links.where(F.col("a") != F.col("b")).select(low.alias("a"), high.alias("b")).distinct()
+    once = links.where(F.col("a") != F.col("b")).select(low.alias("a"), high.alias("b")).distinct()
+    return materialise_with(once, "links", rows=F.count(F.lit(1)))
 
 
-def _roots(nearest: DataFrame) -> tuple[DataFrame, int]:
-    """(node, root) after following smallest neighbours to the end, and how many nodes there are."""
-    pointers = nearest.select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
-    pointers, seen = materialise_with(pointers, "pointers", nodes=F.count(F.lit(1)))
-    nodes, changed = seen["nodes"], seen["nodes"]
-    while changed:
+def _roots(nearest: DataFrame) -> DataFrame:
+    """(node, root) after following smallest neighbours to the end."""
+    pointers = materialise(nearest.select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "pointers")
+    while True:
         step = pointers.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        moved = pointers.join(step, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved"))
+        moved = pointers.join(step, "root").select(
+            "node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")
+        )
         moved, seen = materialise_with(moved, "pointers", moves=F.coalesce(F.sum(F.col("moved").cast("long")), F.lit(0)))
-        pointers, changed = moved.drop("moved"), seen["moves"]
-    return pointers, nodes
+        pointers = moved.drop("moved")
+        if not seen["moves"]:
+            return pointers
 
 
 def _renamed(links: DataFrame, roots: DataFrame, end: str) -> DataFrame:
