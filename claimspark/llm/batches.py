@@ -10,20 +10,31 @@ import pyarrow.compute as pc
 MAX_ROWS, MAX_BYTES = 2048, 16 << 20
 
 
-def slices(batches, column: str) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most 2,048 rows and, but for one long row, 16 MB of ``column``."""
+def slices(batches, column: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``max_rows`` rows and, but for one long row, ``max_bytes`` of ``column``."""
     for batch in batches:
         at, rows = 0, batch.num_rows
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         while at < rows:
             end, held = at, 0
-            while end < rows and end - at < MAX_ROWS and (end == at or held + int(sizes[end]) <= MAX_BYTES):
+            while end < rows and end - at < max_rows and (end == at or held + int(sizes[end]) <= max_bytes):
                 held += int(sizes[end])
                 end += 1
             yield batch.slice(at, end - at)
             at = end
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The names ``wanted``, each with as many underscores before it as it takes to be free."""
+    used = {name.lower() for name in taken}
+    found = []
+    for name in wanted:
+        while name.lower() in used:
+            name = f"_{name}"
+        found.append(name)
+    return found
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; a null is empty."""
     return column.cast(pa.large_binary()).fill_null(b"").to_pylist()

@@ -151,12 +151,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """
     planned = schedule(docs, **options).groupBy("row_a", "row_b").agg(F.count(F.lit(1)).alias("mix_rows"))
     # repeated rows are in the plan each; they share its rows
-    names = docs.columns
-    numbered = docs.withColumns({"row_a": F.xxhash64("doc_id", "text"), "row_b": F.xxhash64("text", "source", "doc_id")})
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_doc"), *row_keys())
     same = numbered.groupBy("row_a", "row_b").agg(F.count(F.lit(1)).alias("mix_same"))
     times = planned.join(same, ["row_a", "row_b"]).select("row_a", "row_b", "mix_rows", "mix_same")
     return (
         numbered.join(times, ["row_a", "row_b"])
-        .select(*[F.col(f"`{name}`") for name in names], F.expr("explode(sequence(1, cast(ceil(mix_rows / mix_same) as int)))").alias("mix_copy"))
-        .select(*[F.col(f"`{name}`") for name in names])
+        .select("mix_doc", F.expr("explode(sequence(1, cast(ceil(mix_rows / mix_same) as int)))"))
+        .select("mix_doc.*")
     )

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimspark.llm.batches import as_bytes, slices
+from claimspark.llm.batches import as_bytes, free_names, slices
 
 #: Labelled texts of each class for the dictionaries and for calibration, bytes taken of a
 #: text for a dictionary, bytes of a dictionary, compression level, held-out share's divisor.
@@ -56,8 +56,9 @@ def _sizes(good: bytes, bad: bytes) -> _Sizes:
     return _Sizes(good, bad)
 
 
-def _features(docs: DataFrame, good: bytes, bad: bytes, kept: list[str]) -> DataFrame:
-    """``kept`` columns and the features of each whole text."""
+def _features(docs: DataFrame, good: bytes, bad: bytes, kept: list[str]) -> tuple[DataFrame, list[str]]:
+    """``kept`` columns and the features of each whole text, and the features' names."""
+    names = free_names(kept, "f0", "f1", "f2", "f3")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
 
     def work(batches) -> Iterator[pa.RecordBatch]:
@@ -65,10 +66,10 @@ def _features(docs: DataFrame, good: bytes, bad: bytes, kept: list[str]) -> Data
         for batch in slices(batches, "text"):
             rows = np.array([sizes.features(data) for data in as_bytes(batch.column("text"))]).reshape(-1, 4)
             columns = [batch.column(name) for name in kept] + [pa.array(rows[:, n].copy()) for n in range(4)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "f0", "f1", "f2", "f3"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
 
-    schema = f"{types}, f0 double, f1 double, f2 double, f3 double"
-    return docs.select(*kept, "text").mapInArrow(work, schema)
+    schema = ", ".join([types, *(f"{name} double" for name in names)])
+    return docs.select(*[F.col(f"`{name}`") for name in kept], F.col("text")).mapInArrow(work, schema), names
 
 
 def _logistic(features: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,14 +130,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     for label in (1, 0):
         held = [bytes(r["part"]) for r in sorted(parts, key=lambda r: r["order"]) if r["quality"] == label]
         dictionaries.append(_dictionary(held))
-    measured = _features(texts.where("half = 1"), *dictionaries, ["quality", "order"]).collect()
+    features, names = _features(texts.where("half = 1"), *dictionaries, ["quality", "order"])
+    measured = features.collect()
     measured.sort(key=lambda r: (r["order"], r["quality"]))
     truth = np.array([r["quality"] for r in measured], float)
     if len(set(truth)) < 2:
         ones = sum(r["quality"] for r in rows)
         share = (ones + 0.5) / (len(rows) + 1)
         return Model(*dictionaries, (0.0,) * 4 + (float(np.log(share / (1 - share))),), (0.0,) * 4, (1.0,) * 4)
-    weights, mean, scale = _logistic(np.array([[r[f"f{n}"] for n in range(4)] for r in measured]), truth)
+    weights, mean, scale = _logistic(np.array([[r[name] for name in names] for r in measured]), truth)
     return Model(*dictionaries, tuple(weights), tuple(mean), tuple(scale))
 
 
@@ -156,15 +158,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     ratio. Nothing but the text enters. A null text scores like an empty one. There is
     no shuffle; other columns and repeated rows stay, and a column ``score`` is replaced.
     """
-    kept = [name for name in docs.columns if name not in ("score", "f0", "f1", "f2", "f3")]
+    kept = [name for name in docs.columns if name != "score"]
     own = [name for name in kept if name != "text"]
-    inputs = docs.select(*own, F.col("text"), *([F.col("text").alias("__text")] if "text" in kept else []))
-    renamed = _features(inputs, model.good, model.bad, [*own, "__text"])
+    (copy,) = free_names(docs.columns, "text_kept")
+    inputs = docs.withColumn(copy, F.col("text"))
+    measured, names = _features(inputs, model.good, model.bad, [*own, copy])
     z = F.lit(float(model.weights[-1]))
-    for n in range(4):
-        z = z + (F.col(f"f{n}") - F.lit(float(model.mean[n]))) * F.lit(float(model.weights[n] / model.scale[n]))
-    result = renamed.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).withColumnRenamed("__text", "text")
-    return result.select(*kept, "score")
+    for n, name in enumerate(names):
+        z = z + (F.col(name) - F.lit(float(model.mean[n]))) * F.lit(float(model.weights[n] / model.scale[n]))
+    shown = [F.col(f"`{copy if name == 'text' else name}`").alias(name) for name in kept]
+    return measured.select(*shown, (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("score"))
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = REJECT_BELOW) -> DataFrame:

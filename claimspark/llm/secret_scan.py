@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.llm.automaton import Automaton
-from claimspark.llm.batches import as_bytes, slices
+from claimspark.llm.batches import as_bytes, free_names, slices
 
 #: name: (expression, either letter case). The first three are fixed values; lengths
 #: that do not change where a match ends stand in the expression, so that short runs
@@ -144,9 +144,10 @@ def redact(docs: DataFrame, text: str = "text", rules: Mapping[str, tuple[str, b
     if "n_chars" not in docs.columns:
         return docs.mapInArrow(work, schema)
     before = F.crc32(text)  # a text of the same checksum and length has not changed
-    marked = docs.withColumn("__before", F.struct(before.alias("crc"), F.length(text).alias("chars")))
+    (mark,) = free_names(docs.columns, "before")
+    marked = docs.withColumn(mark, F.struct(before.alias("crc"), F.length(text).alias("chars")))
     names, schema = docs.columns, marked.schema
-    same = F.col("__before").eqNullSafe(F.struct(F.crc32(text).alias("crc"), F.length(text).alias("chars")))
+    same = F.col(mark).eqNullSafe(F.struct(F.crc32(text).alias("crc"), F.length(text).alias("chars")))
     size = F.when(same, F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
     return marked.mapInArrow(work, schema).withColumn("n_chars", size).select(*names)
 

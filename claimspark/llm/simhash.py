@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.scratch import materialise
@@ -65,9 +65,10 @@ def fingerprint(data: bytes, shingle: int) -> int:
     return int(np.packbits((2 * counts > number).ravel(), bitorder="little").view(np.uint64)[0])
 
 
-def _with_row(docs: DataFrame) -> DataFrame:
-    """With what tells rows apart: two hashes of doc_id and text, never null."""
-    return docs.withColumns({"row_a": F.xxhash64("doc_id", "text"), "row_b": F.xxhash64("text", "doc_id")})
+def _row_keys() -> list[Column]:
+    """What tells rows apart: two hashes of doc_id and text, never null."""
+    key = F.col("doc_id").cast("long")
+    return [F.xxhash64(key, "text").alias("row_a"), F.xxhash64("text", key).alias("row_b")]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
                 [*kept, pa.array(found.view(np.int64))], names=["doc_id", "row_a", "row_b", "fp"]
             )
 
-    rows = _with_row(docs.select(F.col("doc_id").cast("long"), "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_row_keys())
     return rows.mapInArrow(work, "doc_id long, row_a long, row_b long, fp long")
 
 
@@ -149,6 +150,10 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
 
     Not all pairs are listed: in a leaf, the members of a cluster are linked to its
     smallest, so a cluster of n gives some n links and not n squared.
+
+    The upper trees have as many leaves as shards of some ``SHARD`` members need, at most
+    what the sample can fit (2,048 for each block); beyond some 33 million distinct
+    fingerprints shards grow with the data, unless ``SAMPLE`` does.
     """
     radius = max_bits // BLOCKS
     total = distinct.count()
@@ -219,6 +224,7 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_a", "row_b")
     points = own.groupBy("fp").agg(F.min(order).alias("first")).join(group, "fp")
     first = points.groupBy("component").agg(F.min("first").alias("first")).select("first.row_a", "first.row_b")
-    names = docs.columns
-    kept = _with_row(docs).join(first, ["row_a", "row_b"], "left_semi")
-    return kept.dropDuplicates(["row_a", "row_b"]).select(*names)
+    whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("doc")
+    rows = docs.select(whole, *_row_keys())
+    kept = rows.join(first, ["row_a", "row_b"], "left_semi")
+    return kept.dropDuplicates(["row_a", "row_b"]).select("doc.*")

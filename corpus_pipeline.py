@@ -24,8 +24,10 @@ ORACLE_SQL: str | None = None
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject, unchanged."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    kept = quality.classify(docs, model).where("predicted = 1")
-    return kept.select(*docs.columns)
+    # other columns go by number meanwhile, so that none is taken for the classifier's
+    numbered = [name if name == "text" else f"column_{n}" for n, name in enumerate(docs.columns)]
+    kept = quality.classify(docs.toDF(*numbered), model).where("predicted = 1")
+    return kept.select(*numbered).toDF(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

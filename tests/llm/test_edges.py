@@ -22,7 +22,9 @@ from claimspark.llm import (
 )
 from claimspark.llm.queries import tokenizer_path
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, rank int, fp long, ord long, kind int"
+CLASHING = ("score spans rank fp ord kind f0 F1 before text_kept row_a row_b mix_rows mix_same tokens epoch budget block held runs "
+            "copied doc col virtual_slot shard slot salt order component").split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{name}` int" for name in CLASHING)
 LONG = "lorem ipsum dolor sit amet " * 20_000
 
 
@@ -40,7 +42,7 @@ def docs(spark):
         (6, LONG, "s0"),
         (7, "naïve 中文 text with   odd spaces\x1c and <|endoftext|>", "s2"),
     ]
-    full = [(i, t, "en", s, len(t) if t else None, 0.5, "x", 1, 2, 3, 4) for i, t, s in rows]
+    full = [(i, t, "en", s, len(t) if t else None, *range(len(CLASHING))) for i, t, s in rows]
     return spark.createDataFrame(full, DOCS)
 
 
