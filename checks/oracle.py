@@ -322,14 +322,16 @@ PARTS: dict[str, str] = {
     "q_overpayment": """
         SELECT provider_npi, CAST(sum(a) AS DOUBLE) AS upcoding, CAST(sum(b) AS DOUBLE) AS duplicates,
                CAST(sum(c) AS DOUBLE) AS duplicate_copies, CAST(sum(d) AS DOUBLE) AS coverage_gaps,
-               CAST(sum(e) AS DOUBLE) AS mismatch_review
-        FROM (SELECT provider_npi, rec AS a, 0.00 AS b, 0.00 AS c, 0.00 AS d, 0.00 AS e FROM q_upcoding_cost
-              UNION ALL SELECT provider_npi, 0, total_allowed, total_allowed - dearest, 0, 0 FROM q_duplicates
-              UNION ALL SELECT provider_npi, 0, 0, 0, allowed_amount, 0 FROM q_gaps
-              UNION ALL SELECT provider_npi, 0, 0, 0, 0, allowed_amount FROM q_mismatch)
+               CAST(sum(f) AS DOUBLE) AS uncovered_once, CAST(sum(e) AS DOUBLE) AS mismatch_review
+        FROM (SELECT provider_npi, rec AS a, 0.00 AS b, 0.00 AS c, 0.00 AS d, 0.00 AS e, 0.00 AS f FROM q_upcoding_cost
+              UNION ALL SELECT provider_npi, 0, total_allowed, total_allowed - dearest, 0, 0, 0 FROM q_duplicates
+              UNION ALL SELECT provider_npi, 0, 0, 0, allowed_amount, 0, 0 FROM q_gaps
+              UNION ALL SELECT provider_npi, 0, 0, 0, 0, 0, max(allowed_amount) FROM q_gaps
+                        GROUP BY provider_npi, member_id, procedure_code, service_date
+              UNION ALL SELECT provider_npi, 0, 0, 0, 0, allowed_amount, 0 FROM q_mismatch)
         GROUP BY provider_npi""",
     "q_impact": f"""
-        SELECT provider_npi, {rnd('duplicate_copies + coverage_gaps', 2)} AS impact_low,
+        SELECT provider_npi, {rnd('duplicate_copies + uncovered_once', 2)} AS impact_low,
                {rnd('duplicates + coverage_gaps + upcoding', 2)} AS impact_mid,
                {rnd('duplicates + coverage_gaps + upcoding + mismatch_review', 2)} AS impact_high,
                {rnd('(duplicates + coverage_gaps + upcoding) * 365 / 366', 2)} AS annualized_exposure

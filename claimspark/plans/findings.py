@@ -86,6 +86,15 @@ RULES: dict[str, Rule] = {
 }
 
 
+def _by_copies(claims: DataFrame) -> DataFrame:
+    """Claims that agree on provider, member, procedure and day as one row: how many, their sum, the costliest."""
+    return claims.groupBy("provider_npi", "member_id", "procedure_code", "service_date").agg(
+        F.count("*").alias("claims"),
+        F.sum("allowed_amount").alias("total_allowed"),
+        F.max("allowed_amount").alias("dearest_copy"),
+    )
+
+
 def _score(
     concept: str,
     rows: DataFrame,
@@ -141,7 +150,8 @@ def provider_scores(
     (provider_npi, concept, row_count, score, amount, recoverable, certain):
     ``amount`` is the money involved, ``recoverable`` the estimated overpayment and
     ``certain`` the part of it that needs no judgement (the costliest copy of a
-    duplicate is not in it). Scores are not rounded. ``concepts`` limits the work to some of them and
+    duplicate is not in it; of copies without coverage only the costliest is, so that
+    the certain parts of both can be added). Scores are not rounded. ``concepts`` limits the work to some of them and
     ``options`` are passed to the operators by name.
 
     The table has at most one row per provider and concept however many claims
@@ -192,7 +202,7 @@ def provider_scores(
             rows(member_utilization_spike, exact=True).where("spike_ratio is not null"), F.max("spike_ratio"),
         ),
         "coverage_gap_claims": lambda: (
-            rows(coverage_gap_claims), F.count("*"), allowed, allowed, allowed,
+            _by_copies(rows(coverage_gap_claims)), F.sum("claims"), total, total, F.sum("dearest_copy"), F.sum("claims"),
         ),
         "retroactive_eligibility": lambda: (
             rows(retroactive_eligibility), F.max("days_retroactive"), total,

@@ -32,6 +32,7 @@ OVERPAYMENT_CAUSES = {
     "duplicates": ("duplicate_claims", "recoverable"),
     "duplicate_copies": ("duplicate_claims", "certain"),
     "coverage_gaps": ("coverage_gap_claims", "recoverable"),
+    "uncovered_once": ("coverage_gap_claims", "certain"),
     "mismatch_review": ("provider_specialty_mismatch", "amount"),
 }
 OVERPAYMENT_CONCEPTS = tuple(dict.fromkeys(concept for concept, _ in OVERPAYMENT_CAUSES.values()))
@@ -47,8 +48,9 @@ def overpayment(scores: DataFrame) -> DataFrame:
     ``upcoding``: visits beyond the specialty's share of each code, at its mean
     price, at least zero. ``duplicates``: full amount of duplicate groups, of which
     ``duplicate_copies`` beyond the costliest copy. ``coverage_gaps``: full amount
-    of uncovered claims. ``mismatch_review`` is kept apart, for review. A claim
-    that has two causes counts under both.
+    of uncovered claims, of which ``uncovered_once`` without further copies.
+    ``mismatch_review`` is kept apart, for review. A claim that has two causes counts
+    under both, but not in ``duplicate_copies`` and ``uncovered_once``.
     """
     return (
         scores.where(F.col("concept").isin(*OVERPAYMENT_CONCEPTS))
@@ -63,11 +65,12 @@ def overpayment(scores: DataFrame) -> DataFrame:
 def impact_summary(estimates: DataFrame, start: date | str, end: date | str) -> DataFrame:
     """Low, mid and high estimate per provider, and the mid estimate per year.
 
-    Low: copies beyond the first and uncovered claims. Mid: and first copies and
-    upcoding. High: and procedures outside the specialty.
+    Low: copies beyond the costliest, and uncovered claims that are not such copies.
+    Mid: all copies, uncovered claims and upcoding. High: and procedures outside the
+    specialty.
     """
     days = (as_date(end) - as_date(start)).days + 1
-    low = F.col("duplicate_copies") + F.col("coverage_gaps")
+    low = F.col("duplicate_copies") + F.col("uncovered_once")
     mid = F.col("duplicates") + F.col("coverage_gaps") + F.col("upcoding")
     return estimates.select(
         "provider_npi",

@@ -99,7 +99,8 @@ def test_findings_to_report(case, spark, rows):
     assert costs["A"].mismatch_review == 700.0 and costs["B"].coverage_gaps == 0.0
 
     impact = {r.provider_npi: r for r in impact_summary(overpayment(scores), *YEAR).collect()}["A"]
-    assert impact.impact_low == 1000.0
+    # All of A's 700 are uncovered, 300 of them further copies: a claim counts once.
+    assert impact.impact_low == 700.0
     assert impact.impact_mid == pytest.approx(1400.0 + costs["A"].upcoding)
     assert impact.impact_high == pytest.approx(impact.impact_mid + 700.0)
     assert impact.annualized_exposure == impact.impact_mid
