@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_ROWS, MAX_BYTES = 2048, 16 << 20
+MAX_ROWS, MAX_BYTES = 1024, 4 << 20
 
 
 def slices(batches, column: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +32,7 @@ class Tokens:
     """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.path = path
         with open(path, encoding="utf-8") as file:
             ranks = _ranks(json.load(file))
         self.ranked = None
@@ -45,6 +41,15 @@ class Tokens:
 
             self.ranked = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        return tokenizer
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.ranked:
             found = map(self.ranked.encode_ordinary, texts)

@@ -33,12 +33,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def let_workers_import(spark: SparkSession) -> None:
-    """Put the folder of this library on the import path of Python workers, as it is on the driver's.
+#: Rows that Python workers are sent at a time: texts are a few kilobytes, some a hundred.
+ROWS_SENT = 2_000
 
-    Where workers have the files at the same place (one machine, a shared folder) that is
-    all they need; elsewhere the library is installed or given with ``--py-files``.
+
+def prepare(spark: SparkSession) -> None:
+    """Small batches for Python workers, and this library on their import path.
+
+    Workers that have its files at the same place (one machine, a shared folder) need no
+    more; elsewhere the library is installed or given with ``--py-files``.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_SENT)
     folder = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -47,7 +52,7 @@ def let_workers_import(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    let_workers_import(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

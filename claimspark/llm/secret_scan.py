@@ -101,7 +101,7 @@ def scan(docs: DataFrame, text: str = "text", rules: Mapping[str, tuple[str, boo
     Offsets count code points, the end is exclusive. A null or empty text has no
     spans; repeated rows give repeated results; an empty table gives an empty one.
     Columns of ``docs`` are kept and one called ``spans`` is replaced. There is no
-    shuffle, and a task holds 16 MB of text, or one long text, at a time.
+    shuffle, and a task holds 4 MB of text, or one long text, at a time.
     """
     names = tuple(sorted(rules)) if rules is not RULES else tuple(rules)
     frozen = tuple((name, rules[name]) for name in names)

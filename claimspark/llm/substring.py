@@ -27,6 +27,8 @@ from claimspark.llm.words import least_in_zone, selected, windows, word_hashes
 #: Lengths are halved until they are no longer than this.
 SHORTEST = 8
 LAST = (1 << 63) - 1
+#: Rows and bytes of text that are judged together before the shuffle.
+JUDGED = (4096, 16 << 20)
 
 _SEED = "place long, ord long, tag long, pos int, kind int"
 _WINDOW = "place long, ord long, tag long, pos int, size int, kind int, hashes array<long>"
@@ -90,7 +92,7 @@ def _repeated(rows: DataFrame, previous: int, length: int, zone: int) -> DataFra
     """(ord, tag, held): places of the judged windows of ``length`` words that occur under more than one doc_id."""
 
     def work(batches) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", *JUDGED):
             ords, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "tag"))
             parts = []
             for row, found, allowed, _, _ in _batch(batch, previous, length):
@@ -132,7 +134,7 @@ def _removed(rows: DataFrame, previous: int, window: int) -> DataFrame:
     """(ord, tag, runs): where windows begin that also begin in a document with a smaller doc_id, as (pos, size)."""
 
     def work(batches) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", *JUDGED):
             ords, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "tag"))
             parts = []
             for row, found, allowed, shared, least in _batch(batch, previous, window):
