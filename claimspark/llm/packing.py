@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache, cached_property
@@ -28,7 +29,8 @@ class Tokens:
 
     A plain byte-level file (words split by ``SPLIT``, ids in the order of the merges) is
     also what rank-based encoders read; those are several times faster, give the same
-    ids, and are used for such a file. Any other file is left to its own library.
+    ids, and are used for such a file. Any other file is left to its own library, and so
+    is a text whose white space would overrun the stack of the encoder's word pattern.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,11 +53,20 @@ class Tokens:
         return tokenizer
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.ranked:
-            found = map(self.ranked.encode_ordinary, texts)
-        else:
-            found = (e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False))
-        return [np.array(ids, "<u4").tobytes() for ids in found]
+        return [np.array(self._ids(text), "<u4").tobytes() for text in texts]
+
+    def _ids(self, text: str) -> list[int]:
+        if self.ranked and not _long_space(text):
+            return self.ranked.encode_ordinary(text)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+#: White space in a row that the rank-based encoder is given at most; it fails at some 1,000,000 characters.
+SPACE = 250_000
+
+
+def _long_space(text: str) -> bool:
+    return len(text) > SPACE and any(run.end() - run.start() > SPACE for run in re.finditer(r"\s+", text))
 
 
 #: How byte-level files split a text into words: a fixed value.

@@ -13,6 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from claimspark.llm import embedding_dedup, grouping, packing, quality, secret_scan, sharding, simhash, substring, topk
 from claimspark.llm.automaton import Automaton
@@ -228,6 +229,20 @@ def test_tokens_are_those_of_the_tokenizer(texts):
     assert tokens.encode(texts) == whole
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" + " \u3000" * 600_000 + "b"], ids=["spaces", "newlines", "between"])
+def test_white_space_of_any_length_has_ids(text):
+    tokens = packing._tokens(tokenizer_path())
+    whole = Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False)
+    assert tokens.encode([text, "b"]) == [np.array(whole.ids, "<u4").tobytes(), tokens.encode(["b"])[0]]
+
+
+def test_packing_a_document_of_white_space(spark):
+    rows = spark.createDataFrame([(1, "\n" * 2_000_000), (2, "some words")], "doc_id long, text string")
+    found = packing.pack(rows, tokenizer_path(), 2048).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    sizes = {1: len(Tokenizer.from_file(tokenizer_path()).encode("\n" * 2_000_000).ids) + 1, 2: 3}
+    assert {r["doc_id"]: r["n"] for r in found} == sizes
+
+
 def test_packed_ids_are_the_documents_ids(spark):
     texts = corpus(8, 60)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
