@@ -30,13 +30,16 @@ class Tokens:
     A plain byte-level file (words split by ``SPLIT``, ids in the order of the merges) is
     also what rank-based encoders read; those are several times faster, give the same
     ids, and are used for such a file. Any other file is left to its own library, and so
-    is a text whose white space would overrun the stack of the encoder's word pattern.
+    is a text that holds the content of an added token (there it is that token), or whose
+    white space would overrun the stack of the encoder's word pattern.
     """
 
     def __init__(self, path: str) -> None:
         self.path = path
         with open(path, encoding="utf-8") as file:
-            ranks = _ranks(json.load(file))
+            held = json.load(file)
+        ranks = _ranks(held)
+        self.added = [added["content"] for added in held.get("added_tokens", [])]
         self.ranked = None
         if ranks:
             import tiktoken
@@ -48,15 +51,13 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(self.path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        return tokenizer
+        return Tokenizer.from_file(self.path)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(self._ids(text), "<u4").tobytes() for text in texts]
 
     def _ids(self, text: str) -> list[int]:
-        if self.ranked and not _long_space(text):
+        if self.ranked and not _long_space(text) and not any(content in text for content in self.added):
             return self.ranked.encode_ordinary(text)
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 

@@ -236,6 +236,16 @@ def test_white_space_of_any_length_has_ids(text):
     assert tokens.encode([text, "b"]) == [np.array(whole.ids, "<u4").tobytes(), tokens.encode(["b"])[0]]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "some", "1é"]), max_size=8).map("".join), max_size=6))
+def test_added_tokens_are_those_of_the_unmodified_tokenizer(texts):
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    texts = ["some text <|endoftext|> more", *texts]
+    whole = [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    assert packing._tokens(tokenizer_path()).encode(texts) == whole
+    assert np.frombuffer(whole[0], "<u4").tolist() == [11246, 2420, 220, 50256, 517]
+
+
 def test_packing_a_document_of_white_space(spark):
     rows = spark.createDataFrame([(1, "\n" * 2_000_000), (2, "some words")], "doc_id long, text string")
     found = packing.pack(rows, tokenizer_path(), 2048).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
