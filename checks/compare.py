@@ -40,7 +40,7 @@ def normal(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame[sorted(frame.columns)]
 
     def text(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "<null>"
         if hasattr(v, "date") and callable(v.date):
             v = v.date()
