@@ -49,7 +49,8 @@ from claimspark.sources.load import (
     table_counts,
 )
 from claimspark.sources.schemas import SCHEMAS
-from claimspark.streaming.ingest import ingest
+from claimspark.streaming.ingest import append_new, create_target, ingest, target_rows
+from claimspark.streaming.membership import BUCKET, key_bucket, parts_that_may_hold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -607,6 +608,69 @@ def streamed_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("incremental_ingest", streamed_eligibility, with_needed("SELECT * FROM eligibility"))
 
 
+def texts_with_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as a column of the map's CSV, line breaks and quotes included."""
+    path = scratch_path(spark, "csv")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("procedure_code"), F.col("text").alias("expected_specialty"), F.col("source").alias("category")
+    )
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"', "nullValue": "NULL"}
+    docs.coalesce(1).write.options(header=True, **kept).csv(f"{path}/specialty_procedure_map.csv")
+    found = load_tables(spark, path, ["specialty_procedure_map"], multi_line=True)["specialty_procedure_map"]
+    return found.select("procedure_code", "category", F.length("expected_specialty").alias("n_chars"), F.sha2("expected_specialty", 256).alias("sha256"))
+
+
+register(
+    "load_line_breaks",
+    texts_with_line_breaks,
+    """SELECT CAST(doc_id AS VARCHAR) AS procedure_code, source AS category, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS sha256
+       FROM (SELECT doc_id, source, nullif(text, '') AS text FROM documents)""",
+)
+
+
+def eligibility_in_two_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the coverage's files have their columns in the opposite order."""
+    path, rows = scratch_path(spark, "csv"), claims_tables(spark, sf_dir)["eligibility"]
+    half = F.pmod(F.xxhash64("eligibility_id"), F.lit(2)) == 0
+    for chosen, columns in ((half, rows.columns), (~half, rows.columns[::-1])):
+        rows.where(chosen).select(*columns).write.mode("append").option("header", True).csv(f"{path}/eligibility.csv")
+    return load_tables(spark, path, ["eligibility"])["eligibility"].select(*rows.columns)
+
+
+register("load_two_orders", eligibility_in_two_orders, with_needed("SELECT * FROM eligibility"))
+
+
+def known_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage loaded by quarters; of the orders with low priority and the customers' numbers, those that are loaded ids.
+
+    The index names the parts that may hold them; only these are read.
+    """
+    target = scratch_path(spark, "keyed")
+    index, keys = f"{target}.index", ["eligibility_id"]
+    rows = claims_tables(spark, sf_dir)["eligibility"]
+    full = rows.select(
+        *[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS["eligibility"].fields]
+    )
+    create_target(spark, "eligibility", target, index)
+    for quarter in range(1, 5):  # four loads
+        append_new(spark, "eligibility", full.where(F.quarter("coverage_start") == quarter), target, index, 16)
+    low = table(spark, sf_dir, "orders").where("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").cast("string").alias(keys[0]))
+    other = table(spark, sf_dir, "customer").select(F.concat(F.lit("X"), "c_custkey").alias(keys[0]))
+    asked = low.unionByName(other).withColumn(BUCKET, key_bucket(keys, 16))
+    held = target_rows(spark, "eligibility", target, parts_that_may_hold(spark, index, asked, keys))
+    return asked.select(*keys).join(held.select(*keys, "coverage_start"), keys)
+
+
+register(
+    "known_keys",
+    known_keys,
+    with_needed(
+        """SELECT eligibility_id, coverage_start FROM eligibility
+           WHERE eligibility_id IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '5-LOW')"""
+    ),
+)
+
+
 def clustered_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "clustered")
     write_claims(claims_tables(spark, sf_dir)["claims"], path)

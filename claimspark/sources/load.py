@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 from collections.abc import Iterable
 from functools import reduce
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimspark.functions.periods import Tables
+from claimspark.sources.records import PLACE, PLACE_TYPE, headers, literal, odd_quotes, placed_lines, placed_records
 from claimspark.sources.schemas import PRIMARY_KEYS, SCHEMAS
 
 logger = logging.getLogger(__name__)
@@ -35,7 +37,7 @@ _CSV = {
 def _typed(table: str, header: Iterable[str]) -> T.StructType:
     """The schema of a file with this header: known columns typed, unknown ones as text."""
     known = {f.name.lower(): f for f in SCHEMAS[table].fields}
-    names = [name.strip().lstrip("\ufeff").strip('"').lower() for name in header]
+    names = [name.strip().lower() for name in header]
     if len(set(names)) < len(names) or not known.keys() & set(names):
         raise ValueError(f"not a header of {table}: {list(header)}")
     unknown = [name for name in names if name not in known]
@@ -46,73 +48,56 @@ def _typed(table: str, header: Iterable[str]) -> T.StructType:
     return T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
 
 
-def _in_order(parsed: DataFrame, table: str) -> DataFrame:
-    """The table's columns in their order, absent ones null, and the marked bad records."""
-    there = set(parsed.columns)
+def _in_order(parsed: DataFrame, table: str, there: Iterable[str]) -> DataFrame:
+    """The table's columns in their order, absent ones null, the marked bad records and the rows' places."""
     columns = [
-        (F.col(f.name) if f.name in there else F.lit(None).cast(f.dataType)).alias(f.name) for f in SCHEMAS[table].fields
+        (F.col(f"_row.{f.name}") if f.name in there else F.lit(None).cast(f.dataType)).alias(f.name) for f in SCHEMAS[table].fields
     ]
-    return parsed.select(*columns, CORRUPT)
+    return parsed.select(*columns, CORRUPT, PLACE)
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """The first line's names of a CSV file, or of one file of a folder."""
-    return spark.read.option("header", True).options(**_CSV).csv(path).columns
+def parse_records(records: DataFrame, table: str, header: str) -> DataFrame:
+    """Records (``value``, ``_place``) of files with this header as rows of the table, bad ones marked.
 
-
-def parse_lines(lines: DataFrame, table: str, header: list[str]) -> DataFrame:
-    """Lines (column ``value``) as rows of the table, bad ones marked in ``_corrupt_record``.
-
-    Values are taken by the header's names. A line with an unclosed quote is bad: its
-    value goes on in the next line, which is bad as well. Repeated header lines, one
-    for each file, are passed over; one that names the columns in another order raises
-    an error, because its file would be read wrongly.
+    Values are taken by the header's names. A record whose quotes do not close is bad. The
+    header, one for each file and wherever it is repeated, and blank lines are passed over.
     """
-    schema = _typed(table, header)
-    names = [f.name.lower() for f in schema.fields if f.name != CORRUPT]
-    line = F.regexp_replace(F.col("value"), "[\ufeff\r]", "")
-    asked = F.transform(F.split(line, ","), lambda name: F.lower(F.trim(F.replace(name, F.lit('"')))))
-    is_header = (F.array_sort(asked) == F.array(*[F.lit(n) for n in sorted(names)])) & (F.lit(len(names)) > 0)
-    same = asked == F.array(*[F.lit(n) for n in names])
-    shape = F.when(is_header & ~same, F.raise_error(F.concat(F.lit("a file has its columns in another order: "), line)))
+    schema = _typed(table, next(csv.reader([header.lstrip("\ufeff")])))
+    line = F.col("value")
     parsed = (
-        lines.where(F.trim(line) != "")
-        .where(~F.coalesce(is_header & (shape.isNull()), F.lit(False)))
-        .select(line.alias("_line"), F.from_csv(line, _ddl(schema), _CSV).alias("_row"))
-        .select("_line", "_row.*")
-        .withColumn(CORRUPT, F.when(open_quote_of("_line"), F.col("_line")).otherwise(F.col(CORRUPT)))
+        records.where((line != header) & (F.trim(line) != ""))
+        .select("value", PLACE, F.from_csv(line, _ddl(schema), _CSV).alias("_row"))
+        .withColumn(CORRUPT, F.when(odd_quotes("value"), line).otherwise(F.col(f"_row.{CORRUPT}")))
     )
-    return _in_order(parsed, table)
+    return _in_order(parsed, table, schema.names)
 
 
 def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
-def open_quote_of(column: str) -> Column:
-    """Whether a line has an odd number of quotes."""
-    return (F.length(column) - F.length(F.replace(F.col(column), F.lit('"')))) % 2 == 1
-
-
-def scan_csv(spark: SparkSession, table: str, path: str, *, multi_line: bool = False) -> DataFrame:
-    """All rows of a table's CSV file or folder, bad ones marked in ``_corrupt_record``.
+def scan_csv(spark: SparkSession, table: str, path: str | list[str], *, multi_line: bool = False) -> DataFrame:
+    """All rows of a table's CSV files, bad ones marked in ``_corrupt_record``, with their place in ``_place``.
 
-    Columns are found by the names in the header, whatever their order and letter case.
-    With ``multi_line`` quoted values may hold line breaks; a file is then read by one
-    task, and all files must have the columns in the same order.
+    Columns are found by the names in each file's header, whatever their order and letter
+    case: files with the same header are one scan. With ``multi_line`` quoted values may hold
+    line breaks; large files are still read by many tasks.
     """
-    header = read_header(spark, path)
-    if not header:
-        return _in_order(spark.createDataFrame([], _typed(table, SCHEMAS[table].names)), table)
-    if not multi_line:
-        return parse_lines(spark.read.text(path), table, header)
-    reader = spark.read.schema(_typed(table, header)).options(header=True, multiLine=True, **_CSV)
-    return _in_order(reader.csv(path), table)
-
-
-def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines of a folder's CSV files as a stream; ``parse_lines`` reads them."""
-    return spark.readStream.text(folder)
+    known = headers(spark, path)
+    files: dict[str, list[str]] = {}
+    for file, header in sorted(known.items()):
+        files.setdefault(header, []).append(file)
+    if not files:
+        return _in_order(spark.createDataFrame([], f"{CORRUPT} string, {PLACE} {PLACE_TYPE}"), table, [])
+    read = placed_records if multi_line else placed_lines
+    return reduce(
+        DataFrame.unionByName,
+        # a path is listed once for all of its files; groups of files are named
+        [
+            parse_records(read(spark, path if len(files) == 1 else [literal(f) for f in own]), table, header)
+            for header, own in files.items()
+        ],
+    )
 
 
 def split_rejects(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +106,7 @@ def split_rejects(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     The parser checks only the columns that a query reads. Both halves therefore
     refer to every column, so that a line is good or bad whatever is selected.
     """
-    values = [F.col(c).cast("string") for c in scanned.columns if c != CORRUPT]
+    values = [F.col(c).cast("string") for c in scanned.columns if c not in (CORRUPT, PLACE)]
     line = F.coalesce(F.col(CORRUPT), F.left(F.concat_ws("", *values), F.lit(0)))
     good = scanned.where(line == "").drop(CORRUPT)
     return good, scanned.where(line != "").select(line.alias("line"))
@@ -183,8 +168,9 @@ def load_tables(
     breaks in quoted values.
 
     A missing table is logged and left out. Rows with a bad value are left out
-    (see ``load_rejects``), and the first row of each primary key is kept. Any
-    path that Hadoop can read will do, object stores included.
+    (see ``load_rejects``), and of each primary key the row is kept that stands first: in
+    the first of its files by name, on the first line there. Any path that Hadoop can read
+    will do, object stores included.
     """
     tables: dict[str, DataFrame] = {}
     for table in PRIMARY_KEYS if names is None else names:
@@ -195,7 +181,7 @@ def load_tables(
                 raise
             logger.warning("no file for table %s under %s, skipped", table, path)
             continue
-        tables[table] = keep_first(split_rejects(scanned)[0], PRIMARY_KEYS[table])
+        tables[table] = keep_first(split_rejects(scanned)[0], PRIMARY_KEYS[table], [PLACE]).drop(PLACE)
     return tables
 
 

@@ -2,33 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from claimspark.functions.scratch import materialise
-from claimspark.sources.load import new_rows, parse_lines, read_header, split_rejects, stream_lines
+from claimspark.sources.load import new_rows, scan_csv, split_rejects
+from claimspark.sources.records import PLACE, literal
 from claimspark.sources.schemas import PRIMARY_KEYS, SCHEMAS
+from claimspark.streaming.membership import BUCKET, LOAD, add_to_index, create_index, key_bucket, known_parts, parts_that_may_hold
 
-# Parts of the target by a hash of the key; a batch reads the parts that its keys fall in.
+# Parts of the target by a hash of the key; a batch reads only parts that its keys fall in.
 BUCKETS = 64
-BUCKET = "key_bucket"
 
 
-def key_bucket(keys: list[str], buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+def _stored(table: str) -> T.StructType:
+    return T.StructType([*SCHEMAS[table].fields, T.StructField(BUCKET, T.IntegerType()), T.StructField(LOAD, T.IntegerType())])
 
 
-def target_rows(spark: SparkSession, table: str, target: str, batch: DataFrame | None = None) -> DataFrame:
-    """The target's rows; with ``batch`` (column ``key_bucket``) only the parts that may hold its keys.
+def target_rows(spark: SparkSession, table: str, target: str, parts: list[tuple[int, int]] | None = None) -> DataFrame:
+    """The target's rows; with ``parts`` (load, key_bucket) only theirs."""
+    reader = spark.read.schema(_stored(table)).option("basePath", target)
+    if parts is None:
+        return reader.parquet(target).select(*SCHEMAS[table].names)
+    paths = [f"{target}/{BUCKET}={bucket}/{LOAD}={load}" for load, bucket in parts]
+    if not paths:
+        return spark.createDataFrame([], SCHEMAS[table])
+    # a part that was announced and never written is not there
+    return reader.option("ignoreMissingFiles", True).parquet(*_there(spark, paths)).select(*SCHEMAS[table].names)
 
-    The parts are a partition filter: at most as many numbers as there are parts.
+
+def _there(spark: SparkSession, paths: list[str]) -> list[str]:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    files = hadoop(paths[0]).getFileSystem(configuration)
+    return [path for path in paths if files.exists(hadoop(path))]
+
+
+def append_new(
+    spark: SparkSession, table: str, rows: DataFrame, target: str, index: str, buckets: int = BUCKETS, order: list[str] | None = None
+) -> list[tuple[int, int]]:
+    """Append the rows whose key the target does not hold, one per key, and return the parts that were read for it.
+
+    The index names the parts that may hold the batch's keys; only their rows are compared.
+    New parts are entered in the index before they are written: if the write fails, the index
+    names parts without rows, and no row is ever outside the index.
     """
-    rows = spark.read.schema(T.StructType([*SCHEMAS[table].fields, T.StructField(BUCKET, T.IntegerType())])).parquet(target)
-    if batch is not None:
-        rows = rows.where(F.col(BUCKET).isin([r[0] for r in batch.select(BUCKET).distinct().collect()]))
-    return rows.select(*SCHEMAS[table].names)
+    keys, names = PRIMARY_KEYS[table], SCHEMAS[table].names
+    incoming = rows.withColumn(BUCKET, key_bucket(keys, buckets))
+    parts = parts_that_may_hold(spark, index, incoming, keys)
+    known = target_rows(spark, table, target, parts)
+    fresh = new_rows(rows, known, keys, order).select(*names)
+    last = known_parts(spark, index).agg(F.max(LOAD)).first()[0]
+    number = F.lit(0 if last is None else last + 1)
+    fresh = materialise(fresh.withColumn(BUCKET, key_bucket(keys, buckets)).withColumn(LOAD, number), "fresh")
+    add_to_index(fresh, keys, index)
+    fresh.repartition(BUCKET).write.mode("append").partitionBy(BUCKET, LOAD).parquet(target)
+    return parts
+
+
+def create_target(spark: SparkSession, table: str, target: str, index: str) -> None:
+    """An empty target with an empty index, unless they are there."""
+    spark.createDataFrame([], _stored(table)).write.mode("ignore").partitionBy(BUCKET, LOAD).parquet(target)
+    create_index(spark, index)
 
 
 def ingest(
@@ -39,34 +76,38 @@ def ingest(
     rejects: str,
     checkpoint: str,
     buckets: int = BUCKETS,
+    index: str | None = None,
+    multi_line: bool = False,
 ) -> StreamingQuery:
     """Append the new rows of a table's CSV folder to its Parquet folder and stop.
 
     The checkpoint remembers which files were loaded, so a repeated run loads only
-    new ones. Within a batch the first row of a key is kept, and keys already in
-    the target are left out. Lines that do not fit the schema go to
+    new ones. Within a batch the row of a key is kept that stands first in the files, and keys
+    already in the target are left out. Lines that do not fit the schema go to
     ``<rejects>/batch=<number>``, which a batch that is run again replaces; its good rows
-    it finds in the target. All files have the columns in the order of the first one's
-    header. The target is partitioned by a hash of the key and must keep its number of
-    ``buckets``.
+    it finds in the target. Files are read by their own headers. The target is partitioned by
+    a hash of the key and must keep its number of ``buckets``; an index of its keys
+    (``index``, by default beside it) says which parts of it a batch must read.
     """
-    keys = PRIMARY_KEYS[table]
-    # The first run starts from an empty target.
-    empty = spark.createDataFrame([], SCHEMAS[table]).withColumn(BUCKET, F.lit(0))
-    empty.write.mode("ignore").partitionBy(BUCKET).parquet(target)
-    header = read_header(spark, source)
-
-    def append(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        good, bad = split_rejects(materialise(parse_lines(batch, table, header), "ingest"))
-        incoming = good.withColumn(BUCKET, key_bucket(keys, buckets))
-        known = target_rows(session, table, target, incoming)
-        fresh = new_rows(good, known, keys).withColumn(BUCKET, key_bucket(keys, buckets))
-        fresh.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(target)
+    target = target.rstrip("/")
+    index = index or f"{target}.index"
+    create_target(spark, table, target, index)
+
+    def append(files: DataFrame, number: int) -> None:
+        session = files.sparkSession
+        paths = [literal(row["path"], encoded=False) for row in files.collect()]  # a row for each new file
+        if not paths:
+            return
+        parsed = materialise(scan_csv(session, table, paths, multi_line=multi_line), "ingest")
+        good, bad = split_rejects(parsed)
+        append_new(session, table, good, target, index, buckets, [PLACE])
         bad.write.mode("overwrite").text(f"{rejects}/batch={number}")
 
+    # the stream is of the files' names; their content is left out of it and read once, by header
+    names = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     return (
-        stream_lines(spark, source)
+        names.load(source)
+        .select("path")
         .writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

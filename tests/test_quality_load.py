@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pathlib
+import random
 from datetime import date
 
 import pytest
@@ -16,8 +18,11 @@ from claimspark.operators.quality import (
     validate_result,
 )
 from claimspark.sources.layout import read_claims, read_eligibility, write_claims, write_eligibility
-from claimspark.sources.load import keep_first, load_rejects, load_tables, new_rows, null_tokens, table_counts
-from claimspark.streaming.ingest import BUCKET, ingest, key_bucket, target_rows
+from claimspark.sources.load import keep_first, load_rejects, load_tables, new_rows, null_tokens, scan_csv, split_rejects, table_counts
+from claimspark.sources.records import placed_records
+from claimspark.sources.schemas import SCHEMAS
+from claimspark.streaming.ingest import append_new, create_target, ingest, target_rows
+from claimspark.streaming.membership import BUCKET, LOAD, add_to_index, create_index, key_bucket, parts_that_may_hold
 
 
 def test_mask_columns(spark):
@@ -172,13 +177,80 @@ def test_columns_by_header_name(spark, tmp_path, caplog):
     assert "extra" in caplog.text
 
 
-def test_files_with_other_orders_are_refused(spark, tmp_path):
+def test_files_with_other_orders_are_read_by_their_own_headers(spark, tmp_path):
     folder = tmp_path / "specialty_procedure_map.csv"
     folder.mkdir()
-    (folder / "a.csv").write_text(MAP + "1,2,3\n")
-    (folder / "b.csv").write_text("category,expected_specialty,procedure_code\n1,2,3\n")
-    with pytest.raises(Exception, match="another order"):
-        load_tables(spark, str(tmp_path), ["specialty_procedure_map"])["specialty_procedure_map"].collect()
+    (folder / "a, b%20[1].csv").write_text("\n \n" + MAP + "1,2,3\n")
+    (folder / "b c.csv").write_text("\ufeffcategory,expected_specialty,procedure_code\r\n3,2,11\r\n")
+    (folder / "c.csv").write_text("value,CATEGORY,_place,procedure_code,_row\nv,z,w,12,x\n")
+    (folder / "d.csv").write_text("")
+    found = load_tables(spark, str(tmp_path), ["specialty_procedure_map"])["specialty_procedure_map"]
+    assert sorted(tuple(str(v) for v in r) for r in found.collect()) == [("1", "2", "3"), ("11", "2", "3"), ("12", "None", "z")]
+    (folder / "e.csv").write_text("no,names\n1,2\n")
+    with pytest.raises(ValueError, match="not a header"):
+        load_tables(spark, str(tmp_path), ["specialty_procedure_map"])
+
+
+def test_the_first_line_of_a_key_stays(spark, tmp_path):
+    folder = tmp_path / "specialty_procedure_map.csv"
+    folder.mkdir()
+    many = "".join(f"{n},z,{n}\n" for n in range(5000))
+    (folder / "a.csv").write_text(MAP + many + "k,a,later\n1,z,late\n")
+    (folder / "b.csv").write_text("category,expected_specialty,procedure_code\nfirst of b,a,k2\nsecond of file b,a,k\nalso,z,1\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = load_tables(spark, str(tmp_path), ["specialty_procedure_map"])["specialty_procedure_map"]
+        assert found.count() == 5002
+        by = {r.procedure_code: r.category for r in found.where("procedure_code in ('k', 'k2', '1')").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert by == {"k": "later", "k2": "first of b", "1": "1"}
+
+
+@pytest.mark.parametrize("size", [64, 500, 1 << 20])
+def test_records_with_line_breaks_are_cut_at_any_block_size(spark, tmp_path, size):
+    """Equal to Spark's own reader of such files, which has one task a file."""
+    rng = random.Random(size)
+    folder = tmp_path / "specialty_procedure_map.csv"
+    folder.mkdir()
+    for file in range(3):
+        rows = []
+        for n in range(120):
+            kind = rng.random()
+            text = "plain" if kind < 0.5 else '"' + "\n".join("x" * rng.randint(0, 40) + rng.choice(["", '""', ","]) for _ in range(rng.randint(1, 12))) + '"'
+            rows.append(f"{file}-{n},{text},c")
+        (folder / f"{file}.csv").write_text(MAP + "\n".join(rows) + "\n")
+    (folder / "open.csv").write_text(MAP + 'o1,a,b\no2,"a,b\no3,a,b\n')
+    schema = "procedure_code string, expected_specialty string, category string"
+    plain = spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"').csv(f"{folder}/[0-9].csv")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        scanned = scan_csv(spark, "specialty_procedure_map", str(folder), multi_line=True)
+        tasks = placed_records(spark, str(folder)).rdd.getNumPartitions()
+        good, bad = split_rejects(scanned)
+        found = sorted(tuple(r) for r in good.drop("_place").collect())
+        rejects = [r.line for r in bad.collect()]
+        places = [tuple(r["_place"]) for r in scanned.select("_place").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert found == sorted([tuple(r) for r in plain.collect()] + [("o1", "a", "b"), ("o3", "a", "b")])
+    assert rejects == ['o2,"a,b'] and len(set(places)) == len(places) == 363
+    assert tasks > 4 or size > 500
+
+
+def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
+    path = tmp_path / "specialty_procedure_map.csv"
+    path.write_text(MAP + "".join(f'{n},"two\nlines",c\n' for n in range(2000)))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 8192)
+    try:
+        scanned = scan_csv(spark, "specialty_procedure_map", str(path), multi_line=True)
+        assert scanned.rdd.getNumPartitions() >= 5
+        assert scanned.where("expected_specialty = 'two\nlines'").count() == 2000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
 
 
 def test_line_breaks_in_quotes(spark, tmp_path):
@@ -198,15 +270,53 @@ def test_rows_without_a_key_stay_and_are_loaded_once(spark, rows):
     assert rows(new_rows(df, df, ["k"])) == []
 
 
-def test_ingest_reads_the_parts_of_its_keys(build, spark, tmp_path):
-    good = build(eligibility=[{"eligibility_id": f"E{i}"} for i in range(40)])["eligibility"]
-    placed = good.withColumn(BUCKET, key_bucket(["eligibility_id"]))
-    placed.write.partitionBy(BUCKET).parquet(f"{tmp_path}/out")
-    one = placed.where("eligibility_id = 'E3'")
-    part = target_rows(spark, "eligibility", f"{tmp_path}/out", one)
-    plan = part._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and BUCKET in plan.split("PartitionFilters: [")[1].split("]")[0]
-    assert 1 <= part.count() < 40 and part.where("eligibility_id = 'E3'").count() == 1
+def stored_keys(spark, tmp_path, loads, each, buckets):
+    """A target of ``loads`` loads with ``each`` keys, entered in its index."""
+    target, index = f"{tmp_path}/out", f"{tmp_path}/out.index"
+    keys = spark.range(loads * each).select(
+        F.concat(F.lit("E"), F.xxhash64("id")).alias("eligibility_id"), (F.col("id") % loads).cast("int").alias(LOAD),
+        *[F.sha2(F.concat(F.lit(name), F.col("id")), 256).alias(name) for name in ("member_id", "plan_code", "coverage_type", "status")],
+    )
+    rows = keys.withColumn(BUCKET, key_bucket(["eligibility_id"], buckets)).cache()
+    create_target(spark, "eligibility", target, index)
+    rows.repartition(8, BUCKET).write.mode("append").partitionBy(BUCKET, LOAD).parquet(target)
+    add_to_index(rows, ["eligibility_id"], index)
+    return target, index, rows
+
+
+def size_of(folder):
+    return sum(f.stat().st_size for f in pathlib.Path(folder).rglob("*.parquet"))
+
+
+def test_a_batch_reads_few_of_many_parts(spark, tmp_path):
+    target, index, rows = stored_keys(spark, tmp_path, 16, 12_800, 64)
+    new = spark.range(1000).select(F.concat(F.lit("E"), F.xxhash64(F.lit("new"), "id")).alias("eligibility_id"))
+    batch = new.withColumn(BUCKET, key_bucket(["eligibility_id"], 64))
+    parts = parts_that_may_hold(spark, index, batch, ["eligibility_id"])
+    read = sum(size_of(f"{target}/{BUCKET}={bucket}/{LOAD}={load}") for load, bucket in parts) + size_of(index)
+    assert len(list(pathlib.Path(target).rglob("*.parquet"))) >= 1000 and read < 0.05 * size_of(target)
+    known = rows.where("load in (3, 7)").orderBy("eligibility_id").limit(10)
+    parts = set(parts_that_may_hold(spark, index, known.select("eligibility_id", BUCKET), ["eligibility_id"]))
+    assert {(r[LOAD], r[BUCKET]) for r in known.collect()} <= parts and len(parts) < 40
+
+
+def test_the_index_never_misses_a_key(spark, tmp_path):
+    target, index, rows = stored_keys(spark, tmp_path, 3, 400, 4)
+    some = rows.where("load = 1").select("eligibility_id", BUCKET)
+    more = some.unionByName(spark.createDataFrame([(None, 0), ("zzz", 1), ("A", 2)], "eligibility_id string, key_bucket int"))
+    assert {(1, b) for b in range(4)} <= set(parts_that_may_hold(spark, index, more, ["eligibility_id"]))
+    incoming = spark.createDataFrame([{}], "x int").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS["eligibility"].fields])
+    incoming = incoming.unionByName(rows.where("load = 2").select("eligibility_id"), allowMissingColumns=True)
+    for again in (False, True):  # a row without a key, and 400 that are there
+        parts = append_new(spark, "eligibility", incoming, target, index, 4)
+        assert target_rows(spark, "eligibility", target).count() == 1201
+    # two keys in a key: a null in it is a value of the index
+    two = spark.createDataFrame([("a", None, 0, 0), (None, "b", 0, 0)], f"x string, y string, {BUCKET} int, {LOAD} int")
+    create_index(spark, f"{tmp_path}/two")
+    add_to_index(two, ["x", "y"], f"{tmp_path}/two")
+    for row in (["a", None], [None, "b"]):
+        one = spark.createDataFrame([(*row, 0)], f"x string, y string, {BUCKET} int")
+        assert parts_that_may_hold(spark, f"{tmp_path}/two", one, ["x", "y"]) == [(0, 0)]
 
 
 def test_a_repeated_batch_replaces_its_rejects(spark, tmp_path):
