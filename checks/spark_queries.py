@@ -15,6 +15,7 @@ from claimspark.functions.privacy import mask_pii, mask_text
 from claimspark.functions.scratch import materialise, scratch_path
 from claimspark.operators import claims as C
 from claimspark.operators import eligibility as E
+from claimspark.operators import graph as G
 from claimspark.operators import member as M
 from claimspark.operators import network as N
 from claimspark.operators import provider as P
@@ -264,6 +265,80 @@ register(
            WHERE a.referring_npi < a.rendering_npi"""
     ),
 )
+for _least, _name in ((1, "referral_rings"), (4, "referral_rings_4")):
+    register(
+        _name,
+        over_period(G.referral_rings, min_referrals=_least),
+        with_needed(
+            """SELECT node AS provider_npi, ring, count(*) OVER (PARTITION BY ring) AS ring_size, ring_referrals
+               FROM q_ring_members JOIN q_ring_sums USING (ring)""",
+            {
+                "q_arcs": f"""SELECT referring_npi AS a, rendering_npi AS b, referral_count AS n FROM q_edges
+                    WHERE referral_count >= {_least} AND referring_npi <> rendering_npi""",
+                "q_ways": "SELECT a, b FROM q_arcs UNION SELECT w.a, e.b FROM q_ways w JOIN q_arcs e ON w.b = e.a",
+                "q_ring_members": """SELECT x.a AS node, min(x.b) AS ring FROM q_ways x JOIN q_ways y ON x.a = y.b AND x.b = y.a
+                    GROUP BY x.a HAVING count(*) > 1""",
+                "q_ring_sums": """SELECT m.ring, CAST(sum(n) AS BIGINT) AS ring_referrals FROM q_arcs
+                    JOIN q_ring_members m ON m.node = a JOIN q_ring_members o ON o.node = b AND o.ring = m.ring GROUP BY m.ring""",
+            },
+            recursive=True,
+        ),
+    )
+register(
+    "provider_cores",
+    over_period(G.provider_cores, min_shared=2),
+    with_needed(
+        """SELECT node AS provider_npi, degree AS partners, core, dense_group
+           FROM q_last LEFT JOIN (SELECT a AS node, min(b) AS dense_group FROM q_dense_reach GROUP BY a) USING (node)""",
+        {
+            "q_links": "SELECT provider_npi AS a, other_provider AS b FROM q_pairs WHERE shared_patients >= 2",
+            "q_sides": "SELECT a, b FROM q_links UNION SELECT b, a FROM q_links",
+            # as many rounds as there can be: each lowers a number that is below 40 here
+            "q_rounds": """
+                SELECT 0 AS round, a AS node, count(*) AS degree, count(*) AS core FROM q_sides GROUP BY a
+                UNION ALL
+                SELECT round + 1, node, degree, max(least(h, n)) FROM (
+                    SELECT c.round, c.node, c.degree, least(o.core, c.core) AS h,
+                           count(*) OVER (PARTITION BY c.node ORDER BY least(o.core, c.core) DESC) AS n
+                    FROM q_rounds c JOIN q_sides e ON e.a = c.node JOIN q_rounds o ON o.node = e.b WHERE c.round < 40)
+                GROUP BY round, node, degree""",
+            "q_last": "SELECT node, degree, core FROM q_rounds WHERE round = 40",
+            "q_dense": """SELECT a, b FROM q_sides WHERE a IN (SELECT node FROM q_last WHERE core >= 2)
+                AND b IN (SELECT node FROM q_last WHERE core >= 2)""",
+            "q_dense_reach": """SELECT a, a AS b FROM q_dense UNION SELECT r.a, d.b FROM q_dense_reach r JOIN q_dense d ON r.b = d.a""",
+        },
+        recursive=True,
+    ),
+)
+
+
+def _gram_sets(text: str, rows: str) -> dict[str, str]:
+    """SQL for the distinct runs of three characters of each distinct text."""
+    return {
+        "q_texts": f"SELECT DISTINCT {text} AS text FROM {rows}",
+        "q_sets": """SELECT text, list_distinct(list_transform(range(1, len(text) + 3),
+            lambda i: substring(chr(2) || chr(2) || text || chr(3) || chr(3), i, 3))) AS grams FROM q_texts WHERE text <> ''""",
+        "q_similar": """SELECT *, common / (len(ga) + len(gb) - common)::DOUBLE AS similarity FROM (
+            SELECT a.text AS text_a, b.text AS text_b, a.grams AS ga, b.grams AS gb, len(list_intersect(a.grams, b.grams)) AS common
+            FROM q_sets a JOIN q_sets b ON a.text < b.text)""",
+    }
+
+
+_ADDRESS = r"trim(regexp_replace(lower(practice_city || ' ' || practice_state || ' ' || practice_zip), '[^\p{L}\p{N}]+', ' ', 'g'))"
+register(
+    "similar_addresses",
+    lambda spark, sf_dir: G.similar_addresses(claims_tables(spark, sf_dir), 0.25),
+    with_needed(
+        """SELECT text_a AS address_a, text_b AS address_b, similarity, x.n AS providers_a, y.n AS providers_b
+           FROM q_similar JOIN q_used x ON x.text = text_a JOIN q_used y ON y.text = text_b WHERE similarity >= 0.25""",
+        {"q_used": f"SELECT {_ADDRESS} AS text, count(*) AS n FROM providers GROUP BY 1", **_gram_sets(_ADDRESS, "providers")},
+    ),
+)
+register(
+    "similar_page_addresses",
+    lambda spark, sf_dir: G.similar_texts(table(spark, sf_dir, "pages").select(F.lower("url").alias("text")), 0.8),
+    with_needed("SELECT text_a, text_b, similarity FROM q_similar WHERE similarity >= 0.8", _gram_sets("lower(url)", "pages")),
+)
 _IDENTITIES = {
     "q_identities": """
         SELECT 'tax_id' AS kind, tax_id AS identity, npi FROM providers
