@@ -66,7 +66,8 @@ def parse_records(records: DataFrame, table: str, header: str) -> DataFrame:
     line = F.col("value")
     parsed = (
         records.where((line != header) & (F.trim(line) != ""))
-        .select("value", PLACE, F.from_csv(line, _ddl(schema), _CSV).alias("_row"))
+        # a generated column: filters on it stay above, so that a record is parsed once
+        .select("value", PLACE, F.explode(F.array(F.from_csv(line, _ddl(schema), _CSV))).alias("_row"))
         .withColumn(CORRUPT, F.when(odd_quotes("value"), line).otherwise(F.col(f"_row.{CORRUPT}")))
     )
     return _in_order(parsed, table, schema.names)
@@ -103,13 +104,9 @@ def scan_csv(spark: SparkSession, table: str, path: str | list[str], *, multi_li
 def split_rejects(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected lines): a bad line is set aside and does not stop the load.
 
-    The parser checks only the columns that a query reads. Both halves therefore
-    refer to every column, so that a line is good or bad whatever is selected.
+    A record is parsed with all its columns, so that it is good or bad whatever is selected.
     """
-    values = [F.col(c).cast("string") for c in scanned.columns if c not in (CORRUPT, PLACE)]
-    line = F.coalesce(F.col(CORRUPT), F.left(F.concat_ws("", *values), F.lit(0)))
-    good = scanned.where(line == "").drop(CORRUPT)
-    return good, scanned.where(line != "").select(line.alias("line"))
+    return scanned.where(F.col(CORRUPT).isNull()).drop(CORRUPT), scanned.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
 
 
 def null_tokens(df: DataFrame) -> DataFrame:

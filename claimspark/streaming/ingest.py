@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from claimspark.functions.scratch import materialise
+from claimspark.functions.scratch import materialise, materialise_with
 from claimspark.sources.load import new_rows, scan_csv, split_rejects
 from claimspark.sources.records import PLACE, literal
 from claimspark.sources.schemas import PRIMARY_KEYS, SCHEMAS
@@ -56,7 +56,10 @@ def append_new(
     fresh = new_rows(rows, known, keys, order).select(*names)
     last = known_parts(spark, index).agg(F.max(LOAD)).first()[0]
     number = F.lit(0 if last is None else last + 1)
-    fresh = materialise(fresh.withColumn(BUCKET, key_bucket(keys, buckets)).withColumn(LOAD, number), "fresh")
+    fresh = fresh.withColumn(BUCKET, key_bucket(keys, buckets)).withColumn(LOAD, number)
+    fresh, seen = materialise_with(fresh, "fresh", rows=F.count(F.lit(1)))
+    if not seen["rows"]:
+        return parts
     add_to_index(fresh, keys, index)
     fresh.repartition(BUCKET).write.mode("append").partitionBy(BUCKET, LOAD).parquet(target)
     return parts

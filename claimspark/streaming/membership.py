@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimspark.functions.scratch import materialise
+
 BUCKET, LOAD = "key_bucket", "load"
 #: Bits of a filter for each key, and bits that a key sets: one key in some 1,700 is found by chance.
 BITS, PROBES = 16, 8
@@ -45,11 +47,12 @@ def add_to_index(rows: DataFrame, keys: list[str], index: str) -> None:
         F.min(first).alias("low"),
         F.max(first).alias("high"),
     )
+    parts = materialise(parts.coalesce(1), "index_parts")  # a row a part
     set_bits = rows.join(parts.select(LOAD, BUCKET, "words"), [LOAD, BUCKET]).select(LOAD, BUCKET, F.explode(_places(keys)).alias("at"))
     words = set_bits.groupBy(LOAD, BUCKET, F.col("at.word").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at.bit)")).alias("bits"))
     # the words first: a part is known when all of its filter is there
     words.repartition(LOAD, BUCKET).sortWithinPartitions(LOAD, BUCKET, "word").write.mode("append").partitionBy(LOAD).parquet(f"{index}/words")
-    parts.coalesce(1).write.mode("append").parquet(f"{index}/parts")
+    parts.write.mode("append").parquet(f"{index}/parts")
 
 
 def known_parts(spark: SparkSession, index: str) -> DataFrame:
