@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.oracle import dbl, month, rnd, with_needed
+from checks.oracle import PARTS, dbl, month, rnd, with_needed
 from checks.testdata import END, START, VISIT_CODES, claims_tables, table
 from claimspark.functions.numbers import decimals_to_double
 from claimspark.functions.periods import with_claims
@@ -52,6 +52,7 @@ from claimspark.sources.load import (
 from claimspark.sources.schemas import SCHEMAS
 from claimspark.streaming.ingest import append_new, create_target, ingest, target_rows
 from claimspark.streaming.membership import BUCKET, key_bucket, parts_that_may_hold
+from claimspark.streaming.rollup import add_claims, create_rollup, retract, with_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -443,16 +444,9 @@ register(
 # --- Findings, impact and reports -----------------------------------------------
 
 
-_SCORES: dict[tuple[str, str], DataFrame] = {}
-
-
 def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores written once in a session: a small table that all findings and reports are made from."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SCORES:
-        scores = provider_scores(claims_tables(spark, sf_dir), START, END, codes=VISIT_CODES)
-        _SCORES[key] = materialise(scores, "scores")
-    return _SCORES[key]
+    """Scores of all concepts, made from the tables and written once for the reports of this query."""
+    return materialise(provider_scores(claims_tables(spark, sf_dir), START, END, codes=VISIT_CODES), "scores")
 
 
 def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -746,6 +740,35 @@ register(
 )
 
 
+def rollup_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Claims summed in three loads, by their order's priority; those of over 50,000 are rejected afterwards."""
+    tables, rollup = claims_tables(spark, sf_dir), scratch_path(spark, "rollup")
+    create_rollup(spark, rollup)
+    claims = tables["claims"]
+    loads = [F.col("diagnosis_code") < "2", F.col("diagnosis_code").between("2", "4"), F.col("diagnosis_code") > "4"]
+    for number, chosen in enumerate(loads):
+        add_claims(claims.where(chosen), rollup, number)
+    retract(claims.where("allowed_amount > 50000"), rollup, 1)
+    return with_rollup(tables, spark, rollup)
+
+
+_REJECTED = {"claims": f"SELECT * FROM ({PARTS['claims']}) WHERE allowed_amount <= 50000"}
+register(
+    "rollup_billing_spikes",
+    lambda spark, sf_dir: T.billing_spike_detection(rollup_of(spark, sf_dir), START, END).select(
+        "provider_npi", "month", "claims", F.col("total_allowed").cast("double").alias("total_allowed"),
+        "rolling_avg", "rolling_std", "z_score",
+    ),
+    with_needed(f"""SELECT provider_npi, month, claims, {dbl('total_allowed')} AS total_allowed,
+        rolling_avg, rolling_std, z_score FROM q_spikes""", _REJECTED),
+)
+register(
+    "rollup_member_spikes",
+    lambda spark, sf_dir: M.member_utilization_spike(rollup_of(spark, sf_dir), START, END),
+    with_needed("SELECT * EXCLUDE (x_ratio) FROM q_util", _REJECTED),
+)
+
+
 def clustered_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "clustered")
     write_claims(claims_tables(spark, sf_dir)["claims"], path)

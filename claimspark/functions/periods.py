@@ -64,3 +64,17 @@ def keep_providers(df: DataFrame, providers: Providers, column: str = "provider_
 
 def month_of(column: str) -> Column:
     return F.trunc(F.col(column), "month")
+
+
+#: In a claims table that holds sums instead of single claims: how many it stands for, and how many of them have an amount.
+CLAIMS, PRICED = "claims_summed", "claims_priced"
+
+
+def claim_count(claims: DataFrame) -> Column:
+    """The aggregate that counts claims, whether a row is one or a sum of several."""
+    return F.sum(CLAIMS) if CLAIMS in claims.columns else F.count("*")
+
+
+def priced_count(claims: DataFrame) -> Column:
+    """The aggregate that counts claims with an amount."""
+    return F.sum(PRICED) if PRICED in claims.columns else F.count("allowed_amount")

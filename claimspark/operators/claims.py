@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.numbers import ratio, rounded
 from claimspark.functions.percentiles import exact_percentile
-from claimspark.functions.periods import Providers, Tables, claims_in, keep_providers, month_of
+from claimspark.functions.periods import Providers, Tables, claim_count, claims_in, keep_providers, month_of, priced_count
 
 # The evaluation-and-management visit codes, lowest level first.
 VISIT_CODES = ("99211", "99212", "99213", "99214", "99215")
@@ -152,9 +152,9 @@ def claim_volume_by_period(
     return (
         claims.groupBy("provider_npi", month_of("service_date").alias("month"))
         .agg(
-            F.count("*").alias("claim_count"),
+            claim_count(claims).alias("claim_count"),
             F.sum("allowed_amount").alias("total_allowed"),
-            F.count("allowed_amount").alias("_priced"),
+            priced_count(claims).alias("_priced"),
         )
         .withColumn("avg_allowed", rounded(ratio(F.col("total_allowed"), F.col("_priced")), 4))
         .drop("_priced")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.numbers import ratio, rounded
-from claimspark.functions.periods import Providers, Tables, add_months, as_date, claims_in, keep_providers, month_of
+from claimspark.functions.periods import Providers, Tables, add_months, as_date, claim_count, claims_in, keep_providers, month_of
 
 
 def doctor_shopping(
@@ -121,7 +121,7 @@ def member_utilization_spike(
         owner = ["provider_npi", "member_id"]
         claims = keep_providers(claims, providers)
     monthly = claims.groupBy(*owner, month_of("service_date").alias("month")).agg(
-        F.count("*").alias("monthly_claims")
+        claim_count(claims).alias("monthly_claims")
     )
     earlier = Window.partitionBy(*owner).orderBy("month").rowsBetween(-months, -1)
     usual = F.col("_usual")

@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.numbers import ratio, rounded
-from claimspark.functions.periods import Providers, Tables, claims_in, keep_providers
+from claimspark.functions.periods import Providers, Tables, claim_count, claims_in, keep_providers, priced_count
 
 
 def provider_totals(tables: Tables, start: date | str, end: date | str) -> DataFrame:
     """Claims, allowed sum and average, and distinct patients per provider."""
+    claims = claims_in(tables, start, end)
     return (
-        claims_in(tables, start, end)
-        .groupBy("provider_npi")
+        claims.groupBy("provider_npi")
         .agg(
-            F.count("*").alias("total_claims"),
+            claim_count(claims).alias("total_claims"),
             F.sum("allowed_amount").alias("total_allowed"),
-            F.count("allowed_amount").alias("_priced"),
+            priced_count(claims).alias("_priced"),
             F.count_distinct("member_id").alias("unique_patients"),
         )
         .withColumn("avg_allowed", rounded(ratio(F.col("total_allowed"), F.col("_priced")), 4))

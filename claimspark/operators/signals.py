@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.numbers import ratio, rounded
 from claimspark.functions.periods import (
+    CLAIMS,
     Providers,
     Tables,
     add_months,
     as_date,
+    claim_count,
     claims_in,
     keep_providers,
     month_of,
@@ -75,13 +77,14 @@ def weekend_share(
         listed = holidays.select(F.col("holiday_date").alias("service_date"), F.lit(True).alias("_holiday"))
         claims = (
             claims.groupBy("provider_npi", "service_date")
-            .agg(F.count("*").alias("_n"), F.sum("allowed_amount").alias("_allowed"))
+            .agg(claim_count(claims).alias("_n"), F.sum("allowed_amount").alias("_allowed"))
             .join(listed.distinct(), "service_date", "left")
         )
         off = off | F.coalesce("_holiday", F.lit(False))
         counted = (F.sum(F.when(off, F.col("_n")).otherwise(0)), F.sum("_n"), F.sum(F.when(off, F.col("_allowed"))))
     else:
-        counted = (F.count_if(off), F.count("*"), F.sum(F.when(off, F.col("allowed_amount"))))
+        weekend = F.sum(F.when(off, F.col(CLAIMS)).otherwise(0)) if CLAIMS in claims.columns else F.count_if(off)
+        counted = (weekend, claim_count(claims), F.sum(F.when(off, F.col("allowed_amount"))))
     own = claims.groupBy("provider_npi").agg(
         counted[0].alias("weekend_claims"), counted[1].alias("total_claims"),
         F.coalesce(counted[2], F.lit(0)).alias("weekend_allowed"),

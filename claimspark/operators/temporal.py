@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.numbers import ratio, rounded
-from claimspark.functions.periods import Providers, Tables, add_months, as_date, claims_in, keep_providers, month_of
+from claimspark.functions.periods import Providers, Tables, add_months, as_date, claim_count, claims_in, keep_providers, month_of
 
 # Day names, counted from Sunday = 0.
 DAY_NAMES = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
@@ -34,10 +34,9 @@ def billing_spike_detection(
     months, or months without spread, give no score and no row. A period that
     starts within a month leaves that month out.
     """
-    monthly = (
-        keep_providers(claims_in(tables, add_months(start, -lookback_months), end), providers)
-        .groupBy("provider_npi", month_of("service_date").alias("month"))
-        .agg(F.count("*").alias("claims"), F.sum("allowed_amount").alias("total_allowed"))
+    claims = keep_providers(claims_in(tables, add_months(start, -lookback_months), end), providers)
+    monthly = claims.groupBy("provider_npi", month_of("service_date").alias("month")).agg(
+        claim_count(claims).alias("claims"), F.sum("allowed_amount").alias("total_allowed")
     )
     earlier = Window.partitionBy("provider_npi").orderBy("month").rowsBetween(-months, -1)
     total = F.col("total_allowed").cast("double")
@@ -65,9 +64,9 @@ def weekend_billing(
 ) -> DataFrame:
     """Claims and allowed amount per provider and day of week."""
     names = F.array(*[F.lit(name) for name in DAY_NAMES])
+    claims = keep_providers(claims_in(tables, start, end), providers)
     return (
-        keep_providers(claims_in(tables, start, end), providers)
-        .groupBy("provider_npi", day_number("service_date").alias("dow"))
-        .agg(F.count("*").alias("claim_count"), F.sum("allowed_amount").alias("total_allowed"))
+        claims.groupBy("provider_npi", day_number("service_date").alias("dow"))
+        .agg(claim_count(claims).alias("claim_count"), F.sum("allowed_amount").alias("total_allowed"))
         .select("provider_npi", "dow", names[F.col("dow")].alias("day_name"), "claim_count", "total_allowed")
     )
