@@ -24,14 +24,24 @@ RANK_ROWS = 2_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: What a word pattern takes for white space: a fixed value (the Unicode property).
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space of at least so many characters is a word of its own to the encoder; its pattern is not tried on it.
+SPACE = 10_000
+_LONG_SPACE = re.compile(f"[{WHITE}]{{{SPACE},}}")
+
+
 class Tokens:
     """Ids of texts as little-endian unsigned 32-bit numbers, by a tokenizer file.
 
     A plain byte-level file (words split by ``SPLIT``, ids in the order of the merges) is
     also what rank-based encoders read; those are several times faster, give the same
-    ids, and are used for such a file. Any other file is left to its own library, and so
-    is a text that holds the content of an added token (there it is that token), or whose
-    white space would overrun the stack of the encoder's word pattern.
+    ids, and encode all texts of such a file. Any other file is left to its own library.
+
+    The encoder knows neither added tokens nor very long white space, on which its word
+    pattern runs out of stack. Both are cut out first, where words end anyway: an added
+    token's content is that token, and white space is one word but for its last character,
+    which belongs to the word that follows.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,7 +49,8 @@ class Tokens:
         with open(path, encoding="utf-8") as file:
             held = json.load(file)
         ranks = _ranks(held)
-        self.added = [added["content"] for added in held.get("added_tokens", [])]
+        self.added = {added["content"]: added["id"] for added in held.get("added_tokens", [])}
+        self.parted = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.ranked = None
         if ranks:
             import tiktoken
@@ -57,17 +68,23 @@ class Tokens:
         return [np.array(self._ids(text), "<u4").tobytes() for text in texts]
 
     def _ids(self, text: str) -> list[int]:
-        if self.ranked and not _long_space(text) and not any(content in text for content in self.added):
+        if not self.ranked:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if not self.parted or not self.parted.search(text):
+            return self._words(text)
+        parts = self.parted.split(text)
+        return [i for part in parts for i in ([self.added[part]] if part in self.added else self._words(part))]
+
+    def _words(self, text: str) -> list[int]:
+        if len(text) < SPACE:
             return self.ranked.encode_ordinary(text)
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-
-#: White space in a row that the rank-based encoder is given at most; it fails at some 1,000,000 characters.
-SPACE = 250_000
-
-
-def _long_space(text: str) -> bool:
-    return len(text) > SPACE and any(run.end() - run.start() > SPACE for run in re.finditer(r"\s+", text))
+        ids, at = [], 0
+        for run in _LONG_SPACE.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self.ranked.encode_ordinary(text[at : run.start()])
+            ids += self.ranked._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + self.ranked.encode_ordinary(text[at:])
 
 
 #: How byte-level files split a text into words: a fixed value.
@@ -83,6 +100,9 @@ def _ranks(file: dict) -> dict[bytes, int] | None:
         return None
     if any(model.get(k) not in (v, None, "") for k, v in plain.items()):
         return None
+    flags = ("single_word", "lstrip", "rstrip", "normalized")
+    if any(added[flag] for added in file.get("added_tokens", []) for flag in flags):
+        return None  # such a token is more than its content
     merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
     if merged != sorted(merged):
         return None
@@ -159,9 +179,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, groups: int = 96
     once; the plan is made from the counts of each length, of which there are at most
     ``capacity``, and goes to the tasks with them.
 
-    A null text counts as empty: one piece that holds the closing 0 only. A null
-    doc_id stays null; repeated rows are packed each; other columns are left out. An
-    empty table gives an empty result.
+    A null text counts as empty: one piece that holds the closing 0 only. A very long text
+    is tokenized whole in its row's task and cut into pieces. A null doc_id stays null;
+    repeated rows are packed each, in any order among them; other columns, whatever their
+    names, are left out. An empty table gives an empty result.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
