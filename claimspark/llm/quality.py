@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from claimspark.llm.batches import as_bytes, free_names, slices
 
-#: Labelled texts of each class for the dictionaries and for calibration, bytes taken of a
-#: text for a dictionary, bytes of a dictionary, compression level, held-out share's divisor.
-PER_CLASS, CHUNK, DICTIONARY, LEVEL, FOLDS = 2000, 4096, 112_640, 3, 5
+#: Labelled texts of each class for the dictionaries and for calibration, samples of a class
+#: for its dictionary, their bytes, bytes of a dictionary, compression level, held-out share's divisor.
+PER_CLASS, SAMPLES, SAMPLE, DICTIONARY, LEVEL, FOLDS = 2000, 8000, 4096, 112_640, 3, 5
 REJECT_BELOW = 0.3
 
 
@@ -95,11 +95,12 @@ def _logistic(features: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.
     return weights, mean, scale
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, samples: int = SAMPLES) -> Model:
     """A model from at most ``2 * per_class`` labelled texts of each class, held-out ones never among them.
 
-    Rows are taken in the order of a hash of doc_id. Of each class, ``per_class`` give a
-    part of up to 4 KB, at a place that the hash decides, for the dictionary; as many
+    Rows are taken in the order of a hash of doc_id. Of each class, ``per_class`` are cut into
+    samples of 4 KB that cover them from end to end, and the first ``samples`` of all these by
+    a hash make the dictionary, so that every part of a text is as likely in it. As many
     others, whole, calibrate, so that no text is scored by a dictionary that holds it.
     Labels other than 0 and 1 (null too) and texts without bytes are passed over; rows
     of ``labels`` that repeat a doc_id count once, with the larger label. Without labels
@@ -123,13 +124,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") > 0)
     texts = texts.join(F.broadcast(chosen), "doc_id")  # at most 4 * per_class rows of four numbers
-    room = F.greatest(F.octet_length("text") - CHUNK + 1, F.lit(1))
-    part = F.substring(F.col("text").cast("binary"), F.pmod("order", room).cast("int") + 1, F.lit(CHUNK))
-    parts = texts.where("half = 0").select("quality", "order", part.alias("part")).collect()
+    places = F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / SAMPLE).cast("int"))
+    parts = texts.where("half = 0").select("quality", "order", F.col("text").cast("binary").alias("text"), F.explode(places).alias("at"))
+    cut = F.substring("text", F.col("at") * SAMPLE + 1, F.lit(SAMPLE))
+    parts = parts.select("quality", cut.alias("part"), F.xxhash64("order", "at").alias("order"))
     dictionaries = []
     for label in (1, 0):
-        held = [bytes(r["part"]) for r in sorted(parts, key=lambda r: r["order"]) if r["quality"] == label]
-        dictionaries.append(_dictionary(held))
+        held = parts.where(F.col("quality") == label).orderBy("order", "part").limit(samples).collect()
+        dictionaries.append(_dictionary([bytes(r["part"]) for r in held]))
     features, names = _features(texts.where("half = 1"), *dictionaries, ["quality", "order"])
     measured = features.collect()
     measured.sort(key=lambda r: (r["order"], r["quality"]))
@@ -147,7 +149,7 @@ def _dictionary(samples: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[:DICTIONARY]
+        return b"".join(samples)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -155,8 +157,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     The whole text is compressed with either dictionary; the difference, divided by the
     size without a dictionary, is calibrated together with the text's length and plain
-    ratio. Nothing but the text enters. A null text scores like an empty one. There is
-    no shuffle; other columns and repeated rows stay, and a column ``score`` is replaced.
+    ratio. Nothing but the text enters. A null text scores like an empty one, and equal
+    texts score alike. A long text is compressed whole, in its row's task. There is no
+    shuffle; other columns and repeated rows stay, and a column ``score`` is replaced. An
+    empty table gives an empty result.
     """
     kept = [name for name in docs.columns if name != "score"]
     own = [name for name in kept if name != "text"]
