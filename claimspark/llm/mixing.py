@@ -128,34 +128,38 @@ def schedule(
 
 
 def with_row(docs: DataFrame) -> DataFrame:
-    """doc_id, source, tokens, the name that the permutation hashes, and two hashes that tell rows apart."""
+    """doc_id, source, tokens, the name that the permutation hashes, and two hashes that tell different rows apart."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
         (F.regexp_count(text, F.lit(WORD)).cast("long") + 1).alias("tokens"),
         F.coalesce(F.col("doc_id").cast("string"), F.md5(text)).alias("name"),
-        *row_keys(),
+        *row_keys(docs),
     )
 
 
-def row_keys() -> list:
-    return [F.xxhash64("doc_id", "text").alias("row_a"), F.xxhash64("text", "source", "doc_id").alias("row_b")]
+def row_keys(docs: DataFrame) -> list:
+    """Two hashes of all columns: rows that share them are equal."""
+    values = [F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return [F.xxhash64(*values).alias("row_a"), F.xxhash64(F.lit("b"), *values[::-1]).alias("row_b")]
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as ``schedule`` has it; the columns are those of ``docs``.
+    """The mixture that ``schedule`` plans, as rows of ``docs``: each as often as it is planned, columns unchanged.
 
-    The planned rows are counted for each document, so that the texts are joined once
-    and repeated where they are.
+    Rows come in blocks: those of a block are together and in the order of their place.
+
+    Nulls, empty and long texts, repeated rows, ties and empty tables are as in ``schedule``:
+    a null or empty text has one token, a null source is a source, of equal rows the plan's
+    number is returned. Columns may have any names and are kept.
+
+    The plan holds no texts. Of equal rows one is kept before the shuffle and repeated by
+    the plan, so that a row that repeats very often is not gathered.
     """
-    planned = schedule(docs, **options).groupBy("row_a", "row_b").agg(F.count(F.lit(1)).alias("mix_rows"))
-    # repeated rows are in the plan each; they share its rows
-    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_doc"), *row_keys())
-    same = numbered.groupBy("row_a", "row_b").agg(F.count(F.lit(1)).alias("mix_same"))
-    times = planned.join(same, ["row_a", "row_b"]).select("row_a", "row_b", "mix_rows", "mix_same")
-    return (
-        numbered.join(times, ["row_a", "row_b"])
-        .select("mix_doc", F.expr("explode(sequence(1, cast(ceil(mix_rows / mix_same) as int)))"))
-        .select("mix_doc.*")
-    )
+    planned = schedule(docs, **options).select("row_a", "row_b", F.col("block").alias("mix_block"), F.col("start").alias("mix_start"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_doc"), *row_keys(docs))
+    same = Window.partitionBy("row_a", "row_b").orderBy(F.lit(0))
+    once = whole.withColumn("mix_copy", F.row_number().over(same)).where("mix_copy = 1")
+    placed = once.join(planned, ["row_a", "row_b"]).select("mix_doc", "mix_block", "mix_start")
+    return placed.repartition("mix_block").sortWithinPartitions("mix_block", "mix_start").select("mix_doc.*")

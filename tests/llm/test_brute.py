@@ -293,3 +293,34 @@ def test_quality_on_labels_held_out(spark):
     unheld = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
     again = quality.classify(docs, quality.train(docs, unheld))  # held-out labels have no say
     assert scored.select("doc_id", "score").exceptAll(again.select("doc_id", "score")).count() == 0
+
+
+def test_added_tokens_and_white_space():
+    """One encoder gives the ids of the tokenizer's own library, whatever the text holds."""
+    tokens, plain = packing.Tokens(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    assert tokens.ranked
+    space = [" " * 30_000, "\n" * 12_000, " \n\t" * 5_000, "\u3000" * 10_000, " " * 10_000, " " * 9_999]
+    texts = ["<|endoftext|>", "a<|endoftext|><|endoftext|> b ", " <|endoftext|> c's", "<|endoftext", "\x1c" * 20_000 + "x", "a" * 30_000]
+    texts += [before + run + after for run in space for before in ("", "word", "x's") for after in ("", "word", "'s", "!", "\x1c")]
+    texts += [space[0] + "<|endoftext|>" + space[1] + "\x85" + "end"]
+    for text in texts:
+        want = np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert tokens.encode([text]) == [want], text[:20]
+
+
+def test_quality_samples_cover_whole_texts(spark, monkeypatch):
+    """What tells good from bad stands at the end of long texts only."""
+    seen = []
+    monkeypatch.setattr(quality, "_dictionary", lambda samples: seen.append(samples) or b"".join(samples)[:1000])
+    texts = [(n, "x" * 9000 + ("good" if n % 2 else "bad") * 200) for n in range(1, 60)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n, _ in texts], "doc_id long, quality int")
+    quality.train(rows, labels)
+    whole = {text.encode() for _, text in texts}
+    for samples in seen:
+        assert all(len(s) <= quality.SAMPLE and any(s in w for w in whole) for s in samples)
+        assert any(b"good" in s or b"badbad" in s for s in samples) and any(s == b"x" * quality.SAMPLE for s in samples)
+        assert sum(map(len, samples)) in {n * len(w) for w in whole for n in range(1, 60)}
+    seen.clear()
+    quality.train(rows, labels, samples=5)
+    assert [len(samples) for samples in seen] == [5, 5]

@@ -80,6 +80,30 @@ def test_mixed_documents(docs):
     assert Counter(r["doc_id"] for r in mixed.collect()) == planned
 
 
+def test_mixed_rows_are_those_of_the_plan(spark):
+    """Equal rows, rows that differ in another column only, and one row that holds a third of the table."""
+    rows = [(1, "a b c", "s", 1), (1, "a b c", "s", 1), (1, "a b c", "s", 2), (2, "d " * 40, "s", 1), (None, None, None, None)]
+    rows += [(9, "x y", "t", 0)] * 40 + [(n, "w " * (n % 7), "u", n) for n in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(4)
+    for options in ({"total_tokens": 170}, {"total_tokens": 1000}, {"repetition": 3.0}):
+        planned = mixing.schedule(docs, **options)
+        found = mixing.mix(docs, **options)
+        assert found.count() == planned.count()
+        assert Counter(r["doc_id"] for r in found.collect()) == Counter(r["doc_id"] for r in planned.collect())
+        assert {tuple(r) for r in found.collect()} <= set(rows)
+
+
+def test_mixed_rows_come_in_blocks(docs):
+    place = {}
+    for r in mixing.schedule(docs, repetition=1.0, block_tokens=500).collect():
+        place.setdefault(r["doc_id"], []).append((r["block"], r["start"]))
+    blocks = [place[r["doc_id"]][0] for r in mixing.mix(docs, repetition=1.0, block_tokens=500).collect()]
+    ends = [n for n in range(1, len(blocks)) if blocks[n][0] != blocks[n - 1][0]]
+    assert len(ends) + 1 == len({b for b, _ in blocks}) > 5  # each block's rows are together
+    for a, b in zip([0, *ends], [*ends, len(blocks)]):
+        assert [start for _, start in blocks[a:b]] == sorted(start for _, start in blocks[a:b])
+
+
 def test_impossible_limits(docs):
     with pytest.raises(ValueError):
         mixing.schedule(docs, repetition=0.5)
