@@ -17,54 +17,66 @@ class Node:
     children: list["Node"] = field(default_factory=list)
 
 
-LEAF = 64
+#: Points that are not split further, and points whose distances are taken together.
+LEAF, BLOCK = 64, 256
 
 
 class CoverTree:
     """Nested balls: the centres of a node's children are apart by more than half its covering radius.
 
-    A node whose points are so far from each other that a net of half its radius would
-    hold most of them (the rule in many dimensions) is left a leaf: its points are then
-    bounded and compared as one matrix.
+    A centre that covers no other point would be a child of a single point; these are kept
+    together as one leaf, which is bounded and compared as one matrix.
     """
 
     def __init__(self, rows: np.ndarray) -> None:
         self.rows = rows
         self.root = self._node(np.arange(len(rows)), rows.mean(0) if len(rows) else np.zeros(rows.shape[1]))
 
-    def _node(self, points: np.ndarray, centre: np.ndarray) -> Node:
+    def _node(self, points: np.ndarray, centre: np.ndarray, split: bool = True) -> Node:
         distances = np.linalg.norm(self.rows[points] - centre, axis=1)
         node = Node(centre, float(distances.max(initial=0.0)), points)
-        if len(points) <= LEAF or not node.radius:
-            return node
-        parts = self._net(points, node.radius / 2)
-        if parts is not None:
-            node.children = [self._node(own, centre) for own, centre in parts]
+        if split and len(points) > LEAF and node.radius:
+            balls, single = self._net(points, node.radius / 2)
+            if balls:
+                node.children = [self._node(own, centre) for own, centre in balls]
+                if len(single):
+                    node.children.append(self._node(single, self.rows[single].mean(0), split=False))
         return node
 
-    def _net(self, points: np.ndarray, gap: float) -> list[tuple[np.ndarray, np.ndarray]] | None:
-        """Greedy net: the first point that no centre covers becomes one; singles are gathered in a last part."""
-        most, parts, single = max(8, len(points) // 16), [], []
-        left = points
+    def _net(self, points: np.ndarray, gap: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Balls of radius ``gap`` around points that none of the others covers, and the points that are alone in theirs.
+
+        Greedy: the first point that no centre covers becomes one. Distances are taken for a
+        block of points at a time.
+        """
+        balls, single, left = [], [], points
         while len(left):
-            if len(parts) + len(single) > most:
-                if not parts:
-                    return None
-                single.extend(left.tolist())
-                break
-            centre = self.rows[left[0]]
-            covered = np.linalg.norm(self.rows[left] - centre, axis=1) <= gap
-            if covered.sum() > 1:
-                parts.append((left[covered], centre))
-            else:
-                single.append(int(left[0]))
-            left = left[~covered]
-        if single and parts:
-            own = np.array(single)
-            if len(own) == len(points):
-                return None
-            parts.append((own, self.rows[own].mean(0)))
-        return parts if len(parts) > 1 else None
+            block, rest = left[:BLOCK], left[BLOCK:]
+            near = self._near(block, block, gap)
+            centres, free = [], np.ones(len(block), bool)
+            owner = np.full(len(block), -1)
+            for place in range(len(block)):
+                if free[place]:
+                    own = near[place] & free
+                    own[place] = True
+                    owner[own], free[own] = len(centres), False
+                    centres.append(block[place])
+            own = self._near(np.array(centres), rest, gap)
+            covered = own.any(0)
+            first = own.argmax(0)
+            for n, centre in enumerate(centres):
+                held = np.concatenate([block[owner == n], rest[covered & (first == n)]])
+                if len(held) > 1:
+                    balls.append((held, self.rows[centre]))
+                else:
+                    single.append(centre)
+            left = rest[~covered]
+        return balls, np.array(single, np.int64)
+
+    def _near(self, some: np.ndarray, others: np.ndarray, gap: float) -> np.ndarray:
+        a, b = self.rows[some], self.rows[others]
+        squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+        return squares <= gap * gap
 
 
 class TopK:
@@ -72,6 +84,7 @@ class TopK:
 
     def __init__(self, queries: int, k: int, least: np.ndarray) -> None:
         self.k, self.least = k, least.copy()
+        self.compared = 0  # pairs whose score was taken
         self.scores = np.full((queries, k), -np.inf)
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
 
@@ -131,6 +144,7 @@ def search(queries: CoverTree, query_ids: np.ndarray, candidates: CoverTree, ids
                     visit(node, other.children[place])
         else:
             scores = queries.rows[node.points] @ candidates.rows[other.points].T
+            best.compared += scores.size
             own = query_ids[node.points][:, None] == ids[other.points][None, :]
             scores[own | (scores < best.least[node.points][:, None])] = -np.inf
             best.add(node.points, scores, ids[other.points])

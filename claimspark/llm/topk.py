@@ -37,56 +37,87 @@ def _pivots(sample: np.ndarray, number: int) -> np.ndarray:
     return np.array(chosen)
 
 
+def _thresholds(queries: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query among the sampled candidates, a lower bound of that among all."""
+    if len(sample) <= k:
+        return np.full(len(queries), -np.inf)
+    known = queries @ sample.T
+    known[ids[:, None] == sample_ids[None, :]] = -np.inf
+    return np.partition(known, -k, axis=1)[:, -k]
+
+
 def _search(points: DataFrame, queries: DataFrame, dims: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the best of each query in each part of the candidates."""
-    total, asked = points.count(), queries.count()
+    """(query_id, vec_id, score): the best of each query in each part of the candidates that can hold one."""
+    spark, total = points.sparkSession, points.count()
     order = points.orderBy(F.xxhash64("vec_id", F.lit("sample")), "vec_id", "vector").limit(SAMPLE)
     held = order.select("vec_id", "vector").collect()
     sample = np.array([row["vector"] for row in held], float).reshape(-1, dims)
     sample_ids = np.array([row["vec_id"] for row in held], np.int64)
     pivots = _pivots(sample, min(PIVOTS, max(1, total // CELL)))
-    groups = max(1, math.ceil(asked / GROUP))
+
+    def nearest(rows: np.ndarray) -> np.ndarray:
+        return ((pivots**2).sum(1) - 2 * rows @ pivots.T).argmin(1).astype(np.int32)
 
     def place(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = matrix(batch.column("vector"), dims)
-            nearest = ((pivots**2).sum(1) - 2 * rows @ pivots.T).argmin(1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest)], names=[*batch.schema.names, "cell"])
-
-    placed = materialise(points.mapInArrow(place, "vec_id long, vector array<double>, cell int"), "cells")
-    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most PIVOTS rows
-    first, plan = 0, []
-    for cell in sorted(sizes):  # a cell with too many rows is dealt to several parts by a hash
-        plan.append((cell, first, math.ceil(sizes[cell] / CELL)))
-        first += plan[-1][2]
-    cells = points.sparkSession.createDataFrame(plan or [(-1, 0, 1)], "cell int, first int, parts int")
-    part = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-    all_groups = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
-    side = placed.join(F.broadcast(cells), "cell").select(F.lit(False).alias("asks"), "vec_id", "vector", part.alias("part"), all_groups)
-    group = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group")
-    all_parts = F.explode(F.sequence(F.lit(0), F.lit(max(first, 1) - 1))).alias("part")
-    asking = queries.select(F.lit(True).alias("asks"), "vec_id", "vector", all_parts, group)
+            cell = nearest(rows)
+            far = np.linalg.norm(rows - pivots[cell], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
+
+    placed = materialise(points.mapInArrow(place, "vec_id long, vector array<double>, cell int, far double"), "cells")
+    balls = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()  # at most PIVOTS rows
+    cells = sorted(row["cell"] for row in balls)
+    parts = {row["cell"]: math.ceil(row["n"] / CELL) for row in balls}
+    radii = {row["cell"]: row["radius"] for row in balls}
+    centres, reach = pivots[cells], np.array([radii[cell] for cell in cells])
+
+    def ask(batches) -> Iterator[pa.RecordBatch]:
+        """Each query with its threshold, for every cell whose ball may hold a score that reaches it."""
+        for batch in batches:
+            rows, ids = matrix(batch.column("vector"), dims), batch.column("vec_id").to_numpy()
+            least = _thresholds(rows, ids, sample, sample_ids, k)
+            inner, slack = rows @ centres.T, np.linalg.norm(rows, axis=1)[:, None] * reach[None, :]
+            bound = inner + slack + 1e-9 * (np.abs(inner) + slack) + 1e-6
+            row, cell = np.nonzero(bound >= least[:, None])
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id").take(taken), batch.column("vector").take(taken), pa.array(least[row]),
+                 pa.array(nearest(rows)[row]), pa.array(np.array(cells, np.int32)[cell])],
+                names=["vec_id", "vector", "least", "side", "cell"],
+            )
+
+    asking = materialise(queries.mapInArrow(ask, "vec_id long, vector array<double>, least double, side int, cell int"), "asking")
+    # queries near one pivot are one group, or several of some GROUP
+    sides = {row["side"]: math.ceil(row["n"] / GROUP) for row in asking.groupBy("side").agg(F.count_distinct("vec_id").alias("n")).collect()}
+    numbers = [(cell, n) for cell, n in parts.items()] or [(-1, 1)]
+    parts_of = F.broadcast(spark.createDataFrame(numbers, "cell int, parts int"))  # at most PIVOTS rows, as below
+    groups_of = F.broadcast(spark.createDataFrame([(side, n) for side, n in sides.items()] or [(-1, 1)], "side int, groups int"))
+    group = F.pmod(F.xxhash64("vec_id"), F.col("groups")).cast("int").alias("group")
+    own = asking.join(groups_of, "side").join(parts_of, "cell").select(
+        F.lit(True).alias("asks"), "vec_id", "vector", "least", "side", group, "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    )
+    # a cell goes to the groups that ask for it: at most PIVOTS cells for each group of some GROUP queries
+    met = F.broadcast(asking.select("side", "cell").distinct().join(groups_of, "side"))
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part")
+    groups = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")
+    side = placed.join(met, "cell").join(parts_of, "cell").select(
+        F.lit(False).alias("asks"), "vec_id", "vector", F.lit(None).cast("double").alias("least"), "side", groups, "cell", part
+    )
 
     def best(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         rows, ids = matrix(table.column("vector"), dims), table.column("vec_id").to_numpy()
-        own, names = rows[asks], ids[asks]
-        # repeated rows are one candidate
-        _, kept = np.unique(np.column_stack([ids[~asks].astype(float), rows[~asks]]), axis=0, return_index=True)
-        others, other_ids = rows[~asks][kept], ids[~asks][kept]
-        # the k-th best in the sample is known before, whichever part is searched
-        known = own @ sample.T
-        known[names[:, None] == sample_ids[None, :]] = -np.inf
-        least = np.full(len(own), -np.inf)
-        if len(np.unique(sample_ids)) == len(sample_ids) and len(sample_ids) > k:
-            least = np.partition(known, -k, axis=1)[:, -k]
-        found = search(CoverTree(own), names, CoverTree(others), other_ids, k, least)
+        names, least = ids[asks], table.column("least").to_numpy()[asks].astype(float)
+        found = search(CoverTree(rows[asks]), names, CoverTree(rows[~asks]), ids[~asks], k, least)
         place, rank = np.nonzero(found.scores > -np.inf)
         return pa.table({
             "query_id": names[place], "vec_id": found.ids[place, rank], "score": found.scores[place, rank].astype(np.int64),
         })
 
-    return asking.unionByName(side).repartition(max(1, first * groups), "group", "part").groupBy("group", "part").applyInArrow(best, RESULT)
+    keys = ["side", "group", "cell", "part"]
+    number = max(1, sum(parts.values()) * sum(sides.values()))
+    return own.unionByName(side).repartition(number, *keys).groupBy(*keys).applyInArrow(best, RESULT)
 
 
 def top_k(rows: DataFrame, queries: Column, k: int = 5, vector: str = "embedding", key: str = "vec_id", factor: int = 256) -> DataFrame:
@@ -96,10 +127,11 @@ def top_k(rows: DataFrame, queries: Column, k: int = 5, vector: str = "embedding
     go to the smaller vec_id; all other rows are candidates, and fewer than ``k`` give all.
     Results are exact: whole numbers, which must stay below 2**53 in size.
 
-    Queries meet candidates in blocks: parts of at most some 8,192 candidates, cells
-    around far-apart pivots, with groups of some 4,096 queries. In each the dual-tree
-    search starts from the k-th score that a bounded sample of candidates gives, so a
-    part returns only what may still be among the best.
+    Candidates are cells around far-apart pivots, in parts of some 8,192, queries groups of
+    some 4,096 near one pivot. Each query's k-th score among a bounded sample of candidates
+    is taken once. A query is sent only to cells whose ball may hold a score that reaches it,
+    and a cell to the groups that ask for it; there the dual-tree search starts from those
+    scores, so a part returns only what may still be among the best.
 
     Vectors that are null, empty or hold null or non-finite components, and rows
     without a key, take no part; vectors of different lengths are not compared.
@@ -111,7 +143,7 @@ def top_k(rows: DataFrame, queries: Column, k: int = 5, vector: str = "embedding
     base = rows.where(usable).select(
         F.col(key).cast("long").alias("vec_id"), scaled(vector, factor).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")
     )
-    base = materialise(base, "scaled")
+    base = materialise(base.distinct(), "scaled")
     asked = materialise(base.where("asks").groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
     points = base.select("vec_id", "vector")
     found = None

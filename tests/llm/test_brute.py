@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 from claimspark.llm import embedding_dedup, grouping, packing, quality, secret_scan, sharding, simhash, substring, topk
 from claimspark.llm.automaton import Automaton
+from claimspark.llm.cover_tree import CoverTree, search
 from claimspark.llm.components import components
 from claimspark.llm.queries import tokenizer_path
 
@@ -324,3 +325,65 @@ def test_quality_samples_cover_whole_texts(spark, monkeypatch):
     seen.clear()
     quality.train(rows, labels, samples=5)
     assert [len(samples) for samples in seen] == [5, 5]
+
+
+def clustered(seed, clusters, each, dims=16):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dims)) * 3000
+    return np.floor((centres[:, None, :] + rng.normal(size=(clusters, each, dims)) * 15).reshape(-1, dims))
+
+
+def test_cover_tree_prunes_clustered_vectors():
+    rows = clustered(1, 60, 40)
+    ids, asks = np.arange(len(rows)), np.arange(0, len(rows), 7)
+    tree = CoverTree(rows)
+    assert tree.root.children
+
+    def check(node):
+        for child in node.children:
+            assert np.linalg.norm(rows[child.points] - child.centre, axis=1).max() <= child.radius + 1e-9
+            check(child)
+        if node.children:
+            assert sorted(p for c in node.children for p in c.points) == sorted(node.points)
+
+    check(tree.root)
+    least = np.full(len(asks), -np.inf)
+    found = search(CoverTree(rows[asks]), ids[asks], tree, ids, 5, least)
+    scores = rows[asks] @ rows.T
+    scores[np.arange(len(asks)), asks] = -np.inf
+    for n in range(len(asks)):
+        order = np.lexsort((ids, -scores[n]))[:5]
+        assert found.ids[n].tolist() == order.tolist() and found.scores[n].tolist() == scores[n][order].tolist()
+    assert found.compared < 0.3 * scores.size  # pairs of balls were left out
+
+
+def test_cover_tree_of_far_copies_and_singles():
+    rows = np.concatenate([np.eye(100) * 1000, np.eye(100) * 1000, np.zeros((70, 100))])
+    tree = CoverTree(rows)
+    assert len(tree.root.children) >= 100 and {len(c.points) for c in tree.root.children} >= {2}
+
+
+def test_search_leaves_out_cells_before_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL", 60)
+    monkeypatch.setattr(topk, "GROUP", 20)
+    rows = clustered(2, 12, 50)
+    table = spark.createDataFrame([(int(i), [float(x) / 256 for x in r]) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    met = []
+    keep = topk.materialise
+    monkeypatch.setattr(topk, "materialise", lambda df, label: met.append((label, keep(df, label))) or met[-1][1])
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(table, F.col("vec_id") % 10 == 0, 5).collect()}
+    for query in range(0, 600, 10):
+        scores = rows @ rows[query]
+        order = [i for i in np.lexsort((np.arange(600), -scores)) if i != query][:5]
+        assert [found[query, n + 1] for n in range(5)] == [(i, int(scores[i])) for i in order]
+    cells = next(df for label, df in met if label == "cells").select("cell").distinct().count()
+    asking = next(df for label, df in met if label == "asking").count()
+    assert cells >= 8 and asking < 0.5 * cells * 60
+
+
+def test_search_keeps_large_ids_apart(spark):
+    big = 2**53
+    rows = [(big, [1.0, 0.0]), (big + 1, [1.0, 0.0]), (big + 2, [0.5, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [(r["rank"], r["vec_id"]) for r in topk.top_k(table, F.col("vec_id") == 1, 3).orderBy("rank").collect()]
+    assert found == [(1, big), (2, big + 1), (3, big + 2)]
