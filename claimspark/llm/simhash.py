@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.scratch import materialise
@@ -127,21 +127,36 @@ class Tree:
             todo.append((far, places[reach], (inside & (distances > split))[reach]))
 
 
-def _local_links(members: np.ndarray, queries: np.ndarray, mask: int, radius: int, max_bits: int) -> np.ndarray:
-    """Links that join what is near each other in a shard: one or two for each fingerprint of a leaf."""
-    depth = max(0, int(np.ceil(np.log2(max(len(members), 1) / LEAF))) + 4)
-    tree = Tree(members, mask, depth, LEAF // 2, 1)
+def _in_leaves(tree: Tree, members: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each leaf its members, and the queries whose ball reaches it."""
     mine = {leaf: places for leaf, places, _ in tree.route(members, 0)}
-    found = []
     for leaf, places, _ in tree.route(queries, radius):
-        if leaf not in mine:
-            continue
-        own = members[mine[leaf]]
-        for at in range(0, len(own), 2048):
-            for low in range(0, len(places), 2048):
-                some, others = own[at : at + 2048], queries[places[low : low + 2048]]
-                near = np.bitwise_count(some[:, None] ^ others[None, :]) <= max_bits
-                found.append(spanning(near, some, others))
+        if leaf in mine:
+            yield members[mine[leaf]], queries[places]
+
+
+def _depth(number: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(number, 1) / LEAF))) + 4)
+
+
+def _local_links(members: np.ndarray, queries: np.ndarray, mask: int, radius: int, max_bits: int) -> np.ndarray:
+    """Links that join what is near each other in a shard: one or two for each fingerprint of a leaf.
+
+    Many fingerprints that agree in the block cannot be parted by it: such a leaf goes on as a
+    tree over the other bits, searched with the whole radius.
+    """
+    found = []
+    for own, asked in _in_leaves(Tree(members, mask, _depth(len(members)), LEAF // 2, 1), members, queries, radius):
+        leaves = [(own, asked)]
+        if len(own) > 8 * LEAF:
+            rest = Tree(own, ~mask & (1 << 64) - 1, _depth(len(own)), LEAF // 2, 2)
+            leaves = _in_leaves(rest, own, asked, max_bits)
+        for held, others in leaves:
+            for at in range(0, len(held), 2048):
+                for low in range(0, len(others), 2048):
+                    some, more = held[at : at + 2048], others[low : low + 2048]
+                    near = np.bitwise_count(some[:, None] ^ more[None, :]) <= max_bits
+                    found.append(spanning(near, some, more))
     return np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
 
 
@@ -153,7 +168,8 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
 
     The upper trees have as many leaves as shards of some ``SHARD`` members need, at most
     what the sample can fit (2,048 for each block); beyond some 33 million distinct
-    fingerprints shards grow with the data, unless ``SAMPLE`` does.
+    fingerprints shards grow with the data, unless ``SAMPLE`` does; those that grow beyond
+    twice ``SHARD`` are searched in parts.
     """
     radius = max_bits // BLOCKS
     total = distinct.count()
@@ -164,16 +180,35 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     trees = [Tree(sample, mask, depth, 16, seed) for seed, mask in enumerate(masks())]
     first = np.concatenate(([0], np.cumsum([tree.leaves for tree in trees])))
 
-    def deal(batches) -> Iterator[pa.RecordBatch]:
+    def routed(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, fingerprints, whether each is a member): for each batch and shard."""
         for batch in batches:
             points = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for number, tree in enumerate(trees):
                 for leaf, places, inside in tree.route(points, radius):
-                    shard = np.full(len(places), first[number] + leaf, np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(shard), pa.array(points[places].view(np.int64)), pa.array(inside)],
-                        names=["shard", "fp", "inside"],
-                    )
+                    yield int(first[number] + leaf), points[places], inside
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(int(first[-1]), np.int64)
+        for shard, _, inside in routed(batches):
+            held[shard] += inside.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held))), pa.array(held)], names=["shard", "members"])
+
+    # a shard that a hot value of the block fills is dealt to several parts, and its queries to all of them
+    sums = distinct.select("fp").mapInArrow(count, "shard long, members long").groupBy("shard").agg(F.sum("members").alias("members"))
+    parts = np.ones(int(first[-1]), np.int64)
+    for row in sums.collect():  # a row for each shard
+        parts[row["shard"]] = max(1, -(-row["members"] // (2 * SHARD)))
+
+    def deal(batches) -> Iterator[pa.RecordBatch]:
+        for shard, points, inside in routed(batches):
+            number = int(parts[shard])
+            home = (points * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % number
+            for part in range(number):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(points), shard)), pa.array(np.full(len(points), part)), pa.array(points.view(np.int64)), pa.array(inside & (home == part))],
+                    names=["shard", "part", "fp", "inside"],
+                )
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         tree = trees[int(np.searchsorted(first, frame["shard"].iloc[0], side="right")) - 1]
@@ -181,8 +216,8 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
         found = _local_links(queries[frame["inside"].to_numpy(bool)], queries, int(tree.mask), radius, max_bits)
         return pd.DataFrame({"a": found[:, 0].copy().view(np.int64), "b": found[:, 1].copy().view(np.int64)}).drop_duplicates()
 
-    dealt = distinct.select("fp").mapInArrow(deal, "shard long, fp long, inside boolean")
-    return dealt.repartition(int(first[-1]), "shard").groupBy("shard").applyInPandas(search, "a long, b long")
+    dealt = distinct.select("fp").mapInArrow(deal, "shard long, part long, fp long, inside boolean")
+    return dealt.repartition(int(parts.sum()), "shard", "part").groupBy("shard", "part").applyInPandas(search, "a long, b long")
 
 
 def _grouped(docs: DataFrame, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
@@ -200,9 +235,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     Fingerprints link where they differ in ``max_bits`` bits or fewer; component_id
     is the smallest doc_id that links reach. Equal fingerprints are one point of the
     trees, so copies cost nothing there. Texts without words, null ones among them,
-    have fingerprint zero and link like any other. Repeated rows each get a row. A
-    null doc_id is larger than any other: a component_id is null only where no
-    doc_id is reached. Columns other than doc_id and text are left out.
+    have fingerprint zero and link like any other. A very long text is hashed a piece of
+    its words at a time. Repeated rows each get a row. A null doc_id is larger than any
+    other: a component_id is null only where no doc_id is reached. Columns other than
+    doc_id and text, whatever their names, are left out; an empty table gives an empty
+    result.
     """
     own, group = _grouped(docs, shingle, max_bits)
     # least doc_id of each fingerprint, then of each component: few rows meet in the second
@@ -217,14 +254,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """``docs`` (doc_id, text and any columns) with one row of each component: that of the smallest doc_id.
 
-    A null doc_id is the largest. Of different texts with that doc_id one stays, and
-    one of repeated rows.
+    A null doc_id is the largest. Of different texts with that doc_id the one with the
+    smaller hash stays, of rows that differ in other columns only the one with the smaller
+    hash of all columns, and one of equal rows. Null and empty texts are one component;
+    very long texts and empty tables are as in ``near_duplicates``.
     """
     own, group = _grouped(docs, shingle, max_bits)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_a", "row_b")
     points = own.groupBy("fp").agg(F.min(order).alias("first")).join(group, "fp")
     first = points.groupBy("component").agg(F.min("first").alias("first")).select("first.row_a", "first.row_b")
     whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("doc")
-    rows = docs.select(whole, *_row_keys())
+    values = [F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    rows = docs.select(whole, *_row_keys(), F.xxhash64(*values).alias("row_c"))
     kept = rows.join(first, ["row_a", "row_b"], "left_semi")
-    return kept.dropDuplicates(["row_a", "row_b"]).select("doc.*")
+    rank = F.row_number().over(Window.partitionBy("row_a", "row_b").orderBy("row_c"))
+    return kept.withColumn("row_rank", rank).where("row_rank = 1").select("doc.*")

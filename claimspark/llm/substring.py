@@ -89,7 +89,7 @@ def _batch(batch: pa.RecordBatch, previous: int, length: int) -> Iterator[tuple[
 
 
 def _repeated(rows: DataFrame, previous: int, length: int, zone: int) -> DataFrame:
-    """(ord, tag, held): places of the judged windows of ``length`` words that occur under more than one doc_id."""
+    """(ord, tag, held): places, each once however often the row repeats, of the judged windows of ``length`` words that occur under more than one doc_id."""
 
     def work(batches) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", *JUDGED):
@@ -127,7 +127,7 @@ def _repeated(rows: DataFrame, previous: int, length: int, zone: int) -> DataFra
         {"low": F.min("ord").over(group), "high": F.max("ord").over(group)}
     )
     kept = judged.where((F.col("kind") == _KNOWN) | ((F.col("kind") == _JUDGE) & (F.col("low") < F.col("high"))))
-    return kept.groupBy("ord", "tag").agg(F.collect_list("pos").alias("held"))
+    return kept.groupBy("ord", "tag").agg(F.collect_set("pos").alias("held"))
 
 
 def _removed(rows: DataFrame, previous: int, window: int) -> DataFrame:
@@ -176,7 +176,7 @@ def _removed(rows: DataFrame, previous: int, window: int) -> DataFrame:
     gone = judged.where((F.col("kind") == _KNOWN) | (F.col("ord") > F.col("low")))
     begins = (F.col("pos") + F.coalesce("step", F.lit(0))).alias("pos")
     run = F.struct(begins, F.when(F.col("kind") == _KNOWN, F.col("size")).otherwise(1).alias("size"))
-    return gone.groupBy("ord", "tag").agg(F.collect_list(run).alias("runs"))
+    return gone.groupBy("ord", "tag").agg(F.collect_set(run).alias("runs"))
 
 
 def mark(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -219,7 +219,8 @@ def remove_repeated(docs: DataFrame, window: int = 13) -> DataFrame:
     windows are judged on the texts as they came. The words that are left are joined by
     one space. A window is known by 128 bits of hash.
 
-    A null or empty text has no words. A null doc_id is larger than any other, and rows
+    A null or empty text has no words; a very long one is work of one row, in batches of its
+    own, and so are its windows. A null doc_id is larger than any other, and rows
     that share a doc_id do not remove from each other, repeated rows neither. Other
     columns are left out; an empty table gives an empty result.
     """

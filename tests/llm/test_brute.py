@@ -387,3 +387,38 @@ def test_search_keeps_large_ids_apart(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = [(r["rank"], r["vec_id"]) for r in topk.top_k(table, F.col("vec_id") == 1, 3).orderBy("rank").collect()]
     assert found == [(1, big), (2, big + 1), (3, big + 2)]
+
+
+def test_simhash_of_a_hot_block(spark, monkeypatch):
+    """Very many fingerprints that agree in one block are parted by the other bits and searched in several tasks."""
+    monkeypatch.setattr(simhash, "SHARD", 400)
+    rng = np.random.default_rng(3)
+    hot = np.uint64(0x12345) | (rng.integers(0, 1 << 43, 2500, np.uint64) << np.uint64(21))
+    near = hot[:300] ^ (np.uint64(1) << rng.integers(21, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(21, 64, 300).astype(np.uint64))
+    points = np.unique(np.concatenate([hot, near, rng.integers(0, 1 << 63, 500, np.uint64)]))
+    table = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    found = simhash.links(table, 4)
+    assert found.rdd.getNumPartitions() > 10
+    pairs = [(r["a"], r["b"]) for r in found.collect()]
+    close = np.bitwise_count(points[:, None] ^ points[None, :]) <= 4
+    want = [(int(points[i].view(np.int64)), int(points[j].view(np.int64))) for i, j in zip(*np.nonzero(close)) if i < j]
+    ids = [int(p) for p in points.view(np.int64)]
+    assert groups(ids, pairs) == groups(ids, want) and len(want) > 250
+    held = np.bitwise_count(np.array([a for a, _ in pairs]).view(np.uint64) ^ np.array([b for _, b in pairs]).view(np.uint64))
+    assert held.max() <= 8  # links go to a member that the pairs join, through one other at most
+
+
+def test_repeated_rows_give_each_place_once(spark):
+    text = " ".join(f"w{n % 50}" for n in range(120))
+    rows = spark.createDataFrame([(1, text)] + [(2, text + " end")] * 50 + [(None, text)] * 20, "doc_id long, text string").repartition(6)
+    marked = substring.mark(rows, 13).where("doc_id = 2").collect()
+    assert len(marked) == 50 and all(len(r["runs"]) == len({tuple(x) for x in r["runs"]}) <= 120 for r in marked)
+    found = substring.remove_repeated(rows, 13).collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in found) == [("1", 0)] + [("2", 120)] * 50 + [("None", 120)] * 20
+
+
+def test_one_row_of_equal_documents_stays(spark):
+    rows = [(1, "a b c d e", "x"), (1, "a b c d e", "y"), (1, "a b c d e", "y"), (2, "a b c d e", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first = [simhash.keep_one(docs.repartition(n)).collect() for n in (1, 3)]
+    assert first[0] == first[1] and len(first[0]) == 1 and first[0][0]["doc_id"] == 1
