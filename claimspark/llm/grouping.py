@@ -12,20 +12,23 @@ from collections import defaultdict
 import numpy as np
 
 
-def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Configurations of few sizes and how often to use each (rounded down), by column generation.
+def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, int]], float]:
+    """Configurations of few sizes and how often to use each (rounded down), by column generation, and the gap.
 
     Solves the linear relaxation of the cutting-stock problem: a basis of
     configurations, prices from it, and a knapsack that finds a configuration worth
-    more than one sequence at these prices, until there is none.
+    more than one sequence at these prices, until there is none. The gap is how many
+    sequences the relaxation may still be above its least: 0, unless as many rounds in a row
+    as there are pairs of sizes bring nothing (the basis is going round in circles then).
     """
     kinds = len(sizes)
     if not kinds:
-        return []
+        return [], 0.0
     basis = np.diag(capacity // sizes).astype(float)
     most = int(capacity // sizes.min())
     amounts = demand / np.diag(basis)
-    for _ in range(60 * kinds):
+    idle, gap = 0, 0.0
+    while True:
         prices = np.linalg.solve(basis.T, np.ones(kinds))
         worth = np.zeros(capacity + 1)
         taken: list[np.ndarray] = []
@@ -41,6 +44,9 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple
             worth = better
         if worth[capacity] <= 1 + 1e-7:
             break
+        if idle > kinds * kinds:
+            gap = float(amounts.sum() * (1 - 1 / worth[capacity]))
+            break
         column, left = np.zeros(kinds), capacity
         for chosen in reversed(taken):
             if (kind := chosen[left]) >= 0:
@@ -50,10 +56,11 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple
         ratio = np.where(change > 1e-9, amounts / np.where(change > 1e-9, change, 1), np.inf)
         leaves = int(ratio.argmin())
         step = ratio[leaves]
+        idle = idle + 1 if step * (worth[capacity] - 1) <= 1e-9 * amounts.sum() else 0
         amounts = np.maximum(amounts - step * change, 0)
         amounts[leaves] = step
         basis[:, leaves] = column
-    return [(basis[:, j].astype(int), int(amounts[j] + 1e-7)) for j in range(kinds) if amounts[j] + 1e-7 >= 1]
+    return [(basis[:, j].astype(int), int(amounts[j] + 1e-7)) for j in range(kinds) if amounts[j] + 1e-7 >= 1], gap
 
 
 class Plan:
@@ -65,7 +72,7 @@ class Plan:
     """
 
     def __init__(self, counts: dict[int, int], capacity: int, groups: int = 96, small: int = 3) -> None:
-        self.capacity, self.rows, self.sequences = capacity, [], 0
+        self.capacity, self.rows, self.sequences, self.gap = capacity, [], 0, 0.0
         self.free: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.used: dict[int, int] = defaultdict(int)
         left = {length: n for length, n in counts.items() if n}
@@ -92,7 +99,8 @@ class Plan:
         sizes, begins = -sizes, begins[first]
         demand = np.diff(np.append(begins, total))
         at = begins.copy()  # the next item of each group, by rank in descending length
-        for column, times in patterns(sizes, demand, self.capacity):
+        found, self.gap = patterns(sizes, demand, self.capacity)
+        for column, times in found:
             slots = []
             for kind in np.flatnonzero(column):
                 for _ in range(column[kind]):

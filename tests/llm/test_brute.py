@@ -215,7 +215,8 @@ def test_plans_place_every_item_once(counts, kinds):
 
 def test_configurations_meet_the_relaxed_bound():
     sizes, demand = np.array([60, 50, 40, 30]), np.array([300, 100, 300, 200])
-    found = grouping.patterns(sizes, demand, 100)
+    found, gap = grouping.patterns(sizes, demand, 100)
+    assert gap == 0
     assert all((column * sizes).sum() <= 100 for column, _ in found)
     # 300 times 60 + 40, 50 times 50 + 50 and 66 2/3 times 30 + 30 + 30 is the relaxed optimum
     assert 417 - len(sizes) <= sum(times for _, times in found) <= 417
