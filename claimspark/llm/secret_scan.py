@@ -125,8 +125,10 @@ def scan(docs: DataFrame, text: str = "text", rules: Mapping[str, tuple[str, boo
 def redact(docs: DataFrame, text: str = "text", rules: Mapping[str, tuple[str, bool]] = RULES) -> DataFrame:
     """``docs`` with each secret in the text replaced by ``[SECRET]``; overlapping spans are replaced once.
 
-    Texts without secrets, nulls among them, stay as they are. A column ``n_chars`` is set
-    to the length of a text that changed.
+    Texts without secrets, null and empty ones among them, stay as they are. A column
+    ``n_chars`` is set to the length of a text that changed. Repeated rows stay repeated, a
+    long text is searched whole, an empty table gives an empty result, and all columns,
+    whatever their names, keep their order and types.
     """
     frozen = tuple((name, rules[name]) for name in rules)
     schema = docs.schema

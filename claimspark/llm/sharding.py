@@ -107,9 +107,11 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, path: str | Non
 
     Returns doc_id, size, text_crc32, law, shard, slot (the row's place in its shard,
     from 0 without gaps), grown_shard (null: the law is not ``key``) and virtual_slot.
-    A null text has size 1 and the checksum of the empty text. Repeated rows share a
-    virtual slot and get places of their own. Other columns are left out; an empty
-    table gives an empty result.
+    A null text has size 1 and the checksum of the empty text; a long text counts all its
+    bytes. Equal rows share a virtual slot and get places of their own, in any order among
+    them: shards are as even as slots allow, and a row that repeats so often that its slot
+    outweighs a shard's share makes that shard heavier. Other columns, whatever their names,
+    are left out; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = materialise(slotted(docs, slots), "slotted")
