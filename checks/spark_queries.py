@@ -538,6 +538,34 @@ register(
     ),
 )
 
+register(
+    "network_risk",
+    lambda spark, sf_dir: G.network_risk(claims_tables(spark, sf_dir), report(spark, sf_dir), START, END).select(
+        "provider_npi", F.round("own_risk", 6).alias("own_risk"), F.round("network_risk", 5).alias("network_risk")
+    ),
+    with_needed(
+        "SELECT node AS provider_npi, round(own, 6) AS own_risk, round(spread, 5) AS network_risk FROM q_waves WHERE round = 40",
+        {
+            "q_heard": """SELECT referring_npi AS a, rendering_npi AS b, referral_count AS w FROM q_edges
+                UNION ALL SELECT rendering_npi, referring_npi, referral_count FROM q_edges
+                UNION ALL SELECT provider_npi, other_provider, shared_patients FROM q_pairs WHERE shared_patients >= 3""",
+            "q_weights": "SELECT a, b, sum(w)::DOUBLE AS w FROM q_heard WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b GROUP BY a, b",
+            "q_shares": "SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS share FROM q_weights",
+            "q_nodes": """SELECT node, coalesce(CAST(composite_risk_score AS DOUBLE), 0.0) AS own
+                FROM (SELECT provider_npi AS node FROM q_report UNION SELECT a FROM q_shares UNION SELECT b FROM q_shares)
+                LEFT JOIN q_report ON provider_npi = node""",
+            "q_waves": """
+                SELECT 0 AS round, node, own, own AS spread FROM q_nodes
+                UNION ALL
+                SELECT w.round + 1, w.node, any_value(w.own),
+                       CASE WHEN count(share) = 0 THEN any_value(w.own) ELSE 0.5 * any_value(w.own) + 0.5 * sum(share * o.spread) END
+                FROM q_waves w LEFT JOIN q_shares s ON s.a = w.node LEFT JOIN q_waves o ON o.node = s.b
+                WHERE w.round < 40 GROUP BY w.round, w.node""",
+        },
+        recursive=True,
+    ),
+)
+
 # --- Loading and layout ---------------------------------------------------------
 
 

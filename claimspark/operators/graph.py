@@ -251,3 +251,63 @@ def similar_addresses(tables: Tables, threshold: float = 0.6, q: int = 3) -> Dat
     return pairs.join(a, "text_a").join(b, "text_b").select(
         F.col("text_a").alias("address_a"), F.col("text_b").alias("address_b"), "similarity", "providers_a", "providers_b"
     )
+
+
+# ---- risk through the network
+
+
+def propagated(
+    values: DataFrame, edges: DataFrame, *, damping: float = 0.5, tolerance: float = 1e-9
+) -> tuple[DataFrame, float]:
+    """Values (node, value) with what their neighbours add, and the residual that is left.
+
+    ``edges`` (a, b, weight) say how much a listens to b. The result solves
+    ``spread = (1 - damping) * value + damping * mean of the neighbours' spread``, the mean
+    weighted by the edges; nodes without edges keep their value, nodes without a value have 0.
+    Rounds go on until no node changes by more than ``tolerance``, the residual; the distance
+    to the solution is then at most damping / (1 - damping) times that. Each round is a written
+    table. A hub's neighbours are summed before they are shuffled to it.
+    """
+    if not 0 <= damping < 1:
+        raise ValueError("damping is at least 0 and below 1")
+    links = edges.where("a is not null and b is not null and a <> b and weight > 0").groupBy("a", "b").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+    links = materialise(links, "risk_edges")
+    total = links.groupBy("a").agg(F.sum("weight").alias("total"))
+    links = materialise(links.join(total, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("share")), "risk_shares")
+    named = values.where("node is not null").groupBy("node").agg(F.max(F.col("value").cast("double")).alias("own"))
+    nodes = named.select("node").unionByName(links.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    start = nodes.join(named, "node", "left").select("node", F.coalesce("own", F.lit(0.0)).alias("own"))
+    current = materialise(start.withColumn("spread", F.col("own")), "risk")
+    while True:
+        told = links.join(current.select(F.col("node").alias("b"), "spread"), "b")
+        heard = told.groupBy(F.col("a").alias("node")).agg(F.sum(F.col("share") * F.col("spread")).alias("heard"))
+        own = (1 - damping) * F.col("own") + damping * F.col("heard")
+        after = current.join(heard, "node", "left").select(
+            "node", "own", F.when(F.col("heard").isNull(), F.col("own")).otherwise(own).alias("spread"), F.col("spread").alias("last")
+        )
+        change = F.coalesce(F.max(F.abs(F.col("spread") - F.col("last"))), F.lit(0.0))
+        current, seen = materialise_with(after, "risk", change=change)
+        current = current.drop("last")
+        if seen["change"] <= tolerance:
+            return current.select("node", "own", "spread"), seen["change"]
+
+
+def network_risk(
+    tables: Tables, risk: DataFrame, start: date | str, end: date | str, *, damping: float = 0.5, tolerance: float = 1e-9, min_shared: int = 3
+) -> DataFrame:
+    """The risk of providers together with that of the providers around them.
+
+    (provider_npi, own_risk, network_risk): ``risk`` has provider_npi and
+    composite_risk_score; neighbours are partners in referrals, either way, weighted by their
+    number, and in shared patients, weighted by theirs.
+    """
+    referred = referral_edges(tables, start, end)
+    shared = shared_patient_edges(tables, start, end, min_shared=min_shared)
+    edges = (
+        referred.select(F.col("referring_npi").alias("a"), F.col("rendering_npi").alias("b"), F.col("referral_count").alias("weight"))
+        .unionByName(referred.select(F.col("rendering_npi").alias("a"), F.col("referring_npi").alias("b"), F.col("referral_count").alias("weight")))
+        .unionByName(shared.select(F.col("provider_npi").alias("a"), F.col("other_provider").alias("b"), F.col("shared_patients").alias("weight")))
+    )
+    own = risk.select(F.col("provider_npi").alias("node"), F.col("composite_risk_score").alias("value"))
+    found, _ = propagated(own, edges, damping=damping, tolerance=tolerance)
+    return found.select(F.col("node").alias("provider_npi"), F.col("own").alias("own_risk"), F.col("spread").alias("network_risk"))

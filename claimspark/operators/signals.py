@@ -23,7 +23,7 @@ from claimspark.functions.periods import (
     keep_providers,
     month_of,
 )
-from claimspark.functions.scratch import materialise
+from claimspark.functions.scratch import materialise_all
 from claimspark.functions.spans import span_cover
 from claimspark.operators.claims import claim_volume_by_period, claims_above_limit
 from claimspark.operators.eligibility import retroactive_spans
@@ -187,11 +187,16 @@ def signal_pairs(
     spike with members whose coverage starts that month. ``signals`` counts the
     members or claims that coincide.
     """
-    # Spikes and costly claims are few and used several times: each is found once and stored.
-    spikes = billing_spike_detection(tables, start, end, providers).select(
-        "provider_npi", "month", F.col("total_allowed").alias("amount")
-    )
-    spikes = materialise(spikes, "spikes")
+    # Spikes and costly claims are few and used several times: each is found once and stored, side by side.
+    stored = materialise_all(tables["claims"].sparkSession, {
+        "spikes": lambda: billing_spike_detection(tables, start, end, providers).select(
+            "provider_npi", "month", F.col("total_allowed").alias("amount")
+        ),
+        "costly": lambda: claims_above_limit(tables, start, end, providers).select(
+            "provider_npi", "member_id", "service_date", "allowed_amount"
+        ),
+    })
+    spikes, costly = stored["spikes"], stored["costly"]
     key = ["provider_npi", "month"]
 
     def pair(name: str, df: DataFrame) -> DataFrame:
@@ -200,8 +205,6 @@ def signal_pairs(
     busy = member_utilization_spike(tables, start, end, providers).groupBy(*key).agg(
         F.count("*").alias("signals")
     )
-    costly = claims_above_limit(tables, start, end, providers)
-    costly = materialise(costly.select("provider_npi", "member_id", "service_date", "allowed_amount"), "costly-claims")
     late = span_cover(
         costly, retroactive_spans(tables["eligibility"]), "member_id", "service_date",
         "coverage_start", "coverage_end", start, end,

@@ -123,6 +123,8 @@ CLAIM_COLUMNS = (
     "diagnosis_code", "service_state", "allowed_amount",
 )
 MONTHS_BACK, DAYS_AHEAD = 24, 7
+#: So many concepts are worth a copy of the period's claims; fewer read the claims themselves.
+COPY_FROM = 5
 
 
 def stored_period(tables: Tables, start: date | str, end: date | str, months: int, days: int) -> dict[str, DataFrame]:
@@ -156,13 +158,17 @@ def provider_scores(
 
     The table has at most one row per provider and concept however many claims
     there are. Findings, estimates, risk and reports all derive from it, so it is
-    worth storing once; the branches are independent and run side by side. They read a
-    copy of the period's claims that is stored first, so the claims are scanned once.
+    worth storing once; the branches are independent and run side by side. Many concepts
+    read a copy of the period's claims that is stored first, so the claims are scanned
+    once; fewer than ``COPY_FROM`` read the claims.
     """
     given = options or {}
     months = max([MONTHS_BACK, *(own.get("lookback_months", 0) for own in given.values())])
     days = max([DAYS_AHEAD, *(own.get("days", 0) for own in given.values())])
-    tables = stored_period(tables, start, end, max(months, days // 28 + 1), days)
+    if concepts is not None:
+        concepts = list(concepts)
+    if concepts is None or len(concepts) >= COPY_FROM:
+        tables = stored_period(tables, start, end, max(months, days // 28 + 1), days)
 
     def rows(operator, **extra) -> DataFrame:
         return operator(tables, start, end, providers, **{**extra, **given.get(operator.__name__, {})})

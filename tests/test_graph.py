@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from claimspark.operators.graph import (
     core_numbers,
+    propagated,
     provider_cores,
     referral_rings,
     similar_addresses,
@@ -150,3 +152,28 @@ def test_similar_addresses(build):
     assert [(a, b, x, y) for a, b, _, x, y in found] == [("main st 12 ste 4 tx 75001", "main st 12 suite 4 tx 75001", 1, 2)]
     with pytest.raises(ValueError, match="threshold"):
         similar_addresses(tables, 0)
+
+
+def test_propagated_values_against_a_plain_solution(spark):
+    rng = random.Random(3)
+    edges = [("hub", f"n{i}", 1 + i % 3) for i in range(40)] + [(f"n{i}", "hub", 2) for i in range(30)] + [("n1", "n2", 5), ("n1", "n2", 1), ("n3", "n3", 9), (None, "n1", 1)]
+    values = [(f"n{i}", rng.random()) for i in range(45)] + [(None, 1.0)]
+    found, residual = propagated(spark.createDataFrame(values, "node string, value double"), spark.createDataFrame(edges, "a string, b string, weight long"), damping=0.7)
+    own = {n: v for n, v in values if n}
+    nodes = sorted(set(own) | {n for a, b, _ in edges if a and a != b for n in (a, b)})
+    place = {n: i for i, n in enumerate(nodes)}
+    matrix = np.zeros((len(nodes), len(nodes)))
+    for a, b, w in edges:
+        if a and a != b:
+            matrix[place[a], place[b]] += w
+    totals = matrix.sum(1, keepdims=True)
+    shares = np.divide(matrix, totals, out=np.zeros_like(matrix), where=totals > 0)
+    start = np.array([own.get(n, 0.0) for n in nodes])
+    alone = totals[:, 0] == 0
+    system = np.eye(len(nodes)) - 0.7 * shares
+    want = np.linalg.solve(system, np.where(alone, start, 0.3 * start))
+    assert residual <= 1e-9
+    for r in found.collect():
+        assert abs(r.spread - want[place[r.node]]) < 1e-8 and r.own == own.get(r.node, 0.0)
+    with pytest.raises(ValueError):
+        propagated(found, found, damping=1.0)
