@@ -192,11 +192,11 @@ def signal_pairs(
         "spikes": lambda: billing_spike_detection(tables, start, end, providers).select(
             "provider_npi", "month", F.col("total_allowed").alias("amount")
         ),
-        "costly": lambda: claims_above_limit(tables, start, end, providers).select(
+        "costly-claims": lambda: claims_above_limit(tables, start, end, providers).select(
             "provider_npi", "member_id", "service_date", "allowed_amount"
         ),
     })
-    spikes, costly = stored["spikes"], stored["costly"]
+    spikes, costly = stored["spikes"], stored["costly-claims"]
     key = ["provider_npi", "month"]
 
     def pair(name: str, df: DataFrame) -> DataFrame:

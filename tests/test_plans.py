@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimspark.functions.scratch import clear_scratch, materialise, scratch_path, scratch_root
 from claimspark.operators.signals import signal_pairs
@@ -192,6 +193,13 @@ def test_scores_read_the_claims_once(case):
     assert "paid_amount" not in plan and "modifier_1" not in plan
 
 
+def test_few_concepts_read_the_claims_themselves(case, rows):
+    few = ["duplicate_claims", "coverage_gap_claims"]
+    scores = provider_scores(case, *YEAR, concepts=iter(few))
+    assert not any("period-claims" in file for file in scores.inputFiles())
+    assert rows(scores) == rows(provider_scores(case, *YEAR).where(F.col("concept").isin(few)))
+
+
 def test_signal_pairs_read_stored_spikes(case):
     files = " ".join(signal_pairs(case, *YEAR).inputFiles())
     assert "/spikes-" in files and "/costly-claims-" in files
