@@ -40,7 +40,13 @@ from claimspark.plans.impact import (
     top_providers,
 )
 from claimspark.plans.registry import CONCEPTS, run, sweep_all
-from claimspark.sources.layout import read_claims, read_eligibility, write_claims, write_eligibility
+from claimspark.sources.layout import (
+    read_claims,
+    read_eligibility,
+    write_claims,
+    write_claims_interleaved,
+    write_eligibility,
+)
 from claimspark.sources.load import (
     keep_first,
     load_rejects,
@@ -813,6 +819,16 @@ register("clustered_claims", clustered_claims, with_needed(f"SELECT {_CLAIM} FRO
 register("clustered_claims_all", all_clustered_claims, with_needed(f"SELECT {_CLAIM} FROM claims"))
 
 
+def interleaved_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims stored in the order of provider and member at once; those of the period read back."""
+    path = scratch_path(spark, "interleaved")
+    write_claims_interleaved(claims_tables(spark, sf_dir)["claims"], path)
+    return read_claims(spark, path, START, END)
+
+
+register("interleaved_claims", interleaved_claims, with_needed(f"SELECT {_CLAIM} FROM period_claims"))
+
+
 def clustered_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "clustered")
     write_eligibility(claims_tables(spark, sf_dir)["eligibility"], path)

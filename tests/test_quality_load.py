@@ -17,7 +17,7 @@ from claimspark.operators.quality import (
     top_rows,
     validate_result,
 )
-from claimspark.sources.layout import read_claims, read_eligibility, write_claims, write_eligibility
+from claimspark.sources.layout import interleaved, read_claims, read_eligibility, write_claims, write_claims_interleaved, write_eligibility
 from claimspark.sources.load import keep_first, load_rejects, load_tables, new_rows, null_tokens, scan_csv, split_rejects, table_counts
 from claimspark.sources.records import placed_records
 from claimspark.sources.schemas import SCHEMAS
@@ -166,6 +166,57 @@ def test_layout(build, spark, tmp_path, rows):
     assert rows(read_eligibility(spark, f"{tmp_path}/eligibility")) == rows(tables["eligibility"])
 
 
+def _rows_scanned(df):
+    df.collect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return scan.metrics().apply("numOutputRows").value()
+
+
+def test_interleaved_layout_skips_by_either_key(spark, tmp_path):
+    # 40,000 claims of a month; provider P0 has a third of them, two have no member
+    claims = spark.range(40_000).selectExpr(
+        "concat('C', id) claim_id", "if(id % 3 = 0, 'P0', concat('P', pmod(xxhash64(id), 900))) provider_npi",
+        "if(id < 2, null, concat('M', pmod(xxhash64(id, 1), 3000))) member_id", "date '2025-01-01' + cast(id % 31 as int) service_date",
+    )
+    small = {"parquet.page.row.count.limit": "64", "parquet.block.size": "65536", "parquet.block.size.row.check.min": "10"}
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name, value in small.items():
+        conf.set(name, value)
+    try:
+        write_claims_interleaved(claims, f"{tmp_path}/both", 4)
+        write_claims(claims, f"{tmp_path}/one", 4)
+    finally:
+        for name in small:
+            conf.unset(name)
+    both, one = (read_claims(spark, f"{tmp_path}/{name}", "2025-01-01", "2025-01-31") for name in ("both", "one"))
+    assert both.exceptAll(claims).count() == 0 and both.count() == 40_000
+    for member in ("M7", "M1500", "M2999"):
+        picked = both.where(F.col("member_id") == member)
+        assert picked.exceptAll(claims.where(F.col("member_id") == member)).count() == 0
+        assert _rows_scanned(both.where(F.col("member_id") == member)) <= 4_000
+        assert _rows_scanned(one.where(F.col("member_id") == member)) > 20_000
+    assert _rows_scanned(both.where("provider_npi = 'P450'")) <= 4_000
+    assert _rows_scanned(both.where("provider_npi = 'P0' and member_id = 'M7'")) <= 2_000
+
+
+def test_interleaved_layout_of_unusual_tables(build, spark, tmp_path, rows):
+    claims = build(claims=[{"service_date": d, "member_id": m, "provider_npi": p} for d, m, p in
+                           [(None, None, None), ("2025-01-01", "M", None), ("2025-01-01", "M", None)]])["claims"]
+    write_claims_interleaved(claims, f"{tmp_path}/odd", bits=1)
+    assert rows(read_claims(spark, f"{tmp_path}/odd")) == rows(claims)
+    write_claims_interleaved(claims.limit(0), f"{tmp_path}/none")
+    assert spark.read.schema(claims.schema).parquet(f"{tmp_path}/none").count() == 0
+    with pytest.raises(ValueError):
+        write_claims_interleaved(claims, f"{tmp_path}/odd", bits=13)
+
+
+def test_bits_in_turn(spark):
+    cells = spark.range(64).select((F.col("id") % 8).alias("x"), F.floor(F.col("id") / 8).alias("y"))
+    found = cells.select("x", "y", interleaved([F.col("x"), F.col("y")], 3).alias("z")).collect()
+    for x, y, z in found:
+        assert z == int("".join(a + b for a, b in zip(f"{x:03b}", f"{y:03b}")), 2)
+
+
 MAP = "procedure_code,expected_specialty,category\n"
 
 
