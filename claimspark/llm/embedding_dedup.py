@@ -38,40 +38,48 @@ def principal_axes(sample: np.ndarray) -> np.ndarray:
 
 
 class Tile:
-    """Vectors of a tile, turned, with the norms that are left behind each stage."""
+    """Vectors of a tile, turned; ``left`` and ``right`` hold what each stage adds to the bound of a pair.
+
+    The bound after some dimensions is the product over them plus that of the norms of the rest. The
+    product of two rows of a stage is the change of the bound: its dimensions, the rest behind
+    it, less the rest behind the stage before. The last stage leaves no rest, so its bound is the cosine.
+    """
 
     def __init__(self, vectors: np.ndarray, axes: np.ndarray) -> None:
         self.unit = unit(vectors)
         turned = self.unit @ axes
         dims = turned.shape[1]
-        self.stages = sorted({max(1, round(share * dims)) for share in LEADING})
         rest = np.sqrt(np.maximum(np.cumsum((turned**2)[:, ::-1], axis=1)[:, ::-1], 0))
-        first = self.stages[0]
-        self.lead = np.column_stack([turned[:, :first], rest[:, first] if first < dims else np.zeros(len(turned))])
-        self.turned, self.rest = turned, rest
+        rest = np.column_stack([rest, np.zeros(len(turned))])
+        self.left, self.right, begin = [], [], 0
+        for end in sorted({*(max(1, round(share * dims)) for share in LEADING), dims}):
+            before = rest[:, begin] if begin else np.zeros(len(turned))
+            self.left.append(np.column_stack([turned[:, begin:end], rest[:, end], -before]))
+            self.right.append(np.column_stack([turned[:, begin:end], rest[:, end], before]))
+            begin = end
 
 
 def linked(a: Tile, b: Tile, rows: slice, columns: slice, threshold: float) -> np.ndarray:
-    """Which pairs of a block have a cosine of at least ``threshold``."""
-    bound = a.lead[rows] @ b.lead[columns].T  # leading product and product of rests, at once
-    left, right = np.nonzero(bound >= threshold - SLACK)
+    """Which pairs of a block have a cosine of at least ``threshold``.
+
+    After each stage the block shrinks to the rows and columns that are still in a pair whose
+    bound reaches the threshold; it is done when there are none.
+    """
+    bound = a.left[0][rows] @ b.right[0][columns].T
     near = np.zeros(bound.shape, bool)
-    if len(left) > bound.size // 16:  # a dense block: all dimensions at once, then the pairs near the threshold again
-        cosine = a.unit[rows] @ b.unit[columns].T
-        near = cosine >= threshold
-        left, right = np.nonzero(np.abs(cosine - threshold) <= SLACK)
-    else:
-        dims = a.turned.shape[1]
-        for stage in a.stages[1:]:
-            if stage >= dims or not len(left):
-                break
-            i, j = left + rows.start, right + columns.start
-            product = np.einsum("nd,nd->n", a.turned[i, :stage], b.turned[j, :stage])
-            kept = product + a.rest[i, stage] * b.rest[j, stage] >= threshold - SLACK
-            left, right = left[kept], right[kept]
-    if len(left):
-        cosine = np.einsum("nd,nd->n", a.unit[left + rows.start], b.unit[right + columns.start])
-        near[left, right] = cosine >= threshold
+    i, j = np.arange(rows.start, rows.stop), np.arange(columns.start, columns.stop)
+    for left, right in zip(a.left[1:], b.right[1:]):
+        still = bound >= threshold - SLACK
+        up, along = np.flatnonzero(still.any(axis=1)), np.flatnonzero(still.any(axis=0))
+        if not len(up):
+            return near
+        i, j, bound = i[up], j[along], bound[up[:, None], along]
+        bound += left[i] @ right[j].T
+    # cosines now, but for rounding: what lies at the threshold is decided by the vectors themselves
+    found = bound >= threshold
+    at, to = np.nonzero((bound >= threshold - SLACK) & (bound <= threshold + SLACK))
+    found[at, to] = np.einsum("nd,nd->n", a.unit[i[at]], b.unit[j[to]]) >= threshold
+    near[(i - rows.start)[:, None], j - columns.start] = found
     return near
 
 
