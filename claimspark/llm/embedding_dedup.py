@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from claimspark.functions.scratch import materialise
 from claimspark.llm.components import components
 from claimspark.llm.spread import spanning
-from claimspark.llm.vectors import SAMPLE, finite, matrix, unit
+from claimspark.llm.vectors import SAMPLE, finite, first_by_hash, matrix, unit
 
 #: Rows of a tile and of a block; shares of the dimensions after which pairs are given up.
 TILE, BLOCK = 6144, 1024
@@ -104,8 +104,8 @@ def compare(ids: tuple[np.ndarray, np.ndarray], copies: tuple[np.ndarray, np.nda
 def _links(points: DataFrame, dims: int, threshold: float, tile: int) -> DataFrame:
     """(a, b, n): pairs that join linked points (a, b), and the number of links n of point a in a pair of tiles."""
     total = points.count()
-    order = points.orderBy(F.xxhash64("rep", F.lit("sample")), "rep").limit(SAMPLE)
-    sample = unit(np.array([row["vector"] for row in order.select("vector").collect()], float).reshape(-1, dims))
+    drawn = first_by_hash(points, ["rep"], total, SAMPLE)
+    sample = unit(np.array([row["vector"] for row in drawn.select("vector").collect()], float).reshape(-1, dims))
     axes = principal_axes(sample)
     first = np.sort(sample @ axes[:, 0])
     wanted = min(math.ceil(total / tile), len(first) // 8 or 1)

@@ -25,6 +25,7 @@ from claimspark.functions.scratch import materialise
 from claimspark.llm.batches import as_bytes, slices
 from claimspark.llm.components import components
 from claimspark.llm.spread import spanning
+from claimspark.llm.vectors import first_by_hash
 
 BLOCKS = 3
 #: Fingerprints that the upper trees are fitted to, members that a shard should have, members of a leaf.
@@ -174,8 +175,8 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     radius = max_bits // BLOCKS
     total = distinct.count()
     # a sample by the order of a hash: a bounded number of rows, whatever the table's size
-    order = distinct.orderBy(F.xxhash64("fp", F.lit("sample")), "fp").limit(SAMPLE)
-    sample = np.array([row["fp"] for row in order.collect()], np.int64).view(np.uint64)
+    drawn = first_by_hash(distinct, ["fp"], total, SAMPLE)
+    sample = np.array([row["fp"] for row in drawn.collect()], np.int64).view(np.uint64)
     depth = int(np.ceil(np.log2(max(total, 1) / SHARD))) if total > SHARD else 0
     trees = [Tree(sample, mask, depth, 16, seed) for seed, mask in enumerate(masks())]
     first = np.concatenate(([0], np.cumsum([tree.leaves for tree in trees])))

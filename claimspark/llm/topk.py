@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.scratch import materialise
 from claimspark.llm.cover_tree import CoverTree, search
-from claimspark.llm.vectors import SAMPLE, finite, matrix
+from claimspark.llm.vectors import SAMPLE, finite, first_by_hash, matrix
 
 #: Candidates of a cell's part, queries of a group, top balls of the cover tree at most.
 CELL, GROUP, PIVOTS = 8192, 4096, 256
@@ -49,8 +49,7 @@ def _thresholds(queries: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample
 def _search(points: DataFrame, queries: DataFrame, dims: int, k: int) -> DataFrame:
     """(query_id, vec_id, score): the best of each query in each part of the candidates that can hold one."""
     spark, total = points.sparkSession, points.count()
-    order = points.orderBy(F.xxhash64("vec_id", F.lit("sample")), "vec_id", "vector").limit(SAMPLE)
-    held = order.select("vec_id", "vector").collect()
+    held = first_by_hash(points, ["vec_id", "vector"], total, SAMPLE).select("vec_id", "vector").collect()
     sample = np.array([row["vector"] for row in held], float).reshape(-1, dims)
     sample_ids = np.array([row["vec_id"] for row in held], np.int64)
     pivots = _pivots(sample, min(PIVOTS, max(1, total // CELL)))

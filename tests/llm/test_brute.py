@@ -20,6 +20,7 @@ from claimspark.llm.automaton import Automaton
 from claimspark.llm.cover_tree import CoverTree, search
 from claimspark.llm.components import components
 from claimspark.llm.queries import tokenizer_path
+from claimspark.llm.vectors import first_by_hash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -423,3 +424,27 @@ def test_one_row_of_equal_documents_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     first = [simhash.keep_one(docs.repartition(n)).collect() for n in (1, 3)]
     assert first[0] == first[1] and len(first[0]) == 1 and first[0][0]["doc_id"] == 1
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3, 8, 40])
+def test_blocks_of_any_density(dims):
+    rng = np.random.default_rng(dims)
+    base = rng.normal(size=(70, dims))
+    vectors = np.concatenate([base, base * 3, base + rng.normal(size=base.shape) * 0.2])
+    for some in (vectors, np.concatenate([vectors, np.ones((150, dims)) + rng.normal(size=(150, dims)) * 0.05])):
+        tile = embedding_dedup.Tile(some, embedding_dedup.principal_axes(embedding_dedup.unit(some)))
+        cosine = np.array([[float(np.dot(a, b)) for b in tile.unit[20:200]] for a in tile.unit])
+        found = embedding_dedup.linked(tile, tile, slice(0, len(some)), slice(20, 200), 0.9)
+        sure = np.abs(cosine - 0.9) > 1e-12
+        assert (found == (cosine >= 0.9))[sure].all()
+
+
+def test_first_by_hash_hands_over_few_rows(spark):
+    rows = spark.range(0, 60_000, 1, 16).withColumn("more", F.col("id") * 2)
+    whole = rows.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(500).collect()
+    drawn = first_by_hash(rows, ["id"], 60_000, 500)
+    assert drawn.collect() == whole
+    filters = [line for line in drawn._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert filters  # most rows are left out before the limit
+    assert first_by_hash(rows.limit(30), ["id"], 30, 500).count() == 30
+    assert first_by_hash(rows.limit(0), ["id"], 0, 500).count() == 0
