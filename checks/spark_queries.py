@@ -86,6 +86,7 @@ register(
     with_needed(f"""SELECT claim_id, provider_npi, member_id, procedure_code,
         {dbl('allowed_amount')} AS allowed_amount, p95, cost_ratio FROM q_high_cost"""),
 )
+register("high_cost_claims_brackets", over_period(C.high_cost_claims, brackets=True), ORACLES["high_cost_claims"])
 register(
     "upcoding_pattern",
     over_period(C.upcoding_pattern, codes=VISIT_CODES),

@@ -7,6 +7,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimspark.functions.scratch import materialise_with
+
 # Values are counted in ranges of this many cents, so a window over one range
 # (or over the ranges of one group) holds at most about a million rows.
 RANGE_CENTS = 1_000_000
@@ -25,15 +27,23 @@ def exact_percentile(
     (keys, ``name`` as decimal with six digits) is exact; it is cut to six digits only
     where the fraction has more than four. Values of other types are rounded to cents.
     """
+    return _located(_cents(df, keys, value), keys, fraction, name)
+
+
+def _cents(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    cents = (F.col(value).cast("decimal(18,2)") * 100).cast("long")
+    return df.where(F.col(value).isNotNull()).select(*keys, cents.alias("_cents"))
+
+
+def _located(rows: DataFrame, keys: list[str], fraction: str | float, name: str, *more: str) -> DataFrame:
+    """The percentile of ``_cents`` in ``rows``, and the order statistics ``_lo`` and ``_hi`` if asked for."""
     share = Decimal(str(fraction))
     if not 0 <= share <= 1:
         raise ValueError("a fraction is between 0 and 1")
     scale = 10 ** max(4, -share.as_tuple().exponent)
     steps = int(share * scale)
     counts = (
-        df.where(F.col(value).isNotNull())
-        .select(*keys, (F.col(value).cast("decimal(18,2)") * 100).cast("long").alias("_cents"))
-        .groupBy(*keys, "_cents")
+        rows.groupBy(*keys, "_cents")
         .agg(F.count("*").alias("_n"))
         .withColumn("_range", F.floor(F.col("_cents") / RANGE_CENTS))
         # Stated for both uses below; if the join inferred it for one of them only,
@@ -72,4 +82,51 @@ def exact_percentile(
     )
     step = ((F.col("_hi") - F.col("_lo")).cast("decimal(18,0)") * F.col("_part").cast("decimal(18,0)")) / scale
     cents = F.col("_lo").cast("decimal(38,10)") + step.cast("decimal(38,10)")
-    return picked.select(*keys, (cents / 100).cast("decimal(26,6)").alias(name))
+    return picked.select(*keys, (cents / 100).cast("decimal(26,6)").alias(name), *more)
+
+
+def clipped(rows: DataFrame, keys: list[str], fraction: str | float, accuracy: int) -> DataFrame:
+    """(keys, _cents, _below, _above): values outside a bracket around the percentile count as its ends.
+
+    The bracket is found by the built-in quantile summary, which merges on the map side. It
+    lies 2 / ``accuracy`` of the rows to both sides, twice the summary's error. Of groups
+    with fewer than 2 * ``accuracy`` rows all values are inside, as a few ranks may be more than that.
+    """
+    margin, share = 2 / accuracy, float(fraction)
+    ends = F.percentile_approx("_cents", [max(0.0, share - margin), min(1.0, share + margin)], accuracy)
+    brackets = (
+        rows.groupBy(*keys)
+        .agg(ends.alias("_ends"), F.count("*").alias("_n"), F.min("_cents").alias("_min"), F.max("_cents").alias("_max"))
+        .select(
+            *keys,
+            (F.when(F.col("_n") < 2 * accuracy, F.col("_min")).otherwise(F.col("_ends")[0]) - 1).alias("_below"),
+            (F.when(F.col("_n") < 2 * accuracy, F.col("_max")).otherwise(F.col("_ends")[1]) + 1).alias("_above"),
+        )
+    )
+    inside = F.greatest(F.least("_cents", "_above"), F.col("_below"))
+    return rows.join(brackets, keys).withColumn("_cents", inside)
+
+
+def percentile_by_brackets(
+    df: DataFrame, keys: list[str], value: str, fraction: str | float, name: str, *, accuracy: int = 1000
+) -> DataFrame:
+    """``exact_percentile`` in two readings that shuffle few values of a large group.
+
+    A quantile summary brackets the percentile of each group; then the values in the
+    bracket are counted exactly, and those below and above it as one value each. So some
+    4 / ``accuracy`` of a large group's rows are shuffled, and not each of its distinct values. An
+    order statistic that is not inside its bracket would be seen, and its group's percentile
+    is then found by ``exact_percentile``: the result is exact whatever the summary does.
+    """
+    if accuracy < 4:
+        raise ValueError("the accuracy is at least 4")
+    rows = _cents(df, keys, value)
+    inside = clipped(rows, keys, fraction, accuracy)
+    found = _located(inside, [*keys, "_below", "_above"], fraction, name, "_lo", "_hi")
+    missed = (F.col("_lo") <= F.col("_below")) | (F.col("_hi") >= F.col("_above"))
+    stored, seen = materialise_with(found.withColumn("_missed", missed), "percentiles", missed=F.count_if("_missed"))
+    result = stored.where("not _missed").select(*keys, name)
+    if seen["missed"]:
+        again = rows.join(stored.where("_missed").select(*keys), keys, "left_semi")
+        result = result.union(_located(again, keys, fraction, name))
+    return result

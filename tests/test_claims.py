@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimspark.functions.percentiles import exact_percentile
+from claimspark.functions import percentiles
+from claimspark.functions.percentiles import clipped, exact_percentile, percentile_by_brackets
 from claimspark.operators.claims import (
     claim_volume_by_period,
     duplicate_claims,
@@ -100,3 +101,35 @@ def test_percentile_of_any_fraction(spark, fraction):
 def test_percentile_keeps_cents_of_doubles(spark):
     df = spark.createDataFrame([("k", 0.29), ("k", 1.13)], "k string, v double")
     assert [exact_percentile(df, ["k"], "v", f, "p").first().p for f in ("0", "1")] == [Decimal("0.29"), Decimal("1.13")]
+
+
+@pytest.mark.parametrize("fraction", ["0", "0.5", "0.95", "1"])
+def test_percentile_by_brackets(spark, fraction):
+    # a group of 60,000 rows and some 50,000 amounts, one with few amounts, one of one row; nulls do not count
+    rows = spark.range(60_100).selectExpr(
+        "case when id < 60000 then 'large' when id < 60099 then 'ties' else 'one' end k",
+        "cast(if(id < 60000, pmod(xxhash64(id), 200000) / 100, id % 3) as decimal(12,2)) v",
+    ).union(spark.sql("select 'ties', cast(null as decimal(12,2))"))
+    plain = sorted(map(tuple, exact_percentile(rows, ["k"], "v", fraction, "p").collect()))
+    assert len(plain) == 3
+    assert sorted(map(tuple, percentile_by_brackets(rows, ["k"], "v", fraction, "p").collect())) == plain
+    # a summary that is too rough to bracket anything is seen, and its groups are found again
+    assert sorted(map(tuple, percentile_by_brackets(rows, ["k"], "v", fraction, "p", accuracy=4).collect())) == plain
+
+
+def test_brackets_leave_few_values(spark):
+    rows = spark.range(60_000).selectExpr("'large' k", "pmod(xxhash64(id), 2000000) _cents")
+    values = rows.select("_cents").distinct().count()
+    assert clipped(rows, ["k"], "0.95", 1000).select("_cents").distinct().count() < values / 10
+
+
+def test_missed_brackets_are_found_again(spark, monkeypatch):
+    rows = spark.range(5_000).selectExpr("'large' k", "cast(id as decimal(12,2)) v")
+
+    def wrong(rows, keys, fraction, accuracy):
+        ends = rows.withColumns({"_below": F.lit(0).cast("long"), "_above": F.lit(100).cast("long")})
+        return ends.withColumn("_cents", F.greatest(F.least("_cents", "_above"), F.col("_below")))
+
+    monkeypatch.setattr(percentiles, "clipped", wrong)
+    found = percentile_by_brackets(rows, ["k"], "v", "0.95", "p").collect()
+    assert found == exact_percentile(rows, ["k"], "v", "0.95", "p").collect()
