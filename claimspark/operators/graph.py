@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from claimspark.functions.periods import Tables
@@ -194,36 +196,63 @@ def grams(text: Column, q: int) -> Column:
     return F.when(F.length(text) > 0, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
 
 
+#: Columns of a set's bitmap, 64 bits each.
+_BITS = ("bits_0", "bits_1", "bits_2", "bits_3")
+
+
+def _bitmap(gram: str, own: WindowSpec) -> dict[str, Column]:
+    """The bitmap of a text's grams: a gram's hash says which bit of which column it sets."""
+    number = F.xxhash64(gram)
+    bit = F.expr(f"shiftleft(1L, cast(xxhash64({gram}) & 63 as int))")
+    word = F.pmod(F.shiftrightunsigned(number, 6), F.lit(len(_BITS)))
+    return {name: F.bit_or(F.when(word == n, bit).otherwise(F.lit(0).cast("long"))).over(own) for n, name in enumerate(_BITS)}
+
+
+def _candidates(named: DataFrame, threshold: float) -> DataFrame:
+    """(text_a, text_b) of the sets (text, grams) that may be similar enough, see ``similar_texts``."""
+    each = named.select("text", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    frequency = each.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    own = Window.partitionBy("text")
+    rarest = own.orderBy("texts", "gram")  # a text's own grams
+    share = F.lit(threshold)
+    kept = F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1
+    few = F.col("size") - F.ceil(2 * share / (1 + share) * F.col("size") - 1e-9) + 1
+    first = each.join(frequency, "gram").withColumns({"place": F.row_number().over(rarest), **_bitmap("gram", own)}).where(F.col("place") <= kept)
+    first = materialise(first.select("gram", "text", "size", "place", *_BITS, (F.col("place") <= few).alias("few")), "first_grams")
+    other = first.where("few").select("gram", *[F.col(c).alias(f"{c}_b") for c in ("text", "size", "place", *_BITS)])
+    # the larger set, of equal ones that of the smaller text, looks for the smaller
+    larger = (F.col("size") > F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("text") < F.col("text_b")))
+    # with the grams behind these in common the overlap must still reach the threshold
+    needed = share / (1 + share) * (F.col("size") + F.col("size_b")) - 1e-9
+    rest = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")) + 1
+    apart = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in _BITS])
+    return (
+        first.join(other, "gram")
+        .where(larger & (F.col("size_b") >= share * F.col("size") - 1e-9) & (rest >= needed))
+        .where(apart <= F.col("size") + F.col("size_b") - 2 * needed)
+        .select(F.least("text", "text_b").alias("text_a"), F.greatest("text", "text_b").alias("text_b"))
+        .distinct()
+    )
+
+
 def similar_texts(texts: DataFrame, threshold: float, q: int = 3) -> DataFrame:
     """(text_a, text_b, similarity) of all distinct texts (column ``text``) whose gram sets overlap enough.
 
     Similarity is the size of the intersection over that of the union. Grams are put in order,
-    the rarest first. Two sets that are similar enough share a gram among the first
-    ``n - ceil(threshold * n) + 1`` of each, so only these are joined, together with the sizes
-    and the places that still allow the threshold; what is left is verified on the whole sets.
-    A gram that very many texts have stands behind rarer ones and is seldom among the first.
+    the rarest first. Of two sets with enough in common the rarest common gram is among the
+    first ``n - ceil(threshold * n) + 1`` of the larger and the first
+    ``n - ceil(2 * threshold / (1 + threshold) * n) + 1`` of the smaller, so only these are
+    joined, together with the sizes and the places that still allow the threshold. A gram that
+    very many texts have stands behind rarer ones and is seldom among the few of the smaller.
+    Each set has a bitmap, a bit for each gram's hash: sets differ in as many grams as their
+    bitmaps in bits, at least, so most pairs go while they are joined. What is left is verified
+    on the whole sets.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
     named = texts.select("text").where("text is not null").distinct().withColumn("grams", grams(F.col("text"), q))
     named = materialise(named.where(F.size("grams") > 0), "gram_sets")
-    each = named.select("text", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    frequency = each.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
-    rarest = Window.partitionBy("text").orderBy("texts", "gram")  # a text's own grams
-    kept = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
-    first = each.join(frequency, "gram").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= kept)
-    first = materialise(first.select("gram", "text", "size", "place"), "first_grams")
-    other = first.select("gram", F.col("text").alias("text_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
-    # with both rests in common the overlap must still reach the threshold
-    small, large = F.least("size", "size_b"), F.greatest("size", "size_b")
-    rest = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")) + F.least("place", "place_b")
-    needed = F.lit(threshold) / (1 + threshold) * (F.col("size") + F.col("size_b")) - 1e-9
-    pairs = (
-        first.join(other, "gram")
-        .where((F.col("text") < F.col("text_b")) & (small >= F.lit(threshold) * large - 1e-9) & (rest >= needed))
-        .select(F.col("text").alias("text_a"), "text_b")
-        .distinct()
-    )
+    pairs = _candidates(named, threshold)
     sets = named.select("text", "grams")
     verified = (
         pairs.join(sets.select(F.col("text").alias("text_a"), F.col("grams").alias("grams_a")), "text_a")

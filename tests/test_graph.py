@@ -6,9 +6,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimspark.operators.graph import (
+    _candidates,
     core_numbers,
+    grams,
     propagated,
     provider_cores,
     referral_rings,
@@ -145,6 +148,17 @@ def test_similar_texts_join_on_rare_grams_only(spark):
     assert similar_texts(rows, 0.9).count() == len(plain_similar([r.text for r in rows.collect()], 0.9))
 
 
+def test_candidates_of_one_host_are_few(spark):
+    """Addresses of one host share most grams; few of the pairs that share a rare one are verified, and none is lost."""
+    ends = ["", "/", ".html", "#top", "?utm_source=feed"]
+    texts = [f"https://one.example.net/en/{n * 7919 % 100_000}{ends[n % 5]}" for n in range(400)]
+    sets = spark.createDataFrame([(t,) for t in texts], "text string").select("text", grams(F.col("text"), 3).alias("grams"))
+    candidates = {(r.text_a, r.text_b) for r in _candidates(sets, 0.8).collect()}
+    wanted = {(a, b) for a, b, _ in plain_similar(texts, 0.8)}
+    assert wanted <= candidates
+    assert len(candidates) < 3 * len(wanted)
+
+
 def test_similar_addresses(build):
     place = lambda npi, city, state="TX", zip_="75001": {"npi": npi, "practice_city": city, "practice_state": state, "practice_zip": zip_}
     tables = build(providers=[place("1", "Main St. 12, Suite 4"), place("2", "main st 12 - suite 4"), place("3", "Main St 12 Ste 4"), place("4", "Elsewhere"), place("5", None)])
