@@ -719,7 +719,7 @@ def texts_with_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("procedure_code"), F.col("text").alias("expected_specialty"), F.col("source").alias("category")
     )
     kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"', "nullValue": "NULL"}
-    docs.coalesce(1).write.options(header=True, **kept).csv(f"{path}/specialty_procedure_map.csv")
+    docs.write.options(header=True, **kept).csv(f"{path}/specialty_procedure_map.csv")
     found = load_tables(spark, path, ["specialty_procedure_map"], multi_line=True)["specialty_procedure_map"]
     return found.select("procedure_code", "category", F.length("expected_specialty").alias("n_chars"), F.sha2("expected_specialty", 256).alias("sha256"))
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import pathlib
 import random
 from datetime import date
@@ -7,6 +8,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from checks import spark_queries
 from claimspark.functions.privacy import mask_pii, mask_record, mask_text
 from claimspark.operators.quality import (
     EMPTY_WARNING,
@@ -304,6 +306,17 @@ def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
 
 
+def test_documents_with_line_breaks_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """No task of ``load_line_breaks`` writes all documents, and what is read back is whole."""
+    texts = {n: f'line {n}\n"quoted", next\n' * (n % 4) for n in range(40)}
+    docs = spark.createDataFrame([(n, t, "web") for n, t in texts.items()], "doc_id long, text string, source string")
+    docs.repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(spark_queries, "scratch_path", lambda spark, label: f"{tmp_path}/{label}")
+    found = {int(r.procedure_code): (r.n_chars, r.sha256) for r in spark_queries.texts_with_line_breaks(spark, str(tmp_path)).collect()}
+    assert found == {n: (len(t), hashlib.sha256(t.encode()).hexdigest()) if t else (None, None) for n, t in texts.items()}
+    assert len(list(tmp_path.glob("csv/specialty_procedure_map.csv/part-*"))) > 1
+
+
 def test_line_breaks_in_quotes(spark, tmp_path):
     path = tmp_path / "specialty_procedure_map.csv"
     path.write_text(MAP + '27447,Ortho,"a\nb"\n2,"x ""y""",c\n')
