@@ -779,7 +779,8 @@ def rollup_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Claims summed in three loads, by their order's priority; those of over 50,000 are rejected afterwards."""
     tables, rollup = claims_tables(spark, sf_dir), scratch_path(spark, "rollup")
     create_rollup(spark, rollup)
-    claims = tables["claims"]
+    claims = tables["claims"].select("provider_npi", "member_id", "service_date", "diagnosis_code", "allowed_amount")
+    claims = materialise(claims, "priced_claims")  # read by four jobs
     loads = [F.col("diagnosis_code") < "2", F.col("diagnosis_code").between("2", "4"), F.col("diagnosis_code") > "4"]
     for number, chosen in enumerate(loads):
         add_claims(claims.where(chosen), rollup, number)

@@ -34,19 +34,24 @@ def _partial_sums(spark: SparkSession, rollup: str) -> DataFrame:
     return spark.read.schema(_SUMS).parquet(rollup)
 
 
-def _add(claims: DataFrame, rollup: str, load: int, sign: int) -> None:
-    """Partial sums of ``claims`` as load ``load``; what the load has for these months is replaced, so it can be run again."""
+def _sums(claims: DataFrame, load: int, sign: int) -> DataFrame:
+    """Partial sums of ``claims``, dealt out and sorted as they are written, by one shuffle."""
     one = F.lit(sign).cast("long")
-    sums = claims.groupBy("service_date", "provider_npi", "member_id").agg(
+    # ranges of days: a month is few files, a large one several, and a day's sums are neighbours;
+    # all claims of a sum are in one range, so they are added up where they are written
+    order = ["service_month", "service_date", "provider_npi", "member_id"]
+    ranged = claims.select(month_of("service_date").alias("service_month"), *order[1:], "allowed_amount").repartitionByRange(*order)
+    sums = ranged.groupBy(*order).agg(
         F.sum(one).alias("claims"),
         F.coalesce(F.sum(F.when(F.col("allowed_amount").isNotNull(), one)), F.lit(0)).alias("priced"),
         (F.coalesce(F.sum("allowed_amount"), F.lit(0)) * sign).cast("decimal(38,2)").alias("allowed"),
     )
-    # ranges of days: a month is few files, a large one several, and a day's sums are neighbours
-    order = ["service_month", "service_date", "provider_npi", "member_id"]
-    named = sums.withColumns({"service_month": month_of("service_date"), "load": F.lit(load).cast("long")})
-    ranged = named.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTS).parquet(rollup)
+    return sums.withColumn("load", F.lit(load).cast("long")).sortWithinPartitions(*order)
+
+
+def _add(claims: DataFrame, rollup: str, load: int, sign: int) -> None:
+    """Partial sums of ``claims`` as load ``load``; what the load has for these months is replaced, so it can be run again."""
+    _sums(claims, load, sign).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTS).parquet(rollup)
 
 
 def refresh(spark: SparkSession, target: str, rollup: str) -> list[int]:

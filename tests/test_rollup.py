@@ -9,13 +9,14 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from checks import spark_queries
 from claimspark.operators.claims import claim_volume_by_period
 from claimspark.operators.member import member_utilization_spike
 from claimspark.operators.provider import provider_peer_comparison
 from claimspark.operators.signals import ramp_up, seasonal_deviation, weekend_share
 from claimspark.operators.temporal import billing_spike_detection, weekend_billing
 from claimspark.streaming.ingest import append_new, create_target
-from claimspark.streaming.rollup import add_claims, create_rollup, refresh, retract, summed_claims, with_rollup
+from claimspark.streaming.rollup import _sums, add_claims, create_rollup, refresh, retract, summed_claims, with_rollup
 
 YEAR = ("2025-01-01", "2025-12-31")
 CONCEPTS = [
@@ -83,3 +84,27 @@ def test_a_load_touches_only_its_days(spark, build, tmp_path):
     for wrong in (lambda: add_claims(first, rollup, -1), lambda: retract(first, rollup, 0)):
         with pytest.raises(ValueError):
             wrong()
+
+
+def test_sums_are_shuffled_once(build):
+    """Claims go to the task that writes their sum; a sum of many claims is one row."""
+    same = {"provider_npi": "P1", "member_id": "M1", "service_date": "2025-03-04", "allowed_amount": 2}
+    rows = [same] * 50 + [{**same, "allowed_amount": None}, {**same, "member_id": None}, {**same, "service_date": None}]
+    sums = _sums(build(claims=rows)["claims"], 3, -1)
+    found = {(r.member_id, str(r.service_date), r.claims, r.priced, int(r.allowed), r.load) for r in sums.collect()}
+    assert found == {("M1", "2025-03-04", -51, -50, -100, 3), (None, "2025-03-04", -1, -1, -2, 3), ("M1", "None", -1, -1, -2, 3)}
+    assert sums._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
+
+
+def test_claims_are_made_once_for_all_loads(build, spark, monkeypatch):
+    """The registered rollups read a written table in their loads, not the joins that make the claims."""
+    tables = build(claims=[{"provider_npi": "P1", "member_id": "M1", "service_date": "2000-03-04", "diagnosis_code": d, "allowed_amount": 60_000} for d in "135"])
+    seen = []
+    monkeypatch.setattr(spark_queries, "claims_tables", lambda spark, sf_dir: tables)
+    for name in ("add_claims", "retract"):
+        run = getattr(spark_queries, name)
+        monkeypatch.setattr(spark_queries, name, lambda claims, *a, run=run: (seen.append(claims), run(claims, *a)))
+    left = spark_queries.rollup_of(spark, "")["claims"].collect()
+    assert left == []  # all three are rejected afterwards
+    assert len(seen) == 4 and all("priced_claims" in f for claims in seen for f in claims.inputFiles())
+    assert all(claims.inputFiles() for claims in seen)
