@@ -76,8 +76,8 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = lambda c: F.col(c).cast("string")
     typed = _mistyped(spark, sf_dir, X="c_acctbal <= 0")
     return (
-        lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(typed, F.col("o_custkey") == F.col("c_custkey"))
+        # orders meet customers first: of the wide rows there are as many as line items
+        lineitem.join(orders.join(typed, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(_places(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))

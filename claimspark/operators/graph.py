@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from claimspark.functions.periods import Tables
+from claimspark.functions.periods import Tables, add_days, claims_in
 from claimspark.functions.scratch import materialise, materialise_with
 from claimspark.operators.network import connected_components, referral_edges, shared_patient_edges
 
@@ -330,8 +330,13 @@ def network_risk(
     composite_risk_score; neighbours are partners in referrals, either way, weighted by their
     number, and in shared patients, weighted by theirs.
     """
-    referred = referral_edges(tables, start, end)
-    shared = shared_patient_edges(tables, start, end, min_shared=min_shared)
+    # both kinds of edges read the claims of the period and of the days around it, written once
+    near = claims_in(tables, add_days(start, -7), add_days(end, 7))
+    near = near.select("provider_npi", "referring_npi", "member_id", "service_date", "allowed_amount")
+    tables = {**tables, "claims": materialise(near, "network_claims")}
+    referred = referral_edges(tables, start, end).select("referring_npi", "rendering_npi", "referral_count")
+    referred = materialise(referred, "referrals")
+    shared = shared_patient_edges(tables, start, end, days=7, min_shared=min_shared)
     edges = (
         referred.select(F.col("referring_npi").alias("a"), F.col("rendering_npi").alias("b"), F.col("referral_count").alias("weight"))
         .unionByName(referred.select(F.col("rendering_npi").alias("a"), F.col("referring_npi").alias("b"), F.col("referral_count").alias("weight")))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from claimspark.operators import graph
 from claimspark.operators.graph import (
     _candidates,
     core_numbers,
@@ -191,3 +192,19 @@ def test_propagated_values_against_a_plain_solution(spark):
         assert abs(r.spread - want[place[r.node]]) < 1e-8 and r.own == own.get(r.node, 0.0)
     with pytest.raises(ValueError):
         propagated(found, found, damping=1.0)
+
+
+def test_network_risk_makes_the_claims_once(build, spark, monkeypatch):
+    """Referrals and shared patients read the same written claims."""
+    day = lambda p, m, r=None, d="2025-02-03": {"provider_npi": p, "member_id": m, "referring_npi": r, "service_date": d}
+    rows = [day(p, f"M{n}") for p in ("P1", "P2") for n in range(3)] + [day("P3", "M9", "P1"), day("P2", "M9", "P4", "2024-12-31")]
+    read = []
+    for name in ("referral_edges", "shared_patient_edges"):
+        run = getattr(graph, name)
+        monkeypatch.setattr(graph, name, lambda tables, *a, run=run, **o: (read.append(tables["claims"]), run(tables, *a, **o))[1])
+    risk = spark.createDataFrame([("P1", 0.8), ("P2", 0.0)], "provider_npi string, composite_risk_score double")
+    found = {r.provider_npi: r.network_risk for r in graph.network_risk(build(claims=rows), risk, *YEAR).collect()}
+    # P1 hears 3 of 4 from P2 and 1 of 4 from P3; P2 hears P1 alone, and so does P3
+    p1 = 0.4 / (1 - 0.5 * 0.5)
+    assert found == pytest.approx({"P1": p1, "P2": 0.5 * p1, "P3": 0.5 * p1}, abs=1e-6)
+    assert len(read) == 2 and all(c.inputFiles() and all("network_claims" in f for f in c.inputFiles()) for c in read)
